@@ -12,6 +12,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelflow.functions.text import core_tokens, is_placeholder
 
@@ -31,7 +32,7 @@ def _at_least(a: str, b: str, threshold: float) -> bool:
     return m.quick_ratio() >= threshold and m.ratio() >= threshold
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratcliff_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; depends on the argument order."""
     return pd.Series(
@@ -40,7 +41,7 @@ def ratcliff_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _fuzzy_same(joined_a: pd.Series, joined_b: pd.Series, flat_a: pd.Series, flat_b: pd.Series,
                 core_a: pd.Series, core_b: pd.Series) -> pd.Series:
     def verdict(ja, jb, fa, fb, ca, cb):

@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---------------------------------------------------------------- fixed values
 # Word lists and patterns below are data of the method: results only match if
@@ -113,7 +114,7 @@ def normalise(col: Column | str, digits: bool = True, legal_forms: str = LEGAL_F
     return _finish(fold(col), legal_forms, digits)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _exact_fold(s: pd.Series) -> pd.Series:
     def one(text):
         if text is None:

@@ -11,6 +11,7 @@ from panelflow.functions.numbers import clip, decimal_comma
 from panelflow.functions.text import (
     DIGIT_IN_WORD, MOJIBAKE, is_placeholder, match_key, match_key_no_zeros, normalise,
 )
+from panelflow.operators.ordered import with_row
 
 MIN_COORDINATE = 1000.0  # fixed value: smaller coordinates mean "no data"
 UNMATCHED_LIMIT = 0.20  # fixed value: share of unknown categories that stops scoring
@@ -118,7 +119,7 @@ def training_ranges(train: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def clip_to_ranges(df: DataFrame, ranges: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Clip features to the training range and list a warning per clipped one."""
-    joined = df.join(F.broadcast(ranges.withColumn("_k", F.lit(1))), F.lit(1) == F.col("_k"), "left")
+    joined = with_row(df, ranges)
     warnings = []
     for c in columns:
         out = (F.col(c) < F.col(f"{c}_lo")) | (F.col(c) > F.col(f"{c}_hi"))
@@ -130,7 +131,7 @@ def clip_to_ranges(df: DataFrame, ranges: DataFrame, columns: Sequence[str]) ->
 
 def clip_report(df: DataFrame, ranges: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per feature: range and number of values below and above it."""
-    counts = df.join(F.broadcast(ranges.withColumn("_k", F.lit(1))), F.lit(1) == F.col("_k"), "left").agg(
+    counts = with_row(df, ranges).agg(
         *[
             F.struct(
                 F.lit(c).alias("variable"),

@@ -22,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelflow.session import materialise
+
 SITES_PER_SALT = 2_000
 
 
@@ -126,6 +128,8 @@ def neighbourhood(
         F.coalesce(F.concat(F.lit("="), F.col(category)), F.lit("")).alias("cat"),
         F.coalesce(F.col(flag).cast("long"), F.lit(0)).alias("f"), w.alias("w"),
     )
+    # read by several branches below: store the narrow points once
+    p = materialise(p, "points")
     sums = ["n", "f", "w"]
     sites = p.groupBy("snap", "x", "y", "cat").agg(
         F.count("*").alias("n"), F.sum("f").alias("f"), F.sum("w").alias("w")

@@ -21,6 +21,15 @@ from panelflow.session import materialise
 SLICE = "_slice"
 
 
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row frame (totals, cut points, ranges).
+
+    A scalar subquery: it is evaluated once, and more than one row is an error.
+    """
+    value = row.select(F.struct(*row.columns)).scalar()
+    return df.withColumn("_row", value).select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in row.columns])
+
+
 def value_table(df: DataFrame, value: str, sums: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
     """One row per (group, value) with summed measures (map-side combined)."""
     return df.groupBy(*by, value).agg(*[F.sum(c).alias(k) for k, c in sums.items()])

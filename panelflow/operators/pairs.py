@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from panelflow.functions.similarity import with_first_version_similarity, with_same_business
 from panelflow.functions.text import core_tokens, is_placeholder
+from panelflow.operators.ordered import with_row
 
 KEEP_AFTER = ("norm", "open")
 
@@ -230,7 +231,7 @@ def exclusion_bias(panel: DataFrame, section: str, vocabulary: Column | None = N
     g = panel.where("open").groupBy(section).agg(F.count("*").alias("_all"), F.count_if(excluded).alias("_ex"))
     # one row per section: totals over the small grouped table
     tot = g.agg(F.sum("_all").alias("a"), F.sum("_ex").alias("e"))
-    g = g.where(F.col("_ex") > 0).join(F.broadcast(tot), F.lit(True))
+    g = with_row(g.where(F.col("_ex") > 0), tot)
     g = g.select(section, (F.col("_ex") / F.col("e") - F.col("_all") / F.col("a")).alias("difference"))
     return g.orderBy(F.desc("difference"), section).limit(n)
 

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 
 from panelflow.functions.numbers import right_closed_bin
 from panelflow.functions.text import normalise
-from panelflow.operators.ordered import exact_quantiles
+from panelflow.operators.ordered import exact_quantiles, with_row
 
 
 def official_vocabulary(df: DataFrame, columns: Sequence[str], min_length: int = 4) -> DataFrame:
@@ -244,7 +244,7 @@ def dispersion(df: DataFrame, p: str, by: Sequence[str], digits: int = 6, shared
     )
     out = ties
     for part in (spread_row, quart, inside):  # one-row frames
-        out = out.join(F.broadcast(part), F.lit(True))
+        out = with_row(out, part)
     return out.withColumn("iqr", F.col("q3") - F.col("q1")).drop("q1", "q3")
 
 

@@ -208,13 +208,14 @@ def literal_label_audit(spark, d):
 
 
 @query("exclusion_bias", "WITH " + PANEL_SQL + """,
-g AS (SELECT section, count(*) AS n, count_if(ph) AS e FROM panel WHERE open GROUP BY 1)
-SELECT section, round(e / sum(e) OVER () - n / sum(n) OVER (), 9) AS difference FROM g WHERE e > 0
-ORDER BY 2 DESC, 1 LIMIT 3""".replace("count_if(ph)", "count_if(NOT ph AND len(core) = 0)").replace(
-    "FROM g WHERE e > 0", "FROM g").replace("ORDER BY 2 DESC", "ORDER BY 2 DESC"))
+g AS (SELECT section, count(*) AS n,
+    count(*) FILTER (WHERE NOT ph AND len(list_filter(core, lambda w: w NOT IN ('OLD', 'NEW', 'RED'))) = 0) AS e
+  FROM panel WHERE open GROUP BY 1)
+SELECT section, round(e / t.se - n / t.sn, 9) AS difference FROM g, (SELECT sum(e) AS se, sum(n) AS sn FROM g) t
+WHERE e > 0 ORDER BY 2 DESC, 1 LIMIT 3""")
 def exclusion_bias(spark, d):
-    # adjectives of one section double as activity words here, so that some labels are generic
-    v = vocabulary(spark, d)
+    # three adjectives are added so that some labels are generic
+    v = F.concat(vocabulary(spark, d), F.array(F.lit("OLD"), F.lit("NEW"), F.lit("RED")))
     return pairs.exclusion_bias(panel(spark, d), "section", v).withColumn("difference", F.round("difference", 9))
 
 
