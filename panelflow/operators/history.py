@@ -108,6 +108,8 @@ def expanding_mean(df: DataFrame, by: str, year: str, value: str, out: str) -> D
 
 def carry_forward(df: DataFrame, by: str, year: str, value: str, last_year: int, until: int) -> DataFrame:
     """Repeat the value of ``last_year`` for the years after it up to ``until``."""
+    if until <= last_year:
+        return df
     ahead = df.where(F.col(year) == last_year).withColumn(
         year, F.explode(F.sequence(F.lit(last_year + 1), F.lit(until)))
     )

@@ -106,7 +106,7 @@ def composition(df: DataFrame, by: str, category: str, values: Sequence[str], pr
 
 def count_pivot(df: DataFrame, by: Sequence[str], category: str, values: Sequence[str]) -> DataFrame:
     """Long to wide: one count column per listed category."""
-    return df.groupBy(*by).pivot(category, list(values)).agg(F.count("*")).fillna(0, subset=list(values))
+    return df.groupBy(*by).pivot(category, list(values)).agg(F.count(F.lit(1))).fillna(0, subset=list(values))
 
 
 def rate_pivot(df: DataFrame, sector: str, area: str, areas: Sequence[str], target: str = "target", top: int = 8) -> DataFrame:

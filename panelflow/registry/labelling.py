@@ -111,7 +111,7 @@ FROM labelled GROUP BY 1""")
 def differ_same_rotated(spark, d):
     return labelled(spark, d).groupBy("cohort").agg(
         F.count_if("differs").alias("n_differs"), F.count_if("same").alias("n_same"),
-        F.count_if("rotated").alias("n_rotated"), F.count_if("rotated and target = 0").alias("n_outside_target"),
+        F.count_if("rotated").alias("n_rotated"), F.count_if(F.expr("rotated and target = 0")).alias("n_outside_target"),
     )
 
 

@@ -29,7 +29,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(v):
-    if v is None or v is pd.NaT:
+    if v is None or v is pd.NaT or v is pd.NA:
         return "∅"
     if isinstance(v, float):
         if math.isnan(v):
