@@ -140,22 +140,22 @@ def is_placeholder(norm: Column | str) -> Column:
 
 
 def word_array(words: Iterable[str]) -> Column:
+    """Words as one constant array (a single literal in the plan)."""
     words = list(words)
-    return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+    return F.split(F.lit("\n".join(words)), "\n") if words else F.array().cast("array<string>")
 
 
-def vocabulary_column(vocabulary: DataFrame, limit: int = 100_000) -> Column:
-    """A ``(word)`` table as one array value, read through a scalar subquery.
+def vocabulary_column(vocabulary: DataFrame, limit: int = 20_000) -> Column:
+    """A frozen ``(word)`` table as one array value.
 
-    The nomenclature of activities is small; the guard stops the job rather
-    than ship an unexpectedly large array to every task.
+    The nomenclature of activities is small: up to ``limit`` words become a
+    constant of the plan.  A larger vocabulary stays in the cluster and is
+    read through a scalar subquery.
     """
-    guarded = vocabulary.agg(
-        F.when(F.count_distinct("word") <= limit, F.sort_array(F.collect_set("word"))).otherwise(
-            F.raise_error(F.lit(f"vocabulary holds more than {limit} words")).cast("array<string>")
-        )
-    )
-    return guarded.scalar()
+    words = [r[0] for r in vocabulary.select("word").distinct().limit(limit + 1).collect()]
+    if len(words) <= limit:
+        return word_array(sorted(words))
+    return vocabulary.agg(F.sort_array(F.collect_set("word"))).scalar()
 
 
 def core_tokens(norm: Column | str, vocabulary: Column | None = None) -> Column:

@@ -116,7 +116,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_columns(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("event_id").alias("request_id"),
-        F.col("ts"),
+        F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_type").alias("activity"),
         F.col("user_id").alias("client"),
         (F.col("value") / 500).alias("probability"),
