@@ -1,8 +1,8 @@
 """Fuzzy label identity.
 
-The cheap tests of the identity rule are columns.  Only label pairs that stay
-undecided, each *distinct* pair once, reach the Arrow function with the
-Ratcliff-Obershelp ratio, which Spark has no built-in for.
+Every *distinct* pair of labels is judged once.  The cheap tests of the
+identity rule are columns; only pairs they leave undecided reach the Arrow
+function with the Ratcliff-Obershelp ratio, which Spark has no built-in for.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ def ratcliff_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def _fuzzy_same(joined_a: pd.Series, joined_b: pd.Series, flat_a: pd.Series, flat_b: pd.Series,
                 core_a: pd.Series, core_b: pd.Series) -> pd.Series:
     def verdict(ja, jb, fa, fb, ca, cb):
+        if ja is None:
+            return False
         if _at_least(ja, jb, JOINED_RATIO):
             return True
         if fa and fb and _at_least(fa, fb, JOINED_RATIO):
@@ -65,19 +67,18 @@ def _flat(norm: Column) -> Column:
     return F.regexp_replace(norm, "[^A-Z0-9]", "")
 
 
-def exact_identity(a: Column, b: Column, vocabulary: Column | None = None) -> Column:
-    """True where a cheap test already says "same"; null where undecided."""
-    ca, cb = core_tokens(a, vocabulary), core_tokens(b, vocabulary)
-    return F.when(
+def exact_identity(a: Column, b: Column, core_a: Column, core_b: Column) -> Column:
+    """True where a cheap test already says "same", false where undecided."""
+    return F.coalesce(
         (a == b)
-        | (F.size(ca) == 0)
-        | (F.size(cb) == 0)
+        | (F.size(core_a) == 0)
+        | (F.size(core_b) == 0)
         | is_placeholder(b)
-        | (F.size(F.array_except(ca, cb)) == 0)
-        | (F.size(F.array_except(cb, ca)) == 0)
-        | (_joined(ca) == _joined(cb))
+        | (F.size(F.array_except(core_a, core_b)) == 0)
+        | (F.size(F.array_except(core_b, core_a)) == 0)
+        | (_joined(core_a) == _joined(core_b))
         | ((_flat(a) != "") & (_flat(a) == _flat(b))),
-        F.lit(True),
+        F.lit(False),
     )
 
 
@@ -87,31 +88,28 @@ def with_same_business(
 ) -> DataFrame:
     """Add the identity verdict of labels ``a`` (before) and ``b`` (after).
 
+    Judged once per distinct pair of labels, then joined back.
     ``needed`` restricts the work to rows whose verdict matters; others get
     null.  With ``fuzzy=False`` undecided pairs count as different.
     """
     needed = F.lit(True) if needed is None else needed
-    needed = needed & F.col(a).isNotNull() & F.col(b).isNotNull()
-    native = F.when(needed, F.coalesce(exact_identity(F.col(a), F.col(b), vocabulary), F.lit(False)))
-    if not fuzzy:
-        return df.withColumn(out, native)
-    marked = df.withColumn("_sure", native)
-    pairs = marked.where(~F.col("_sure")).select(a, b).distinct()
-    ca, cb = core_tokens(a, vocabulary), core_tokens(b, vocabulary)
-    judged = (
-        pairs.withColumn("_ca", ca)
-        .withColumn("_cb", cb)
-        .withColumn(
-            "_fuzzy",
-            _fuzzy_same(_joined(F.col("_ca")), _joined(F.col("_cb")), _flat(F.col(a)), _flat(F.col(b)),
-                        F.col("_ca"), F.col("_cb")),
+    marked = df.withColumn("_need", needed & F.col(a).isNotNull() & F.col(b).isNotNull())
+    pairs = marked.where("_need").select(a, b).distinct()
+    # the two cores are used by several tests: computed once, as columns
+    pairs = pairs.withColumn("_ca", core_tokens(a, vocabulary)).withColumn("_cb", core_tokens(b, vocabulary))
+    ca, cb = F.col("_ca"), F.col("_cb")
+    pairs = pairs.withColumn("_sure", exact_identity(F.col(a), F.col(b), ca, cb))
+    if fuzzy:
+        undecided = ~F.col("_sure")
+        likely = _fuzzy_same(
+            F.when(undecided, _joined(ca)), F.when(undecided, _joined(cb)),
+            F.when(undecided, _flat(F.col(a))), F.when(undecided, _flat(F.col(b))),
+            F.when(undecided, ca), F.when(undecided, cb),
         )
-        .drop("_ca", "_cb")
-    )
+        pairs = pairs.withColumn("_likely", likely).withColumn("_sure", F.col("_sure") | F.col("_likely"))
+    judged = pairs.select(a, b, F.col("_sure").alias("_same"))
     joined = marked.join(judged, [a, b], "left")
-    return joined.withColumn(
-        out, F.when(F.col("_sure").isNull(), None).otherwise(F.col("_sure") | F.coalesce("_fuzzy", F.lit(False)))
-    ).drop("_sure", "_fuzzy")
+    return joined.withColumn(out, F.when(F.col("_need"), F.col("_same"))).drop("_need", "_same")
 
 
 def with_first_version_similarity(df: DataFrame, a: str, b: str, out: str = "similar",

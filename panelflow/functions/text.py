@@ -83,9 +83,11 @@ def _fold_table() -> tuple[str, str]:
 def fold(col: Column | str) -> Column:
     """Upper case, no accents: the form used to search."""
     c = F.upper(F.trim(F.col(col) if isinstance(col, str) else col))
+    plain = c
     for ch, text in (("¼", "1 4"), ("½", "1 2"), ("¾", "3 4"), ("™", "TM"), ("№", "No")):
-        c = F.replace(c, F.lit(ch), F.lit(text))
-    return F.translate(c, *_fold_table())
+        plain = F.replace(plain, F.lit(ch), F.lit(text))
+    # most labels are plain ASCII and skip the table
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(plain, *_fold_table())).otherwise(c)
 
 
 def search_fold(col: Column | str) -> Column:
@@ -103,10 +105,12 @@ def strip_legal_forms(col: Column, pattern: str = LEGAL_FORMS) -> Column:
 
 def _finish(folded: Column, pattern: str, digits: bool) -> Column:
     words = strip_legal_forms(F.regexp_replace(folded, _NON_WORD, " "), pattern)
-    tokens = F.filter(F.split(words, r"\s+"), lambda t: t != "")
+    words = F.trim(F.regexp_replace(words, " +", " "))
     if digits:
-        tokens = F.transform(tokens, fix_digits)
-    return F.coalesce(F.array_join(tokens, " "), F.lit(""))
+        # the per-token pass only where there is a digit to look at
+        fixed = F.array_join(F.transform(F.split(words, " "), fix_digits), " ")
+        words = F.when(words.rlike("[01]"), fixed).otherwise(words)
+    return F.coalesce(words, F.lit(""))
 
 
 def normalise(col: Column | str, digits: bool = True, legal_forms: str = LEGAL_FORMS) -> Column:

@@ -20,8 +20,9 @@ def changes(panel: DataFrame, vocabulary: Column | None = None, fuzzy: bool = Tr
     year), so it is bounded by the number of snapshots.
     """
     p = panel.select("id", "anio", "norm").withColumn("prev", F.lag("norm").over(BY_ID))
-    known = informative("norm", vocabulary) & informative("prev", vocabulary)
-    needed = F.col("prev").isNotNull() & known & (F.col("prev") != F.col("norm"))
+    # cheap test first: most rows keep their label and need nothing else
+    moved = F.col("prev").isNotNull() & (F.col("prev") != F.col("norm"))
+    needed = moved & informative("norm", vocabulary) & informative("prev", vocabulary)
     p = p.withColumn("_needed", needed)
     p = with_same_business(p, "prev", "norm", "same", vocabulary, needed=F.col("_needed"), fuzzy=fuzzy)
     return p.withColumn("changed", F.coalesce(F.col("_needed") & ~F.col("same"), F.lit(False))).drop(

@@ -1,7 +1,7 @@
 """Radius neighbourhood of every point without enumerating all pairs.
 
 Points are first collapsed to sites: (snapshot, x, y, category) with
-multiplicities.  The plane is cut into small squares, ``split`` per radius.
+multiplicities.  The plane is cut into small squares, ``split`` along the radius.
 Two squares are then in one of three relations:
 
 * every point of one is within the radius of every point of the other: the
@@ -18,55 +18,69 @@ tasks.  The result is exact for any ``split``.
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from panelflow.session import materialise
 
 SITES_PER_SALT = 2_000
 
 
-def _offsets(split: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(inside, rim) square offsets for squares of side radius / split."""
-    inside, rim = [], []
-    limit = split * split
-    for dx in range(-split - 1, split + 2):
-        for dy in range(-split - 1, split + 2):
-            far = (abs(dx) + 1) ** 2 + (abs(dy) + 1) ** 2
-            near = max(abs(dx) - 1, 0) ** 2 + max(abs(dy) - 1, 0) ** 2
-            # strict: a shared edge within rounding of the radius is compared point by point
-            if far < limit:
-                inside.append((dx, dy))
-            elif near <= limit:
-                rim.append((dx, dy))
-    return inside, rim
+INSIDE, RIM, AWAY = "inside", "rim", "away"
 
 
-def _offset_array(offsets: list[tuple[int, int]]) -> Column:
-    return F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in offsets])
+def _relation(dx: int, dy: int, radius_in_squares: float) -> str:
+    """Relation of two squares (dx, dy) apart for a radius in square sides."""
+    far = (abs(dx) + 1) ** 2 + (abs(dy) + 1) ** 2
+    near = max(abs(dx) - 1, 0) ** 2 + max(abs(dy) - 1, 0) ** 2
+    limit = radius_in_squares**2
+    # a margin for rounding: doubtful squares are compared point by point
+    if far < limit * (1 - 1e-9):
+        return INSIDE
+    return RIM if near <= limit * (1 + 1e-9) else AWAY
 
 
-def _site_neighbours(sites: DataFrame, radius: float, split: int, sums: list[str]) -> DataFrame:
-    """(snap, x, y, cat) -> summed measures of that category within the radius.
+def _offsets(radii: Sequence[float], side: float, wanted: str) -> Column:
+    """Offsets with that relation for at least one radius: dx, dy and one 0/1
+    mark per radius."""
+    reach = math.ceil(max(radii) / side) + 1
+    rows = []
+    for dx in range(-reach, reach + 1):
+        for dy in range(-reach, reach + 1):
+            marks = [int(_relation(dx, dy, r / side) == wanted) for r in radii]
+            if any(marks):
+                fields = [f"{dx} as dx", f"{dy} as dy", *[f"{m} as m{i}" for i, m in enumerate(marks)]]
+                rows.append(f"struct({', '.join(fields)})")
+    return F.expr(f"array({', '.join(rows)})")
 
-    ``sites``: snap, x, y, cat + measures, unique on the first four.
+
+def _site_neighbours(sites: DataFrame, radii: Sequence[float], side: float, sums: list[str]) -> DataFrame:
+    """(snap, x, y, cat) -> measures of that category within each radius.
+
+    ``sites``: snap, x, y, cat + measures, unique on the first four.  Output
+    measures are named ``<measure><radius number>``.
     """
-    side = radius / split
-    inside, rim = _offsets(split)
-    s = sites.withColumn("sx", F.floor(F.col("x") / side)).withColumn("sy", F.floor(F.col("y") / side))
     square = ["snap", "sx", "sy"]
+    marks = [f"m{i}" for i in range(len(radii))]
+    outs = [f"{c}{i}" for i in range(len(radii)) for c in sums]
 
-    # squares and their size, in distinct places
-    places = s.select(*square, "x", "y").distinct()
-    sizes = places.groupBy(*square).agg(F.count("*").alias("k")).withColumn(
-        "salts", F.ceil(F.col("k") / SITES_PER_SALT).cast("int")
-    )
-    other = sizes.select("snap", F.col("sx").alias("ox"), F.col("sy").alias("oy"), F.col("salts").alias("osalts"))
-
-    def meeting(offsets):
-        reach = sizes.select(*square, "salts", F.explode(_offset_array(offsets)).alias("o")).select(
-            *square, "salts", (F.col("sx") + F.col("o.dx")).alias("ox"), (F.col("sy") + F.col("o.dy")).alias("oy")
+    # sites with their square and a salt that takes as many values as the
+    # square's size asks for; stored, because every branch below reads them
+    s = sites.withColumn("sx", F.floor(F.col("x") / side)).withColumn("sy", F.floor(F.col("y") / side))
+    sizes = s.groupBy(*square).agg(F.ceil(F.count("*") / SITES_PER_SALT).cast("int").alias("salts"))
+    s = s.join(sizes, square).withColumn("salt", F.pmod(F.xxhash64("x", "y"), F.col("salts")).cast("int"))
+    s = materialise(s, "sites")
+    squares = materialise(s.select(*square, "salts").distinct(), "squares")
+    places = s.select(*square, "salt", "x", "y").distinct()
+    other = squares.select("snap", F.col("sx").alias("ox"), F.col("sy").alias("oy"), F.col("salts").alias("osalts"))
+
+    def meeting(wanted):
+        reach = squares.select(*square, "salts", F.explode(_offsets(radii, side, wanted)).alias("o")).select(
+            *square, "salts", (F.col("sx") + F.col("o.dx")).alias("ox"), (F.col("sy") + F.col("o.dy")).alias("oy"),
+            *[F.col(f"o.{m}").alias(m) for m in marks],
         )
         return reach.join(other, ["snap", "ox", "oy"])
 
@@ -74,53 +88,52 @@ def _site_neighbours(sites: DataFrame, radius: float, split: int, sums: list[str
     totals = s.groupBy("snap", F.col("sx").alias("ox"), F.col("sy").alias("oy"), "cat").agg(
         *[F.sum(c).alias(c) for c in sums]
     )
-    square_sums = (
-        meeting(inside).join(totals, ["snap", "ox", "oy"]).groupBy(*square, "cat").agg(*[F.sum(c).alias(c) for c in sums])
+    square_sums = meeting(INSIDE).join(totals, ["snap", "ox", "oy"]).groupBy(*square, "cat").agg(
+        *[F.sum(F.col(c) * F.col(m)).alias(f"{c}{i}") for i, m in enumerate(marks) for c in sums]
     )
-    whole = places.join(square_sums, square).select("snap", "x", "y", "cat", *sums)
+    whole = places.join(square_sums, square).select("snap", "x", "y", "cat", *outs)
 
     # rim squares: site against site, both sides salted by square size
     pairs = (
-        meeting(rim)
+        meeting(RIM)
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         .withColumn("osalt", F.explode(F.sequence(F.lit(0), F.col("osalts") - 1)))
-        .select(*square, "ox", "oy", "salt", "osalt")
+        .select(*square, "ox", "oy", "salt", "osalt", *marks)
     )
 
-    def salted(frame):
-        # the salt has as many values as the square needs
-        return frame.join(sizes.select(*square, "salts"), square).withColumn(
-            "salt", F.pmod(F.xxhash64("x", "y"), F.col("salts")).cast("int")
-        ).drop("salts")
-
-    left = salted(places)
-    right = salted(s).select(
+    right = s.select(
         "snap", F.col("sx").alias("ox"), F.col("sy").alias("oy"), F.col("salt").alias("osalt"),
         F.col("x").alias("xb"), F.col("y").alias("yb"), "cat", *sums,
     )
     dx, dy = F.col("x") - F.col("xb"), F.col("y") - F.col("yb")
+    d2 = dx * dx + dy * dy
+    counted = [F.when((F.col(m) == 1) & (d2 <= r * r), 1).otherwise(0) for m, r in zip(marks, radii)]
     near = (
-        left.join(pairs, [*square, "salt"])
+        places.join(pairs, [*square, "salt"])
         .join(right, ["snap", "ox", "oy", "osalt"])
-        .where(dx * dx + dy * dy <= F.lit(radius * radius))
+        .where(d2 <= max(radii) ** 2)
         .groupBy("snap", "x", "y", "cat")
-        .agg(*[F.sum(c).alias(c) for c in sums])
+        .agg(*[F.sum(F.col(c) * k).alias(f"{c}{i}") for i, k in enumerate(counted) for c in sums])
     )
-    return whole.unionByName(near).groupBy("snap", "x", "y", "cat").agg(*[F.sum(c).alias(c) for c in sums])
+    return whole.unionByName(near).groupBy("snap", "x", "y", "cat").agg(*[F.sum(c).alias(c) for c in outs])
 
 
-def neighbourhood(
-    points: DataFrame, radius: float, snap: str = "anio", key: str = "id", x: str = "x", y: str = "y",
+def neighbourhoods(
+    points: DataFrame, radii: Mapping[str, float], snap: str = "anio", key: str = "id", x: str = "x", y: str = "y",
     category: str = "division", flag: str = "open", weight: str | None = None, split: int = 4,
 ) -> DataFrame:
-    """Neighbourhood aggregates of every point, itself excluded.
-
-    Returns snap, key and: ``n`` neighbours, ``vacancy`` (share not ``flag``),
-    ``diversity`` (distinct categories / n, null is one more category),
-    ``competitors`` (same category; null never matches), ``competition``
-    (competitors / n) and ``turnover`` (mean of ``weight``, missing counted as
-    zero).  Ratios are null without neighbours.
+    """Neighbourhood aggregates of every point, itself excluded, for several
+    radii in one pass (one grid, one join).
+
+    Per radius, with its name appended: ``n`` neighbours, ``vacancy`` (share
+    not ``flag``), ``diversity`` (distinct categories / n, null is one more
+    category), ``competitors`` (same category; null never matches),
+    ``competition`` (competitors / n) and ``turnover`` (mean of ``weight``,
+    missing counted as zero).  Ratios are null without neighbours.  ``split``
+    squares go along the smallest radius.
     """
+    if split < 2:
+        raise ValueError("split must be at least 2")
     w = F.coalesce(F.col(weight), F.lit(0)).cast("double") if weight else F.lit(0.0)
     p = points.select(
         F.col(snap).alias("snap"), F.col(key).alias("key"), F.col(x).alias("x"), F.col(y).alias("y"),
@@ -134,32 +147,42 @@ def neighbourhood(
     sites = p.groupBy("snap", "x", "y", "cat").agg(
         F.count("*").alias("n"), F.sum("f").alias("f"), F.sum("w").alias("w")
     )
-    around = _site_neighbours(sites, radius, split, sums)
-    per_place = around.groupBy("snap", "x", "y").agg(
-        F.sum("n").alias("n_all"), F.sum("f").alias("f_all"), F.sum("w").alias("w_all"), F.count("*").alias("cats")
-    )
-    own = around.select("snap", "x", "y", "cat", F.col("n").alias("n_cat"))
-    # sites carry the result back to the points: one row per (place, category)
-    per_site = own.join(per_place, ["snap", "x", "y"]).join(
-        sites.select("snap", "x", "y", "cat"), ["snap", "x", "y", "cat"], "left_semi"
+    around = _site_neighbours(sites, list(radii.values()), min(radii.values()) / split, sums)
+    index = range(len(radii))
+    # totals over the categories of a place: a window of at most one row per category
+    place = W.partitionBy("snap", "x", "y")
+    per_site = around.select(
+        "snap", "x", "y", "cat",
+        *[F.col(f"n{i}").alias(f"n{i}_cat") for i in index],
+        *[F.sum(f"{c}{i}").over(place).alias(f"{c}{i}_all") for i in index for c in sums],
+        *[F.count_if(F.col(f"n{i}") > 0).over(place).alias(f"cats{i}") for i in index],
     )
     j = p.join(per_site, ["snap", "x", "y", "cat"])
-    n = F.col("n_all") - 1
-    competitors = F.when(F.col("cat") == "", F.lit(0)).otherwise(F.col("n_cat") - 1)
-
-    def share(c):
-        return F.when(n > 0, c / n)
-
-    return j.select(
-        F.col("snap").alias(snap),
-        F.col("key").alias(key),
-        n.alias("n"),
-        share(n - (F.col("f_all") - F.col("f"))).alias("vacancy"),
-        share(F.col("cats") - F.when(F.col("n_cat") == 1, 1).otherwise(0)).alias("diversity"),
-        competitors.cast("long").alias("competitors"),
-        share(competitors).alias("competition"),
-        share(F.col("w_all") - F.col("w")).alias("turnover"),
-    )
+
+    def results(i, name):
+        n = F.col(f"n{i}_all") - 1
+        same = F.when(F.col("cat") == "", F.lit(0)).otherwise(F.col(f"n{i}_cat") - 1)
+
+        def share(c):
+            return F.when(n > 0, c / n)
+
+        alone = F.when(F.col(f"n{i}_cat") == 1, 1).otherwise(0)
+        return [
+            n.alias(f"n{name}"),
+            share(n - (F.col(f"f{i}_all") - F.col("f"))).alias(f"vacancy{name}"),
+            share(F.col(f"cats{i}") - alone).alias(f"diversity{name}"),
+            same.cast("long").alias(f"competitors{name}"),
+            share(same).alias(f"competition{name}"),
+            share(F.col(f"w{i}_all") - F.col("w")).alias(f"turnover{name}"),
+        ]
+
+    wanted = [c for i, name in enumerate(radii) for c in results(i, name)]
+    return j.select(F.col("snap").alias(snap), F.col("key").alias(key), *wanted)
+
+
+def neighbourhood(points: DataFrame, radius: float, **options) -> DataFrame:
+    """``neighbourhoods`` for one radius; columns carry no suffix."""
+    return neighbourhoods(points, {"": radius}, **options)
 
 
 def candidate_pairs(points: DataFrame, radius: float, snap: str = "anio", x: str = "x", y: str = "y") -> DataFrame:
@@ -171,7 +194,8 @@ def candidate_pairs(points: DataFrame, radius: float, snap: str = "anio", x: str
         F.col(snap).alias("snap"), F.floor(F.col(x) / radius).alias("cx"), F.floor(F.col(y) / radius).alias("cy")
     ).agg(F.count("*").alias("k"))
     around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    reach = cells.select("snap", F.col("k").alias("mine"), F.explode(_offset_array(around)).alias("o"), "cx", "cy")
+    steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in around])
+    reach = cells.select("snap", F.col("k").alias("mine"), F.explode(steps).alias("o"), "cx", "cy")
     reach = reach.select("snap", "mine", (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"))
     grid = reach.join(cells, ["snap", "cx", "cy"]).groupBy("snap").agg(F.sum(F.col("mine") * F.col("k")).alias("grid_pairs"))
     full = cells.groupBy("snap").agg((F.sum("k") * F.sum("k")).alias("all_pairs"))

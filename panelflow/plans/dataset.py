@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelflow.operators import areas, history, pairs, rollup
 from panelflow.operators.brand import brand_features
-from panelflow.operators.neighbourhood import neighbourhood
+from panelflow.operators.neighbourhood import neighbourhoods
 from panelflow.session import materialise
 
 HISTORY = ["business_age", "premises_age", "previous_turnovers", "turnover_rate", "age_censored"]
@@ -42,15 +42,8 @@ def space_features(panel: DataFrame, hist: DataFrame | None = None, near: float
     if hist is not None:
         pts = pts.join(hist.select("id", "anio", "turnovers"), ["id", "anio"], "left")
         weight = "turnovers"
-    pts = materialise(pts, "points")
-    a = neighbourhood(pts, near, weight=weight, split=split).select(
-        "id", "anio", F.col("n").alias("n_150m"), F.col("vacancy").alias("vacancy_150m"),
-        F.col("diversity").alias("diversity_150m"), F.col("turnover").alias("turnover_150m"),
-    )
-    b = neighbourhood(pts, far, split=split).select(
-        "id", "anio", F.col("competitors").alias("competitors_200m"), F.col("competition").alias("competition_200m")
-    )
-    return a.join(b, ["id", "anio"])
+    out = neighbourhoods(pts, {"_150m": near, "_200m": far}, weight=weight, split=split)
+    return out.select("id", "anio", *NEAR)
 
 
 def modelling_dataset(panel: DataFrame, uses: Mapping[int, str], start: int, vocabulary: Column | None = None,
@@ -62,7 +55,6 @@ def modelling_dataset(panel: DataFrame, uses: Mapping[int, str], start: int, voc
     use = F.lit(None).cast("string")
     for cohort, name in uses.items():
         use = F.when(F.col("cohort") == cohort, name).otherwise(use)
-    panel = materialise(panel, "panel")  # read by every block below
     u = pairs.label_pairs(panel, vocabulary, fuzzy=fuzzy).withColumn("use", use).where(F.col("use").isNotNull())
     hist = history.history_as_of(panel, vocabulary, fuzzy=fuzzy, start=start)
     if "space" in blocks:

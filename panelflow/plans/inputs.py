@@ -6,9 +6,15 @@ queries start from.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelflow.functions.text import normalise, vocabulary_column
+from panelflow.operators.rollup import official_vocabulary
+from panelflow.session import materialise
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -263,16 +269,29 @@ hist AS (
 )
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Intermediate table of the chain, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = materialise(build(), name)
+    return _STORED[key]
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots with their normalised label."""
-    from panelflow.functions.text import normalise
+    """The clean panel: snapshots with their normalised label.
+
+    The first stage of the chain; later stages read the stored table.
+    """
+    return stored(spark, sf_dir, "panel", lambda: panel_rows(spark, sf_dir))
 
+
+def panel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots(spark, sf_dir).withColumn("norm", normalise("label"))
 
 
 def vocabulary(spark: SparkSession, sf_dir: str):
     """Official vocabulary of the activities, as an array column."""
-    from panelflow.functions.text import vocabulary_column
-    from panelflow.operators.rollup import official_vocabulary
-
-    return vocabulary_column(official_vocabulary(snapshots(spark, sf_dir), ["activity"]))
+    return vocabulary_column(official_vocabulary(panel(spark, sf_dir), ["activity"]))

@@ -15,6 +15,14 @@ def labelled(spark, d, fuzzy=False, **kw):
     return pairs.label_pairs(panel(spark, d), vocabulary(spark, d), fuzzy=fuzzy, **kw)
 
 
+@query("panel_table", "WITH " + PANEL_SQL + """
+SELECT id, anio, norm, CAST(open AS INT) AS is_open, division, district, barrio, x, y FROM panel""")
+def panel_table(spark, d):
+    return panel(spark, d).select(
+        "id", "anio", "norm", F.col("open").cast("int").alias("is_open"), "division", "district", "barrio", "x", "y"
+    )
+
+
 @query("panel_identity_words", "WITH " + PANEL_SQL + """
 SELECT id, anio, norm, CAST(ph AS INT) AS placeholder, CAST(len(core) = 0 AS INT) AS is_generic,
   array_to_string(core, '|') AS core_key FROM panel""")

@@ -7,7 +7,7 @@ from panelflow.operators.catalogue import scenario_grid, varies_by_district
 from panelflow.operators.clean import clip_to_ranges, training_ranges
 from panelflow.operators.ordered import rank_buckets
 from panelflow.plans import dataset, models
-from panelflow.plans.inputs import HISTORY_SQL, PAIRS_SQL, SNAPSHOTS_SQL, panel, table, vocabulary
+from panelflow.plans.inputs import HISTORY_SQL, PAIRS_SQL, panel, stored, table, vocabulary
 from panelflow.registry.core import query
 from panelflow.registry.evaluation import r9
 from panelflow.registry.labelling import labelled
@@ -16,15 +16,7 @@ from panelflow.session import materialise
 
 USES = {1995: "train", 1996: "train", 1997: "train", 1998: "val", 1999: "test", 2000: "covid"}
 SMALL = {"maxIter": 10, "maxDepth": 3, "minInstancesPerNode": 5}
-_STORED: dict = {}
-
-
-def stored(spark, d, name, build):
-    """Intermediate table that several model queries start from."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _STORED:
-        _STORED[key] = materialise(build(), name)
-    return _STORED[key]
+_MODELS: dict = {}
 
 
 def data(spark, d):
@@ -46,10 +38,10 @@ def features():
 def small_model(spark, d, kind="boosting", **params):
     num, cat = features()
     key = (spark.sparkContext.applicationId, d, kind, str(sorted(params.items())))
-    if key not in _STORED:
+    if key not in _MODELS:
         p = {**SMALL, **params} if "boosting" in kind else params
-        _STORED[key] = models.fit(part(spark, d, "train"), num, cat, kind, **p).calibrate(part(spark, d, "val"))
-    return _STORED[key]
+        _MODELS[key] = models.fit(part(spark, d, "train"), num, cat, kind, **p).calibrate(part(spark, d, "val"))
+    return _MODELS[key]
 
 
 def metrics(scored, name):
