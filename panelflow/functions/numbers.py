@@ -58,6 +58,11 @@ def ratio_to_base(p: Column | str, base: Column | str) -> Column:
     return _c(p) / F.nullif(_c(base), F.lit(0.0))
 
 
+def round_half_even(col: Column | str, places: int) -> Column:
+    """Banker's rounding, as the exported tables use it."""
+    return F.bround(_c(col), places)
+
+
 def request_turnover_rate(turnovers: Column | str, age: Column | str) -> Column:
     """Turnovers per year of age, never above one."""
     return F.least(_c(turnovers) / F.greatest(_c(age), F.lit(1.0)), F.lit(1.0))

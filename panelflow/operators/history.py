@@ -9,7 +9,10 @@ from pyspark.sql.window import Window as W
 from panelflow.functions.similarity import with_same_business
 from panelflow.operators.pairs import informative
 
-BY_ID = W.partitionBy("id").orderBy("anio")
+
+def by_id():
+    """Rows of one id in year order."""
+    return W.partitionBy("id").orderBy("anio")
 
 
 def changes(panel: DataFrame, vocabulary: Column | None = None, fuzzy: bool = True) -> DataFrame:
@@ -19,7 +22,7 @@ def changes(panel: DataFrame, vocabulary: Column | None = None, fuzzy: bool = Tr
     The window group is one id's yearly rows (the panel is unique on id and
     year), so it is bounded by the number of snapshots.
     """
-    p = panel.select("id", "anio", "norm").withColumn("prev", F.lag("norm").over(BY_ID))
+    p = panel.select("id", "anio", "norm").withColumn("prev", F.lag("norm").over(by_id()))
     # cheap test first: most rows keep their label and need nothing else
     moved = F.col("prev").isNotNull() & (F.col("prev") != F.col("norm"))
     needed = moved & informative("norm", vocabulary) & informative("prev", vocabulary)
@@ -38,7 +41,7 @@ def history_as_of(panel: DataFrame, vocabulary: Column | None = None, fuzzy: boo
     """
     if start is not None:
         panel = panel.where(F.col("anio") >= start)
-    upto = BY_ID.rowsBetween(W.unboundedPreceding, 0)
+    upto = by_id().rowsBetween(W.unboundedPreceding, 0)
     return changes(panel, vocabulary, fuzzy).select(
         "id",
         "anio",
@@ -68,7 +71,7 @@ def replicated_history(panel: DataFrame, years: list[int], length: int = 3, **kw
     most ``length + 1`` times; a change needs the previous observed row to be
     inside the same window.
     """
-    marked = changes(panel, **kw).withColumn("_prev_year", F.lag("anio").over(BY_ID))
+    marked = changes(panel, **kw).withColumn("_prev_year", F.lag("anio").over(by_id()))
     cohorts = F.array(*[F.lit(y) for y in years])
     exploded = marked.withColumn("cohort", F.explode(cohorts)).where(
         F.col("anio").between(F.col("cohort") - length, F.col("cohort"))

@@ -11,30 +11,58 @@ from pyspark.sql import types as T
 from panelflow.functions.text import fold
 
 # Encodings in the order they are tried.
-ENCODINGS = ("UTF-8", "windows-1252", "ISO-8859-1")
+ENCODINGS = ("utf-8", "cp1252", "latin-1")
 # Month names of the catalogue descriptions.
 MONTHS = [
     "ENERO", "FEBRERO", "MARZO", "ABRIL", "MAYO", "JUNIO", "JULIO", "AGOSTO",
     "SEPTIEMBRE", "OCTUBRE", "NOVIEMBRE", "DICIEMBRE",
 ]
-FILE_DATE = r"_(\d{4})_(\d{2})\.csv"
+FILE_DATE = r"_(\d{4})_(\d{2})\.csv"  # in the name of the file or of its folder
 
 
 def clean_header(names: Sequence[str]) -> list[str]:
     return [n.replace("﻿", "").strip().lower() for n in names]
 
 
+def _c1_controls() -> tuple[str, str, str]:
+    """(defined C1 bytes, their cp1252 characters, undefined C1 bytes)."""
+    defined, chars, undefined = "", "", ""
+    for byte in range(0x80, 0xA0):
+        try:
+            chars += bytes([byte]).decode("cp1252")
+            defined += chr(byte)
+        except UnicodeDecodeError:
+            undefined += chr(byte)
+    return defined, chars, undefined
+
+
 def sniff_encoding(spark: SparkSession, path: str) -> str:
-    """First encoding that reads the file without replacement characters.
+    """First encoding that can hold the file.
 
-    One distributed pass that stops at the first bad line.  cp1252 leaves
-    five bytes undefined, ISO-8859-1 never fails.
+    Distributed passes that stop at the first offending line: UTF-8 unless it
+    shows replacement characters, cp1252 unless one of the bytes it leaves
+    undefined occurs, else latin-1, which never fails.
     """
-    for encoding in ENCODINGS[:-1]:
-        lines = spark.read.option("encoding", encoding).option("sep", "\u0001").csv(path, schema="line string")
-        if lines.where(F.col("line").contains("�")).isEmpty():
-            return encoding
-    return ENCODINGS[-1]
+    def lines(charset):
+        return spark.read.options(encoding=charset, sep="\u0001", quote="").csv(path, schema="line string")
+
+    if lines("UTF-8").where(F.col("line").contains("\ufffd")).isEmpty():
+        return ENCODINGS[0]
+    undefined = "|".join(f"\\x{ord(c):02x}" for c in _c1_controls()[2])
+    if lines("ISO-8859-1").where(F.col("line").rlike(undefined)).isEmpty():
+        return ENCODINGS[1]
+    return ENCODINGS[2]
+
+
+def _scan(spark: SparkSession, path: str, sep: str, encoding: str) -> DataFrame:
+    """All-string CSV scan.  cp1252 is read as its superset of bytes and the
+    few characters that differ are translated."""
+    charset = "UTF-8" if encoding.lower().startswith("utf") else "ISO-8859-1"
+    raw = spark.read.options(sep=sep, header=True, encoding=charset, inferSchema=False).csv(path)
+    if encoding != "cp1252":
+        return raw
+    controls, chars, _ = _c1_controls()
+    return raw.withColumns({c: F.translate(F.col(f"`{c}`"), controls, chars) for c in raw.columns})
 
 
 def sniff_separator(spark: SparkSession, path: str, candidates: Sequence[str] = (";", ",", "\t")) -> str:
@@ -44,25 +72,25 @@ def sniff_separator(spark: SparkSession, path: str, candidates: Sequence[str] =
     return max(candidates, key=lambda c: (header.count(c), -candidates.index(c)))
 
 
-def header_columns(spark: SparkSession, path: str, sep: str = ";", encoding: str = "UTF-8") -> list[str]:
+def header_columns(spark: SparkSession, path: str, sep: str = ";", encoding: str = "utf-8") -> list[str]:
     """Column names only; no data row is read."""
-    raw = spark.read.options(sep=sep, header=True, encoding=encoding, inferSchema=False).csv(path)
-    return clean_header(raw.columns)
+    return clean_header(_scan(spark, path, sep, encoding).columns)
 
 
 def read_snapshot_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, sep: str = ";",
                       encoding: str | None = None) -> DataFrame:
     """All-string scan with cleaned headers; codes keep their zeros."""
     encoding = encoding or sniff_encoding(spark, path)
-    raw = spark.read.options(sep=sep, header=True, encoding=encoding, inferSchema=False).csv(path)
+    raw = _scan(spark, path, sep, encoding)
     df = raw.toDF(*clean_header(raw.columns))
     return df.select(*columns) if columns else df
 
 
-def file_period(file_name: Column) -> tuple[Column, Column]:
+def file_period(path: Column) -> tuple[Column, Column]:
+    """(year, month) in the path of a snapshot file."""
     return (
-        F.regexp_extract(file_name, FILE_DATE, 1).try_cast("int"),
-        F.regexp_extract(file_name, FILE_DATE, 2).try_cast("int"),
+        F.regexp_extract(path, FILE_DATE, 1).try_cast("int"),
+        F.regexp_extract(path, FILE_DATE, 2).try_cast("int"),
     )
 
 
@@ -76,8 +104,8 @@ def read_snapshot_files(spark: SparkSession, paths: Sequence[str], required: Seq
     out = None
     for path in sorted(paths):
         encoding = sniff_encoding(spark, path)
-        raw = spark.read.options(sep=sep, header=True, encoding=encoding, inferSchema=False).csv(path)
-        year, month = file_period(F.col("_metadata.file_name"))
+        raw = _scan(spark, path, sep, encoding)
+        year, month = file_period(F.col("_metadata.file_path"))
         df = raw.withColumn("__anio", year).withColumn("__mes", month)
         df = df.toDF(*clean_header(raw.columns), "anio", "mes")
         missing = [c for c in required if c not in df.columns]
