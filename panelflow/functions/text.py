@@ -94,9 +94,18 @@ def search_fold(col: Column | str) -> Column:
     return F.coalesce(fold(col), F.lit(""))
 
 
-def fix_digits(token: Column) -> Column:
-    """0 -> O and 1 -> I inside tokens that hold a letter; numbers stay."""
-    return F.when(token.rlike(r"\p{L}"), F.translate(token, "01", "OI")).otherwise(token)
+def fix_digits(words: Column) -> Column:
+    """0 -> O and 1 -> I inside tokens that hold a letter; numbers stay.
+
+    On a single-spaced string, without splitting it: first the digits with a
+    letter further on in their token, then those after a letter.
+    """
+    out = words
+    for digit, letter in (("0", "O"), ("1", "I")):
+        out = F.regexp_replace(out, digit + r"(?=[^ ]*\p{L})", letter)
+        # from a letter, or from the end of the previous hit, up to the next digit
+        out = F.regexp_replace(out, rf"(\p{{L}}[^ {digit}]*|\G(?!^)[^ {digit}]*){digit}", "$1" + letter)
+    return F.when(words.rlike("[01]"), out).otherwise(words)
 
 
 def strip_legal_forms(col: Column, pattern: str = LEGAL_FORMS) -> Column:
@@ -107,9 +116,7 @@ def _finish(folded: Column, pattern: str, digits: bool) -> Column:
     words = strip_legal_forms(F.regexp_replace(folded, _NON_WORD, " "), pattern)
     words = F.trim(F.regexp_replace(words, " +", " "))
     if digits:
-        # the per-token pass only where there is a digit to look at
-        fixed = F.array_join(F.transform(F.split(words, " "), fix_digits), " ")
-        words = F.when(words.rlike("[01]"), fixed).otherwise(words)
+        words = fix_digits(words)
     return F.coalesce(words, F.lit(""))
 
 

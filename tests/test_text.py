@@ -95,6 +95,15 @@ def test_normalise(spark):
     assert values(spark, [None, "x"], text.normalise("a"))[0] == ("",)
 
 
+def test_fix_digits_token_by_token(spark):
+    import itertools
+
+    tokens = ["".join(t) for n in (1, 2, 3, 4) for t in itertools.product("01A2", repeat=n)]
+    lines = tokens + [" ".join(p) for p in zip(tokens, tokens[7:], tokens[31:])]
+    want = [" ".join(w.replace("0", "O").replace("1", "I") if "A" in w else w for w in s.split(" ")) for s in lines]
+    assert [g[0] for g in values(spark, lines, text.fix_digits(F.col("a")))] == want
+
+
 def test_fold_table_matches_unicode(spark):
     def plain(ch):
         return "".join(c for c in unicodedata.normalize("NFKD", ch.upper()) if not unicodedata.combining(c))
