@@ -27,6 +27,8 @@ from pyspark.sql.window import Window as W
 from panelflow.session import materialise
 
 SITES_PER_SALT = 2_000
+BASE_SPLIT, MAX_SPLIT = 4, 32
+SITES_PER_SQUARE = 64
 
 
 INSIDE, RIM, AWAY = "inside", "rim", "away"
@@ -57,6 +59,21 @@ def _offsets(radii: Sequence[float], side: float, wanted: str) -> Column:
     return F.expr(f"array({', '.join(rows)})")
 
 
+def choose_split(points: DataFrame, radius: float) -> int:
+    """Squares along the radius, finer where points are dense.
+
+    The measure is how many sites a site shares its square with, on average;
+    halving the side divides it by four.  One aggregate over the points.
+    """
+    side = radius / BASE_SPLIT
+    sizes = points.select(
+        "snap", F.floor(F.col("x") / side).alias("sx"), F.floor(F.col("y") / side).alias("sy"), "x", "y"
+    ).distinct().groupBy("snap", "sx", "sy").agg(F.count("*").cast("double").alias("k"))
+    shared = sizes.agg(F.sum(F.col("k") * F.col("k")) / F.sum("k")).first()[0] or 0.0
+    finer = math.ceil(math.sqrt(shared / SITES_PER_SQUARE))
+    return min(MAX_SPLIT, BASE_SPLIT * max(1, finer))
+
+
 def _site_neighbours(sites: DataFrame, radii: Sequence[float], side: float, sums: list[str]) -> DataFrame:
     """(snap, x, y, cat) -> measures of that category within each radius.
 
@@ -120,7 +137,7 @@ def _site_neighbours(sites: DataFrame, radii: Sequence[float], side: float, sums
 
 def neighbourhoods(
     points: DataFrame, radii: Mapping[str, float], snap: str = "anio", key: str = "id", x: str = "x", y: str = "y",
-    category: str = "division", flag: str = "open", weight: str | None = None, split: int = 4,
+    category: str = "division", flag: str = "open", weight: str | None = None, split: int | None = None,
 ) -> DataFrame:
     """Neighbourhood aggregates of every point, itself excluded, for several
     radii in one pass (one grid, one join).
@@ -130,9 +147,10 @@ def neighbourhoods(
     category), ``competitors`` (same category; null never matches),
     ``competition`` (competitors / n) and ``turnover`` (mean of ``weight``,
     missing counted as zero).  Ratios are null without neighbours.  ``split``
-    squares go along the smallest radius.
+    squares go along the smallest radius; by default their number follows the
+    density of the points.
     """
-    if split < 2:
+    if split is not None and split < 2:
         raise ValueError("split must be at least 2")
     w = F.coalesce(F.col(weight), F.lit(0)).cast("double") if weight else F.lit(0.0)
     p = points.select(
@@ -143,6 +161,8 @@ def neighbourhoods(
     )
     # read by several branches below: store the narrow points once
     p = materialise(p, "points")
+    if split is None:
+        split = choose_split(p, min(radii.values()))
     sums = ["n", "f", "w"]
     sites = p.groupBy("snap", "x", "y", "cat").agg(
         F.count("*").alias("n"), F.sum("f").alias("f"), F.sum("w").alias("w")
@@ -202,7 +222,7 @@ def candidate_pairs(points: DataFrame, radius: float, snap: str = "anio", x: str
     return grid.join(full, "snap").select(F.col("snap").alias(snap), "grid_pairs", "all_pairs")
 
 
-def pair_counts(points: DataFrame, radius: float, split: int = 4, **names) -> DataFrame:
+def pair_counts(points: DataFrame, radius: float, split: int | None = None, **names) -> DataFrame:
     """Number of ordered neighbour pairs per snapshot (self excluded)."""
     snap = names.get("snap", "anio")
     out = neighbourhood(points, radius, split=split, **names)

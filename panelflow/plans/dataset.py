@@ -31,7 +31,7 @@ MIN_POINTS = 100  # fixed value: snapshots with fewer points get no neighbourhoo
 
 
 def space_features(panel: DataFrame, hist: DataFrame | None = None, near: float = 150.0, far: float = 200.0,
-                   minimum: int = MIN_POINTS, split: int = 4) -> DataFrame:
+                   minimum: int = MIN_POINTS, split: int | None = None) -> DataFrame:
     """Six neighbourhood variables per (id, anio)."""
     from panelflow.operators.clean import valid_point
 

@@ -129,12 +129,13 @@ def brute(points, radius):
     return out
 
 
-@pytest.mark.parametrize("split", [2, 4, 5])
+@pytest.mark.parametrize("split", [2, 5, None])
 @pytest.mark.parametrize("hot", [False, True])
 def test_neighbourhood_equals_brute_force(spark, split, hot, monkeypatch):
     """Random points, points exactly on the radius, and a square (and a single
     place) holding a third of all points."""
     monkeypatch.setattr(neighbourhood, "SITES_PER_SALT", 7)
+    monkeypatch.setattr(neighbourhood, "SITES_PER_SQUARE", 4)
     rng = random.Random(11)
     pts = []
     for i in range(240):
@@ -164,6 +165,8 @@ def test_hot_square_is_not_paired_with_itself(spark):
         "id", (F.lit(2000.0) + F.col("id") % 60 * 0.1).alias("x"), (F.lit(2000.0) + F.floor(F.col("id") / 60) * 0.1).alias("y"),
         F.lit("p").alias("division"), F.lit(True).alias("open"), F.lit(1).alias("anio"),
     )
+    points = df.select(F.col("anio").alias("snap"), "x", "y")
+    assert neighbourhood.choose_split(points, 150.0) == 28
     out = neighbourhood.neighbourhood(df, 150.0)
     assert out.where("n <> 2999").count() == 0
 
