@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from panelflow.operators.ordered import exact_quantiles, with_row
 
@@ -19,13 +20,19 @@ def _psi_bins(shares: DataFrame) -> DataFrame:
 
 
 def _shares(e: DataFrame, o: DataFrame, bins: DataFrame) -> DataFrame:
-    """Bins with expected and observed shares; counts are per bin."""
-    te, to = e.agg(F.sum("n")).scalar(), o.agg(F.sum("n")).scalar()
+    """Bins with expected and observed shares.
+
+    Every row falls in one bin, so the totals are sums over the few bins and
+    cost no further scan.
+    """
     j = bins.join(e.withColumnRenamed("n", "_e"), "bin", "left").join(o.withColumnRenamed("n", "_o"), "bin", "left")
+    every_bin = W.partitionBy(F.lit(1))
     return j.select(
         "bin",
-        F.coalesce(F.try_divide(F.col("_e"), te), F.lit(0.0)).alias("expected"),
-        F.coalesce(F.try_divide(F.col("_o"), to), F.lit(0.0)).alias("observed"),
+        *[
+            F.coalesce(F.try_divide(F.col(c), F.sum(c).over(every_bin)), F.lit(0.0)).alias(name)
+            for c, name in (("_e", "expected"), ("_o", "observed"))
+        ],
     )
 
 

@@ -93,7 +93,7 @@ def group_quantile_summary(df: DataFrame, by: Sequence[str], value: str) -> Data
 def five_numbers(df: DataFrame, value: str) -> DataFrame:
     """min, quartiles, max, mean, n in one row."""
     q = exact_quantiles(df, value, {"min": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "max": 1.0})
-    return q.withColumn("mean", df.agg(F.avg(value)).scalar()).withColumn("n", df.agg(F.count(value)).scalar())
+    return with_row(q, df.agg(F.avg(value).alias("mean"), F.count(value).alias("n")))
 
 
 def composition(df: DataFrame, by: str, category: str, values: Sequence[str], prefix: str = "mix_") -> DataFrame:
