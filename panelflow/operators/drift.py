@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panelflow.operators.ordered import exact_quantiles, with_row
+from panelflow.operators.ordered import cut_points
 
 FLOOR = 1e-4  # fixed value: smallest share, for both sides
 OTHER = "· other ·"
@@ -62,20 +62,21 @@ def psi_numeric(expected: DataFrame, observed: DataFrame, column: str, bins: int
                 observed_column: str | None = None) -> DataFrame:
     """PSI bins of a number: right-closed at the distinct deciles of the
     reference, open at both ends; no rows when it has fewer than 3 edges."""
-    probs = {f"q{k:02d}": k / bins for k in range(bins + 1)}
-    row = exact_quantiles(expected, column, probs)
-    edges = row.select(F.array_distinct(F.array(*probs)).alias("edges"))
+    points = cut_points(expected, column, [k / bins for k in range(bins + 1)])
+    edges = sorted({e for e in points if e is not None})
+    inner = edges[1:-1]
+    spark = expected.sparkSession
+    if len(edges) < 3:
+        return spark.range(0).select(
+            F.lit("").alias("bin"), *[F.lit(0.0).alias(c) for c in ("expected", "observed", "psi_bin")]
+        )
 
     def counts(df, c):
-        v = df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("v"))
-        v = with_row(v.groupBy("v").agg(F.count("*").alias("n")), edges)
-        inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-        b = F.size(F.filter(inner, lambda e: e < F.col("v"))) + 1
-        return v.where(F.size("edges") >= 3).groupBy(b.cast("string").alias("bin")).agg(F.sum("n").alias("n"))
-
-    frame = edges.where(F.size("edges") >= 3).select(
-        F.explode(F.sequence(F.lit(1), F.size("edges") - 1)).alias("bin")
-    ).select(F.col("bin").cast("string").alias("bin"))
+        v = F.col(c).cast("double")
+        b = sum(((v > e).cast("int") for e in inner), F.lit(1))
+        return df.where(v.isNotNull()).groupBy(b.cast("string").alias("bin")).agg(F.count("*").alias("n"))
+
+    frame = spark.range(1, len(edges)).select(F.col("id").cast("string").alias("bin"))
     return _psi_bins(_shares(counts(expected, column), counts(observed, observed_column or column), frame))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from panelflow.functions.numbers import left_closed_bin, right_closed_bin
 from panelflow.operators.ordered import (
-    exact_quantiles, rank_buckets, row_numbers, running, sliced, value_table, with_row,
+    cut_points, exact_quantiles, rank_buckets, row_numbers, running, sliced, value_table, with_row,
 )
 
 # Calibration bins of the two reports.
@@ -157,13 +157,10 @@ def area_means(df: DataFrame, area: str, y: str = "y", p: str = "p") -> DataFram
 
 def value_quintiles(df: DataFrame, value: str, k: int = 5, out: str = "quintile") -> DataFrame:
     """Right-closed buckets at the value quantiles: equal values stay together."""
-    probs = {f"q{i}": i / k for i in range(1, k)}
-    edges = exact_quantiles(df, value, probs)
-    j = with_row(df, edges)
     bucket = F.when(F.col(value).isNull(), None)
-    for i in range(1, k):
-        bucket = bucket.when(F.col(value) <= F.col(f"q{i}"), i)
-    return j.withColumn(out, bucket.otherwise(k).cast("int")).drop(*probs)
+    for i, edge in enumerate(cut_points(df, value, [i / k for i in range(1, k)]), start=1):
+        bucket = bucket.when(F.col(value) <= F.lit(edge).cast("double"), i)
+    return df.withColumn(out, bucket.otherwise(k).cast("int"))
 
 
 def reference_decile(new: DataFrame, reference: DataFrame, p: str = "p", out: str = "decile") -> DataFrame:

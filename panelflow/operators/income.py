@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelflow.functions.numbers import grouped_number
 from panelflow.functions.text import match_key
 from panelflow.operators.history import carry_forward
-from panelflow.operators.ordered import exact_quantiles, with_row
+from panelflow.operators.ordered import cut_points
 from panelflow.operators.rollup import mode_per_group
 
 MUNICIPALITY = "28079"  # fixed value: code prefix of the city
@@ -62,11 +62,10 @@ def attach_income(data: DataFrame, by_area: DataFrame, by_district: DataFrame, a
     b = by_district.select(F.col("district").alias("_district"), F.col("year").alias(year), F.col("income").alias("_ib"))
     d = d.join(a, ["_area", year], "left").join(b, ["_district", year], "left")
     d = d.withColumn("_known", F.coalesce("_ia", "_ib"))
-    median = exact_quantiles(d, "_known", {"_median": 0.5})
-    d = with_row(d, median)
+    median = F.lit(cut_points(d, "_known", [0.5])[0]).cast("double")
     source = F.when(F.col("_ia").isNotNull(), "area").when(F.col("_ib").isNotNull(), "district").otherwise("median")
-    return d.withColumn("income", F.coalesce("_known", "_median")).withColumn("income_source", source).drop(
-        "_area", "_district", "_ia", "_ib", "_known", "_median"
+    return d.withColumn("income", F.coalesce(F.col("_known"), median)).withColumn("income_source", source).drop(
+        "_area", "_district", "_ia", "_ib", "_known"
     )
 
 

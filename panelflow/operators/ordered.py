@@ -109,6 +109,13 @@ def exact_quantiles(
     )
 
 
+def cut_points(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
+    """Global quantiles as numbers: a handful of cut points, fetched once so
+    that later plans carry constants instead of nested subqueries."""
+    row = exact_quantiles(df, value, {f"q{i}": p for i, p in enumerate(probs)}).first()
+    return [row[f"q{i}"] for i in range(len(probs))]
+
+
 def rank_buckets(df: DataFrame, score: str, key: str, buckets: int = 10, out: str = "decile") -> DataFrame:
     """Equal-size buckets by (score, key) rank, as a quantile cut of the ranks.
 
