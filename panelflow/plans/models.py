@@ -17,7 +17,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelflow.operators.evaluate import metrics_from_values, ranking_metrics
@@ -279,7 +279,7 @@ def coefficients(model: ChurnModel, top: int = 8) -> DataFrame:
     The names are the attribute names of the feature vector (metadata).
     """
     fitted = model.model.stages[-1]
-    spark = fitted._java_obj and fitted.coefficients is not None and _session()
+    spark = SparkSession.getActiveSession()
     indexer = next((s for s in model.model.stages if hasattr(s, "labelsArray")), None)
     names: list[str] = []
     if indexer is not None:
@@ -294,12 +294,6 @@ def coefficients(model: ChurnModel, top: int = 8) -> DataFrame:
     return spark.createDataFrame(sorted(set(rows)), "variable string, coefficient double")
 
 
-def _session():
-    from pyspark.sql import SparkSession
-
-    return SparkSession.getActiveSession()
-
-
 def search(train: DataFrame, validation: DataFrame, numeric, categorical, space: Mapping[str, Sequence], trials: int = 30,
            seed: int = 42, kind: str = "boosting", **fixed) -> DataFrame:
     """Seeded random search on a fixed validation split; one row per trial."""

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from panelflow.functions.numbers import decimal_comma
 from panelflow.functions.text import normalise
 from panelflow.operators import brand, history, pairs, rollup
 from panelflow.plans.inputs import (

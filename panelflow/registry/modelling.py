@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelflow.operators import evaluate, resample, rollup
+from panelflow.operators import evaluate, resample
 from panelflow.operators.catalogue import scenario_grid, varies_by_district
 from panelflow.operators.clean import clip_to_ranges, training_ranges
 from panelflow.operators.ordered import rank_buckets

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from panelflow.operators import drift
 from panelflow.plans.inputs import REQUESTS_SQL, request_columns, requests, table
 from panelflow.registry.core import query
 from panelflow.registry.evaluation import r9

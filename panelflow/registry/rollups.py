@@ -3,20 +3,19 @@
 from pyspark.sql import functions as F
 
 from panelflow.functions import geo
-from panelflow.functions.numbers import decimal_comma, grouped_number, left_closed_bin
+from panelflow.functions.numbers import decimal_comma, grouped_number
 from panelflow.functions.text import (
     LEGAL_FORMS_FIRST_VERSION, match_key, match_key_no_zeros, normalise, place_name, raw_length, search_fold,
     strip_punctuation, word_count,
 )
-from panelflow.operators import areas, catalogue, clean, evaluate, history, income, pairs, ranking, rollup
+from panelflow.operators import areas, catalogue, clean, evaluate, history, income, ranking, rollup
 from panelflow.operators.ordered import rank_buckets
 from panelflow.plans.inputs import (
-    INCOME_SQL, PAIRS_SQL, RAW_SQL, REQUESTS_SQL, SCORES_SQL, SNAPSHOTS_SQL, income_rows, panel, raw_rows,
-    requests, scores, snapshots, table, vocabulary,
+    INCOME_SQL, PAIRS_SQL, RAW_SQL, SCORES_SQL, SNAPSHOTS_SQL, income_rows, raw_rows, scores, snapshots, table,
 )
 from panelflow.registry.core import query
 from panelflow.registry.labelling import labelled
-from panelflow.sources import files, sinks
+from panelflow.sources import files
 
 SN, RW, SC, PR = "WITH " + SNAPSHOTS_SQL, "WITH " + RAW_SQL, "WITH " + SCORES_SQL, "WITH " + PAIRS_SQL
 NATIONS = [f"NATION_{k}" for k in range(25)]

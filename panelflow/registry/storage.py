@@ -6,7 +6,7 @@ from panelflow.functions.numbers import decimal_comma
 from panelflow.functions.similarity import ratcliff_ratio
 from panelflow.operators import income
 from panelflow.plans.inputs import (
-    INCOME_SQL, RAW_SQL, REQUESTS_SQL, SCORES_SQL, SNAPSHOTS_SQL, income_rows, panel, raw_rows, requests, scores, snapshots,
+    RAW_SQL, REQUESTS_SQL, SCORES_SQL, SNAPSHOTS_SQL, income_rows, panel, raw_rows, requests, scores, snapshots,
 )
 from panelflow.registry.core import query
 from panelflow.registry.labelling import labelled
