@@ -10,8 +10,11 @@ word-shingle sets.  Steps:
    right.
 2. *Group.*  Documents with equal size and equal prefix form one group; equal
    sets inside a group form one class.  Copies never reach the index.
-3. *Join.*  The prefixes of groups meet in token buckets.  Buckets of frequent
-   tokens are salted.  A bucket gives links to a hub first, not all its pairs.
+3. *Join.*  The prefixes of groups meet in token buckets.  Tokens of level 0
+   occur in few documents (the sketch never counts too low), so a window over
+   the token does; frequent tokens are aggregated first and joined back.
+   Buckets with the same members become one.  A bucket gives links to a hub
+   first, not all its pairs.
 4. *Expand and verify.*  Hub pairs are verified on whole sets.  Buckets whose
    classes already form one component are finished; from the others, classes
    outside the largest component meet some hubs of it, and what then still is
@@ -41,17 +44,28 @@ from panelflow.llm.store import Store, batch_rows
 
 SLOTS = 1 << 22
 SLICES = 64
-SALTS = 32
 HUBS = 16
 ROWS = 1000
-#: Ids of candidates are broadcast up to this number (16 MB), joined by a shuffle beyond it.
-SMALL_IDS = 2_000_000
+#: Tables of ids are broadcast up to this number of rows (some 40 MB), joined by a shuffle beyond it.
+SMALL_IDS = 1_000_000
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    """Arrow lists of signed 64-bit integers."""
+    offsets = np.cumsum([0] + [len(p) for p in parts])
+    flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """``ids``, marked for broadcasting if their number is within the bound."""
+    return F.broadcast(ids) if ids.count() <= SMALL_IDS else ids
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(SLOTS, np.int64)
     seen = False
@@ -99,60 +113,56 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _sets(docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
-    """(doc_id, rid, n, set_key, prefix_key, prefix); the lowest bit of a prefix token tells that it is frequent."""
+    """(doc_id, rid, n, set_key, prefix_key, rare, frequent): the prefix in two parts."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     id_type = docs.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
         for batch in batches:
-            sizes, keys, prefix_keys, offsets, prefixes = [], [], [], [0], []
+            sizes, keys, prefix_keys, rare, frequent = [], [], [], [], []
             for tokens in shingle_sets(_bytes(batch.column(1))):
                 n = len(tokens)
                 own = level[(tokens >> np.uint64(20)).astype(np.int64) % SLOTS]
                 order = np.argsort(own, kind="stable")[: prefix_length(n, percent) if n else 0]
-                prefix = (tokens[order] & ~np.uint64(1)) | (own[order] > 0).astype(np.uint64)
+                prefix, often = tokens[order], int((own[order] > 0).sum())
                 sizes.append(n)
                 keys.append(xxhash.xxh3_128_digest(tokens.tobytes()))
                 prefix_keys.append(xxhash.xxh3_128_digest(prefix.tobytes()))
-                offsets.append(offsets[-1] + len(prefix))
-                prefixes.append(prefix.view(np.int64))
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
+                rare.append(prefix[: len(prefix) - often])
+                frequent.append(prefix[len(prefix) - often :])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefix_keys, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
-                names=["doc_id", "n", "set_key", "prefix_key", "prefix"],
+                 _lists(rare), _lists(frequent)],
+                names=["doc_id", "n", "set_key", "prefix_key", "rare", "frequent"],
             )
 
-    out = docs.mapInArrow(run, f"doc_id {id_type}, n long, set_key binary, prefix_key binary, prefix array<long>")
+    out = docs.mapInArrow(run, f"doc_id {id_type}, n long, set_key binary, prefix_key binary, rare array<long>, frequent array<long>")
     return out.withColumn("rid", F.monotonically_increasing_id())
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _whole_sets(docs: DataFrame, wanted: DataFrame, store: Store) -> DataFrame:
     """(node, tokens) of the ``wanted`` classes (doc_id, set_key, node)."""
-    ids = wanted.select("doc_id").distinct()
-    if wanted.count() <= SMALL_IDS:
-        ids = F.broadcast(ids)
-    found = docs.join(ids, "doc_id", "left_semi").select("text")
+    found = docs.join(_small(wanted.select("doc_id").distinct()), "doc_id", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(_bytes(batch.column(0))))
-            offsets = np.cumsum([0] + [len(s) for s in sets])
-            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
-                names=["set_key", "tokens"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), _lists(sets)], names=["set_key", "tokens"])
 
-    # copies of one text carry equal sets: each wanted id has one set, repeats of the id are dropped first
     sets = found.mapInArrow(run, "set_key binary, tokens array<long>")
-    return sets.join(wanted.select("set_key", "node"), "set_key").dropDuplicates(["node"]).select("node", "tokens")
+    with batch_rows(docs.sparkSession, ROWS):
+        out = store.keep(sets.join(_small(wanted.select("set_key", "node")), "set_key").select("node", "tokens"), "whole")
+    if out.count() > wanted.count():  # rows that repeat an id and its text
+        out = store.keep(out.dropDuplicates(["node"]), "whole")
+    return out
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (a, b) with a boolean ``linked``, judged on whole sets."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = sets.join(_small(nodes), "node", "left_semi")
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb"))
@@ -200,26 +210,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = store.keep(classes.join(groups, ["n", "prefix_key"]).drop("prefix_key"), "classes")
     rows = store.keep(sets.select("doc_id", "n", "set_key"), "rows")
 
-    # index of groups: salted where the token is frequent
-    heads = classes.where("cid = gid").select(F.col("gid").alias("rid"))
-    index = (
-        sets.join(heads, "rid").select(F.col("rid").alias("gid"), F.explode("prefix").alias("token"))
-        .withColumn("salt", F.when(F.col("token").bitwiseAND(1) == 1, F.pmod(F.xxhash64("gid"), F.lit(SALTS))).otherwise(0))
-    )
-    bucket = Window.partitionBy("token", "salt")
-    index = (
-        index.withColumn("hub", F.min("gid").over(bucket)).withColumn("last", F.max("gid").over(bucket))
-        .where("hub < last OR token & 1 = 1").select("token", "gid", "hub")
-    )
+    # token buckets of groups
+    heads = _small(classes.where("cid = gid").select(F.col("gid").alias("rid")))
+    first = sets.join(heads, "rid", "left_semi").select(F.col("rid").alias("gid"), "rare", "frequent")
+    mark = F.bit_xor(F.xxhash64("gid"))
+    own = Window.partitionBy("token")
+    rare = first.select("gid", F.explode("rare").alias("token")).select(
+        "gid", F.count("*").over(own).alias("size"), F.min("gid").over(own).alias("hub"), mark.over(own).alias("mark")).where("size > 1")
+    often = store.keep(first.where(F.size("frequent") > 0).select("gid", F.explode("frequent").alias("token")), "frequent")
+    sums = often.groupBy("token").agg(F.count("*").alias("size"), F.min("gid").alias("hub"), mark.alias("mark")).where("size > 1")
+    often = often.join(sums, "token").select("gid", "size", "hub", "mark")
+    index = rare.union(often).select(F.xxhash64("size", "hub", "mark").alias("token"), "gid", "hub").distinct()
     index = store.keep(index, "index")
     store.drop(sets)
 
     # hub pairs of groups, filtered by size; with the other classes of each group
     size = classes.where("cid = gid").select(F.col("gid"), "n")
-    spread = index.where("token & 1 = 1").select("token", F.col("hub").alias("gid")).distinct()
-    top = spread.groupBy("token").agg(F.min("gid").alias("hub"))
     pairs = (
-        index.select("gid", "hub").union(spread.join(top, "token").select("gid", "hub")).where("gid <> hub").distinct()
+        index.where("gid <> hub").select("gid", "hub").distinct()
         .join(size.withColumnRenamed("n", "na"), "gid")
         .join(size.select(F.col("gid").alias("hub"), F.col("n").alias("nb")), "hub")
         .where(_fits(percent)).select(*_pair("gid", "hub"))
@@ -237,8 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     store.drop(index)
     met = entries.select(F.col("cid").alias("node")).distinct()
     wanted = store.keep(classes.select("doc_id", "set_key", F.col("cid").alias("node")).join(met, "node"), "wanted")
-    with batch_rows(spark, ROWS):
-        whole = store.keep(_whole_sets(docs, wanted), "whole")
+    whole = _whole_sets(docs, wanted, store)
 
     judged = store.keep(_verify(pairs, whole, percent), "judged")
     links = judged.where("linked").select("a", "b")
@@ -254,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_.where(f"comp <> main AND main_size > {HUBS}").select("token", "cid", F.col("n").alias("na")).join(hubs, "token")
         .where(_fits(percent)).select(*_pair("cid", "hub")).distinct().join(judged, ["a", "b"], "left_anti")
     )
-    second = store.keep(_verify(more, whole, percent), "judged")
+    second = store.keep(_verify(store.keep(more, "pairs"), whole, percent), "judged")
     judged = judged.union(second)
     links = links.union(second.where("linked").select("a", "b"))
 
@@ -266,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         few.join(all_, "token").where((F.col("cx") != F.col("cy")) & _fits(percent)).select(*_pair("x", "y")).distinct()
         .join(judged, ["a", "b"], "left_anti")
     )
-    third = store.keep(_verify(rest, whole, percent), "judged")
+    third = store.keep(_verify(store.keep(rest, "pairs"), whole, percent), "judged")
     links = links.union(third.where("linked").select("a", "b"))
 
     comps = components(links, store)
