@@ -5,8 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from panelflow.llm.decontamination import leaks
 from panelflow.llm.jaccard_join import near_duplicates
+from panelflow.llm.language_id import held_out, identify, train
+from panelflow.llm.packing import pack
+from panelflow.llm.quality_rules import judge
+from panelflow.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +57,39 @@ FROM s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) m ON m.x =
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    out = judge(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("row.doc_id", "s.n_words", "s.word_chars", "s.n_symbols", "s.n_dup_lines", "s.n_repeat_words",
+                      "base_failed", "kept", F.round("distance", 6).alias("distance"))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    return identify(rows, train(docs), ["doc_id", "held_out"])
+
+
+@query("op4_benchmark_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of benchmark items, with the items."""
+    found = leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(
+        F.sum("n_places").alias("n_places"), F.max("matched").alias("matched"), F.max("compared").alias("compared"))
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return count_tokens(_table(spark, sf_dir, "documents"))
+
+
+@query("op8_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 2048 tokens."""
+    return pack(_table(spark, sf_dir, "documents"))
