@@ -113,7 +113,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _sets(docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
-    """(doc_id, rid, n, set_key, prefix_key, rare, frequent): the prefix in two parts."""
+    """(doc_id, text_key, rid, n, set_key, prefix_key, rare, frequent): the prefix in two parts."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     id_type = docs.schema[0].dataType.simpleString()
 
@@ -132,12 +132,12 @@ def _sets(docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
                 rare.append(prefix[: len(prefix) - often])
                 frequent.append(prefix[len(prefix) - often :])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefix_keys, pa.binary()),
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefix_keys, pa.binary()),
                  _lists(rare), _lists(frequent)],
-                names=["doc_id", "n", "set_key", "prefix_key", "rare", "frequent"],
+                names=["doc_id", "text_key", "n", "set_key", "prefix_key", "rare", "frequent"],
             )
 
-    out = docs.mapInArrow(run, f"doc_id {id_type}, n long, set_key binary, prefix_key binary, rare array<long>, frequent array<long>")
+    out = docs.mapInArrow(run, f"doc_id {id_type}, text_key long, n long, set_key binary, prefix_key binary, rare array<long>, frequent array<long>")
     return out.withColumn("rid", F.monotonically_increasing_id())
 
 
@@ -198,6 +198,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     store = Store(spark, "jaccard")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
     levels = frequency_levels(docs.select("text"))
     with batch_rows(spark, ROWS):
         sets = store.keep(_sets(docs, levels, percent), "sets")
@@ -208,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("rid").alias("cid"), F.min_by("doc_id", "rid").alias("doc_id"), F.min("doc_id").alias("first_id"))
     groups = classes.groupBy("n", "prefix_key").agg(F.min("cid").alias("gid"), F.count("*").alias("members"))
     classes = store.keep(classes.join(groups, ["n", "prefix_key"]).drop("prefix_key"), "classes")
-    rows = store.keep(sets.select("doc_id", "n", "set_key"), "rows")
+    rows = store.keep(sets.select("doc_id", "text_key", "n", "set_key"), "rows")
 
     # token buckets of groups
     heads = _small(classes.where("cid = gid").select(F.col("gid").alias("rid")))
@@ -282,8 +283,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = classes.select("cid", "set_key", "first_id").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
     placed = placed.withColumn("comp", F.coalesce("comp", "cid"))
     least = placed.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = store.keep(placed.join(least, "comp").select("set_key", "component_id"), "named")
+    named = store.keep(placed.join(least, "comp").select("set_key", "component_id", "comp"), "named")
     # rows without shingles or id have no class: they keep their own id
+    known = F.col("doc_id").isNotNull()
     return rows.join(named, "set_key", "left").select(
         F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.when(known, F.col("comp")).alias("component"), "text_key")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` without all but one of each component: the one with its smallest id.
+
+    Among rows that share this id, the one with the smallest text hash stays,
+    and of equal texts one row.  Rows without words or id all stay.
+    """
+    store = Store(docs.sparkSession, "keep-one")
+    found = near_duplicates(docs, id_col, text_col, percent).where("component IS NOT NULL")
+    texts = store.keep(found.groupBy(F.col(id_col).alias("i"), F.col("text_key").alias("t"), "component", "component_id").count(), "texts")
+    stays = texts.where("i = component_id").groupBy("component").agg(F.min(F.struct("t", "count")).alias("s"))
+    lost = store.keep(
+        texts.join(stays, "component").where((F.col("i") != F.col("component_id")) | (F.col("t") != F.col("s.t"))).select("i", "t"), "lost")
+    repeated = store.keep(stays.where("s.count > 1").select(F.col("s.t").alias("t")).distinct(), "repeated")
+    key = F.xxhash64(docs[text_col].cast("string"))
+    lost_small = _small(lost)
+    out = docs.join(lost_small, (docs[id_col] == lost_small["i"]) & (key == lost_small["t"]), "left_anti")
+    if repeated.isEmpty():
+        return out
+    # rows that repeat id and text: an aggregate, so copies combine before their shuffle
+    repeated = _small(repeated)
+    again = F.col(id_col).isNotNull()
+    key = F.xxhash64(F.col(text_col).cast("string"))
+    rest = out.join(repeated, key == repeated["t"], "left_anti")
+    some = out.join(repeated, key == repeated["t"], "left_semi")
+    return rest.unionByName(some.where(~again)).unionByName(some.where(again).dropDuplicates([id_col, text_col]))

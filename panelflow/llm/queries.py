@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelflow.llm.chat_format import chat_windows, read_back
 from panelflow.llm.decontamination import leaks
 from panelflow.llm.jaccard_join import near_duplicates
 from panelflow.llm.language_id import held_out, identify, train
 from panelflow.llm.packing import pack
 from panelflow.llm.quality_rules import judge
 from panelflow.llm.token_counts import count_tokens
+from panelflow.llm.url_filters import judge_urls, rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,7 +58,7 @@ FROM s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) m ON m.x =
 """.replace("x -> x <> ''", "lambda x: x <> ''"))
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op3_quality_rules")
@@ -93,3 +95,27 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 2048 tokens."""
     return pack(_table(spark, sf_dir, "documents"))
+
+
+@query("op2_chat_format")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that holds control strings, formatted and read back."""
+    stored = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    back = read_back(chat_windows(stored.unionByName(probe)))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("long").alias("formatted_chars"))
+
+
+RULES = [rule("allow", "org/"), rule("block", "example.org/es/"), rule("block", "example.org/en/1"), rule("allow", "com/fr/"), rule("block", "com/de/")]
+
+
+@query("op7_url_filters")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    return judge_urls(_table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
