@@ -15,11 +15,13 @@ word-shingle sets.  Steps:
    the token does; frequent tokens are aggregated first and joined back.
    Buckets with the same members become one.  A bucket gives links to a hub
    first, not all its pairs.
-4. *Expand and verify.*  Hub pairs are verified on whole sets.  Buckets whose
-   classes already form one component are finished; from the others, classes
-   outside the largest component meet some hubs of it, and what then still is
-   in different components is compared pair by pair.  So every pair that
-   shares a prefix token and could change a component is verified.
+4. *Filter, expand and verify.*  The tokens shared by two prefixes bound the
+   intersection (``_possible``); pairs that cannot reach the threshold fall.
+   The others are verified on whole sets.  Buckets whose classes already form
+   one component are finished; from the others, classes outside the largest
+   component meet some hubs of it, and what then still is in different
+   components is compared pair by pair.  So every pair that shares a prefix
+   token, passes the bound and could change a component is verified.
 
 Defined results: a row with null, empty or word-less text has no shingles and
 links with nothing; so does a row with null id.  A text with fewer words than a
@@ -161,8 +163,6 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, store: Store) -> DataFrame:
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (a, b) with a boolean ``linked``, judged on whole sets."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = sets.join(_small(nodes), "node", "left_semi")
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb"))
@@ -177,6 +177,26 @@ def _fits(percent: int, x: str = "na", y: str = "nb"):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
+def _possible(percent: int, shared: str = "shared", x: str = "na", y: str = "nb"):
+    """Sizes fit, and the tokens ``shared`` by both prefixes leave room for a link.
+
+    Past the smaller of two prefix ends, the intersection holds at most what
+    that document has left; all of it before is in both prefixes.
+    """
+    left = F.greatest(*[F.ceil(F.col(n) * percent / 100) for n in (x, y)]) - 1
+    return _fits(percent, x, y) & ((100 + percent) * (F.col(shared) + left) >= percent * (F.col(x) + F.col(y)))
+
+
+def _judged(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, store: Store) -> DataFrame:
+    """Verified ``pairs`` (a, b), from the whole sets of their classes; kept."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = store.keep(classes.select("doc_id", "set_key", F.col("cid").alias("node")).join(_small(nodes), "node"), "wanted")
+    whole = _whole_sets(docs, wanted, store)
+    out = store.keep(_verify(pairs, whole, percent), "judged")
+    store.drop(whole)
+    return out
+
+
 def _pair(x, y) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -221,37 +241,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often = store.keep(first.where(F.size("frequent") > 0).select("gid", F.explode("frequent").alias("token")), "frequent")
     sums = often.groupBy("token").agg(F.count("*").alias("size"), F.min("gid").alias("hub"), mark.alias("mark")).where("size > 1")
     often = often.join(sums, "token").select("gid", "size", "hub", "mark")
-    index = rare.union(often).select(F.xxhash64("size", "hub", "mark").alias("token"), "gid", "hub").distinct()
+    index = rare.union(often).groupBy(F.xxhash64("size", "hub", "mark").alias("token"), "gid", "hub").agg(F.count("*").alias("weight"))
     index = store.keep(index, "index")
     store.drop(sets)
 
-    # hub pairs of groups, filtered by size; with the other classes of each group
+    # hub pairs of groups, with the other classes of each group
     size = classes.where("cid = gid").select(F.col("gid"), "n")
     pairs = (
-        index.where("gid <> hub").select("gid", "hub").distinct()
+        index.where("gid <> hub").groupBy("gid", "hub").agg(F.sum("weight").alias("shared"))
         .join(size.withColumnRenamed("n", "na"), "gid")
         .join(size.select(F.col("gid").alias("hub"), F.col("n").alias("nb")), "hub")
-        .where(_fits(percent)).select(*_pair("gid", "hub"))
+        .where(_possible(percent)).select(*_pair("gid", "hub"))
         .union(classes.where("cid <> gid").select(*_pair("cid", "gid")))
     )
-    pairs = store.keep(pairs.distinct(), "pairs")
+    judged = _judged(store.keep(pairs, "pairs"), docs, classes, percent, store)
+    links = judged.where("linked").select("a", "b")
 
     # buckets of classes: those of tokens, and one for each group with several classes
     members = classes.select("gid", "cid", "n")
     entries = (
-        index.select("token", "gid").join(members, "gid").select("token", "cid", "n")
-        .union(classes.where("members > 1").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "cid", "n"))
+        index.select("token", "gid", "weight").join(members, "gid").select("token", "cid", "n", "weight")
+        .union(classes.where("members > 1").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "cid", "n", F.col("n").alias("weight")))
     )
     entries = store.keep(entries, "entries")
     store.drop(index)
-    met = entries.select(F.col("cid").alias("node")).distinct()
-    wanted = store.keep(classes.select("doc_id", "set_key", F.col("cid").alias("node")).join(met, "node"), "wanted")
-    whole = _whole_sets(docs, wanted, store)
 
-    judged = store.keep(_verify(pairs, whole, percent), "judged")
-    links = judged.where("linked").select("a", "b")
-
-    # classes outside the largest component of a bucket against some hubs of it
+    # classes outside the largest component of a large bucket against some hubs of it
     open_ = _open_buckets(entries, links, store)
     ranked = Window.partitionBy("token").orderBy(F.xxhash64("cid"))
     hubs = (
@@ -259,26 +274,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where(f"r <= {HUBS}").select("token", F.col("cid").alias("hub"), F.col("n").alias("nb"))
     )
     more = (
-        open_.where(f"comp <> main AND main_size > {HUBS}").select("token", "cid", F.col("n").alias("na")).join(hubs, "token")
-        .where(_fits(percent)).select(*_pair("cid", "hub")).distinct().join(judged, ["a", "b"], "left_anti")
+        open_.where(f"comp <> main AND main_size > {HUBS}").select("token", "cid", F.col("n").alias("na"), "weight").join(hubs, "token")
+        .groupBy(F.col("cid").alias("x"), F.col("hub").alias("y"), "na", "nb").agg(F.sum("weight").alias("shared"))
+        .where(_possible(percent)).select(*_pair("x", "y")).join(judged, ["a", "b"], "left_anti")
     )
-    second = store.keep(_verify(store.keep(more, "pairs"), whole, percent), "judged")
-    judged = judged.union(second)
-    links = links.union(second.where("linked").select("a", "b"))
-
-    # what is still in different components, pair by pair
-    open_ = _open_buckets(entries, links, store)
-    few = open_.where("comp <> main").select("token", F.col("cid").alias("x"), F.col("n").alias("na"), F.col("comp").alias("cx"))
-    all_ = open_.select("token", F.col("cid").alias("y"), F.col("n").alias("nb"), F.col("comp").alias("cy"))
+    more = store.keep(more, "pairs")
+    if not more.isEmpty():
+        second = _judged(more, docs, classes, percent, store)
+        judged = judged.union(second)
+        links = links.union(second.where("linked").select("a", "b"))
+        open_ = _open_buckets(entries, links, store)
+
+    # what is still in different components, pair by pair: all buckets of such a pair are open, so ``shared`` is exact
+    few = open_.where("comp <> main").select("token", F.col("cid").alias("x"), F.col("n").alias("na"), F.col("comp").alias("cx"), "weight")
+    all_ = open_.select("token", F.col("cid").alias("y"), F.col("n").alias("nb"), F.col("comp").alias("cy"), (F.col("comp") == F.col("main")).alias("large"))
     rest = (
-        few.join(all_, "token").where((F.col("cx") != F.col("cy")) & _fits(percent)).select(*_pair("x", "y")).distinct()
-        .join(judged, ["a", "b"], "left_anti")
+        few.join(all_, "token").where((F.col("cx") != F.col("cy")) & (F.col("large") | (F.col("x") < F.col("y"))) & _fits(percent))
+        .select(*_pair("x", "y"), F.when(F.col("x") < F.col("y"), F.col("na")).otherwise(F.col("nb")).alias("na"),
+                F.when(F.col("x") < F.col("y"), F.col("nb")).otherwise(F.col("na")).alias("nb"), "weight")
+        .groupBy("a", "b", "na", "nb").agg(F.sum("weight").alias("shared"))
+        .where(_possible(percent)).select("a", "b").join(judged, ["a", "b"], "left_anti")
     )
-    third = store.keep(_verify(store.keep(rest, "pairs"), whole, percent), "judged")
+    third = _judged(store.keep(rest, "pairs"), docs, classes, percent, store)
     links = links.union(third.where("linked").select("a", "b"))
 
     comps = components(links, store)
-    store.drop(whole)
     store.drop(entries)
     placed = classes.select("cid", "set_key", "first_id").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
     placed = placed.withColumn("comp", F.coalesce("comp", "cid"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelflow.llm.chat_format import chat_windows, read_back
 from panelflow.llm.decontamination import leaks
+from panelflow.llm import html_extraction
 from panelflow.llm.jaccard_join import near_duplicates
 from panelflow.llm.language_id import held_out, identify, train
 from panelflow.llm.packing import pack
@@ -119,3 +120,10 @@ RULES = [rule("allow", "org/"), rule("block", "example.org/es/"), rule("block",
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the URL of every page."""
     return judge_urls(_table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_html_extraction")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = _table(spark, sf_dir, "pages")
+    return html_extraction.extract(pages, html_extraction.train(pages), ["page_id", "url"])

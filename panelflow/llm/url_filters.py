@@ -8,8 +8,9 @@ name, once per pair of hosts.  Trust is personalised PageRank that restarts at
 the trusted hosts and follows links; distrust restarts at the blocked hosts and
 follows links backwards, so hosts that link to blocked ones take part of it.
 A host whose distrust exceeds its trust, and ``LEAST`` times an even share of
-the mass, is blocked; every other host is allowed.  Seeds are the hosts with an
-allowed or a blocked page by rule; a seed of both kinds is a seed of neither.
+the mass, is blocked; every other host is allowed.  A host is a seed if rules
+allow, or block, more than half of its pages: a rule on a path is no verdict on
+its whole host.
 
 Iterations are joins of a rank table with the stored edges; mass is summed
 before its shuffle, and ranks stay in the shared folder between iterations.
@@ -102,10 +103,12 @@ def judge_urls(pages: DataFrame, rules: list[Rule], least: float = LEAST, id_col
     host, path = url_parts(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.col(html_col).cast("string").alias("html"))
     ruled = store.keep(rows.drop("html").withColumn("m", match(F.col("host"), F.col("path"), rules)), "ruled")
-    kinds = ruled.where("m IS NOT NULL").groupBy("host").agg(F.min("m.verdict").alias("a"), F.max("m.verdict").alias("b")).where("a = b")
+    kinds = store.keep(ruled.where("host <> ''").groupBy("host").agg(
+        (2 * F.count_if(F.col("m.verdict") == "allow") > F.count("*")).alias("trusted"),
+        (2 * F.count_if(F.col("m.verdict") == "block") > F.count("*")).alias("blocked")), "hosts")
     edges = store.keep(host_edges(rows), "links")
-    trust = propagate(edges, kinds.where("a = 'allow'"), store)
-    distrust = propagate(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), kinds.where("a = 'block'"), store)
+    trust = propagate(edges, kinds.where("trusted"), store)
+    distrust = propagate(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), kinds.where("blocked"), store)
     # hosts with distrust only: what has none is allowed in any case
     scored = distrust.withColumnRenamed("mass", "distrust").join(trust.withColumnRenamed("mass", "trust"), "host", "left").fillna(0.0, ["trust"])
     scored = store.keep(scored, "scored")
