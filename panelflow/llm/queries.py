@@ -12,6 +12,7 @@ from panelflow.llm.decontamination import leaks
 from panelflow.llm import html_extraction
 from panelflow.llm.jaccard_join import near_duplicates
 from panelflow.llm.language_id import held_out, identify, train
+from panelflow.llm.license_scan import scan
 from panelflow.llm.packing import pack
 from panelflow.llm.quality_rules import judge
 from panelflow.llm.token_counts import count_tokens
@@ -127,3 +128,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = _table(spark, sf_dir, "pages")
     return html_extraction.extract(pages, html_extraction.train(pages), ["page_id", "url"])
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return scan(_table(spark, sf_dir, "documents"))
