@@ -29,11 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.llm.html_blocks import blocks
-from panelflow.llm.store import Store, batch_rows
 
 TRAIN_PAGES = 240
 TRAIN_BYTES = 40_000
-ROWS = 500
 PATH, WORDS, FIGURES, HIDDEN = 256, 32, 4, 16
 STEPS = 260
 MAIN = ("article", "main", "content", "post", "entry", "story")
@@ -256,9 +254,11 @@ def extract(pages: DataFrame, model: Labeller, carry: list[str], html_col: str =
         labeller = Labeller.from_bytes(shared.value)
         for batch in batches:
             last = batch.num_columns - 1
-            read = [blocks(h) for h in batch.column(last).to_pylist()]
-            main = labeller.main_blocks([features(b) for b in read])
-            texts = ["\n\n".join(text for (_, text, _), m in zip(b, keep) if m) for b, keep in zip(read, main)]
+            pages, texts = batch.column(last).to_pylist(), []
+            for a in range(0, len(pages), 200):
+                read = [blocks(h) for h in pages[a : a + 200]]
+                main = labeller.main_blocks([features(b) for b in read])
+                texts += ["\n\n".join(text for (_, text, _), m in zip(b, keep) if m) for b, keep in zip(read, main)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:last], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*carry, "text", "n_chars"])
 

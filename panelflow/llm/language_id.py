@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.llm.store import batch_rows
+from panelflow.llm.units import by_bytes
 
 ORDER = 4
 MAX_GRAMS = 1_200_000
@@ -41,6 +42,8 @@ SPREADS = 20.0
 #: Texts of fewer characters get a wider limit.
 SETTLED = 200
 ROWS = 1000
+#: Characters scored at once.
+CHUNK = 2_000_000
 NONE = "und"
 _DISCOUNT = 0.75
 _LETTER = np.array([chr(c).isalpha() for c in range(1 << 16)])
@@ -158,17 +161,18 @@ class Identifier:
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Characters scored, and bits per character under every language, of each text."""
-        each = [grams(t) for t in texts]
-        sizes = np.array([len(g) for g in each], np.int64)
-        out = np.zeros((len(each), len(self.langs)))
-        if sizes.sum() and self.langs:
-            flat = np.concatenate(each)
-            kinds, at = np.unique(flat, return_inverse=True)
-            starts = np.cumsum(sizes) - sizes
-            some = sizes > 0
-            for i, m in enumerate(self.models):
-                bits = -np.log2(m.probability(kinds))[at]
-                out[some, i] = np.add.reduceat(bits, starts[some]) / sizes[some]
+        sizes = np.zeros(len(texts), np.int64)
+        out = np.zeros((len(texts), len(self.langs)))
+        for a, b in by_bytes([t or "" for t in texts], CHUNK):
+            each = [grams(t) for t in texts[a:b]]
+            own = np.array([len(g) for g in each], np.int64)
+            sizes[a:b] = own
+            if own.sum() and self.langs:
+                kinds, at = np.unique(np.concatenate(each), return_inverse=True)
+                starts, some = np.cumsum(own) - own, own > 0
+                for i, m in enumerate(self.models):
+                    bits = -np.log2(m.probability(kinds))[at]
+                    out[a:b][some, i] = np.add.reduceat(bits, starts[some]) / own[some]
         return sizes, out
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -235,6 +239,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     n = table.column("n").to_numpy()
     langs = [x for x in names if (found == x).any()]
     out = Identifier(langs, [kneser_ney(*_sorted(g[found == x], n[found == x])) for x in langs])
+    if not langs:
+        return out
     sample = rows.where(apart).select("lang", "text")
     # scored where the rows are; only sizes and entropies come back
     shared = spark.sparkContext.broadcast(out)

@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from panelflow.llm.units import Encoder
+from panelflow.llm.units import encoder
 
 CAPACITY = 2048
 BLOCK = 64
@@ -79,11 +80,11 @@ def pack(docs: DataFrame, tokenizer_file: str = "word_bpe_49k.json", capacity: i
     for name in names[1:7]:
         schema = schema.add(name, "long")
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal id_type
-        encoder = Encoder(tokenizer_file)
+        library = encoder(tokenizer_file)
         sequence = TaskContext.get().partitionId() << 36
         out: list[tuple] = []
         waiting: list[tuple] = []
@@ -115,8 +116,8 @@ def pack(docs: DataFrame, tokenizer_file: str = "word_bpe_49k.json", capacity: i
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(encoder.ids(text), np.uint32(END))
+            for doc, ids in zip(batch.column(0).to_pylist(), library.ids(batch.column(1).to_pylist())):
+                ids = np.append(ids, np.uint32(END))
                 whole = len(ids) - len(ids) % capacity
                 for a in range(0, whole, capacity):
                     place([(doc, a, ids[a : a + capacity], len(ids))])

@@ -18,7 +18,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.llm.units import Encoder
+from panelflow.llm.units import encoder
 
 
 def count_tokens(docs: DataFrame, tokenizer_file: str = "byte_bpe_50k.json", limit: int = 1024,
@@ -27,9 +27,9 @@ def count_tokens(docs: DataFrame, tokenizer_file: str = "byte_bpe_50k.json", lim
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text__"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_file)
+        library = encoder(tokenizer_file)
         for batch in batches:
-            n = encoder.lengths(batch.column(1).to_pylist())
+            n = library.lengths(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.compute.binary_length(batch.column(1)).cast(pa.int64())],
                                              names=[id_col, "n_tokens", "n_bytes"])
 
