@@ -7,6 +7,8 @@ function with the Ratcliff-Obershelp ratio, which Spark has no built-in for.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -83,7 +85,7 @@ def exact_identity(a: Column, b: Column, core_a: Column, core_b: Column) -> Colu
 
 
 def with_same_business(
-    df: DataFrame, a: str, b: str, out: str = "same", vocabulary: Column | None = None,
+    df: DataFrame, a: str, b: str, out: str = "same", vocabulary: Sequence[str] | None = None,
     needed: Column | None = None, fuzzy: bool = True,
 ) -> DataFrame:
     """Add the identity verdict of labels ``a`` (before) and ``b`` (after).

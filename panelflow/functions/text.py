@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -80,6 +80,9 @@ def _fold_table() -> tuple[str, str]:
     return "".join(source) + "".join(removed), "".join(target)
 
 
+VOCABULARY_BOUND = 20_000
+
+
 def fold(col: Column | str) -> Column:
     """Upper case, no accents: the form used to search."""
     c = F.upper(F.trim(F.col(col) if isinstance(col, str) else col))
@@ -150,41 +153,51 @@ def is_placeholder(norm: Column | str) -> Column:
     return (n == "") | n.isin(PLACEHOLDERS) | n.rlike(PLACEHOLDER_PATTERN)
 
 
-def word_array(words: Iterable[str]) -> Column:
-    """Words as one constant array (a single literal in the plan)."""
-    words = list(words)
-    return F.split(F.lit("\n".join(words)), "\n") if words else F.array().cast("array<string>")
+def vocabulary_words(vocabulary: DataFrame) -> list[str]:
+    """Words of a nomenclature ``(word)``, as constants for the functions below.
 
+    A nomenclature is a closed list; more than ``VOCABULARY_BOUND`` words are
+    refused, because they belong in a join: see ``with_core_tokens``.
+    """
+    words = [r[0] for r in vocabulary.select("word").distinct().limit(VOCABULARY_BOUND + 1).collect()]
+    if len(words) > VOCABULARY_BOUND:
+        raise ValueError(f"more than {VOCABULARY_BOUND} words: use with_core_tokens")
+    return sorted(words)
 
-def vocabulary_column(vocabulary: DataFrame, limit: int = 20_000) -> Column:
-    """A frozen ``(word)`` table as one array value.
 
-    The nomenclature of activities is small: up to ``limit`` words become a
-    constant of the plan.  A larger vocabulary stays in the cluster and is
-    read through a scalar subquery.
-    """
-    words = [r[0] for r in vocabulary.select("word").distinct().limit(limit + 1).collect()]
-    if len(words) <= limit:
-        return word_array(sorted(words))
-    return vocabulary.agg(F.sort_array(F.collect_set("word"))).scalar()
+def _plain_tokens(norm: Column) -> Column:
+    return F.filter(F.split(norm, " "), lambda t: (F.length(t) > 1) & ~t.rlike(r"^\p{Nd}+$"))
+
 
+def core_tokens(norm: Column | str, vocabulary: Sequence[str] | None = None) -> Column:
+    """Distinct words of a label that do not just describe its activity.
 
-def core_tokens(norm: Column | str, vocabulary: Column | None = None) -> Column:
-    """Distinct words of a label that do not just describe its activity."""
+    The words to leave out are constants: one set, built once per task.
+    """
     n = F.col(norm) if isinstance(norm, str) else norm
-    generic = word_array(GENERIC_WORDS)
-    if vocabulary is not None:
-        generic = F.concat(generic, vocabulary)
-    tokens = F.filter(F.split(n, " "), lambda t: (F.length(t) > 1) & ~t.rlike(r"^\p{Nd}+$"))
-    # outermost, because a subquery may not sit inside a higher-order function
-    return F.array_except(tokens, generic)
+    generic = sorted({*GENERIC_WORDS, *(vocabulary or ())})
+    return F.array_distinct(F.filter(_plain_tokens(n), lambda t: ~t.isin(generic)))
+
+
+def with_core_tokens(df: DataFrame, norm: str, vocabulary: DataFrame, out: str = "core") -> DataFrame:
+    """``core_tokens`` against a vocabulary of any size, a table ``(word)``.
+
+    The words of the distinct labels meet the vocabulary in an anti join, so a
+    label is judged once however many rows carry it.  Tokens come sorted.
+    """
+    labels = df.select(F.col(norm).alias("_norm")).where(F.col("_norm").isNotNull()).distinct()
+    words = labels.select("_norm", F.explode(_plain_tokens(F.col("_norm"))).alias("word")).where(~F.col("word").isin(list(GENERIC_WORDS)))
+    kept = words.join(vocabulary.select("word").distinct(), "word", "left_anti")
+    cores = kept.groupBy("_norm").agg(F.sort_array(F.collect_set("word")).alias("_core"))
+    empty = F.array().cast("array<string>")
+    return df.join(cores, df[norm] == cores["_norm"], "left").select(*df.columns, F.coalesce("_core", empty).alias(out))
 
 
-def is_generic(norm: Column | str, vocabulary: Column | None = None) -> Column:
+def is_generic(norm: Column | str, vocabulary: Sequence[str] | None = None) -> Column:
     return F.size(core_tokens(norm, vocabulary)) == 0
 
 
-def core_key(norm: Column | str, vocabulary: Column | None = None) -> Column:
+def core_key(norm: Column | str, vocabulary: Sequence[str] | None = None) -> Column:
     """Canonical brand key; empty when the label is generic."""
     return F.array_join(F.sort_array(core_tokens(norm, vocabulary)), "|")
 

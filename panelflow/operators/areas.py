@@ -49,6 +49,9 @@ def hull_areas(df: DataFrame, group: str, x: str = "x", y: str = "y", out: str =
     pts = df.where(F.col(group).isNotNull()).select(
         F.col(group).cast("string").alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
     )
+    # a hull needs only the ends of each column of points
+    ends = pts.where("x IS NOT NULL AND y IS NOT NULL").groupBy("g", "x").agg(F.min("y").alias("a"), F.max("y").alias("b"))
+    pts = ends.select("g", "x", F.explode(F.array_distinct(F.array("a", "b"))).alias("y"))
     schema = T.StructType([
         T.StructField("g", T.StringType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()),
     ])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ def group_size(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     return df.join(df.where(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(F.count("*").alias(out)), keys, "left")
 
 
-def brand_features(panel: DataFrame, vocabulary: Column | None = None) -> DataFrame:
+def brand_features(panel: DataFrame, vocabulary: Sequence[str] | None = None) -> DataFrame:
     """Six descriptors per (id, anio)."""
     p = panel.select(
         "id",

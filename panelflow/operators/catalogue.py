@@ -66,7 +66,7 @@ def validate_requests(requests: DataFrame, activities: DataFrame, divisions: Dat
     def known(df, catalogue, column, key, out):
         c = catalogue.select(F.col(catalogue.columns[0]).alias(out))
         c = c.groupBy(key(out).alias("_k")).agg(F.min(out).alias(out))
-        return df.withColumn("_k", key(column)).join(F.broadcast(c), "_k", "left").drop("_k")
+        return df.withColumn("_k", key(column)).join(c, "_k", "left").drop("_k")
 
     r = known(requests, activities, "activity", F.trim, "_activity")
     r = known(r, divisions, "division", F.trim, "_division")

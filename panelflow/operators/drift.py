@@ -16,7 +16,8 @@ MIN_REQUESTS = 30  # fixed value
 
 def _psi_bins(shares: DataFrame) -> DataFrame:
     e, o = F.greatest("expected", F.lit(FLOOR)), F.greatest("observed", F.lit(FLOOR))
-    return shares.withColumn("psi_bin", (o - e) * F.ln(o / e))
+    value = F.when(F.col("_seen") > 0, (o - e) * F.ln(o / e))  # nothing observed: no value
+    return shares.withColumn("psi_bin", value).drop("_seen")
 
 
 def _shares(e: DataFrame, o: DataFrame, bins: DataFrame) -> DataFrame:
@@ -33,6 +34,7 @@ def _shares(e: DataFrame, o: DataFrame, bins: DataFrame) -> DataFrame:
             F.coalesce(F.try_divide(F.col(c), F.sum(c).over(every_bin)), F.lit(0.0)).alias(name)
             for c, name in (("_e", "expected"), ("_o", "observed"))
         ],
+        F.coalesce(F.sum("_o").over(every_bin), F.lit(0)).alias("_seen"),
     )
 
 
@@ -72,7 +74,7 @@ def psi_numeric(expected: DataFrame, observed: DataFrame, column: str, bins: int
         )
 
     def counts(df, c):
-        v = F.col(c).cast("double")
+        v = F.col(c).try_cast("double")
         b = sum(((v > e).cast("int") for e in inner), F.lit(1))
         return df.where(v.isNotNull()).groupBy(b.cast("string").alias("bin")).agg(F.count("*").alias("n"))
 

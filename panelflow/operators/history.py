@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -15,7 +17,7 @@ def by_id():
     return W.partitionBy("id").orderBy("anio")
 
 
-def changes(panel: DataFrame, vocabulary: Column | None = None, fuzzy: bool = True) -> DataFrame:
+def changes(panel: DataFrame, vocabulary: Sequence[str] | None = None, fuzzy: bool = True) -> DataFrame:
     """Panel rows with ``changed``: the label is another business than at the
     previous *observed* row of the id.
 
@@ -33,7 +35,7 @@ def changes(panel: DataFrame, vocabulary: Column | None = None, fuzzy: bool = Tr
     )
 
 
-def history_as_of(panel: DataFrame, vocabulary: Column | None = None, fuzzy: bool = True,
+def history_as_of(panel: DataFrame, vocabulary: Sequence[str] | None = None, fuzzy: bool = True,
                   start: int | None = None) -> DataFrame:
     """State of every id after each of its observed years (from ``start``).
 
@@ -53,7 +55,7 @@ def history_as_of(panel: DataFrame, vocabulary: Column | None = None, fuzzy: boo
     )
 
 
-def history(panel: DataFrame, until: int, start: int, vocabulary: Column | None = None,
+def history(panel: DataFrame, until: int, start: int, vocabulary: Sequence[str] | None = None,
             fuzzy: bool = True) -> DataFrame:
     """State of every id within the window [start, until]."""
     inside = panel.where(F.col("anio").between(start, until))

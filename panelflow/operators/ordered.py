@@ -81,7 +81,7 @@ def exact_quantiles(
     Works on distinct values, in two aggregations after one range sort; no
     group is ever held by one task.
     """
-    base = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    base = df.where(F.col(value).isNotNull()).select(*by, F.col(value).try_cast("double").alias("_v")).where("_v IS NOT NULL")
     t = base.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
     r = running(sliced(t, ["_v"]), ["_v"], {"_before": "_n"}, by)
     if by:
@@ -120,9 +120,19 @@ def rank_buckets(df: DataFrame, score: str, key: str, buckets: int = 10, out: st
     """Equal-size buckets by (score, key) rank, as a quantile cut of the ranks.
 
     The cut edges lie at 1 + (n-1)k/buckets and are right-closed, so sizes
-    differ from ``ntile``.
+    differ from ``ntile``.  Only (score, key) is sorted; the last pair of each
+    bucket is read off, and rows are compared with those constants where they
+    are.  ``score`` must not be null, ``key`` must be unique.
     """
-    r = row_numbers(df, [score, key], "_rn")
-    r = r.withColumn("_total", r.agg(F.count("*")).scalar())
-    pos = F.ceil((F.col("_rn") - 1) * buckets / F.greatest(F.col("_total") - 1, F.lit(1)))
-    return r.withColumn(out, F.greatest(F.lit(1), pos).cast("int")).drop("_rn", "_total")
+    pairs = df.select(F.col(score).alias("_s"), F.col(key).alias("_k"))
+    r = row_numbers(pairs, ["_s", "_k"], "_rn")
+    n = r.agg(F.max("_rn")).first()[0] or 0
+    places = sorted({1 + (n - 1) * k // buckets for k in range(1, buckets)}) if n > 1 else []
+    ends = [(x["_rn"], x["_s"], x["_k"]) for x in r.where(F.col("_rn").isin(places)).collect()] if places else []  # buckets - 1 rows at most
+    at = {rn: (s, k) for rn, s, k in ends}
+    bucket = F.lit(1)
+    for k in range(1, buckets):
+        if n > 1:
+            s, i = (F.lit(x) for x in at[1 + (n - 1) * k // buckets])
+            bucket = bucket + ((F.col(score) > s) | ((F.col(score) == s) & (F.col(key) > i))).cast("int")
+    return df.withColumn(out, bucket)

@@ -39,13 +39,13 @@ def snapshot_pairs(panel: DataFrame, id_col: str = "id", year: str = "anio",
     return pairs.withColumnRenamed(year, "cohort")
 
 
-def informative(norm: Column | str, vocabulary: Column | None = None) -> Column:
+def informative(norm: Column | str, vocabulary: Sequence[str] | None = None) -> Column:
     """Neither placeholder nor generic."""
     n = F.col(norm) if isinstance(norm, str) else norm
     return ~is_placeholder(n) & (F.size(core_tokens(n, vocabulary)) > 0)
 
 
-def label_pairs(panel: DataFrame, vocabulary: Column | None = None, fuzzy: bool = True,
+def label_pairs(panel: DataFrame, vocabulary: Sequence[str] | None = None, fuzzy: bool = True,
                 require_open_after: bool = True, after: Sequence[str] = KEEP_AFTER) -> DataFrame:
     """Universe of a cohort with its turnover label and the parts of it.
 
@@ -68,7 +68,7 @@ def label_pairs(panel: DataFrame, vocabulary: Column | None = None, fuzzy: bool
     )
 
 
-def churn_decomposition(panel: DataFrame, labelled: DataFrame, vocabulary: Column | None = None) -> DataFrame:
+def churn_decomposition(panel: DataFrame, labelled: DataFrame, vocabulary: Sequence[str] | None = None) -> DataFrame:
     """Per cohort: universe, share excluded, gone, closed, rotated, total."""
     opened = (
         snapshot_pairs(panel, after=()).where("open").groupBy("cohort").agg(
@@ -84,7 +84,7 @@ def churn_decomposition(panel: DataFrame, labelled: DataFrame, vocabulary: Colum
     return opened.join(parts, "cohort")
 
 
-def decomposition_report(panel: DataFrame, labelled: DataFrame, vocabulary: Column | None = None) -> DataFrame:
+def decomposition_report(panel: DataFrame, labelled: DataFrame, vocabulary: Sequence[str] | None = None) -> DataFrame:
     """Counts of the label with its integrity check (rotated = differ - same)."""
     norm_ph = is_placeholder("norm")
     excluded = snapshot_pairs(panel, after=()).where("open").groupBy("cohort").agg(
@@ -225,7 +225,7 @@ def literal_audit(labelled: DataFrame, literal: str) -> DataFrame:
     )
 
 
-def exclusion_bias(panel: DataFrame, section: str, vocabulary: Column | None = None, n: int = 3) -> DataFrame:
+def exclusion_bias(panel: DataFrame, section: str, vocabulary: Sequence[str] | None = None, n: int = 3) -> DataFrame:
     """Sections most over-represented among premises excluded as generic."""
     excluded = ~is_placeholder("norm") & (F.size(core_tokens("norm", vocabulary)) == 0)
     g = panel.where("open").groupBy(section).agg(F.count("*").alias("_all"), F.count_if(excluded).alias("_ex"))

@@ -75,11 +75,11 @@ def with_min_support(df: DataFrame, by: Sequence[str], p: str, minimum: int = 50
 def area_rollup(df: DataFrame, by: Sequence[str], p: str = "p", decile: str = "decile", x: str = "x", y: str = "y") -> DataFrame:
     return df.groupBy(*by).agg(
         F.count("*").alias("n"),
-        F.round(F.avg(p), 5).alias("mean_risk"),
-        F.round(F.max(p), 5).alias("max_risk"),
-        F.round(100 * F.avg((F.col(decile) == 10).cast("double")), 2).alias("pct_decile_10"),
-        F.round(F.avg(x), 6).alias("lon"),
-        F.round(F.avg(y), 6).alias("lat"),
+        round_half_even(F.avg(p), 5).alias("mean_risk"),
+        round_half_even(F.max(p), 5).alias("max_risk"),
+        round_half_even(100 * F.avg((F.col(decile) == 10).cast("double")), 2).alias("pct_decile_10"),
+        round_half_even(F.avg(x), 6).alias("lon"),
+        round_half_even(F.avg(y), 6).alias("lat"),
         F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n_with_coordinates"),
     )
 
@@ -96,12 +96,18 @@ def five_numbers(df: DataFrame, value: str) -> DataFrame:
     return with_row(q, df.agg(F.avg(value).alias("mean"), F.count(value).alias("n")))
 
 
-def composition(df: DataFrame, by: str, category: str, values: Sequence[str], prefix: str = "mix_") -> DataFrame:
-    """Share of every listed category per group (rows add up to one)."""
-    g = df.where(F.col(category).isin(list(values))).groupBy(by)
-    return g.agg(
-        *[(F.count_if(F.col(category) == v) / F.count("*")).alias(f"{prefix}{v.lower()}") for v in values]
-    )
+def composition(df: DataFrame, by: Sequence[str], category: str) -> DataFrame:
+    """(by..., category, share) of every category that occurs; shares of a group add up to one."""
+    counts = df.where(F.col(category).isNotNull()).groupBy(*by, category).agg(F.count("*").alias("_n"))
+    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    return counts.join(totals, list(by)).select(*by, category, (F.col("_n") / F.col("_total")).alias("share"))
+
+
+def wide_composition(shares: DataFrame, by: Sequence[str], category: str, prefix: str = "mix_") -> DataFrame:
+    """Pivot of ``composition``: one column per category found in the data, 0 where a group has none."""
+    named = shares.withColumn("_c", F.concat(F.lit(prefix), F.lower(F.col(category))))
+    out = named.groupBy(*by).pivot("_c").agg(F.first("share"))
+    return out.fillna(0.0, [c for c in out.columns if c not in by])
 
 
 def count_pivot(df: DataFrame, by: Sequence[str], category: str, values: Sequence[str]) -> DataFrame:

@@ -16,7 +16,7 @@ HISTORY = ["business_age", "premises_age", "previous_turnovers", "turnover_rate"
 NEAR = ["n_150m", "competitors_200m", "vacancy_150m", "diversity_150m", "competition_200m", "turnover_150m"]
 BRAND = ["same_brand", "is_chain", "in_mall", "mall_size", "label_length", "label_words"]
 SECTOR, MACRO, ACCESS = ["activity", "division"], ["district"], ["access"]
-# Candidate feature sets: name -> (numeric, categorical)
+# Fixed values. Candidate feature sets: name -> (numeric, categorical)
 CANDIDATES: dict[str, tuple[list[str], list[str]]] = {
     "A sector": ([], SECTOR),
     "B sector + district": ([], SECTOR + MACRO),
@@ -46,7 +46,7 @@ def space_features(panel: DataFrame, hist: DataFrame | None = None, near: float
     return out.select("id", "anio", *NEAR)
 
 
-def modelling_dataset(panel: DataFrame, uses: Mapping[int, str], start: int, vocabulary: Column | None = None,
+def modelling_dataset(panel: DataFrame, uses: Mapping[int, str], start: int, vocabulary: Sequence[str] | None = None,
                       fuzzy: bool = True, blocks: Sequence[str] = ("history", "space", "brand")) -> DataFrame:
     """One row per (id, cohort): label, split and the requested feature blocks.
 
@@ -70,7 +70,7 @@ def modelling_dataset(panel: DataFrame, uses: Mapping[int, str], start: int, voc
     return u.select(*[c for c in COLUMNS if c in u.columns])
 
 
-def scoring_universe(panel: DataFrame, year: int, window: int = 3, vocabulary: Column | None = None,
+def scoring_universe(panel: DataFrame, year: int, window: int = 3, vocabulary: Sequence[str] | None = None,
                      fuzzy: bool = True, blocks: Sequence[str] = ("history",)) -> DataFrame:
     """Open, informative premises of the last snapshot with a history window
     as short as the training cohorts had; only the wanted blocks are computed."""
@@ -91,15 +91,14 @@ def area_churn(labelled: DataFrame, area: str = "barrio") -> DataFrame:
     return labelled.groupBy(area, "cohort").agg(F.count("*").alias("n_universe"), F.avg("target").alias("churn"))
 
 
-def area_panel(panel: DataFrame, labelled: DataFrame, sections: Sequence[str], area: str = "barrio",
+def area_panel(panel: DataFrame, labelled: DataFrame, area: str = "barrio",
                section: str = "division", with_density: bool = True) -> DataFrame:
     """Area x year regression panel: composition, density, last year's churn,
     mean of all earlier years and the churn to predict."""
     churn = area_churn(labelled, area)
     feats = rollup.area_features(panel, [area, "anio"]).withColumnRenamed("anio", "cohort")
-    mix = panel.where(F.col("open") & F.col(section).isin(list(sections))).groupBy(area, F.col("anio").alias("cohort")).agg(
-        *[(F.count_if(F.col(section) == v) / F.count("*")).alias(f"mix_{v.lower()}") for v in sections]
-    )
+    shares = rollup.composition(panel.where("open").withColumnRenamed("anio", "cohort"), [area, "cohort"], section)
+    mix = rollup.wide_composition(shares, [area, "cohort"], section)
     past = history.expanding_mean(
         history.previous_year(churn, area, "cohort", "churn", "churn_previous"), area, "cohort", "churn", "churn_mean"
     )

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.functions.text import normalise, vocabulary_column
+from panelflow.functions.text import normalise, vocabulary_words
 from panelflow.operators.rollup import official_vocabulary
 from panelflow.session import materialise
 
@@ -293,5 +293,5 @@ def panel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, sf_dir: str):
-    """Official vocabulary of the activities, as an array column."""
-    return vocabulary_column(official_vocabulary(panel(spark, sf_dir), ["activity"]))
+    """Official vocabulary of the activities: words of the nomenclature."""
+    return vocabulary_words(official_vocabulary(panel(spark, sf_dir), ["activity"]))

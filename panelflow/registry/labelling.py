@@ -222,7 +222,7 @@ SELECT section, round(e / t.se - n / t.sn, 9) AS difference FROM g, (SELECT sum(
 WHERE e > 0 ORDER BY 2 DESC, 1 LIMIT 3""")
 def exclusion_bias(spark, d):
     # three adjectives are added so that some labels are generic
-    v = F.concat(vocabulary(spark, d), F.array(F.lit("OLD"), F.lit("NEW"), F.lit("RED")))
+    v = [*vocabulary(spark, d), "OLD", "NEW", "RED"]
     return pairs.exclusion_bias(panel(spark, d), "section", v).withColumn("difference", F.round("difference", 9))
 
 

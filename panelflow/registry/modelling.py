@@ -88,7 +88,7 @@ FROM ft f JOIN ch c ON c.barrio = f.barrio AND c.cohort = f.cohort LEFT JOIN ch
 
 
 def _area(spark, d, density):
-    return dataset.area_panel(panel(spark, d), labelled(spark, d), SEGMENTS, with_density=density)
+    return dataset.area_panel(panel(spark, d), labelled(spark, d), with_density=density)
 
 
 @query("area_panel", AREA)

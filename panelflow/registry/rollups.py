@@ -307,8 +307,8 @@ def _scored_snapshot(spark, d):
 
 
 @query("area_rollup", AREA + """
-SELECT district, barrio, count(*) AS n, round(avg(p), 5) AS mean_risk, round(max(p), 5) AS max_risk,
-  round(100 * avg(CAST(decile = 10 AS INT)), 2) AS pct_decile_10, round(avg(x), 6) AS lon, round(avg(y), 6) AS lat, count(x) AS n_with_coordinates
+SELECT district, barrio, count(*) AS n, round_even(avg(p), 5) AS mean_risk, round_even(max(p), 5) AS max_risk,
+  round_even(100 * avg(CAST(decile = 10 AS INT)), 2) AS pct_decile_10, round_even(avg(x), 6) AS lon, round_even(avg(y), 6) AS lat, count(x) AS n_with_coordinates
 FROM z GROUP BY 1, 2""")
 def area_rollup(spark, d):
     return rollup.area_rollup(_scored_snapshot(spark, d), ["district", "barrio"])
@@ -318,7 +318,7 @@ def area_rollup(spark, d):
     f"round(count(*) FILTER (WHERE division = '{v}') / count(*), 9) AS mix_{v.lower()}" for v in SEGMENTS)
     + " FROM snaps WHERE open AND division IS NOT NULL GROUP BY 1")
 def section_shares_by_barrio(spark, d):
-    out = rollup.composition(snapshots(spark, d).where("open"), "barrio", "division", SEGMENTS)
+    out = rollup.wide_composition(rollup.composition(snapshots(spark, d).where("open"), ["barrio"], "division"), ["barrio"], "division")
     return r9(out, *[c for c in out.columns if c.startswith("mix_")])
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SINGLE_FILE_LIMIT = 200_000
 BOM = "﻿"
 
 
@@ -41,22 +40,19 @@ def with_bom(df: DataFrame) -> DataFrame:
 
 
 def write_two_locales(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """``path`` with , and . and ``path_es`` with ; and decimal comma."""
+    """``path`` with , and . and ``path_es`` with ; and decimal comma.
+
+    A folder of files; ``single_file`` is for rollups.
+    """
     for suffix, sep, decimal in (("", ",", "."), ("_es", ";", ",")):
         out = with_bom(localised(df, decimal))
-        out = _one_file(out) if single_file else out
+        out = out.coalesce(1) if single_file else out
         out.write.mode("overwrite").options(header=True, sep=sep, encoding="UTF-8").csv(path + suffix)
 
 
-def _one_file(df: DataFrame, limit: int = SINGLE_FILE_LIMIT) -> DataFrame:
-    """One partition, only for results proven small."""
-    if df.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} rows: write a folder instead of one file")
-    return df.coalesce(1)
-
-
-def write_single_csv(df: DataFrame, path: str, sep: str = ",", limit: int = SINGLE_FILE_LIMIT) -> None:
-    _one_file(df, limit).write.mode("overwrite").options(header=True, sep=sep).csv(path)
+def write_single_csv(df: DataFrame, path: str, sep: str = ",") -> None:
+    """One file, written by one task: the caller's choice, for rollups."""
+    df.coalesce(1).write.mode("overwrite").options(header=True, sep=sep).csv(path)
 
 
 def export_spatial_input(panel: DataFrame, path: str, columns: Sequence[str] = ("id", "x", "y", "division", "open")) -> None:

@@ -75,9 +75,9 @@ def test_two_locales_have_bom_and_marks(spark, tmp_path):
     assert read("out_es") == "﻿k;v\na;1,5\n"
 
 
-def test_single_file_only_when_small(spark, tmp_path):
-    with pytest.raises(ValueError):
-        sinks.write_single_csv(spark.range(11), str(tmp_path / "x"), limit=10)
+def test_single_csv_is_one_file(spark, tmp_path):
+    sinks.write_single_csv(spark.range(1100).repartition(4), str(tmp_path / "x"))
+    assert len(list((tmp_path / "x").glob("part-*.csv"))) == 1
 
 
 def test_numbers(spark):

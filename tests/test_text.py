@@ -126,15 +126,22 @@ def test_placeholders(spark, norm, expected):
 def test_core_tokens(spark):
     got = values(spark, ["BAR CAFETERIA", "FARMACIA LOPEZ", "A B 12 LOPEZ LOPEZ", ""], text.core_key("a"), text.is_generic("a"))
     assert got == [("", True), ("LOPEZ", False), ("LOPEZ", False), ("", True)]
-    extra = text.core_key("a", text.word_array(["LOPEZ"]))
+    extra = text.core_key("a", ["LOPEZ"])
     assert values(spark, ["FARMACIA LOPEZ RUIZ"], extra) == [("RUIZ",)]
 
 
-def test_vocabulary_column_large_falls_back(spark):
-    v = spark.createDataFrame([("UNO",), ("DOS",)], "word string")
-    small = spark.range(1).select(F.sort_array(text.vocabulary_column(v)).alias("v")).first().v
-    big = spark.range(1).select(F.sort_array(text.vocabulary_column(v, limit=1)).alias("v")).first().v
-    assert small == big == ["DOS", "UNO"]
+def test_large_vocabulary_is_a_join(spark, monkeypatch):
+    v = spark.createDataFrame([("UNO",), ("DOS",), ("UNO",)], "word string")
+    assert text.vocabulary_words(v) == ["DOS", "UNO"]
+    labels = ["UNO TRES", "FARMACIA UNO", "TRES TRES AB", "", None, "UNO TRES"]
+    df = spark.createDataFrame([(x,) for x in labels], "a string")
+    got = text.with_core_tokens(df, "a", v)
+    small = df.select("a", F.coalesce(F.sort_array(text.core_tokens("a", text.vocabulary_words(v))), F.array().cast("array<string>")).alias("core"))
+    key = lambda r: (r[0] or "~", r[1])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, small.collect()), key=key)
+    monkeypatch.setattr(text, "VOCABULARY_BOUND", 1)
+    with pytest.raises(ValueError):
+        text.vocabulary_words(v)
 
 
 def test_match_keys(spark):
