@@ -22,49 +22,53 @@ from pyspark.sql import functions as F
 
 from panelflow.operators.evaluate import metrics_from_values, ranking_metrics
 from panelflow.operators.ordered import row_numbers, value_table
+from panelflow.session import materialise
 
-REST, MISSING = "(rest)", "(missing)"
-CATEGORY_LIMIT = 50_000
+REST, MISSING, UNKNOWN = "(rest)", "(missing)", "(unknown)"
 CLIP = 1e-6  # fixed value: calibrated probabilities stay inside (0, 1)
 SCORE_DIGITS = 6
 
 
 @dataclass
 class RareCategories:
-    """Folds rare categories into one drawer; unknown and null are missing.
+    """Folds rare categories into one drawer; null is missing, values not seen in training get ``unknown``.
 
-    Keeps at most ``max_categories - 1`` frequent values when there are more.
-    The frequency table is a nomenclature; its size is checked before it is
-    brought to the driver as model metadata.
+    Keeps at most ``max_categories - 1`` frequent values when there are more;
+    only these reach the driver.  The rare ones stay a table, and a column that
+    has any meets it in a join.
     """
 
     columns: Sequence[str]
     max_categories: int = 254
     min_frequency: int = 10
     kept: dict[str, list[str]] = field(default_factory=dict)
-    rare: dict[str, list[str]] = field(default_factory=dict)
+    rare: dict[str, DataFrame] = field(default_factory=dict)
+    unknown: str = MISSING
 
     def fit(self, train: DataFrame) -> RareCategories:
         for c in self.columns:
             freq = train.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n"))
-            rows = freq.orderBy(F.desc("n"), "v").limit(CATEGORY_LIMIT + 1).collect()
-            if len(rows) > CATEGORY_LIMIT:
-                raise ValueError(f"{c} has more than {CATEGORY_LIMIT} categories")
+            freq = materialise(freq, "categories")
+            rows = freq.orderBy(F.desc("n"), "v").limit(self.max_categories + 1).collect()
             slots = self.max_categories - 1 if len(rows) > self.max_categories else len(rows)
-            self.kept[c] = [r["v"] for i, r in enumerate(rows) if i < slots and r["n"] >= self.min_frequency]
-            seen = set(self.kept[c])
-            self.rare[c] = [r["v"] for r in rows if r["v"] not in seen]
+            self.kept[c] = [r["v"] for r in rows[:slots] if r["n"] >= self.min_frequency]
+            rare = freq.where(~F.col("v").isin(self.kept[c])).select(F.col("v").alias(f"_rare_{c}"))
+            if not rare.isEmpty():
+                self.rare[c] = rare
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         def fold(c):
             v = F.col(c).cast("string")
-            e = F.when(v.isin(self.kept[c]), v) if self.kept[c] else F.when(F.lit(False), v)
-            if self.rare[c]:
-                e = e.when(v.isin(self.rare[c]), REST)
-            return e.otherwise(MISSING)
+            e = F.when(v.isNull(), MISSING).when(v.isin(self.kept[c]), v)
+            if c in self.rare:
+                e = e.when(F.col(f"_rare_{c}").isNotNull(), REST)
+            return e.otherwise(self.unknown)
 
-        return df.withColumns({f"{c}_cat": fold(c) for c in self.columns})
+        names = df.columns
+        for c, rare in self.rare.items():
+            df = df.join(rare, df[c].cast("string") == rare[f"_rare_{c}"], "left")
+        return df.select(*names, *[fold(c).alias(f"{c}_cat") for c in self.columns])
 
 
 def feature_stages(numeric: Sequence[str], categorical: Sequence[str], linear: bool) -> list:
@@ -91,10 +95,13 @@ def feature_stages(numeric: Sequence[str], categorical: Sequence[str], linear: b
 
 
 def classifier(kind: str, seed: int = 0, **params):
-    """Estimator by technique; ``params`` override the defaults."""
+    """Estimator by technique; ``params`` override the defaults (fixed values).
+
+    Boosting stops early: when the held-out loss no longer falls.
+    """
     base = {"featuresCol": "features", "labelCol": "target"}
     if kind == "logistic":
-        return LogisticRegression(**{**base, "maxIter": 100, "weightCol": "weight", **params})
+        return LogisticRegression(**{**base, "maxIter": 2000, "weightCol": "weight", **params})
     tree = {**base, "maxBins": 256, "seed": seed}
     if kind == "tree":
         return DecisionTreeClassifier(**{**tree, "maxDepth": 8, "minInstancesPerNode": 300, **params})
@@ -102,11 +109,14 @@ def classifier(kind: str, seed: int = 0, **params):
         return RandomForestClassifier(
             **{**tree, "numTrees": 300, "maxDepth": 16, "minInstancesPerNode": 50, "featureSubsetStrategy": "sqrt", **params}
         )
-    boosted = {**tree, "maxIter": 300, "stepSize": 0.06, "maxDepth": 6, "minInstancesPerNode": 200, "validationIndicatorCol": "held_out"}
+    boosted = {**tree, "maxIter": 300, "stepSize": 0.06, "maxDepth": 6, "minInstancesPerNode": 200, "validationIndicatorCol": "held_out",
+               "validationTol": 0.0}
     if kind == "boosting":
         return GBTClassifier(**{**boosted, **params})
     if kind == "stochastic boosting":
-        return GBTClassifier(**{**boosted, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", **params})
+        return GBTClassifier(
+            **{**boosted, "maxIter": 400, "stepSize": 0.05, "minInstancesPerNode": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", **params}
+        )
     raise ValueError(f"unknown technique {kind!r}")
 
 
@@ -163,10 +173,15 @@ class ChurnModel:
 
 
 def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], kind: str = "boosting", seed: int = 0,
-        balanced: bool = False, max_categories: int = 254, min_frequency: int = 10, **params) -> ChurnModel:
-    encoder = RareCategories(categorical, max_categories, min_frequency).fit(train)
+        balanced: bool = False, max_categories: int = 254, min_frequency: int | None = None, **params) -> ChurnModel:
+    linear = kind == "logistic"
+    if min_frequency is None:
+        min_frequency = 50 if linear else 10
+    encoder = RareCategories(categorical, max_categories, min_frequency, unknown=UNKNOWN if linear else MISSING).fit(train)
     x = encoder.transform(prepare(train, numeric, balanced, seed))
-    stages = feature_stages(numeric, categorical, linear=kind == "logistic")
+    if linear and "regParam" not in params:
+        params = {**params, "regParam": 1.0 / max(1, x.count())}  # the inverse penalty 1 of a sum of losses
+    stages = feature_stages(numeric, categorical, linear=linear)
     model = Pipeline(stages=[*stages, classifier(kind, seed, **params)]).fit(x)
     return ChurnModel(encoder, model, list(numeric), list(categorical))
 
@@ -182,6 +197,7 @@ def evaluate_candidates(train: DataFrame, validation: DataFrame, test: DataFrame
         m = fit(train, num, cat, kind, **params).calibrate(validation)
         scored = m.score(scored, f"p{i}")
         names.append((f"p{i}", name, len(num) + len(cat)))
+    scored = materialise(scored, "candidates")  # every metric reads these probabilities
     for col, name, n_vars in names:
         row = ranking_metrics(scored, "target", col).withColumn("model", F.lit(name)).withColumn("n_vars", F.lit(n_vars))
         table = row if table is None else table.unionByName(row)
@@ -224,11 +240,12 @@ def permutation_importance(model: ChurnModel, df: DataFrame, key: str = "row_id"
             *[F.col(v).alias(f"_s_{v}") for v in variables],
         )
         both = placed.join(away, "_rn")
-        for v in variables:
-            shuffled = both.select(key, "target", *[F.col(f"_s_{c}").alias(c) if c == v else F.col(c) for c in variables])
-            variants = variants.unionByName(
-                model.raw(shuffled).select(F.lit(v).alias("variable"), F.lit(k).alias("repeat"), "target", "raw")
-            )
+        # one join and one scoring for all variables: each row comes once with each variable exchanged
+        each = both.withColumn("variable", F.explode(F.array(*[F.lit(v) for v in variables])))
+        shuffled = each.select(
+            key, "target", "variable",
+            *[F.when(F.col("variable") == c, F.col(f"_s_{c}")).otherwise(F.col(c)).alias(c) for c in variables])
+        variants = variants.unionByName(model.raw(shuffled).select("variable", F.lit(k).alias("repeat"), "target", "raw"))
     values = value_table(
         variants.withColumn("p", F.round("raw", SCORE_DIGITS)), "p",
         {"n": F.lit(1).cast("long"), "pos": F.col("target").cast("long")}, ["variable", "repeat"],
@@ -242,7 +259,7 @@ def permutation_importance(model: ChurnModel, df: DataFrame, key: str = "row_id"
 
 
 def shapley_attribution(model: ChurnModel, rows: DataFrame, background: DataFrame, key: str, permutations: int = 20, seed: int = 0) -> DataFrame:
-    """Monte-Carlo Shapley values of a sample of rows, as one scoring job.
+    """Monte-Carlo Shapley values of the (calibrated) score of a sample of rows, as one scoring job.
 
     Every (row, permutation) is paired with one background row; the row's
     values enter in permutation order and each prefix is scored once.  Per
@@ -266,7 +283,8 @@ def shapley_attribution(model: ChurnModel, rows: DataFrame, background: DataFram
     ]
     added = F.when(F.col("step") > 0, F.element_at("_d.order", F.greatest(F.col("step"), F.lit(1))))
     coalitions = x.select(key, F.col("_d.perm").alias("perm"), "step", added.alias("added"), *cols)
-    scored = model.raw(coalitions).select(key, "perm", "step", "added", "raw")
+    scored = model.score(coalitions, "raw") if model.calibration is not None else model.raw(coalitions)
+    scored = scored.select(key, "perm", "step", "added", "raw")
     before = scored.select(key, "perm", (F.col("step") + 1).alias("step"), F.col("raw").alias("_before"))
     gains = scored.join(before, [key, "perm", "step"]).withColumn("gain", F.col("raw") - F.col("_before"))
     names = F.array(*[F.lit(v) for v in variables])

@@ -131,7 +131,7 @@ def spearman_by_area(spark, d):
 @query("spearman_interval")
 def spearman_interval(spark, d):
     s = scores(spark, d)
-    iv = resample.spearman_interval(s, "h", replicates=500)
+    iv = resample.spearman_interval(s, "h", replicates=2000)
     rho = evaluate.spearman_of_areas(evaluate.area_means(s, "h")).select("rho")
     return resample.district_reading(with_row(iv, rho))
 
@@ -145,7 +145,7 @@ def regression_metrics(spark, d):
 
 @query("regression_interval")
 def regression_interval(spark, d):
-    return resample.regression_interval(scores(spark, d), "y", "p", replicates=200)
+    return resample.regression_interval(scores(spark, d), "y", "p", replicates=500)
 
 
 @query("baseline_verdicts", S + """,
@@ -219,8 +219,8 @@ def district_order_reading(spark, d):
 @query("two_cohort_comparison")
 def two_cohort_comparison(spark, d):
     s = scores(spark, d)
-    a = resample.bootstrap(s, replicates=200).withColumn("cohort", F.lit("test"))
-    b = resample.bootstrap(s, y="y2", replicates=200).withColumn("cohort", F.lit("later"))
+    a = resample.bootstrap(s, replicates=500).withColumn("cohort", F.lit("test"))
+    b = resample.bootstrap(s, y="y2", replicates=500).withColumn("cohort", F.lit("later"))
     return resample.keeps_ordering(a.unionByName(b))
 
 

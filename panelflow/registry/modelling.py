@@ -5,23 +5,25 @@ from pyspark.sql import functions as F
 from panelflow.operators import evaluate, resample
 from panelflow.operators.catalogue import scenario_grid, varies_by_district
 from panelflow.operators.clean import clip_to_ranges, training_ranges
-from panelflow.operators.ordered import rank_buckets
+from panelflow.operators.income import attach_income
+from panelflow.operators.ordered import rank_buckets, with_row
 from panelflow.plans import dataset, models
 from panelflow.plans.inputs import HISTORY_SQL, PAIRS_SQL, panel, stored, table, vocabulary
 from panelflow.registry.core import query
 from panelflow.registry.evaluation import r9
 from panelflow.registry.labelling import labelled
-from panelflow.registry.rollups import NATIONS, PROFILES, SEGMENTS, _requests
+from panelflow.registry.rollups import NATIONS, PROFILES, SEGMENTS, _requests, incomes
 from panelflow.session import materialise
 
 USES = {1995: "train", 1996: "train", 1997: "train", 1998: "val", 1999: "test", 2000: "covid"}
-SMALL = {"maxIter": 10, "maxDepth": 3, "minInstancesPerNode": 5}
 _MODELS: dict = {}
 
 
 def data(spark, d):
     def build():
         out = dataset.modelling_dataset(panel(spark, d), USES, 1995, vocabulary(spark, d), fuzzy=True)
+        by_area, by_district = incomes(spark, d)
+        out = attach_income(out, by_area, by_district, "barrio", "district", "cohort")
         return out.withColumn("row_id", F.concat_ws("-", "id", "cohort"))
 
     return stored(spark, d, "dataset", build)
@@ -35,12 +37,11 @@ def features():
     return dataset.HISTORY, dataset.SECTOR + dataset.MACRO + dataset.ACCESS
 
 
-def small_model(spark, d, kind="boosting", **params):
+def model_of(spark, d, kind="boosting", **params):
     num, cat = features()
     key = (spark.sparkContext.applicationId, d, kind, str(sorted(params.items())))
     if key not in _MODELS:
-        p = {**SMALL, **params} if "boosting" in kind else params
-        _MODELS[key] = models.fit(part(spark, d, "train"), num, cat, kind, **p).calibrate(part(spark, d, "val"))
+        _MODELS[key] = models.fit(part(spark, d, "train"), num, cat, kind, **params).calibrate(part(spark, d, "val"))
     return _MODELS[key]
 
 
@@ -122,7 +123,7 @@ def area_regression(spark, d):
     for name, scored, p in (
         ("historical mean", base, "p_mean"), ("persistence", base, "p_persist"),
         ("linear", models.fit_area_regressor(train, cols, "linear").transform(test), "prediction"),
-        ("boosting", models.fit_area_regressor(train, cols, "boosting", maxIter=15).transform(test), "prediction"),
+        ("boosting", models.fit_area_regressor(train, cols, "boosting").transform(test), "prediction"),
     ):
         row = evaluate.regression_metrics(scored, "objective", p).withColumn("model", F.lit(name))
         out = row if out is None else out.unionByName(row)
@@ -132,43 +133,43 @@ def area_regression(spark, d):
 
 @query("technique_logistic")
 def technique_logistic(spark, d):
-    return metrics(small_model(spark, d, "logistic").score(part(spark, d, "test")), "logistic")
+    return metrics(model_of(spark, d, "logistic").score(part(spark, d, "test")), "logistic")
 
 
 @query("technique_logistic_balanced")
 def technique_logistic_balanced(spark, d):
-    return metrics(small_model(spark, d, "logistic", balanced=True).score(part(spark, d, "test")), "balanced logistic")
+    return metrics(model_of(spark, d, "logistic", balanced=True).score(part(spark, d, "test")), "balanced logistic")
 
 
 @query("technique_tree")
 def technique_tree(spark, d):
-    return metrics(small_model(spark, d, "tree", minInstancesPerNode=20).score(part(spark, d, "test")), "tree")
+    return metrics(model_of(spark, d, "tree").score(part(spark, d, "test")), "tree")
 
 
 @query("technique_forest")
 def technique_forest(spark, d):
-    m = small_model(spark, d, "forest", numTrees=20, maxDepth=6, minInstancesPerNode=5)
+    m = model_of(spark, d, "forest")
     return metrics(m.score(part(spark, d, "test")), "forest")
 
 
 @query("technique_boosting")
 def technique_boosting(spark, d):
-    return metrics(small_model(spark, d).score(part(spark, d, "test")), "boosting")
+    return metrics(model_of(spark, d).score(part(spark, d, "test")), "boosting")
 
 
 @query("technique_stochastic_boosting")
 def technique_stochastic_boosting(spark, d):
-    return metrics(small_model(spark, d, "stochastic boosting").score(part(spark, d, "test")), "stochastic boosting")
+    return metrics(model_of(spark, d, "stochastic boosting").score(part(spark, d, "test")), "stochastic boosting")
 
 
 @query("signed_coefficients")
 def signed_coefficients(spark, d):
-    return models.coefficients(small_model(spark, d, "logistic"))
+    return models.coefficients(model_of(spark, d, "logistic"))
 
 
 @query("isotonic_calibration")
 def isotonic_calibration(spark, d):
-    m = small_model(spark, d)
+    m = model_of(spark, d)
     s = m.score(m.raw(part(spark, d, "test"), "raw0"), "p")
     raw = evaluate.ranking_metrics(s, "target", "raw0").select("auc", "brier", F.lit("raw").alias("kind"))
     return raw.unionByName(evaluate.ranking_metrics(s, "target", "p").select("auc", "brier", F.lit("calibrated").alias("kind")))
@@ -176,20 +177,26 @@ def isotonic_calibration(spark, d):
 
 @query("candidate_comparison")
 def candidate_comparison(spark, d):
-    cands = {k: dataset.CANDIDATES[k] for k in ("A sector", "B sector + district", "C sector + district + history")}
-    table_, scored = models.evaluate_candidates(part(spark, d, "train"), part(spark, d, "val"), part(spark, d, "test"), cands, **SMALL)
-    scored = materialise(scored, "candidates")
-    # every candidate against the first one, on the same replicates
-    iv = resample.paired_differences(scored, "p0", ["p1", "p2"], y="target", replicates=100)
-    names = list(cands)
-    label = F.when(F.col("model") == "p1", names[1]).otherwise(names[2])
-    return table_.join(iv.withColumn("model", label), "model", "left")
+    cands = dataset.CANDIDATES
+    table_, scored = models.evaluate_candidates(part(spark, d, "train"), part(spark, d, "val"), part(spark, d, "test"), cands)
+    table_ = materialise(table_, "comparison")  # a row per candidate
+    names = {f"p{i}": name for i, name in enumerate(cands)}
+    leader = table_.agg(F.min_by("model", F.struct(-F.col("lift"), F.col("model")))).first()[0]
+    base = next(c for c, name in names.items() if name == leader)
+    # every candidate against the leader, on the same replicates
+    iv = resample.paired_differences(scored, base, [c for c in names if c != base], y="target", replicates=500)
+    label = F.lit(None).cast("string")
+    for c, name in names.items():
+        label = F.when(F.col("model") == c, name).otherwise(label)
+    iv = materialise(iv.withColumn("model", label), "comparison")
+    champion = resample.choose_champion(table_.select("model", "lift", "n_vars"), iv)
+    return with_row(table_.join(iv, "model", "left"), champion.select("leader", "n_tied", "champion"))
 
 
 @query("ensemble_of_two")
 def ensemble_of_two(spark, d):
-    s = small_model(spark, d).score(part(spark, d, "test"), "pa")
-    s = small_model(spark, d, "logistic").score(s, "pb")
+    s = model_of(spark, d).score(part(spark, d, "test"), "pa")
+    s = model_of(spark, d, "logistic").score(s, "pb")
     return metrics(evaluate.ensemble(s, ["pa", "pb"], "p"), "vote")
 
 
@@ -197,33 +204,33 @@ def ensemble_of_two(spark, d):
 def block_ablation(spark, d):
     num, cat = features()
     return models.ablation(
-        part(spark, d, "train"), part(spark, d, "val"), num, cat, {"history": num, "sector": dataset.SECTOR}, **SMALL
+        part(spark, d, "train"), part(spark, d, "val"), num, cat, {"history": num, "sector": dataset.SECTOR, "district": dataset.MACRO, "access": dataset.ACCESS}
     )
 
 
 @query("permutation_importance")
 def permutation_importance(spark, d):
-    return models.permutation_importance(small_model(spark, d), part(spark, d, "test"), repeats=1)
+    return models.permutation_importance(model_of(spark, d), part(spark, d, "test"))
 
 
 @query("shapley_attribution")
 def shapley_attribution(spark, d):
     test = part(spark, d, "test")
-    sample = test.orderBy(F.xxhash64("row_id"), "row_id").limit(20)
-    return models.shapley_attribution(small_model(spark, d), sample, part(spark, d, "train"), "row_id", permutations=8)
+    sample = test.orderBy(F.xxhash64("row_id"), "row_id").limit(3000)  # the size of the published sample
+    return models.shapley_attribution(model_of(spark, d), sample, test, "row_id", permutations=14)
 
 
 @query("parameter_search")
 def parameter_search(spark, d):
     num, cat = features()
-    space = {"stepSize": [0.03, 0.06, 0.1], "maxDepth": [2, 3], "minInstancesPerNode": [5, 20]}
-    return models.search(part(spark, d, "train"), part(spark, d, "val"), num, cat, space, trials=3, maxIter=5)
+    space = {"stepSize": [0.03, 0.06, 0.1], "maxDepth": [3, 4, 6], "minInstancesPerNode": [50, 100, 200, 300]}
+    return models.search(part(spark, d, "train"), part(spark, d, "val"), num, cat, space)
 
 
 @query("technique_timing")
 def technique_timing(spark, d):
     num, cat = features()
-    return models.time_techniques(part(spark, d, "train"), part(spark, d, "test"), num, cat, {"logistic": {}, "tree": {"minInstancesPerNode": 20}})
+    return models.time_techniques(part(spark, d, "train"), part(spark, d, "test"), num, cat, {"logistic": {}, "tree": {}})
 
 
 @query("scored_universe")
@@ -232,7 +239,7 @@ def scored_universe(spark, d):
     num, _ = features()
     u = u.withColumns({c: F.col(c).cast("double") for c in num})
     u = clip_to_ranges(u, training_ranges(part(spark, d, "train"), num), num)
-    scored = small_model(spark, d).score(u.withColumn("warnings", F.array_join("warnings", ",")))
+    scored = model_of(spark, d).score(u.withColumn("warnings", F.array_join("warnings", ",")))
     return rank_buckets(scored.select("id", "label", "activity", "district", "barrio", "x", "y", "p", "warnings"), "p", "id")
 
 
@@ -245,7 +252,7 @@ def requests_scored(spark, d):
     )
     num, _ = features()
     x = clip_to_ranges(x, training_ranges(part(spark, d, "train"), num), num)
-    scored = small_model(spark, d).score(x.withColumn("warnings", F.array_join("warnings", ",")))
+    scored = model_of(spark, d).score(x.withColumn("warnings", F.array_join("warnings", ",")))
     ref = scored_universe(spark, d).select("p")
     base = part(spark, d, "test").agg(F.avg("target")).scalar()
     out = evaluate.reference_decile(scored, ref, "p")
@@ -261,7 +268,7 @@ def scenario_scores(spark, d):
         "previous_turnovers": F.col("turnovers").cast("double"), "turnover_rate": F.least(F.col("turnovers") / F.greatest("age", F.lit(1.0)), F.lit(1.0)),
         "age_censored": F.lit(0.0),
     })
-    s = small_model(spark, d).score(x).select("activity", "district", "profile", F.round("p", 5).alias("p"))
+    s = model_of(spark, d).score(x).select("activity", "district", "profile", F.round("p", 5).alias("p"))
     return s.join(varies_by_district(s, ["activity", "profile"], "p"), ["activity", "profile"])
 
 
@@ -277,7 +284,7 @@ def requests_scored_stream(spark, d):
         (F.col("user_id") % 3).cast("double").alias("previous_turnovers"), F.lit(0.0).alias("turnover_rate"), F.lit(0.0).alias("age_censored"),
         F.array_compact(F.array(F.when(F.col("value") > 300, "age out of range"))).alias("errors"),
     )
-    scored = small_model(spark, d).score(s).select("id", "activity", "district", "p", "errors")
+    scored = model_of(spark, d).score(s).select("id", "activity", "district", "p", "errors")
     table_ = monitor.run_to_table(scored, "scored-requests")
     ok, bad = monitor.valid_and_side_output(table_)
     return ok.select("id", "p", F.lit("served").alias("kind")).unionByName(bad.select("id", "p", F.lit("rejected").alias("kind")))

@@ -677,10 +677,14 @@ fin AS (SELECT id, anio, hit, coalesce(ia, ib, (SELECT quantile_cont(coalesce(ia
 ATTACH = ATTACH.replace("WITH ", "WITH " + SNAPSHOTS_SQL + ",\n", 1)
 
 
-def _attached(spark, d):
+def incomes(spark, d):
+    """Income by area and year, and by district and year."""
     sections, districts, mapping = _income(spark, d)
-    by_area = income.income_by_area_year(sections, mapping, 1999, 2001)
-    by_district = income.income_by_district_year(districts, mapping, 1999, 2001)
+    return income.income_by_area_year(sections, mapping, 1999, 2001), income.income_by_district_year(districts, mapping, 1999, 2001)
+
+
+def _attached(spark, d):
+    by_area, by_district = incomes(spark, d)
     s = snapshots(spark, d).select(
         "id", "anio", "district", F.concat("district", F.lit("-"), (F.col("id") % 2).cast("string")).alias("area"),
         (F.col("id") % 4 == 0).cast("int").alias("hit"),
