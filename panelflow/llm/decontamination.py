@@ -1,7 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed is a fixed mask over consecutive words: ones are hashed, zeros ignored,
-so a substituted word at a zero leaves the hash as it was.  Hashes of all
+so a substituted word at a zero leaves the hash as it was.  The ones of a mask come in
+pairs, so each pair of neighbouring words is hashed once and a seed hashes a few
+pair hashes.  Hashes of all
 windows of the documents meet those of the benchmark items; around each hit
 the words of document and item are compared on their diagonal, and the pair is
 a leak if at least ``PERCENT`` of the compared words are equal.  All steps are
@@ -19,12 +21,14 @@ leaks; further columns are ignored by the report and kept by the filter.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.llm.store import Store
 
-MASKS = ("11011010011", "10110101101")
+MASKS = ("11011000011", "11000110011")
 SPAN = 11
 LEAST_WORDS = 5
 #: Words compared on either side of a hit.
@@ -39,16 +43,32 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _seeds(w: Column, masks: list[str]) -> Column:
-    """Hashes of all windows, mask after mask."""
+def pair_starts(mask: str) -> list[int]:
+    """Places of the word pairs that cover the ones of a mask; pairs of an odd run overlap."""
+    out: list[int] = []
+    for run in re.finditer("1+", mask):
+        a, b = run.span()
+        if b - a < 2:
+            raise ValueError("the ones of a mask come in runs of two or more")
+        out += [*range(a, b - 1, 2)] + ([b - 2] if (b - a) % 2 else [])
+    return out
+
+
+def _pairs(w: Column) -> Column:
+    """Hashes of neighbouring words."""
+    one = F.array().cast("array<long>")
+    return F.when(F.size(w) >= 2, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))).otherwise(one)
+
+
+def _seeds(q: Column, size: Column, masks: list[str]) -> Column:
+    """Hashes of all windows, mask after mask, from the pair hashes ``q`` of ``size`` words."""
 
-    def of(k: int, mask: str) -> Column:
-        picked = [i for i, c in enumerate(mask) if c == "1"]
+    def of(mask: str) -> Column:
         windows = F.transform(
-            F.sequence(F.lit(1), F.size(w) - (len(mask) - 1)), lambda p: F.xxhash64(F.lit(k), *[F.element_at(w, p + i) for i in picked]))
-        return F.when(F.size(w) >= len(mask), windows).otherwise(F.array().cast("array<long>"))
+            F.sequence(F.lit(0), size - len(mask)), lambda p: F.xxhash64(*[F.get(q, p + i) for i in pair_starts(mask)]))
+        return F.when(size >= len(mask), windows).otherwise(F.array().cast("array<long>"))
 
-    return F.concat(*[of(k, m) for k, m in enumerate(masks)])
+    return F.concat(*[of(m) for m in masks])
 
 
 def _window_position(index: Column, size: Column, masks: list[str]) -> tuple[Column, Column]:
@@ -71,13 +91,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = store.keep(items, "items")
     short = sorted(r["k"] for r in items.select(F.size("iw").alias("k")).where(f"k < {SPAN}").distinct().collect())  # at most SPAN - LEAST_WORDS
     masks = [*MASKS, *("1" * k for k in short)]
-    places = items.withColumn("n", F.size("iw")).select("item_id", "iw", "n", F.posexplode(_seeds(F.col("iw"), masks)).alias("i", "h"))
+    places = items.select("item_id", "iw", F.size("iw").alias("n"), _pairs(F.col("iw")).alias("q"))
+    places = places.select("item_id", "iw", "n", F.posexplode(_seeds(F.col("q"), F.col("n"), masks)).alias("i", "h"))
     p, length = _window_position(F.col("i"), F.col("n"), masks)
     places = store.keep(places.select("item_id", "iw", "n", p.alias("ip"), length.alias("len"), "h").where("len >= least(n, %d)" % SPAN), "seeds")
     seeds = F.broadcast(places) if places.count() <= SMALL_SEEDS else places
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), words(F.col(text_col).cast("string")).alias("dw"))
-    rows = rows.where(F.size("dw") >= LEAST_WORDS).select("*", F.size("dw").alias("dn"), F.posexplode(_seeds(F.col("dw"), masks)).alias("i", "h"))
+    rows = rows.where(F.size("dw") >= LEAST_WORDS).select("*", F.size("dw").alias("dn"), _pairs(F.col("dw")).alias("q"))
+    rows = rows.select("doc_id", "text_key", "dw", "dn", F.posexplode(_seeds(F.col("q"), F.col("dn"), masks)).alias("i", "h"))
     p, _ = _window_position(F.col("i"), F.col("dn"), masks)
     first = F.greatest(F.lit(1), F.col("ip") - AROUND, F.col("ip") - F.col("dp") + 1)
     last = F.least(F.col("n"), F.col("ip") + F.col("len") - 1 + AROUND, F.col("dn") + F.col("ip") - F.col("dp"))
