@@ -107,7 +107,7 @@ WITH t AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, count(*) OVER (PARTITION BY conv_id) AS c FROM t
 ), s AS (
   SELECT *, pos = 1 AND role = 'system' AND c > 1 AS sys,
-    12 + length(replace(replace(replace(role, '\', '\'), '<', '\l'), '|', '\p')) + length(replace(replace(text, '\', '\'), '<', '\l')) AS chars FROM p
+    12 + length(replace(replace(replace(role, '\', '\\'), '<', '\l'), '|', '\p')) + length(replace(replace(text, '\', '\\'), '<', '\l')) AS chars FROM p
 ), z AS (SELECT *, CASE WHEN sys THEN 0 ELSE CAST(ceil(strlen(text) / 4.0) AS BIGINT) + 6 END AS size FROM s),
 a AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY pos) AS e FROM z),
 b AS (SELECT conv_id, pos, chars, e - size AS f, e, 2 * ((e - size) // 1280) + CAST((e - size) // 1280 <> (e - 1) // 1280 AS INT) AS win FROM a WHERE NOT sys),
