@@ -19,9 +19,10 @@ word-shingle sets.  Steps:
    intersection (``_possible``); pairs that cannot reach the threshold fall.
    The others are verified on whole sets.  Buckets whose classes already form
    one component are finished; from the others, classes outside the largest
-   component meet some hubs of it, and what then still is in different
-   components is compared pair by pair.  So every pair that shares a prefix
-   token, passes the bound and could change a component is verified.
+   component meet some hubs of it (those that share most, so the least changed
+   copies), and what then still is in different components meets pair by pair
+   where a shared token stands early enough in both (``_early``).  So every
+   pair that passes the bounds and could change a component is verified.
 
 Defined results: a row with null, empty or word-less text has no shingles and
 links with nothing; so does a row with null id.  A text with fewer words than a
@@ -187,6 +188,21 @@ def _possible(percent: int, shared: str = "shared", x: str = "na", y: str = "nb"
     return _fits(percent, x, y) & ((100 + percent) * (F.col(shared) + left) >= percent * (F.col(x) + F.col(y)))
 
 
+def _early(percent: int, p: str = "pa", x: str = "na", q: str = "pb", y: str = "nb"):
+    """The shared token stands before the part of each set that a link can do without.
+
+    A link needs an intersection of percent / (100 + percent) of both sizes; in
+    either set, its first token has at least so many tokens from its place on.
+    """
+    need = percent * (F.col(x) + F.col(y))
+    return ((100 + percent) * (F.col(x) - F.col(p)) >= need) & ((100 + percent) * (F.col(y) - F.col(q)) >= need)
+
+
+def _reaches(percent: int, p: str, n: str):
+    """``_early`` for the smallest partner that fits."""
+    return 100 * (100 + percent) * (F.col(n) - F.col(p)) >= percent * (100 + percent) * F.col(n)
+
+
 def _judged(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, store: Store) -> DataFrame:
     """Verified ``pairs`` (a, b), from the whole sets of their classes; kept."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -236,19 +252,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = sets.join(heads, "rid", "left_semi").select(F.col("rid").alias("gid"), "rare", "frequent")
     mark = F.bit_xor(F.xxhash64("gid"))
     own = Window.partitionBy("token")
-    rare = first.select("gid", F.explode("rare").alias("token")).select(
-        "gid", F.count("*").over(own).alias("size"), F.min("gid").over(own).alias("hub"), mark.over(own).alias("mark")).where("size > 1")
-    often = store.keep(first.where(F.size("frequent") > 0).select("gid", F.explode("frequent").alias("token")), "frequent")
-    sums = often.groupBy("token").agg(F.count("*").alias("size"), F.min("gid").alias("hub"), mark.alias("mark")).where("size > 1")
-    often = often.join(sums, "token").select("gid", "size", "hub", "mark")
-    index = rare.union(often).groupBy(F.xxhash64("size", "hub", "mark").alias("token"), "gid", "hub").agg(F.count("*").alias("weight"))
+    rare = first.select("gid", F.posexplode("rare").alias("pos", "token")).select(
+        "gid", "pos", F.count("*").over(own).alias("size"), F.min("gid").over(own).alias("least"), mark.over(own).alias("mark")).where("size > 1")
+    often = store.keep(first.where(F.size("frequent") > 0).select("gid", F.size("rare").alias("before"), F.posexplode("frequent").alias("pos", "token")), "frequent")
+    sums = often.groupBy("token").agg(F.count("*").alias("size"), F.min("gid").alias("least"), mark.alias("mark")).where("size > 1")
+    often = often.join(sums, "token").select("gid", (F.col("before") + F.col("pos")).alias("pos"), "size", "least", "mark")
+    index = rare.union(often).groupBy(F.xxhash64("size", "least", "mark").alias("token"), "gid").agg(
+        F.count("*").alias("weight"), F.min("pos").alias("pos"))
     index = store.keep(index, "index")
     store.drop(sets)
 
-    # hub pairs of groups, with the other classes of each group
+    # hub pairs of groups, with the other classes of each group; the hub of a bucket is the member that shares most tokens
+    score = store.keep(index.groupBy("gid").agg(F.sum("weight").alias("score")), "score")
+    hubs = index.join(score, "gid").groupBy("token").agg(F.max_by("gid", F.struct(F.col("score"), -F.col("gid"))).alias("hub"))
     size = classes.where("cid = gid").select(F.col("gid"), "n")
     pairs = (
-        index.where("gid <> hub").groupBy("gid", "hub").agg(F.sum("weight").alias("shared"))
+        index.join(hubs, "token").where("gid <> hub").groupBy("gid", "hub").agg(F.sum("weight").alias("shared"))
         .join(size.withColumnRenamed("n", "na"), "gid")
         .join(size.select(F.col("gid").alias("hub"), F.col("n").alias("nb")), "hub")
         .where(_possible(percent)).select(*_pair("gid", "hub"))
@@ -260,17 +279,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # buckets of classes: those of tokens, and one for each group with several classes
     members = classes.select("gid", "cid", "n")
     entries = (
-        index.select("token", "gid", "weight").join(members, "gid").select("token", "cid", "n", "weight")
-        .union(classes.where("members > 1").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "cid", "n", F.col("n").alias("weight")))
+        index.select("token", "gid", "weight", "pos").join(members, "gid").select("token", "cid", "n", "weight", "pos")
+        .union(classes.where("members > 1").select(
+            F.xxhash64(F.lit("group"), "gid").alias("token"), "cid", "n", F.col("n").alias("weight"), F.lit(0).alias("pos")))
     )
     entries = store.keep(entries, "entries")
+    central = store.keep(entries.groupBy("cid").agg(F.sum("weight").alias("score")), "central")
     store.drop(index)
 
     # classes outside the largest component of a large bucket against some hubs of it
     open_ = _open_buckets(entries, links, store)
-    ranked = Window.partitionBy("token").orderBy(F.xxhash64("cid"))
+    ranked = Window.partitionBy("token").orderBy(F.desc("score"), "cid")
     hubs = (
-        open_.where(f"comp = main AND main_size > {HUBS}").select("token", "cid", "n").withColumn("r", F.row_number().over(ranked))
+        open_.where(f"comp = main AND main_size > {HUBS}").join(central, "cid").select("token", "cid", "n", "score").withColumn("r", F.row_number().over(ranked))
         .where(f"r <= {HUBS}").select("token", F.col("cid").alias("hub"), F.col("n").alias("nb"))
     )
     more = (
@@ -285,15 +306,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.union(second.where("linked").select("a", "b"))
         open_ = _open_buckets(entries, links, store)
 
-    # what is still in different components, pair by pair: all buckets of such a pair are open, so ``shared`` is exact
-    few = open_.where("comp <> main").select("token", F.col("cid").alias("x"), F.col("n").alias("na"), F.col("comp").alias("cx"), "weight")
-    all_ = open_.select("token", F.col("cid").alias("y"), F.col("n").alias("nb"), F.col("comp").alias("cy"), (F.col("comp") == F.col("main")).alias("large"))
+    # what is still in different components, pair by pair
+    few = open_.where("comp <> main").select("token", F.col("cid").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("cx"))
+    all_ = open_.select("token", F.col("cid").alias("y"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cy"),
+                        (F.col("comp") == F.col("main")).alias("large"))
+    # the last place that counts for a partner of equal size or less is the same for all: filtered before the join
+    met = (
+        few.where(_reaches(percent, "pa", "na")).join(all_.where(_reaches(percent, "pb", "nb")), "token")
+        .where((F.col("cx") != F.col("cy")) & (F.col("large") | (F.col("x") < F.col("y"))) & _fits(percent) & _early(percent))
+        .select("x", "y", "na", "nb").distinct()
+    )
+    met = store.keep(met, "met")
+    # all buckets of such a pair are open, so the count of shared tokens is exact
+    own = open_.select("token", F.col("cid").alias("x"), "weight")
+    other = open_.select("token", F.col("cid").alias("y"))
     rest = (
-        few.join(all_, "token").where((F.col("cx") != F.col("cy")) & (F.col("large") | (F.col("x") < F.col("y"))) & _fits(percent))
-        .select(*_pair("x", "y"), F.when(F.col("x") < F.col("y"), F.col("na")).otherwise(F.col("nb")).alias("na"),
-                F.when(F.col("x") < F.col("y"), F.col("nb")).otherwise(F.col("na")).alias("nb"), "weight")
-        .groupBy("a", "b", "na", "nb").agg(F.sum("weight").alias("shared"))
-        .where(_possible(percent)).select("a", "b").join(judged, ["a", "b"], "left_anti")
+        met.join(own, "x").join(other, ["token", "y"]).groupBy("x", "y", "na", "nb").agg(F.sum("weight").alias("shared"))
+        .where(_possible(percent)).select(*_pair("x", "y")).join(judged, ["a", "b"], "left_anti")
     )
     third = _judged(store.keep(rest, "pairs"), docs, classes, percent, store)
     links = links.union(third.where("linked").select("a", "b"))
