@@ -20,6 +20,9 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelflow.operators.clean import (
+    canonical_values, check_unmatched, clip_to_ranges, remap_categories, require_columns, training_ranges,
+)
 from panelflow.operators.evaluate import metrics_from_values, ranking_metrics
 from panelflow.operators.ordered import row_numbers, value_table
 from panelflow.session import materialise
@@ -186,6 +189,24 @@ def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], ki
     return ChurnModel(encoder, model, list(numeric), list(categorical))
 
 
+def checked_score(model: ChurnModel, df: DataFrame, train: DataFrame, out: str = "p") -> DataFrame:
+    """Batch scoring with its checks: columns, category forms, unmatched shares, training ranges.
+
+    Categories are rewritten in their training form; too many without one stop
+    the run.  Numbers are clipped to the training range; ``warnings`` names the
+    clipped ones, separated by commas.
+    """
+    require_columns(df.columns, [*model.categorical, *model.numeric])
+    names = df.columns
+    for c in model.categorical:
+        df = remap_categories(df, canonical_values(train, c), c)
+    df = materialise(df, "remapped")  # checked, then scored
+    check_unmatched(df, model.categorical)
+    df = df.select(*names).withColumns({c: F.col(c).cast("double") for c in model.numeric})
+    df = clip_to_ranges(df, training_ranges(train, model.numeric), model.numeric)
+    return model.score(df.withColumn("warnings", F.array_join("warnings", ",")), out)
+
+
 def evaluate_candidates(train: DataFrame, validation: DataFrame, test: DataFrame,
                         candidates: Mapping[str, tuple[list[str], list[str]]], kind: str = "boosting", **params):
     """Fit, calibrate and measure every feature set; returns (table, scored).

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from panelflow.operators import evaluate, resample
 from panelflow.operators.catalogue import scenario_grid, varies_by_district
-from panelflow.operators.clean import clip_to_ranges, training_ranges
 from panelflow.operators.income import attach_income
 from panelflow.operators.ordered import rank_buckets, with_row
 from panelflow.plans import dataset, models
@@ -236,10 +235,7 @@ def technique_timing(spark, d):
 @query("scored_universe")
 def scored_universe(spark, d):
     u = dataset.scoring_universe(panel(spark, d), 2001, 3, vocabulary(spark, d), fuzzy=True)
-    num, _ = features()
-    u = u.withColumns({c: F.col(c).cast("double") for c in num})
-    u = clip_to_ranges(u, training_ranges(part(spark, d, "train"), num), num)
-    scored = model_of(spark, d).score(u.withColumn("warnings", F.array_join("warnings", ",")))
+    scored = models.checked_score(model_of(spark, d), u, part(spark, d, "train"))
     return rank_buckets(scored.select("id", "label", "activity", "district", "barrio", "x", "y", "p", "warnings"), "p", "id")
 
 
@@ -250,9 +246,7 @@ def requests_scored(spark, d):
         "id", "activity", "division", "district", "access", F.col("age").alias("business_age"), F.col("age").alias("premises_age"),
         F.col("previous_turnovers").cast("double").alias("previous_turnovers"), "turnover_rate", F.lit(0.0).alias("age_censored"),
     )
-    num, _ = features()
-    x = clip_to_ranges(x, training_ranges(part(spark, d, "train"), num), num)
-    scored = model_of(spark, d).score(x.withColumn("warnings", F.array_join("warnings", ",")))
+    scored = models.checked_score(model_of(spark, d), x, part(spark, d, "train"))
     ref = scored_universe(spark, d).select("p")
     base = part(spark, d, "test").agg(F.avg("target")).scalar()
     out = evaluate.reference_decile(scored, ref, "p")

@@ -107,10 +107,9 @@ def daily_drift(spark, d):
     return r9(monitor.window_drift(r.where("k >= 50"), r.where("k < 50"), "activity", "1 day"), "psi")
 
 
-@query("drift_stream")
+@query("drift_stream", PSI_W)
 def drift_stream(spark, d):
-    ref = requests(spark, d).where("k < 50")
-    return monitor.run_each_batch(
-        stream(spark, d).where("k >= 50"), "drift", monitor.drift_of_batch(ref, "activity"),
-        "batch_id long, variable string, psi double, verdict string",
-    )
+    """Counts per day and bin as a stream, judged like ``daily_drift``."""
+    shares = monitor.reference_shares(requests(spark, d).where("k < 50"), "activity")
+    counts = monitor.run_complete(monitor.window_bins(stream(spark, d).where("k >= 50"), shares, "activity", "1 day"), "drift")
+    return r9(monitor.drift_of_windows(counts, shares), "psi")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelflow.functions.numbers import left_closed_bin
 from panelflow.operators import drift
 from panelflow.operators.ordered import exact_quantiles
-from panelflow.session import scratch_path
+from panelflow.session import materialise, scratch_path
 
 # Histogram edges of the returned probability and their names.
 HISTOGRAM_EDGES = (0.0, 0.02, 0.04, 0.06, 0.08, 0.10, 0.15, 1.01)
@@ -97,14 +97,15 @@ def top_per_window(counts: DataFrame, column: str) -> DataFrame:
     ).select("window_start", "window_end", f"t.{column}", "t.n")
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
+def run_to_table(stream: DataFrame, label: str, path: str | None = None, state: str | None = None) -> DataFrame:
     """Process everything available, append to a table and read it back.
 
-    Data and stream state live in the shared folder, so a restarted driver
-    or a lost executor resumes where it was.
+    ``path`` and ``state`` (the stream's checkpoint) belong to the caller: the
+    same pair makes a restarted driver go on where the last run ended.  Without
+    them the run has folders of its own and starts from the beginning.
     """
     spark = stream.sparkSession
-    path, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
+    path, state = path or scratch_path(spark, label), state or scratch_path(spark, f"{label}-state")
     q = (
         stream.writeStream.format("parquet").outputMode("append").option("path", path)
         .option("checkpointLocation", state).trigger(availableNow=True).start()
@@ -113,13 +114,36 @@ def run_to_table(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def run_each_batch(stream: DataFrame, label: str, handle: Callable[[DataFrame, int], DataFrame], schema, mode: str = "append") -> DataFrame:
+def run_complete(counts: DataFrame, label: str, path: str | None = None, state: str | None = None) -> DataFrame:
+    """Run a streaming aggregation over everything available; its result after the last micro-batch.
+
+    Each micro-batch writes the whole result to a folder of its own, so a
+    repeated one replaces itself.  ``path`` and ``state`` as in ``run_to_table``.
+    """
+    spark = counts.sparkSession
+    path, state = path or scratch_path(spark, label), state or scratch_path(spark, f"{label}-state")
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    q = (
+        counts.writeStream.outputMode("complete").foreachBatch(store)
+        .option("checkpointLocation", state).trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    every = spark.read.parquet(path)
+    return every.where(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
+
+
+def run_each_batch(stream: DataFrame, label: str, handle: Callable[[DataFrame, int], DataFrame], schema, mode: str = "append",
+                   path: str | None = None, state: str | None = None) -> DataFrame:
     """Hand every micro-batch to ``handle`` and store what it returns.
 
     Each batch writes its own folder, so a repeated batch replaces itself.
+    ``path`` and ``state`` as in ``run_to_table``.
     """
     spark = stream.sparkSession
-    path, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
+    path, state = path or scratch_path(spark, label), state or scratch_path(spark, f"{label}-state")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         handle(batch, batch_id).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -132,37 +156,31 @@ def run_each_batch(stream: DataFrame, label: str, handle: Callable[[DataFrame, i
     return spark.read.schema(schema).parquet(f"{path}/batch=*")
 
 
-def drift_of_batch(reference: DataFrame, column: str, by_window: str | None = None) -> Callable[[DataFrame, int], DataFrame]:
-    """PSI of one column of a micro-batch against a static reference."""
-
-    def handle(batch: DataFrame, batch_id: int) -> DataFrame:
-        psi = drift.total_psi(drift.psi_categorical(reference, batch, column), column)
-        return psi.select(F.lit(batch_id).cast("long").alias("batch_id"), "variable", "psi", drift.verdict(F.col("psi")).alias("verdict"))
-
-    return handle
-
-
-def window_drift(log: DataFrame, reference: DataFrame, column: str, width: str, ts: str = "ts", top: int = 15) -> DataFrame:
-    """PSI per window against a static reference, all windows in one plan.
-
-    The reference bins (at most top + 1 rows) are broadcast to the windows.
-    """
+def reference_shares(reference: DataFrame, column: str, top: int = 15) -> DataFrame:
+    """(bin, expected) of the reference, at most top + 1 rows, stored: windows and micro-batches reuse them."""
     cats = drift.categories_of(reference, column, top)
-    bins = cats.unionByName(log.sparkSession.range(1).select(F.lit(drift.OTHER).alias("bin")))
+    bins = cats.unionByName(reference.sparkSession.range(1).select(F.lit(drift.OTHER).alias("bin")))
+    v = reference.select(F.coalesce(F.trim(F.col(column).cast("string")), F.lit("nan")).alias("bin"))
+    exp = v.join(F.broadcast(cats.withColumn("_in", F.lit(1))), "bin", "left").groupBy(
+        F.when(F.col("_in") == 1, F.col("bin")).otherwise(drift.OTHER).alias("bin")).agg(F.count("*").alias("_e"))
+    total = reference.agg(F.count("*")).scalar()
+    return materialise(bins.join(exp, "bin", "left").select("bin", F.try_divide(F.coalesce("_e", F.lit(0)), total).alias("expected")), "shares")
 
-    def binned(df):
-        v = df.withColumn("bin", F.coalesce(F.trim(F.col(column).cast("string")), F.lit("nan")))
-        v = v.join(F.broadcast(cats.withColumn("_in", F.lit(1))), "bin", "left")
-        return v.withColumn("bin", F.when(F.col("_in") == 1, F.col("bin")).otherwise(drift.OTHER))
 
-    exp = binned(reference).groupBy("bin").agg(F.count("*").alias("_e"))
-    expected = bins.join(exp, "bin", "left").withColumn("_t", reference.agg(F.count("*")).scalar()).select(
-        "bin", (F.coalesce("_e", F.lit(0)) / F.col("_t")).alias("expected")
-    )
+def window_bins(log: DataFrame, shares: DataFrame, column: str, width: str, ts: str = "ts") -> DataFrame:
+    """(window_start, bin, _o): requests per window and bin; same call for stream and batch."""
     fmt = "yyyy-MM-dd HH:mm:ss"
-    obs = binned(log).groupBy(F.date_format(F.window(ts, width)["start"], fmt).alias("window_start"), "bin").agg(F.count("*").alias("_o"))
+    v = log.withColumn("bin", F.coalesce(F.trim(F.col(column).cast("string")), F.lit("nan")))
+    v = v.join(F.broadcast(shares.select("bin", F.lit(1).alias("_in"))), "bin", "left")
+    v = v.withColumn("bin", F.when(F.col("_in") == 1, F.col("bin")).otherwise(drift.OTHER))
+    return v.groupBy(F.window(ts, width).alias("_w"), "bin").agg(F.count("*").alias("_o")).select(
+        F.date_format(F.col("_w.start"), fmt).alias("window_start"), "bin", "_o")
+
+
+def drift_of_windows(obs: DataFrame, shares: DataFrame) -> DataFrame:
+    """PSI and verdict per window from ``window_bins``; too few requests give no conclusion."""
     totals = obs.groupBy("window_start").agg(F.sum("_o").alias("n"))
-    listed = expected.agg(F.collect_list(F.struct("bin", "expected"))).scalar()  # at most top + 1 entries
+    listed = shares.agg(F.collect_list(F.struct("bin", "expected"))).scalar()  # at most top + 1 entries
     frame = totals.withColumn("_l", listed).withColumn("_b", F.explode("_l")).select("window_start", "n", "_b.bin", "_b.expected")
     j = frame.join(obs, ["window_start", "bin"], "left")
     e = F.greatest("expected", F.lit(drift.FLOOR))
@@ -171,6 +189,12 @@ def window_drift(log: DataFrame, reference: DataFrame, column: str, width: str,
     return out.withColumn("verdict", F.when(F.col("n") < drift.MIN_REQUESTS, "no conclusion").otherwise(drift.verdict(F.col("psi"))))
 
 
+def window_drift(log: DataFrame, reference: DataFrame, column: str, width: str, ts: str = "ts", top: int = 15) -> DataFrame:
+    """PSI per window against a static reference, all windows in one plan."""
+    shares = reference_shares(reference, column, top)
+    return drift_of_windows(window_bins(log, shares, column, width, ts), shares)
+
+
 def valid_and_side_output(scored: DataFrame, errors: str = "errors") -> tuple[DataFrame, DataFrame]:
     """Rows to serve and rows to report, from one scored stream or table."""
     bad: Column = F.size(errors) > 0
