@@ -59,8 +59,8 @@ def ratio_to_base(p: Column | str, base: Column | str) -> Column:
 
 
 def round_half_even(col: Column | str, places: int) -> Column:
-    """Banker's rounding, as the exported tables use it."""
-    return F.bround(_c(col), places)
+    """Banker's rounding, as the exported tables use it; noise past 12 decimals does not break a tie."""
+    return F.bround(F.round(_c(col).cast("double"), 12), places)
 
 
 def request_turnover_rate(turnovers: Column | str, age: Column | str) -> Column:

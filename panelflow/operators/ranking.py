@@ -31,8 +31,8 @@ def search(df: DataFrame, text: str, barrio: str, label: str = "label", area: st
 
 
 def stable_sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """Seeded sample of n rows that does not depend on the file layout."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """Seeded sample of n rows that does not depend on the file layout: the n smallest digests of key and seed."""
+    return df.orderBy(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
 def top_groups(df: DataFrame, filters: dict[str, str], group: str, value: str, n: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panelflow.functions.numbers import right_closed_bin
+from panelflow.functions.numbers import right_closed_bin, round_half_even
 from panelflow.functions.text import normalise
 from panelflow.operators.ordered import exact_quantiles, with_row
 

@@ -306,10 +306,17 @@ def _scored_snapshot(spark, d):
     return rank_buckets(s, "p", "id")
 
 
-@query("area_rollup", AREA + """
-SELECT district, barrio, count(*) AS n, round_even(avg(p), 5) AS mean_risk, round_even(max(p), 5) AS max_risk,
-  round_even(100 * avg(CAST(decile = 10 AS INT)), 2) AS pct_decile_10, round_even(avg(x), 6) AS lon, round_even(avg(y), 6) AS lat, count(x) AS n_with_coordinates
-FROM z GROUP BY 1, 2""")
+def _half_even(x, n):
+    """SQL of ``round_half_even``."""
+    v = f"(CAST(round({x}, 12) AS DECIMAL(28, 12)) * CAST({10**n} AS DECIMAL(8, 0)))"
+    up = f"({v} - floor({v}) > 0.5 OR ({v} - floor({v}) = 0.5 AND CAST(floor({v}) AS BIGINT) % 2 = 1))"
+    return f"CAST(floor({v}) + CAST({up} AS INT) AS DOUBLE) / {10**n}"
+
+
+@query("area_rollup", AREA + f""",
+g AS (SELECT district, barrio, count(*) AS n, avg(p) AS a, max(p) AS b, 100 * avg(CAST(decile = 10 AS INT)) AS c, avg(x) AS d, avg(y) AS e, count(x) AS m FROM z GROUP BY 1, 2)
+SELECT district, barrio, n, {_half_even('a', 5)} AS mean_risk, {_half_even('b', 5)} AS max_risk, {_half_even('c', 2)} AS pct_decile_10,
+  {_half_even('d', 6)} AS lon, {_half_even('e', 6)} AS lat, m AS n_with_coordinates FROM g""")
 def area_rollup(spark, d):
     return rollup.area_rollup(_scored_snapshot(spark, d), ["district", "barrio"])
 
@@ -489,20 +496,35 @@ def hits_with_destination(spark, d):
     return ranking.hits_with_destination(lab, "p", "k", 20, "norm1").select("id", "cohort", "norm", "destination")
 
 
-@query("changed_label_sample")
+KEYED = """, keyed AS (SELECT CAST(id AS VARCHAR) || '-' || CAST(cohort AS VARCHAR) AS k, norm, norm1, rotated, differs, same FROM labelled)"""
+
+
+@query("changed_label_sample", PR + KEYED + " SELECT k, norm, norm1 FROM keyed WHERE differs ORDER BY md5(k || '-7'), k LIMIT 25")
 def changed_label_sample(spark, d):
     lab = labelled(spark, d).where("differs").withColumn("k", F.concat_ws("-", "id", "cohort"))
     return ranking.stable_sample(lab.select("k", "norm", "norm1"), 25, "k", 7)
 
 
-@query("review_samples")
-def review_samples(spark, d):
-    lab = labelled(spark, d, fuzzy=True).withColumn("k", F.concat_ws("-", "id", "cohort")).select("k", "norm", "norm1", "rotated", "differs", "same")
+def _review(spark, d, fuzzy):
+    lab = labelled(spark, d, fuzzy=fuzzy).withColumn("k", F.concat_ws("-", "id", "cohort")).select("k", "norm", "norm1", "rotated", "differs", "same")
     pos = ranking.stable_sample(lab.where("rotated"), 40, "k", 2024).select("k", "norm", "norm1", F.lit("positive").alias("kind"))
     neg = ranking.stable_sample(lab.where("differs and same"), 25, "k", 2024).select("k", "norm", "norm1", F.lit("discarded").alias("kind"))
     return pos.unionByName(neg)
 
 
+@query("review_samples")
+def review_samples(spark, d):
+    return _review(spark, d, True)
+
+
+@query("review_samples_exact", PR + KEYED + """,
+p AS (SELECT k, norm, norm1, 'positive' AS kind FROM keyed WHERE rotated ORDER BY md5(k || '-2024'), k LIMIT 40),
+n AS (SELECT k, norm, norm1, 'discarded' AS kind FROM keyed WHERE differs AND same ORDER BY md5(k || '-2024'), k LIMIT 25)
+SELECT * FROM p UNION ALL SELECT * FROM n""")
+def review_samples_exact(spark, d):
+    return _review(spark, d, False)
+
+
 # ------------------------------------------------------------------ geography
 LON, LAT = geo.lon_lat_sql("x", "y")
 
