@@ -42,8 +42,8 @@ SPREADS = 20.0
 #: Texts of fewer characters get a wider limit.
 SETTLED = 200
 ROWS = 1000
-#: Characters scored at once.
-CHUNK = 2_000_000
+#: Characters counted or scored at once.
+CHUNK = 500_000
 NONE = "und"
 _DISCOUNT = 0.75
 _LETTER = np.array([chr(c).isalpha() for c in range(1 << 16)])
@@ -98,7 +98,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(g):
                 waiting.setdefault(lang, []).append(g)
                 size += len(g)
-            if size > 2_000_000:
+            if size > CHUNK:
                 settle()
                 size = 0
         if sum(len(g) for g, _ in totals.values()) > 4_000_000:  # bounded memory: pass on and begin again

@@ -119,7 +119,7 @@ def encoder(name: str) -> "Encoder":
 class Encoder:
     """Token ids of texts with a bounded memory of the units met before."""
 
-    def __init__(self, name: str, most: int = 700_000) -> None:
+    def __init__(self, name: str, most: int = 300_000) -> None:
         self.library = tokenizer(name)
         self.most = most
         # this normalizer folds case and white space, and its pattern drops the latter
