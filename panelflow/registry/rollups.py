@@ -1,5 +1,8 @@
 """Aggregations, cleaning, text, geography, catalogue and income queries."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.functions import geo
@@ -335,11 +338,11 @@ def counts_long_to_wide(spark, d):
     return rollup.count_pivot(snapshots(spark, d), ["anio"], "division", SEGMENTS)
 
 
-@query("rate_pivot", PR + ",\ntop AS (SELECT activity FROM labelled GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 4)\nSELECT activity, "
+@query("rate_pivot", PR + ",\ntop AS (SELECT activity FROM labelled GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 8)\nSELECT activity, "
        + ", ".join(f"round(avg(target) FILTER (WHERE district = '{v}'), 9) AS {v}" for v in NATIONS)
        + " FROM labelled WHERE activity IN (SELECT activity FROM top) GROUP BY 1")
 def rate_pivot(spark, d):
-    return r9(rollup.rate_pivot(labelled(spark, d), "activity", "district", NATIONS, top=4), *NATIONS)
+    return r9(rollup.rate_pivot(labelled(spark, d), "activity", "district", NATIONS), *NATIONS)
 
 
 @query("area_year_features", SN + """
@@ -447,10 +450,11 @@ def long_equals_wide(spark, d):
     return rollup.long_matches_wide(rollup.wide_to_long(w, "h", WIDE, "block"), w, "h", WIDE, "block")
 
 
-@query("union_of_years", SN + " SELECT id, anio, label FROM snaps WHERE anio = 1996 UNION ALL SELECT id, anio, label FROM snaps WHERE anio = 1998")
+@query("union_of_years", SN + " SELECT id, anio, label FROM snaps")
 def union_of_years(spark, d):
     s = snapshots(spark, d).select("id", "anio", "label")
-    return s.where("anio = 1996").unionByName(s.where("anio = 1998"))
+    years = [s.where(F.col("anio") == y) for y in range(1995, 2002)]
+    return reduce(DataFrame.unionByName, years)
 
 
 @query("top_groups_in_context", SC + """

@@ -14,33 +14,38 @@ from panelflow.registry.rollups import INC, IND
 from panelflow.session import scratch_path
 from panelflow.sources import files, sinks
 
-YEARS = (1996, 1997)
+YEARS = range(1995, 2002)
+HEADER = ("id", "row_key", "sign", "situation", "x_text", "access")
+
+
+def _fields(year):
+    """Columns in the file of a year: odd years lack the access column."""
+    return [c for c in HEADER if c != "access" or year % 2 == 0]
 
 
 def _csv_files(spark, d):
-    """Raw rows of two years as separate semicolon files of different encodings;
-    the second year lacks the access column."""
+    """Raw rows of every year as separate semicolon files of two encodings."""
     raw = raw_rows(spark, d).withColumn("sign", F.concat("label", F.lit(" Ñandú")))
     root = scratch_path(spark, "csv")
     paths = []
-    for year, encoding, drop in zip(YEARS, ("UTF-8", "ISO-8859-1"), ((), ("access",))):
+    for year in YEARS:
+        encoding = "UTF-8" if year % 3 else "ISO-8859-1"
         path = f"{root}/register_{year}_12.csv"
-        out = raw.where(F.col("anio") == year).select("id", "row_key", "sign", "situation", "x_text", "access").drop(*drop)
+        out = raw.where(F.col("anio") == year).select(*_fields(year))
         out.write.options(sep=";", header=True, encoding=encoding, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
         paths.append(path)
     return paths
 
 
 @query("snapshot_csv_files", "WITH " + RAW_SQL + """
-SELECT CAST(id AS VARCHAR) AS id, CAST(row_key AS VARCHAR) AS row_key, label || ' Ñandú' AS sign, CASE WHEN anio = 1996 THEN trim(access) END AS access,
-  anio, CAST(12 AS INT) AS mes FROM raw WHERE anio IN (1996, 1997)""")
+SELECT CAST(id AS VARCHAR) AS id, CAST(row_key AS VARCHAR) AS row_key, label || ' Ñandú' AS sign, CASE WHEN anio % 2 = 0 THEN trim(access) END AS access,
+  anio, CAST(12 AS INT) AS mes FROM raw""")
 def snapshot_csv_files(spark, d):
     out = files.read_snapshot_files(spark, _csv_files(spark, d), ["id", "row_key", "sign"], ["access"])
     return out.withColumn("access", F.trim("access"))
 
 
-@query("csv_header_columns", """SELECT 'register_1996_12.csv' AS file, unnest(['id', 'row_key', 'sign', 'situation', 'x_text', 'access']) AS column
-UNION ALL SELECT 'register_1997_12.csv', unnest(['id', 'row_key', 'sign', 'situation', 'x_text'])""")
+@query("csv_header_columns", " UNION ALL ".join(f"SELECT 'register_{y}_12.csv' AS file, unnest({_fields(y)}) AS column" for y in YEARS))
 def csv_header_columns(spark, d):
     return files.header_table(spark, _csv_files(spark, d))
 
