@@ -178,14 +178,14 @@ def _fits(percent: int, x: str = "na", y: str = "nb"):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def _possible(percent: int, shared: str = "shared", x: str = "na", y: str = "nb"):
+def _possible(percent: int, shared="shared", x: str = "na", y: str = "nb"):
     """Sizes fit, and the tokens ``shared`` by both prefixes leave room for a link.
 
     Past the smaller of two prefix ends, the intersection holds at most what
     that document has left; all of it before is in both prefixes.
     """
     left = F.greatest(*[F.ceil(F.col(n) * percent / 100) for n in (x, y)]) - 1
-    return _fits(percent, x, y) & ((100 + percent) * (F.col(shared) + left) >= percent * (F.col(x) + F.col(y)))
+    return _fits(percent, x, y) & ((100 + percent) * ((F.col(shared) if isinstance(shared, str) else shared) + left) >= percent * (F.col(x) + F.col(y)))
 
 
 def _early(percent: int, p: str = "pa", x: str = "na", q: str = "pb", y: str = "nb"):
@@ -307,13 +307,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_ = _open_buckets(entries, links, store)
 
     # what is still in different components, pair by pair
-    few = open_.where("comp <> main").select("token", F.col("cid").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("cx"))
-    all_ = open_.select("token", F.col("cid").alias("y"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cy"),
-                        (F.col("comp") == F.col("main")).alias("large"))
+    scored = open_.join(central, "cid")  # no pair shares more tokens than either class shares with all others
+    few = scored.where("comp <> main").select(
+        "token", F.col("cid").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("cx"), F.col("score").alias("sx"))
+    all_ = scored.select(
+        "token", F.col("cid").alias("y"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cy"), F.col("score").alias("sy"),
+        (F.col("comp") == F.col("main")).alias("large"))
     # the last place that counts for a partner of equal size or less is the same for all: filtered before the join
     met = (
         few.where(_reaches(percent, "pa", "na")).join(all_.where(_reaches(percent, "pb", "nb")), "token")
-        .where((F.col("cx") != F.col("cy")) & (F.col("large") | (F.col("x") < F.col("y"))) & _fits(percent) & _early(percent))
+        .where((F.col("cx") != F.col("cy")) & (F.col("large") | (F.col("x") < F.col("y"))) & _early(percent)
+               & _possible(percent, F.least("sx", "sy")))
         .select("x", "y", "na", "nb").distinct()
     )
     met = store.keep(met, "met")
