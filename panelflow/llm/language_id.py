@@ -3,11 +3,15 @@
 Texts are lower-cased, runs of other characters than letters become one space,
 and every character is scored in the context of the three before it.  Spark
 counts the four-character grams of all training rows per language (partly
-summed in each task, then added up); the ``MAX_GRAMS`` most frequent, shared
-evenly by the languages, make the models.  Each model is a set of sorted arrays
-of gram hashes with discounted probabilities and back-off weights, so its size
-is bounded whatever the corpus.  The language with the lowest cross-entropy per
-character wins.
+summed in each task, then added up), and all of them make the models.  The
+language with the lowest cross-entropy per character wins.
+
+Up to ``HELD_GRAMS`` grams in all, each model is a set of sorted arrays of gram
+hashes with discounted probabilities and back-off weights, held by every task.
+Beyond, Spark derives the same figures as stored tables per order, gives each
+distinct gram of the scored texts its bits by joins with them, and sums them per
+text: the results are equal but for the rounding of sums, and the tables grow
+with the corpus.
 
 ``CALIBRATION_ROWS`` training rows (about; chosen by a hash of their id and
 kept out of the counts) set the temperature of the score and, per language, the
@@ -28,14 +32,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.llm.store import batch_rows
+from panelflow.llm.store import Store, batch_rows
 from panelflow.llm.units import by_bytes
 
 ORDER = 4
-MAX_GRAMS = 1_200_000
+#: Models of more grams stay in tables; decides where the work is done, not the result.
+HELD_GRAMS = 1_200_000
 CALIBRATION_ROWS = 2000
 LEAST_SCORE = 0.5
 SPREADS = 20.0
@@ -177,17 +182,20 @@ class Identifier:
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and rejection of each text."""
-        sizes, bits = self.entropies(texts)
+        return self.decide(*self.entropies(texts))
+
+    def decide(self, sizes: np.ndarray, bits: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and rejection from the characters scored and the bits per character."""
         if not self.langs:
-            return [NONE] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        best = bits.argmin(axis=1) if len(texts) else np.zeros(0, np.int64)
+            return [NONE] * len(sizes), np.zeros(len(sizes)), np.ones(len(sizes), bool)
+        best = bits.argmin(axis=1) if len(sizes) else np.zeros(0, np.int64)
         odds = np.exp(-self.scale * np.sqrt(np.maximum(sizes, 1))[:, None] * (bits - bits.min(axis=1, keepdims=True)))
         some = sizes > 0
         score = np.where(some, 1.0 / odds.sum(axis=1), 0.0)
         reject = ~some | (score < LEAST_SCORE)
         if self.mean is not None:
             room = SPREADS * self.spread[best] * np.sqrt(1 + SETTLED / np.maximum(sizes, 1))
-            reject |= bits[np.arange(len(texts)), best] > self.mean[best] + room
+            reject |= bits[np.arange(len(sizes)), best] > self.mean[best] + room
         return [self.langs[b] if s else NONE for b, s in zip(best, some)], score, reject
 
     def calibrate(self, langs: list[str], sizes: np.ndarray, bits: np.ndarray) -> None:
@@ -214,13 +222,92 @@ class Identifier:
                 self.mean[i], self.spread[i] = mine.mean(), max(mine.std(), 0.1)
 
 
+def _low(gram: Column, k: int) -> Column:
+    """The last ``k`` characters of packed grams."""
+    return gram if k == ORDER else gram.bitwiseAND(F.lit((1 << 16 * k) - 1))
+
+
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct grams of each text with their counts."""
+    for batch in batches:
+        numbers, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for a, b in by_bytes([t or "" for t in texts], CHUNK):
+            each = [np.unique(grams(t), return_counts=True) for t in texts[a:b]]
+            yield pa.RecordBatch.from_pydict({
+                "row": pa.array(np.repeat(np.array(numbers[a:b], np.int64), [len(g) for g, _ in each])),
+                "gram": pa.array(np.concatenate([g for g, _ in each]).view(np.int64)),
+                "n": pa.array(np.concatenate([n for _, n in each]).astype(np.int64))})
+
+
+class Tables:
+    """The models of all languages as stored tables; ``limits`` has languages and calibration."""
+
+    def __init__(self, counts: DataFrame, langs: list[str], store: Store) -> None:
+        self.limits, self.store = Identifier(langs, []), store
+        orders = [counts.select("lang", "gram", F.col("n").cast("double").alias("c"))]
+        for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct characters to the left
+            low = orders[0].groupBy("lang", _low(F.col("gram"), k).alias("gram")).agg(F.count("*").cast("double").alias("c"))
+            orders.insert(0, store.keep(low, "lower"))
+        self.floors = {r["lang"]: 1.0 / (r["n"] + 1) for r in orders[0].groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        self.parts, self.weights = [], []
+        for own in orders:
+            own = own.withColumn("context", F.shiftrightunsigned("gram", 16))
+            sums = store.keep(own.groupBy("lang", "context").agg(
+                F.sum("c").alias("total"), (F.sum(F.least("c", F.lit(_DISCOUNT))) / F.sum("c")).alias("weight")), "contexts")
+            part = F.greatest(F.col("c") - _DISCOUNT, F.lit(0.0)) / F.col("total")
+            self.parts.append(store.keep(own.join(sums, ["lang", "context"]).select("lang", "gram", part.alias("part")), "parts"))
+            self.weights.append(sums.select("lang", "context", "weight"))
+
+    def bits(self, kinds: DataFrame) -> DataFrame:
+        """(gram, b0, b1, ...): bits of distinct grams under each language."""
+        lows = [kinds]
+        for k in range(ORDER - 1, 0, -1):
+            lows.insert(0, self.store.keep(lows[0].select(_low(F.col("gram"), k).alias("gram")).distinct(), "kinds"))
+        p = kinds.sparkSession.createDataFrame(sorted(self.floors.items()), "lang string, p double")
+        for k, own in enumerate(lows):
+            own = own.withColumn("context", F.shiftrightunsigned("gram", 16))
+            own = own.withColumn("low", _low(F.col("gram"), k)).join(p.withColumnRenamed("gram", "low"), "low") if k else own.crossJoin(F.broadcast(p))
+            own = own.join(self.weights[k], ["lang", "context"], "left").join(self.parts[k], ["lang", "gram"], "left")
+            p = self.store.keep(own.select("lang", "gram", (F.coalesce("weight", F.lit(1.0)) * F.col("p") + F.coalesce("part", F.lit(0.0))).alias("p")), "p")
+        return p.groupBy("gram").agg(*[F.max(F.when(F.col("lang") == x, -F.log2("p"))).alias(f"b{i}") for i, x in enumerate(self.limits.langs)])
+
+    def entropies(self, rows: DataFrame) -> DataFrame:
+        """(row, size, bits): characters scored, and bits per character, of every text of ``rows`` (row, text) with a letter."""
+        with batch_rows(rows.sparkSession, ROWS):
+            own = self.store.keep(rows.mapInArrow(_kinds, "row long, gram long, n long"), "grams")
+        bits = self.store.keep(self.bits(self.store.keep(own.select("gram").distinct(), "kinds")), "bits")
+        sums = [F.sum(F.col("n") * F.col(f"b{i}")) / F.sum("n") for i in range(len(self.limits.langs))]
+        return self.store.keep(own.join(bits, "gram").groupBy("row").agg(F.sum("n").alias("size"), F.array(*sums).alias("bits")), "entropies")
+
+    def judge(self, docs: DataFrame, text: Column, carry: list[str]) -> DataFrame:
+        """(doc, lang_pred, score, rejected): ``doc`` is a struct of the columns ``carry``."""
+        rows = self.store.keep(docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), text.alias("text"),
+                                           F.monotonically_increasing_id().alias("row")), "rows")
+        found = rows.select("doc", "row").join(self.entropies(rows.select("row", "text")), "row", "left").select("doc", "size", "bits")
+        limits = self.limits
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes = np.array([n or 0 for n in batch.column(1).to_pylist()], np.int64)
+                none = [0.0] * len(limits.langs)
+                bits = np.array([b or none for b in batch.column(2).to_pylist()]).reshape(len(sizes), len(limits.langs))
+                lang, score, reject = limits.decide(sizes, bits)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(reject, pa.bool_())],
+                    names=["doc", "lang_pred", "score", "rejected"])
+
+        kept = found.select("doc").schema
+        return found.mapInArrow(run, kept.add("lang_pred", "string").add("score", "double").add("rejected", "boolean"))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier:
-    """Counts, models and calibration from the rows that are not held out."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: int = HELD_GRAMS) -> Identifier | Tables:
+    """Counts, models and calibration from the rows that are not held out; tables if there are more than ``held`` grams."""
     spark = docs.sparkSession
+    store = Store(spark, "language")
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     every = max(4, rows.select("id").count() // CALIBRATION_ROWS)
@@ -230,18 +317,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             rows.where(~apart).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
             .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         )
-        names = sorted(r["lang"] for r in rows.select("lang").distinct().collect())  # label values
-        share = MAX_GRAMS // max(1, len(names))
-        best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-        table = counts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= share).select("lang", "gram", "n").toArrow()
+        counts = store.keep(counts, "counts")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # label values
+    sample = rows.where(apart).select("lang", "text")
+    if counts.count() > held:
+        tables = Tables(counts, langs, store)
+        sample = store.keep(sample.withColumn("row", F.monotonically_increasing_id()), "sample")
+        seen = tables.entropies(sample.select("row", "text")).join(sample.select("row", "lang"), "row").select("lang", "size", "bits").toArrow()
+        _calibrate(tables.limits, seen)
+        return tables
+    table = counts.toArrow()
     found = np.array(table.column("lang").to_pylist(), dtype=object)
     g = table.column("gram").to_numpy().view(np.uint64)
     n = table.column("n").to_numpy()
-    langs = [x for x in names if (found == x).any()]
     out = Identifier(langs, [kneser_ney(*_sorted(g[found == x], n[found == x])) for x in langs])
     if not langs:
         return out
-    sample = rows.where(apart).select("lang", "text")
     # scored where the rows are; only sizes and entropies come back
     shared = spark.sparkContext.broadcast(out)
 
@@ -252,17 +343,24 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     with batch_rows(spark, ROWS):
         seen = sample.mapInArrow(score, "lang string, size long, bits array<double>").toArrow()
-    out.calibrate(seen.column("lang").to_pylist(), seen.column("size").to_numpy(), np.array(seen.column("bits").to_pylist()).reshape(-1, len(langs)))
+    _calibrate(out, seen)
     return out
 
 
+def _calibrate(model: Identifier, seen: pa.Table) -> None:
+    bits = np.array(seen.column("bits").to_pylist()).reshape(-1, len(model.langs))
+    model.calibrate(seen.column("lang").to_pylist(), seen.column("size").to_numpy(), bits)
+
+
 def _sorted(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(g)
     return g[order], n[order]
 
 
-def identify(docs: DataFrame, model: Identifier, carry: list[str], text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Identifier | Tables, carry: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``carry`` of ``docs`` with lang_pred, score and rejected."""
+    if isinstance(model, Tables):
+        return model.judge(docs, F.col(text_col).cast("string"), carry).select(*[F.col(f"doc.`{c}`") for c in carry], "lang_pred", "score", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).cast("string").alias("text__"))
 
@@ -278,9 +376,13 @@ def identify(docs: DataFrame, model: Identifier, carry: list[str], text_col: str
     return docs.mapInArrow(run, kept.add("lang_pred", "string").add("score", "double").add("rejected", "boolean"))
 
 
-def filter_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def filter_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                      held: int = HELD_GRAMS) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their columns; learns from ``docs`` itself."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col))
+    model = train(docs, id_col, text_col, lang_col, held)
+    if isinstance(model, Tables):
+        return model.judge(docs, F.col(text_col).cast("string"), docs.columns).where("NOT rejected").select("doc.*")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

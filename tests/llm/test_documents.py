@@ -212,6 +212,32 @@ def test_language_id(spark):
     assert kept.where("doc_id < 1000").count() > 390
 
 
+def test_language_models_hold_every_gram(spark):
+    import random
+
+    rng = random.Random(5)
+    letters = "".join(chr(0x4E00 + i) for i in range(400))
+    data = [(i, edge.prose(rng, 60, letters if i % 2 else letters[200:]), "aa" if i % 2 else "bb") for i in range(120)]
+    data += [(500, None, "aa"), (None, "12", "bb"), (501, edge.prose(rng, 30, letters), None), (501, edge.prose(rng, 30, "xyz"), None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    held = language_id.train(df)
+    tables = language_id.train(df, held=10)
+    assert isinstance(held, language_id.Identifier) and isinstance(tables, language_id.Tables)
+    for i, lang in enumerate(held.langs):  # whole tables: as many grams as the in-memory model of all rows
+        assert [t.where(F.col("lang") == lang).count() for t in tables.parts] == [len(g) for g in held.models[i].grams]
+    assert np.allclose(tables.limits.mean, held.mean) and np.allclose(tables.limits.spread, held.spread) and tables.limits.scale == held.scale
+    key = lambda r: (str(r.doc_id), str(r.text))
+    got = sorted(language_id.identify(df, tables, ["doc_id", "text"]).collect(), key=key)
+    want = sorted(language_id.identify(df, held, ["doc_id", "text"]).collect(), key=key)
+    assert len(got) == len(data)
+    for a, b in zip(got, want):
+        assert (a.doc_id, a.text, a.lang_pred, a.rejected) == (b.doc_id, b.text, b.lang_pred, b.rejected) and abs(a.score - b.score) < 1e-9
+    kept = language_id.filter_identified(df, held=10)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=edge.key) == sorted(map(tuple, language_id.filter_identified(df).collect()), key=edge.key)
+    assert language_id.identify(df.limit(0), tables, ["doc_id"]).count() == 0
+
+
 def test_kneser_ney_sums_to_one():
     texts = ["abba cab", "bab acca", "cab"]
     g, n = np.unique(np.concatenate([language_id.grams(t) for t in texts]), return_counts=True)
