@@ -13,11 +13,14 @@ distinct gram of the scored texts its bits by joins with them, and sums them per
 text: the results are equal but for the rounding of sums, and the tables grow
 with the corpus.
 
-``CALIBRATION_ROWS`` training rows (about; chosen by a hash of their id and
-kept out of the counts) set the temperature of the score and, per language, the
-mean and spread of its cross-entropy.  A document is rejected if its score is
-under ``LEAST_SCORE`` or its cross-entropy lies beyond ``SPREADS`` spreads
-(wider for short texts).
+``CALIBRATION_ROWS`` training rows of each language (about, a fourth of its rows
+at most; chosen by a hash of their id and kept out of the counts) set the
+temperature of the score and, per language, the median of its cross-entropy and
+the excess over it that ``FALSE_REJECTS`` of these rows pass.  The excess shrinks
+with the square root of ``1 + SETTLED / characters``, as short texts vary more.
+A document is rejected if its score is under ``LEAST_SCORE`` or its excess above
+that limit.  A language with fewer than ``LEAST_ROWS`` such rows takes the
+highest median and limit of the others, or of all rows if there are no others.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0
 and rejected.  Equal cross-entropies take the language first by name.  Without
@@ -41,9 +44,14 @@ from panelflow.llm.units import by_bytes
 ORDER = 4
 #: Models of more grams stay in tables; decides where the work is done, not the result.
 HELD_GRAMS = 1_200_000
-CALIBRATION_ROWS = 2000
+#: Of each language.
+CALIBRATION_ROWS = 1000
+LEAST_ROWS = 20
 LEAST_SCORE = 0.5
-SPREADS = 20.0
+#: Share of a language's calibration rows that its limit rejects.
+FALSE_REJECTS = 0.002
+#: Limit where the rows hardly differ, in bits.
+LEAST_ROOM = 0.1
 #: Texts of fewer characters get a wider limit.
 SETTLED = 200
 ROWS = 1000
@@ -161,8 +169,8 @@ class Identifier:
     langs: list[str]
     models: list[Model]
     scale: float = 1.0
-    mean: np.ndarray | None = None
-    spread: np.ndarray | None = None
+    middle: np.ndarray | None = None
+    limit: np.ndarray | None = None
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Characters scored, and bits per character under every language, of each text."""
@@ -193,13 +201,12 @@ class Identifier:
         some = sizes > 0
         score = np.where(some, 1.0 / odds.sum(axis=1), 0.0)
         reject = ~some | (score < LEAST_SCORE)
-        if self.mean is not None:
-            room = SPREADS * self.spread[best] * np.sqrt(1 + SETTLED / np.maximum(sizes, 1))
-            reject |= bits[np.arange(len(sizes)), best] > self.mean[best] + room
+        if self.limit is not None:
+            reject |= _excess(sizes, bits[np.arange(len(sizes)), best], self.middle[best]) > self.limit[best]
         return [self.langs[b] if s else NONE for b, s in zip(best, some)], score, reject
 
     def calibrate(self, langs: list[str], sizes: np.ndarray, bits: np.ndarray) -> None:
-        """Temperature, and mean and spread of the entropy of each language, from labelled rows."""
+        """Temperature, and middle and largest excess of the entropy of each language, from labelled rows."""
         index = {x: i for i, x in enumerate(self.langs)}
         rows = [i for i, x in enumerate(langs) if sizes[i] > 0 and x in index]
         if not rows:
@@ -214,12 +221,21 @@ class Identifier:
 
         self.scale = min((0.25 * 2.0**i for i in range(8)), key=loss)
         own = bits[np.arange(len(true)), true]
-        usual = np.median(own)
-        self.mean, self.spread = np.full(len(self.langs), usual), np.full(len(self.langs), 1.0)
-        for i in range(len(self.langs)):
-            mine = own[(true == i) & (sizes >= SETTLED)]
-            if len(mine) >= 5:
-                self.mean[i], self.spread[i] = mine.mean(), max(mine.std(), 0.1)
+        mine = [np.flatnonzero(true == i) for i in range(len(self.langs))]
+        known = [m if len(m) >= LEAST_ROWS else None for m in mine]
+        some = [m for m in known if m is not None] or [np.arange(len(true))]
+        found = []
+        for m in some:
+            middle = np.median(own[m])
+            found.append((middle, max(LEAST_ROOM, np.quantile(_excess(sizes[m], own[m], middle), 1 - FALSE_REJECTS, method="higher"))))
+        most = tuple(np.max(found, axis=0))
+        left = iter(found)
+        self.middle, self.limit = np.array([most if m is None else next(left) for m in known]).T
+
+
+def _excess(sizes: np.ndarray, bits: np.ndarray, middle: np.ndarray | float) -> np.ndarray:
+    """Bits above the middle, in the measure of long texts."""
+    return (bits - middle) / np.sqrt(1 + SETTLED / np.maximum(sizes, 1))
 
 
 def _low(gram: Column, k: int) -> Column:
@@ -310,8 +326,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     store = Store(spark, "language")
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
-    every = max(4, rows.select("id").count() // CALIBRATION_ROWS)
-    apart = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(every)) == 0
+    every = store.keep(rows.groupBy("lang").agg(F.greatest(F.lit(4), F.floor(F.count("*") / CALIBRATION_ROWS)).cast("long").alias("every")), "every")
+    rows = rows.join(F.broadcast(every), "lang")  # one row per label
+    apart = F.pmod(F.xxhash64(F.col("id").cast("string")), F.col("every")) == 0
     with batch_rows(spark, ROWS):
         counts = (
             rows.where(~apart).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")

@@ -225,7 +225,7 @@ def test_language_models_hold_every_gram(spark):
     assert isinstance(held, language_id.Identifier) and isinstance(tables, language_id.Tables)
     for i, lang in enumerate(held.langs):  # whole tables: as many grams as the in-memory model of all rows
         assert [t.where(F.col("lang") == lang).count() for t in tables.parts] == [len(g) for g in held.models[i].grams]
-    assert np.allclose(tables.limits.mean, held.mean) and np.allclose(tables.limits.spread, held.spread) and tables.limits.scale == held.scale
+    assert np.allclose(tables.limits.middle, held.middle) and np.allclose(tables.limits.limit, held.limit) and tables.limits.scale == held.scale
     key = lambda r: (str(r.doc_id), str(r.text))
     got = sorted(language_id.identify(df, tables, ["doc_id", "text"]).collect(), key=key)
     want = sorted(language_id.identify(df, held, ["doc_id", "text"]).collect(), key=key)
@@ -238,6 +238,24 @@ def test_language_models_hold_every_gram(spark):
     assert language_id.identify(df.limit(0), tables, ["doc_id"]).count() == 0
 
 
+def test_language_rejection(spark):
+    import random
+
+    rng = random.Random(7)
+    words = {x: [edge.prose(rng, 1, letters) for _ in range(150)] for x, letters in
+             {"aa": "aeiklmnost", "bb": "aeioubdgrtn", "rare": "aehopqrsty", "none": "cvwxyzjfu"}.items()}
+    text = lambda x, n=80: " ".join(rng.choice(words[x]) for _ in range(n))
+    data = [(i, text("aa" if i % 2 else "bb", rng.choice((15, 80, 300))), "aa" if i % 2 else "bb") for i in range(1200)]
+    data += [(2000 + i, text("rare"), "rare") for i in range(40)]
+    data += [(3000 + i, text("none"), None) for i in range(20)]  # a language without rows
+    data += [(4000 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.choice((80, 400)))), None) for i in range(20)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    out = {r.doc_id: r for r in language_id.identify(df, language_id.train(df), ["doc_id"]).collect()}
+    assert all(out[i].rejected for i in out if i >= 3000)
+    assert sum(out[i].rejected for i in range(1200)) <= 12
+    assert sum(out[2000 + i].rejected for i in range(40)) <= 2
+
+
 def test_kneser_ney_sums_to_one():
     texts = ["abba cab", "bab acca", "cab"]
     g, n = np.unique(np.concatenate([language_id.grams(t) for t in texts]), return_counts=True)
