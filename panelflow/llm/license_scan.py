@@ -5,10 +5,15 @@ both are anchors, the longest increasing subsequence of their places is kept,
 and the gaps between anchors are aligned the same way.  Coverage is the share of
 the template's words so matched, in order.
 
-A text may hold several notices, so the alignment runs in regions: wherever one
-of the template's ``KEYS`` longest words occurs, the place a whole notice would
-take there, with ``SLACK`` of its length to either side.  Regions with nearly
-the same place are one; of overlapping finds of one template the best stays.
+A text may hold several notices, so the alignment runs in regions.  A notice
+takes up to its template's length and ``SLACK`` of it twice; regions are wider by
+a step and begin at every step, so each such notice lies whole in one.  Those
+that cannot reach the coverage are left out: as it lets few of the template's
+words be missing, one of the longest words that together occur more often than
+that (the seeds) is in every notice, and so are enough of its words in any
+order.  All other regions are aligned, each also without its end, where a second
+notice may begin.  If the words before or behind a gap of more than ``SLACK`` reach
+the coverage alone, only they are the find.  Of overlapping finds of one template the best stays.
 
 Defined results: null and empty texts have no finds; so has a template without
 words.  Repeated rows are scanned each; further columns are ignored unless
@@ -17,6 +22,7 @@ carried; empty tables give no finds.  Whole texts are scanned, however long.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -27,7 +33,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 COVERAGE = 0.8
-KEYS = 3
 SLACK = 0.3
 _WORD = re.compile(r"[^\W_]+")
 
@@ -122,41 +127,67 @@ class Template:
     def __init__(self, license: str, text: str) -> None:
         self.license = license
         self.words, _ = words(text)
-        places = {w: i for i, w in enumerate(self.words)}
-        self.keys = sorted(places, key=lambda w: (-len(w), w))[:KEYS]
-        self.offsets = {w: [i for i, x in enumerate(self.words) if x == w] for w in self.keys}
-
-
-def finds(text: str | None, templates: list[Template], least: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
-    """(license, coverage, start, end, matched words) of every notice in the text."""
+        self.counts = Counter(self.words)
+        self.step = max(1, max(2, int(SLACK * len(self.words))) // 2)
+        self.width = len(self.words) + 2 * max(2, int(SLACK * len(self.words))) + self.step
+
+    def seeds(self, least: float) -> list[str]:
+        """The longest words, one of which is in every notice with the coverage ``least``."""
+        spare = len(self.words) - math.ceil(least * len(self.words))
+        out = []
+        for w in sorted(self.counts, key=lambda w: (-len(w), w)):
+            if spare < 0:
+                break
+            out.append(w)
+            spare -= self.counts[w]
+        return out
+
+    def shared(self, counts: Counter) -> int:
+        """Words of the template that a text with these words can match at most."""
+        return sum(min(n, counts[w]) for w, n in self.counts.items() if w in counts)
+
+
+def finds(text: str | None, templates: list[Template], least: float = COVERAGE,
+          seeds: list[list[str]] | None = None) -> list[tuple[str, float, int, int, int]]:
+    """(license, coverage, start, end, matched words) of every notice in the text; ``seeds`` of each template, if they are at hand."""
     if not text:
         return []
     low = text.lower()
-    likely = [t for t in templates if t.words and any(k in low for k in t.keys)]
+    seeds = [t.seeds(least) for t in templates] if seeds is None else seeds
+    likely = [(t, own) for t, own in zip(templates, seeds) if t.words and any(k in low for k in own)]
     if not likely:
         return []
     ws, spans = words(text)
+    counts = Counter(ws)
+    likely = [(t, own) for t, own in likely if t.shared(counts) >= least * len(t.words)]
     places: dict[str, list[int]] = {}
-    wanted = {k for t in likely for k in t.keys}
+    wanted = {k for _, own in likely for k in own}
     for i, w in enumerate(ws):
         if w in wanted:
             places.setdefault(w, []).append(i)
     out = []
-    for t in likely:
-        size, slack = len(t.words), max(2, int(SLACK * len(t.words)))
-        starts = sorted({p - o for k in t.keys for p in places.get(k, ()) for o in t.offsets[k]})
-        last = None
+    for t, keys in likely:
+        size = len(t.words)
+        starts = {k * t.step for w in keys for p in places.get(w, ()) for k in range(max(0, (p - t.width) // t.step + 1), p // t.step + 1)}
+        tried = set()
         own = []
-        for s in starts:
-            if last is not None and s - last <= slack // 2:
-                continue
-            last = s
-            lo, hi = max(0, s - slack), min(len(ws), s + size + slack)
-            if sum(k in ws[lo:hi] for k in t.keys) * 2 < len(t.keys):
+        for s in sorted(starts):
+            if t.shared(Counter(ws[s : s + t.width])) < least * size:
                 continue
-            got = patience(t.words, ws[lo:hi])
-            if got and len(got) >= least * size:
-                own.append((len(got) / size, len(got), lo + got[0][1], lo + got[-1][1]))
+            for lo, hi in ((s, min(len(ws), s + t.width)), (s, min(len(ws), s + size + 2 * t.step))):
+                while lo < hi and ws[lo] not in t.counts:
+                    lo += 1
+                while lo < hi and ws[hi - 1] not in t.counts:
+                    hi -= 1
+                if (lo, hi) in tried:
+                    continue
+                tried.add((lo, hi))
+                got = patience(t.words, ws[lo:hi])
+                cuts = [i for i in range(1, len(got)) if got[i][1] - got[i - 1][1] > 2 * t.step + 1]
+                core = max((got[i:k] for i, k in zip([0, *cuts], [*cuts, len(got)])), key=len)
+                got = core if len(core) >= least * size else got
+                if got and len(got) >= least * size:
+                    own.append((len(got) / size, len(got), lo + got[0][1], lo + got[-1][1]))
         used: list[tuple[int, int]] = []
         for cover, n, a, b in sorted(own, key=lambda x: (-x[0], x[3] - x[2], x[2])):
             if all(b < c or a > d for c, d in used):
@@ -169,6 +200,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, carry:
          text_col: str = "text") -> DataFrame:
     """Columns ``carry`` with license, coverage, start, end (code points) and matched words; one row per notice."""
     known = [Template(name, t) for name, ts in (templates or TEMPLATES).items() for t in ts]
+    seeds = [t.seeds(least) for t in known]
     carry = ["doc_id"] if carry is None else carry
     rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).cast("string").alias("text__"))
     kinds = (("license", "string", pa.string()), ("coverage", "double", pa.float64()), ("start", "long", pa.int64()),
@@ -182,7 +214,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, carry:
             last = batch.num_columns - 1
             at, out = [], []
             for i, text in enumerate(batch.column(last).to_pylist()):
-                got = finds(text, known, least)
+                got = finds(text, known, least, seeds)
                 at += [i] * len(got)
                 out += got
             columns = list(zip(*out)) or [()] * len(kinds)

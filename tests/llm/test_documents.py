@@ -298,6 +298,31 @@ def test_license_scan(spark):
                           (None, "CC-BY-NC-4.0", 1.0)], key=edge.key)
 
 
+def test_license_scan_without_the_longest_words():
+    import random
+
+    rng = random.Random(12)
+    known = [license_scan.Template(name, t) for name, ts in license_scan.TEMPLATES.items() for t in ts]
+    cut = lambda text, *parts: [text := text.replace(p, "") for p in parts][-1]
+    apache, mit, gpl = (license_scan.TEMPLATES[x][1] for x in ("Apache-2.0", "MIT", "GPL-3.0"))
+    cases = [("GPL-3.0", 35, cut(gpl, "as published by the Free Software Foundation, ")),
+             ("MIT", 78, cut(mit, 'and associated documentation files (the "Software"), ', "without restriction, including ")),
+             ("Apache-2.0", 72, cut(apache, " See the License for the specific language governing permissions and limitations under the License."))]
+    for name, least, text in cases:
+        found = license_scan.finds(edge.prose(rng, 300) + ". " + text + " " + edge.prose(rng, 300), known)
+        assert any(x[0] == name and x[4] >= least for x in found), (name, found)
+        twice = license_scan.finds(text + " " + edge.prose(rng, 60) + " " + text, known)
+        assert sum(x[0] == name and x[4] >= least for x in twice) == 2, (name, twice)
+    # any words that the coverage lets go, anywhere
+    for t in known:
+        spare = len(t.words) - -(-len(t.words) * 4 // 5)
+        longest = sorted(range(len(t.words)), key=lambda i: -len(t.words[i]))[:spare]
+        for gone in [longest, *[rng.sample(range(len(t.words)), spare) for _ in range(10)]]:
+            w = [x for i, x in enumerate(t.words) if i not in gone]
+            found = license_scan.finds(edge.prose(rng, 50) + " " + " ".join(w) + " " + edge.prose(rng, 50), [t])
+            assert [x[4] for x in found] == [len(w)], (t.license, w, found)
+
+
 def test_patience_is_increasing_and_exact():
     assert license_scan.patience(list("abcde"), list("xaybzcd")) == [(0, 1), (1, 3), (2, 5), (3, 6)]
     assert license_scan.patience(list("aab"), list("aab")) == [(0, 0), (1, 1), (2, 2)]
