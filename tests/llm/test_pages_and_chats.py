@@ -117,6 +117,26 @@ def test_propagation_equals_brute_force_and_blocks_neighbours(spark):
     assert [out[i].verdict for i in range(7)] == ["block", "block", "block", "allow", "allow", "allow", "allow"]
 
 
+def test_propagation_settles_on_a_long_chain(spark):
+    import numpy as np
+
+    from panelflow.llm.store import Store
+
+    n = 20
+    data = [(i, f"http://h{i}.com/p", f'<a href="//h{i + 1}.com/y">z</a>' if i < n - 1 else None) for i in range(n)]
+    rules = [url_filters.rule("block", f"h{n - 1}.com/")]
+    out = {r.page_id: r for r in url_filters.judge_urls(spark.createDataFrame(data, "page_id long, url string, html string"), rules).collect()}
+    links = np.diag(np.ones(n - 1), 1)  # mass of host i + 1 goes to host i
+    start = np.zeros(n)
+    start[-1] = 1 - url_filters.DAMPING
+    want = np.linalg.solve(np.eye(n) - url_filters.DAMPING * links, start)
+    assert np.allclose([out[i].distrust for i in range(n)], want, rtol=0, atol=1e-9)
+    assert all(out[i].verdict == "block" for i in range(n))
+    edges = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
+    with pytest.raises(RuntimeError, match="did not settle"):
+        url_filters.propagate(edges, edges.select(F.col("src").alias("host")).where("host = 'a'"), Store(spark, "urls"), steps=5)
+
+
 PAGE = ("<html><head><title>T</title><style>p{}</style></head><body><header class='site-header'>Logo</header><nav><ul><li><a href=/a>Home</a><li>B</ul></nav>"
         "<div class='cookie-notice'><p>We use cookies.</p></div><article><h1>Big  &amp;\n Title</h1><p>First <b>para</b>graph<br>of it.<p>Second &copy; one."
         "<script>var a='</p>';</script><!-- c --><aside class=related>Other</aside><p></p></article><section id='comments'><p>Nice article.</p></section>"
