@@ -10,6 +10,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup "
     "time tt u var wbr".split())
 SILENT = frozenset("script style noscript template title head iframe object svg math canvas select option button textarea".split())
+#: Elements that can stand in a head; any other start tag ends an open one.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 _NAMES = re.compile(r"[a-z]+")
 #: A start tag on the left closes an open element on the right.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -31,7 +33,17 @@ class _Blocks(HTMLParser):
                 self.blocks.append((path, text, min(1.0, self.linked / len(text))))
         self.words, self.linked = [], 0
 
+    def _end_head(self, tag: str = "") -> None:
+        """The end tag of a head may be left out; what stands in its noscript or template does not end it, but a body does."""
+        names = [name for name, _ in self.open]
+        if "head" in names and tag not in IN_HEAD:
+            at = names.index("head")
+            if tag == "body" or not {"noscript", "template"} & set(names[at:]):
+                self.flush()
+                del self.open[at:]
+
     def handle_starttag(self, tag, attrs):
+        self._end_head(tag)
         if tag == "br":
             self.words.append(" ")
             return
@@ -68,6 +80,8 @@ class _Blocks(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._end_head()
         self.words.append(data)
         if any(tag == "a" for tag, _ in self.open):
             self.linked += len(data)
@@ -78,7 +92,8 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, float]]:
 
     A block ends where an element that is not inline begins or ends.  White
     space is one space; character references are decoded; scripts, styles,
-    the head, comments and form controls have no text.
+    the head, comments and form controls have no text.  A head without an end
+    tag ends at the body, or at the first text or element that cannot stand in it.
     """
     parser = _Blocks()
     parser.feed(html or "")

@@ -151,6 +151,16 @@ def test_blocks():
     assert html_blocks.blocks("x &lt;b&gt; &#233;")[0][1] == "x <b> é"
 
 
+def test_blocks_of_pages_without_the_end_of_the_head():
+    want = html_blocks.blocks(PAGE)
+    assert html_blocks.blocks(PAGE.replace("</head>", "")) == want
+    bare = [t for _, t, _ in html_blocks.blocks(PAGE.replace("</head>", "").replace("<body>", ""))]
+    assert bare == [t for _, t, _ in want]
+    head = "<head><meta charset=utf-8><title>T</title><noscript><div>no</div></noscript><template><p>no</p></template><script>x</script>"
+    for body in ("<p>yes", "<span>yes</span>", "yes", "<br>yes", "<body>yes"):
+        assert [t for _, t, _ in html_blocks.blocks(head + body)] == ["yes"], body
+
+
 def test_extraction(spark):
     rng = random.Random(1)
 
