@@ -249,6 +249,7 @@ def test_language_rejection(spark):
     data += [(2000 + i, text("rare"), "rare") for i in range(40)]
     data += [(3000 + i, text("none"), None) for i in range(20)]  # a language without rows
     data += [(4000 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.choice((80, 400)))), None) for i in range(20)]
+    data += [(5000 + i, "".join(rng.choice("aeiklmnost ") for _ in range(60)), None) for i in range(20)]  # of letters that were learned
     df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
     out = {r.doc_id: r for r in language_id.identify(df, language_id.train(df), ["doc_id"]).collect()}
     assert all(out[i].rejected for i in out if i >= 3000)
