@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelflow.llm.chat_format import chat_windows, read_back
 from panelflow.llm.decontamination import leaks
-from panelflow.llm import html_extraction
+from panelflow.llm import html_extraction, periodic_runs, reversed_search, rule_ensemble
 from panelflow.llm.jaccard_join import near_duplicates
 from panelflow.llm.language_id import held_out, identify, train
 from panelflow.llm.license_scan import scan
@@ -157,3 +158,63 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in every document."""
     return scan(_table(spark, sf_dir, "documents"))
+
+
+@query("op11_rule_ensemble")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels that are not held out."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    scored = rule_ensemble.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), allowed=~held)
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+SEARCH_SQL = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), d AS MATERIALIZED (SELECT doc_id, ts, len(ts) AS n FROM t WHERE len(ts) > 0),
+c AS MATERIALIZED (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d),
+q AS MATERIALIZED (
+  SELECT item_id, term, count(*) AS k FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY 1, 2
+), f AS MATERIALIZED (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY term
+), s AS (
+  SELECT item_id, doc_id, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM f JOIN w USING (term) JOIN q USING (term), c GROUP BY 1, 2
+)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20
+"""
+
+
+@query("op12_reversed_search", SEARCH_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents of every benchmark item."""
+    return reversed_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def periodic_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """In every tenth document by checksum, the words from some place on become repeats of a few of them."""
+    n = len(words)
+    if doc_id is None or not n:
+        return words
+    g, last = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if last:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words, and the words without their repeats."""
+    found = periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), rewrite=periodic_tail)
+    best = periodic_runs.strongest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "collapsed", best.alias("best"), lines.alias("lines")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join("lines", "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
