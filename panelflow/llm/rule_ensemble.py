@@ -4,7 +4,7 @@
    bytes, repetition of words and lines).
 2. *Trees.*  A random forest of shallow trees is grown on labelled rows.
 3. *Rules.*  Every path from a root to a node is a conjunction of bounds on
-   statistics; equal ones count once, those that nearly always or never hold go.
+   statistics; equal ones count once.
 4. *Lasso.*  A logistic regression with an L1 penalty weighs the rules, most of
    them zero; the penalty is the one of ``PENALTIES`` with the least log loss on
    a part of the labelled rows that neither trees nor weights have seen.
@@ -23,9 +23,11 @@ labels of both kinds the score is the same for all, the smoothed share of label
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from operator import eq
 from typing import NamedTuple
 
 import numpy as np
@@ -41,16 +43,20 @@ from panelflow.llm.store import Store
 SAMPLE = 12_000
 TREES = 24
 DEPTH = 3
-PENALTIES = (0.02, 0.006, 0.002)
-#: Share of training rows that a rule must hold for, and must not hold for.
-SUPPORT = 0.005
+PENALTIES = (0.01, 0.002)
+ITERATIONS = 40
+#: Training rows below a node, so that a rule must hold for.
+SUPPORT = 12
 OUT_ROWS = 2000
 
 FEATURES = (
     "log_words", "word_bytes", "letters", "capitals", "digits", "symbols", "marks", "shouts", "controls", "spaces", "distinct_words",
-    "top_word", "repeated_pairs", "repeated_lines", "line_words", "sentence_words", "byte_entropy", "long_words",
+    "top_word", "doubled_words", "bare_marks", "marked_words", "repeated_pairs", "repeated_lines", "line_words", "sentence_words", "byte_entropy", "long_words",
 )
 
+#: Words without letters and digits, and words with marks that prose hardly has.
+_BARE = re.compile(rb"[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+\Z").match
+_MARKED = re.compile(rb"[#*$%&|<>{}\[\]\\^~_=+@/!?]").search
 _KINDS = np.zeros((256, 8))
 for _c in range(256):
     _char = chr(_c)
@@ -81,7 +87,8 @@ def statistics(text: bytes) -> list[float]:
     sizes = np.fromiter(map(len, words), np.int64, n)
     return [
         float(np.log1p(n)), float(sizes.mean()), float(shares[0]), float(shares[1] / shares[0]) if shares[0] else 0.0, *map(float, shares[2:]),
-        len(known) / n, max(known.values()) / n, 1 - len(pairs) / (n - 1) if n > 1 else 0.0, 1 - len(lines) / n_lines,
+        len(known) / n, max(known.values()) / n, sum(map(eq, words, words[1:])) / n, sum(map(known.get, filter(_BARE, known))) / n,
+        sum(map(known.get, filter(_MARKED, known))) / n, 1 - len(pairs) / (n - 1) if n > 1 else 0.0, 1 - len(lines) / n_lines,
         n / n_lines, n / (ends + 1), float(-(used * np.log2(used)).sum()), float((sizes > 24).mean()),
     ]
 
@@ -160,7 +167,7 @@ def _binary(rules: list[Rule]) -> Column:
 
 def fit(rows: DataFrame, store: Store, seed: int = 5) -> Ensemble:
     """Ensemble from ``rows`` with all statistics, a ``label`` of 0.0 or 1.0 and a stable ``part`` in 0..9."""
-    rows = store.keep(rows, "labelled")
+    rows = store.keep(rows.coalesce(4), "labelled")  # about 2 * SAMPLE rows
     found = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     no, yes = found.get(0.0, 0), found.get(1.0, 0)
     constant = Ensemble([], float(np.log((yes + 1) / (no + 1))))
@@ -170,20 +177,15 @@ def fit(rows: DataFrame, store: Store, seed: int = 5) -> Ensemble:
     if learn.select("label").distinct().count() < 2:
         return constant
     forest = RandomForestClassifier(
-        featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, maxBins=64, minInfoGain=1e-4, featureSubsetStrategy="onethird", seed=seed,
+        featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, maxBins=64, minInfoGain=1e-4, minInstancesPerNode=SUPPORT, featureSubsetStrategy="onethird", seed=seed,
     ).fit(learn.select("label", array_to_vector(F.array(*FEATURES)).alias("x")))
     rules = extract_rules(forest)
-    if not rules:
-        return constant
-    total = no + yes
-    holds = rows.agg(*[F.count_if(r.column()).alias(f"r{i}") for i, r in enumerate(rules)]).first()
-    rules = [r for i, r in enumerate(rules) if SUPPORT * total <= holds[i] <= (1 - SUPPORT) * total]
     if not rules:
         return constant
     learn, tune = (store.keep(d.select("label", _binary(rules).alias("x")), "rules") for d in (learn, tune))
     best, least = None, float("inf")
     for penalty in PENALTIES:
-        model = LogisticRegression(featuresCol="x", labelCol="label", regParam=penalty, elasticNetParam=1.0, standardization=False, maxIter=100).fit(learn)
+        model = LogisticRegression(featuresCol="x", labelCol="label", regParam=penalty, elasticNetParam=1.0, standardization=False, maxIter=ITERATIONS).fit(learn)
         weights = [(r, float(w)) for r, w in zip(rules, model.coefficients) if w]
         p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.get(F.col("p"), F.lit(1))))
         loss = (
