@@ -53,19 +53,18 @@ def compress(ids: np.ndarray, terminals: int) -> Grammar:
     while heap:
         expected, pair = heapq.heappop(heap)
         left, right = pair
-        found = [p for p in places[pair] if symbols[p] == left and symbols[after[p]] == right]
+        held = found = [p for p in places[pair] if symbols[p] == left and symbols[after[p]] == right]
         if left == right:
-            apart, last = [], -1
-            for p in found:
+            found, last = [], -1
+            for p in held:
                 if p != last:
-                    apart.append(p)
+                    found.append(p)
                     last = after[p]
-            found = apart
         if len(found) < 2:
             del places[pair]
             continue
         if len(found) < -expected:
-            places[pair] = found
+            places[pair] = held  # an occurrence that overlaps now may stand alone later
             if heap and -len(found) > heap[0][0]:
                 heapq.heappush(heap, (-len(found), pair))
                 continue
