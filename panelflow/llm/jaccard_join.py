@@ -4,10 +4,12 @@ Two documents link when ``100 * intersection >= percent * union`` of their
 word-shingle sets.  Steps:
 
 1. *Order.*  A fixed-width count sketch over the shingles of all documents
-   gives every shingle a frequency level.  Shingles are ordered by (level,
-   hash), so a passage shared by many documents comes last.  The sketch has
-   ``SLOTS`` cells whatever the input; it decides speed only, any order is
-   right.
+   gives every shingle a frequency level, another over their words gives every
+   word one.  Shingles are ordered by (level, sum of their words' levels,
+   hash): a passage shared by many documents comes last, and of the others
+   those of rare words come first, which hardly meet by chance.  The sketches
+   have ``SLOTS`` and ``WORD_SLOTS`` cells whatever the input; they decide
+   speed only, any order is right.
 2. *Group.*  Documents with equal size and equal prefix form one group; equal
    sets inside a group form one class.  Copies never reach the index.
 3. *Join.*  The prefixes of groups meet in token buckets.  Tokens of level 0
@@ -42,10 +44,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.llm.components import components
-from panelflow.llm.shingles import shingle_sets
+from panelflow.llm.shingles import cells, counted_sets, levelled_sets, shingle_sets
 from panelflow.llm.store import Store, batch_rows
 
 SLOTS = 1 << 22
+WORD_SLOTS = 1 << 20
 SLICES = 64
 HUBS = 16
 ROWS = 1000
@@ -70,64 +73,71 @@ def _small(ids: DataFrame) -> DataFrame:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(SLOTS, np.int64)
+    counts, words = np.zeros(SLOTS, np.uint32), np.zeros(WORD_SLOTS, np.uint32)
     seen = False
     for batch in batches:
-        for tokens in shingle_sets(_bytes(batch.column(0))):
+        for tokens in counted_sets(_bytes(batch.column(0)), words):
             seen |= len(tokens) > 0
-            np.add.at(counts, (tokens >> np.uint64(20)).astype(np.int64) % SLOTS, 1)
+            np.add.at(counts, cells(tokens, SLOTS), 1)
     if seen:
-        parts = np.minimum(counts, 65535).astype("<u2").reshape(SLICES, -1)
-        for i in range(SLICES):
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "counts": pa.array([parts[i].tobytes()])})
+        parts = np.minimum(counts, 65535).astype("<u2").reshape(SLICES, -1), np.minimum(words, 65535).astype("<u2").reshape(SLICES, -1)
+        for i in range(SLICES):  # most counts are small: few bits each once compressed
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32())} | {
+                name: pa.array([pa.compress(p[i].tobytes(), "zstd", asbytes=True)]) for name, p in zip(("counts", "words"), parts)})
 
 
 def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
+    sums: dict[int, list[np.ndarray]] = {}
     for batch in batches:
-        for i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            part = np.frombuffer(blob, "<u2").astype(np.int64)
-            sums[i] = sums[i] + part if i in sums else part
-    for i, total in sums.items():
+        for i, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
+            parts = [
+                np.frombuffer(pa.decompress(blob, 2 * size // SLICES, "zstd", asbytes=True), "<u2").astype(np.int64)
+                for blob, size in zip(blobs, (SLOTS, WORD_SLOTS))
+            ]
+            sums[i] = [a + b for a, b in zip(sums[i], parts)] if i in sums else parts
+    for i, (total, words) in sums.items():
         mean = total.mean()
-        excess = total - (mean + 6 * np.sqrt(mean) + 32)
+        excess = total - (mean + 6 * np.sqrt(mean) + 16)
         level = np.where(excess > 0, 1 + np.floor(np.log2(np.maximum(excess, 1)) * 2), 0)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "levels": pa.array([level.astype(np.uint8).tobytes()])})
+        common = np.floor(np.log2(1 + words) * 6)
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "levels": pa.array([level.astype(np.uint8).tobytes()]),
+                                          "words": pa.array([np.minimum(common, 255).astype(np.uint8).tobytes()])})
 
 
-def frequency_levels(texts: DataFrame) -> np.ndarray:
-    """Level 0 (rare) to about 60 of each of the ``SLOTS`` cells, over all texts."""
+def frequency_levels(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Level 0 (rare) to about 60 of each of the ``SLOTS`` cells of shingles, and 0 to 255 of the ``WORD_SLOTS`` cells of words."""
     spark = texts.sparkSession
     with batch_rows(spark, ROWS):
         rows = (
-            texts.mapInArrow(_count, "slice int, counts binary")
+            texts.mapInArrow(_count, "slice int, counts binary, words binary")
             .repartition("slice")
-            .mapInArrow(_total, "slice int, levels binary")
-            .collect()  # SLOTS bytes in all
+            .mapInArrow(_total, "slice int, levels binary, words binary")
+            .collect()  # SLOTS + WORD_SLOTS bytes in all
         )
-    levels = np.zeros((SLICES, SLOTS // SLICES), np.uint8)
+    levels, words = np.zeros((SLICES, SLOTS // SLICES), np.uint8), np.zeros((SLICES, WORD_SLOTS // SLICES), np.uint8)
     for r in rows:
         levels[r["slice"]] = np.frombuffer(bytes(r["levels"]), np.uint8)
-    return levels.reshape(-1)
+        words[r["slice"]] = np.frombuffer(bytes(r["words"]), np.uint8)
+    return levels.reshape(-1), words.reshape(-1)
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _sets(docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
+def _sets(docs: DataFrame, levels: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
     """(doc_id, text_key, rid, n, set_key, prefix_key, rare, frequent): the prefix in two parts."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     id_type = docs.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared.value
+        level, word_levels = shared.value
         for batch in batches:
             sizes, keys, prefix_keys, rare, frequent = [], [], [], [], []
-            for tokens in shingle_sets(_bytes(batch.column(1))):
+            for tokens, common in levelled_sets(_bytes(batch.column(1)), word_levels):
                 n = len(tokens)
-                own = level[(tokens >> np.uint64(20)).astype(np.int64) % SLOTS]
-                order = np.argsort(own, kind="stable")[: prefix_length(n, percent) if n else 0]
+                own = level[cells(tokens, SLOTS)]
+                order = np.argsort(own.astype(np.int64) << 32 | common, kind="stable")[: prefix_length(n, percent) if n else 0]
                 prefix, often = tokens[order], int((own[order] > 0).sum())
                 sizes.append(n)
                 keys.append(xxhash.xxh3_128_digest(tokens.tobytes()))

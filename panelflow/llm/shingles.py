@@ -5,6 +5,9 @@ word's hash is a polynomial over a random byte table modulo 2**64, read off a
 running sum over the bytes of many documents at once; a shingle mixes the
 hashes of its words.  Two different shingles of one pair of documents share a
 hash with probability about 2**-64.
+
+A shingle may come with the sum of its words' levels, so that shingles of rare
+words can be told from shingles of common ones.
 """
 
 from __future__ import annotations
@@ -53,9 +56,10 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _finish((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)), first
 
 
-def _sets(words: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
-    """Sorted distinct shingles of the documents between word ``bounds``."""
+def _sets(words: np.ndarray, bounds: np.ndarray, levels: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Sorted distinct shingles of the documents between word ``bounds``, and their word levels."""
     mixed = np.zeros(0, np.uint64)
+    total = None if levels is None else np.concatenate(([0], np.cumsum(levels, dtype=np.int64)))
     if len(words) >= WIDTH:
         mixed = words[: len(words) - WIDTH + 1] * _MIX[0]
         for i in range(1, WIDTH):
@@ -63,19 +67,27 @@ def _sets(words: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
         mixed = _finish(mixed)
     for a, b in zip(bounds[:-1], bounds[1:]):
         if b - a >= WIDTH:
-            own = np.sort(mixed[a : b - WIDTH + 1])
-            yield own[np.concatenate(([True], own[1:] != own[:-1]))]
+            own = mixed[a : b - WIDTH + 1]
+            if total is None:
+                own = np.sort(own)
+                yield own[np.concatenate(([True], own[1:] != own[:-1]))], None
+            else:
+                order = np.argsort(own, kind="stable")
+                own = own[order]
+                new = np.concatenate(([True], own[1:] != own[:-1]))
+                at = a + order[new]
+                yield own[new], total[at + WIDTH] - total[at]
         elif b > a:
             short = np.uint64(b - a)
             for w in words[a:b]:
                 short = (short * _MIX[4]) ^ w  # array scalars wrap without complaint under errstate
-            yield _finish(np.array([short], np.uint64))
+            yield _finish(np.array([short], np.uint64)), None if total is None else np.array([total[b] - total[a]])
         else:
-            yield np.zeros(0, np.uint64)
+            yield np.zeros(0, np.uint64), None if total is None else np.zeros(0, np.int64)
 
 
-def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """The shingle set of each text, in order; empty without words."""
+def _chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes of consecutive texts, and where each text's words begin and end."""
     start = 0
     while start < len(texts):
         stop, size = start, 0
@@ -84,7 +96,32 @@ def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
             stop += 1
         data = np.frombuffer(b" ".join(texts[start:stop]) + b" ", np.uint8)
         words, first = word_hashes(data)
-        ends = np.cumsum([0] + [len(t) + 1 for t in texts[start:stop]])
-        with np.errstate(over="ignore"):
-            yield from _sets(words, np.searchsorted(first, ends))
+        yield words, np.searchsorted(first, np.cumsum([0] + [len(t) + 1 for t in texts[start:stop]]))
         start = stop
+
+
+def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The shingle set of each text, in order; empty without words."""
+    for words, bounds in _chunks(texts):
+        with np.errstate(over="ignore"):
+            yield from (tokens for tokens, _ in _sets(words, bounds, None))
+
+
+def counted_sets(texts: list[bytes], counts: np.ndarray) -> Iterator[np.ndarray]:
+    """As ``shingle_sets``; adds every word to its cell of ``counts``."""
+    for words, bounds in _chunks(texts):
+        np.add.at(counts, cells(words, len(counts)), 1)
+        with np.errstate(over="ignore"):
+            yield from (tokens for tokens, _ in _sets(words, bounds, None))
+
+
+def levelled_sets(texts: list[bytes], levels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The shingle set of each text, with the sum of the ``levels`` of each shingle's words."""
+    for words, bounds in _chunks(texts):
+        with np.errstate(over="ignore"):
+            yield from _sets(words, bounds, levels[cells(words, len(levels))])
+
+
+def cells(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Cell of each hash in a table of ``size`` cells."""
+    return (hashes >> np.uint64(20)).astype(np.int64) % size
