@@ -1,12 +1,11 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed is a fixed mask over consecutive words: ones are hashed, zeros ignored,
-so a substituted word at a zero leaves the hash as it was.  The ones of a mask come in
-pairs, so each pair of neighbouring words is hashed once and a seed hashes a few
-pair hashes.  Hashes of all
-windows of the documents meet those of the benchmark items; around each hit
-the words of document and item are compared on their diagonal, and the pair is
-a leak if at least ``PERCENT`` of the compared words are equal.  All steps are
+so a substituted word at a zero leaves the hash as it was.  Windows of the
+documents, without their texts, meet the seeds of the benchmark items by hash;
+only for documents with a hit the words are fetched, and around each hit the
+words of document and item are compared on their diagonal.  The pair is a leak
+if at least ``PERCENT`` of the compared words are equal.  All steps are
 DataFrame expressions.
 
 Words are lower-cased runs of letters and digits.  An item shorter than a mask
@@ -15,14 +14,13 @@ nothing.
 
 Defined results: null and empty texts, of documents or items, have no leaks.
 Repeated rows of a document id are one document in the report; the filter
-judges each row.  Rows with null id come with a null id.  Empty tables give no
-leaks; further columns are ignored by the report and kept by the filter.
+judges each row.  Rows with null id come with a null id; an item id that has
+several texts is all of them.  Empty tables give no leaks; further columns are
+ignored by the report and kept by the filter.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,53 +32,34 @@ LEAST_WORDS = 5
 #: Words compared on either side of a hit.
 AROUND = 4
 PERCENT = 75
-#: Benchmark seeds are broadcast up to this number (about 40 MB), joined by a shuffle beyond it.
-SMALL_SEEDS = 500_000
-SMALL_LEAKS = 500_000
+#: Tables of fixed-width rows are broadcast up to this number of rows (some 60 bytes each), joined by a shuffle beyond it.
+SMALL_ROWS = 500_000
+#: Words of items are broadcast up to this number of bytes.
+SMALL_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
-def pair_starts(mask: str) -> list[int]:
-    """Places of the word pairs that cover the ones of a mask; pairs of an odd run overlap."""
-    out: list[int] = []
-    for run in re.finditer("1+", mask):
-        a, b = run.span()
-        if b - a < 2:
-            raise ValueError("the ones of a mask come in runs of two or more")
-        out += [*range(a, b - 1, 2)] + ([b - 2] if (b - a) % 2 else [])
-    return out
-
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
-def _pairs(w: Column) -> Column:
-    """Hashes of neighbouring words."""
-    one = F.array().cast("array<long>")
-    return F.when(F.size(w) >= 2, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))).otherwise(one)
 
+def seeds(rows: DataFrame, words_col: str, masks: list[str]) -> DataFrame:
+    """``rows`` without ``words_col``: one row per window and mask, with place ``p`` (from 1), mask number ``m`` and hash ``h``.
 
-def _seeds(q: Column, size: Column, masks: list[str]) -> Column:
-    """Hashes of all windows, mask after mask, from the pair hashes ``q`` of ``size`` words."""
+    The words under the ones of all masks are zipped into one array of structs
+    that is unrolled, so hashing is plain generated code on columns.
+    """
+    keep = [c for c in rows.columns if c != words_col]
+    ones = [[i for i, c in enumerate(mask) if c == "1"] for mask in masks]
+    places = sorted({i for o in ones for i in o})
+    later = [F.slice(words_col, i + 1, F.greatest(F.size(words_col) - i, F.lit(0))).alias(f"w{i}") for i in places]
+    out = rows.select(*keep, F.posexplode(F.arrays_zip(*later)).alias("p", "z"))
+    hashes = [F.when(F.col(f"z.w{o[-1]}").isNotNull(), F.xxhash64(F.lit(k), *[F.col(f"z.w{i}") for i in o])) for k, o in enumerate(ones)]
+    return out.select(*keep, (F.col("p") + 1).alias("p"), F.posexplode(F.array(*hashes)).alias("m", "h")).where("h IS NOT NULL")
 
-    def of(mask: str) -> Column:
-        windows = F.transform(
-            F.sequence(F.lit(0), size - len(mask)), lambda p: F.xxhash64(*[F.get(q, p + i) for i in pair_starts(mask)]))
-        return F.when(size >= len(mask), windows).otherwise(F.array().cast("array<long>"))
 
-    return F.concat(*[of(m) for m in masks])
-
-
-def _window_position(index: Column, size: Column, masks: list[str]) -> tuple[Column, Column]:
-    """Word position (from 1) and mask length of entry ``index`` (from 0) of ``_seeds``."""
-    position, length, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0)
-    for mask in masks:
-        count = F.greatest(size - (len(mask) - 1), F.lit(0))
-        here = (index >= before) & (index < before + count)
-        position = F.when(here, index - before + 1).otherwise(position)
-        length = F.when(here, F.lit(len(mask))).otherwise(length)
-        before = before + count
-    return position, length
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows``, marked for broadcasting if their number is within the bound."""
+    return F.broadcast(rows) if rows.count() <= SMALL_ROWS else rows
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -88,30 +67,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """(doc_id, text_key, item_id, n_places, matched, compared) per leaking document and item."""
     store = Store(docs.sparkSession, "leaks")
     items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text).cast("string")).alias("iw")).where(F.size("iw") >= LEAST_WORDS)
-    items = store.keep(items, "items")
-    short = sorted(r["k"] for r in items.select(F.size("iw").alias("k")).where(f"k < {SPAN}").distinct().collect())  # at most SPAN - LEAST_WORDS
+    items = store.keep(items.select("item_id", "iw", F.size("iw").alias("n"), F.xxhash64("item_id", "iw").alias("item_key")).dropDuplicates(["item_key"]), "items")
+    short = sorted(r["n"] for r in items.select("n").where(f"n < {SPAN}").distinct().collect())  # at most SPAN - LEAST_WORDS
     masks = [*MASKS, *("1" * k for k in short)]
-    places = items.select("item_id", "iw", F.size("iw").alias("n"), _pairs(F.col("iw")).alias("q"))
-    places = places.select("item_id", "iw", "n", F.posexplode(_seeds(F.col("q"), F.col("n"), masks)).alias("i", "h"))
-    p, length = _window_position(F.col("i"), F.col("n"), masks)
-    places = store.keep(places.select("item_id", "iw", "n", p.alias("ip"), length.alias("len"), "h").where("len >= least(n, %d)" % SPAN), "seeds")
-    seeds = F.broadcast(places) if places.count() <= SMALL_SEEDS else places
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), words(F.col(text_col).cast("string")).alias("dw"))
-    rows = rows.where(F.size("dw") >= LEAST_WORDS).select("*", F.size("dw").alias("dn"), _pairs(F.col("dw")).alias("q"))
-    rows = rows.select("doc_id", "text_key", "dw", "dn", F.posexplode(_seeds(F.col("q"), F.col("dn"), masks)).alias("i", "h"))
-    p, _ = _window_position(F.col("i"), F.col("dn"), masks)
+    length = F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("m") + 1)
+    places = seeds(items.select("item_key", "n", "iw"), "iw", masks).withColumn("len", length)
+    places = store.keep(places.where(f"len >= least(n, {SPAN})").select("h", "item_key", F.col("p").alias("ip"), "len"), "seeds")
+
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    windows = seeds(texts.select("doc_id", "text_key", words(F.col("text")).alias("dw")), "dw", masks)
+    hits = windows.join(_small(places), "h").select("doc_id", "text_key", F.col("p").alias("dp"), "item_key", "ip", "len")
+    hits = store.keep(hits, "hits")
+    store.drop(places)
+
+    same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["text_key"] == y["text_key"])
+    wanted = _small(hits.select("doc_id", "text_key").distinct())
+    fetched = texts.join(wanted, same(texts, wanted), "left_semi").select("doc_id", "text_key", words(F.col("text")).alias("dw"))
+    fetched = store.keep(fetched.withColumn("dn", F.size("dw")), "words")
+    shape = items.select("item_key", "item_id", "iw", "n")
+    held = items.agg(F.sum(F.octet_length(F.array_join("iw", " ")))).first()[0] or 0
+    found = _small(hits)
+    met = fetched.join(found, same(fetched, found)).drop(found["doc_id"]).drop(found["text_key"])
+    met = met.join(F.broadcast(shape) if held <= SMALL_BYTES else shape, "item_key")
     first = F.greatest(F.lit(1), F.col("ip") - AROUND, F.col("ip") - F.col("dp") + 1)
     last = F.least(F.col("n"), F.col("ip") + F.col("len") - 1 + AROUND, F.col("dn") + F.col("ip") - F.col("dp"))
-    hits = (
-        rows.join(seeds, "h").withColumn("dp", p)
-        .select("doc_id", "text_key", "item_id", "dp", "ip", "iw", "dw", first.alias("a"), last.alias("b"))
-        .select("doc_id", "text_key", "item_id", "dp", "ip",
-                F.slice("iw", F.col("a"), F.col("b") - F.col("a") + 1).alias("x"),
-                F.slice("dw", F.col("a") + F.col("dp") - F.col("ip"), F.col("b") - F.col("a") + 1).alias("y"))
-    )
-    equal = F.size(F.filter(F.zip_with("x", "y", lambda a, b: a == b), lambda e: e))
-    verified = hits.select("doc_id", "text_key", "item_id", (F.col("dp") - F.col("ip")).alias("shift"), equal.alias("matched"), F.size("x").alias("compared"))
+    size = last - first + 1
+    equal = F.size(F.filter(F.zip_with(F.slice("iw", first, size), F.slice("dw", first + F.col("dp") - F.col("ip"), size), lambda a, b: a == b), lambda e: e))
+    verified = met.select("doc_id", "text_key", "item_id", (F.col("dp") - F.col("ip")).alias("shift"), equal.alias("matched"), size.alias("compared"))
     return (
         verified.where(100 * F.col("matched") >= PERCENT * F.col("compared"))
         .groupBy("doc_id", "text_key", "item_id", "shift").agg(F.max(F.struct("matched", "compared")).alias("m"))
@@ -123,8 +105,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def filter_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without a leak, with their columns."""
     store = Store(docs.sparkSession, "decontaminated")
-    bad = store.keep(leaks(docs, benchmark, id_col, text_col).select("doc_id", "text_key").distinct(), "bad")
-    if bad.count() <= SMALL_LEAKS:
-        bad = F.broadcast(bad)
+    bad = _small(store.keep(leaks(docs, benchmark, id_col, text_col).select("doc_id", "text_key").distinct(), "bad"))
     same = docs[id_col].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs[text_col]) == bad["text_key"])
     return docs.join(bad, same, "left_anti")
