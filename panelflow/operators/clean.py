@@ -117,15 +117,21 @@ def training_ranges(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     return train.agg(*[f(c).alias(f"{c}_{k}") for c in columns for k, f in (("lo", F.min), ("hi", F.max))])
 
 
-def clip_to_ranges(df: DataFrame, ranges: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Clip features to the training range and list a warning per clipped one."""
-    joined = with_row(df, ranges)
-    warnings = []
-    for c in columns:
-        out = (F.col(c) < F.col(f"{c}_lo")) | (F.col(c) > F.col(f"{c}_hi"))
-        warnings.append(F.when(out, F.lit(c)))
-    joined = joined.withColumn("warnings", F.array_compact(F.array(*warnings)))
-    joined = joined.withColumns({c: clip(c, F.col(f"{c}_lo"), F.col(f"{c}_hi")) for c in columns})
+def clip_to_ranges(df: DataFrame, ranges: DataFrame | Mapping[str, tuple], columns: Sequence[str]) -> DataFrame:
+    """Clip features to the training range and list a warning per clipped one.
+
+    ``ranges``: the row of ``training_ranges``, or (low, high) per column as
+    numbers, which streams can use; a range of nulls clips nothing.
+    """
+    if isinstance(ranges, Mapping):
+        ends = {c: tuple(F.lit(v).cast("double") for v in ranges[c]) for c in columns}
+        joined = df
+    else:
+        joined = with_row(df, ranges)
+        ends = {c: (F.col(f"{c}_lo"), F.col(f"{c}_hi")) for c in columns}
+    out = [F.when((F.col(c) < ends[c][0]) | (F.col(c) > ends[c][1]), F.lit(c)) for c in columns]
+    joined = joined.withColumn("warnings", F.array_compact(F.array(*out)))
+    joined = joined.withColumns({c: clip(c, *ends[c]) for c in columns})
     return joined.select(*df.columns, "warnings")
 
 

@@ -17,11 +17,12 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from panelflow.functions.text import match_key, match_key_no_zeros
 from panelflow.operators.clean import (
-    canonical_values, check_unmatched, clip_to_ranges, remap_categories, require_columns, training_ranges,
+    check_unmatched, clip_to_ranges, remap_categories, require_columns,
 )
 from panelflow.operators.evaluate import metrics_from_values, ranking_metrics
 from panelflow.operators.ordered import row_numbers, value_table
@@ -166,13 +167,12 @@ class ChurnModel:
         return self
 
     def score(self, df: DataFrame, out: str = "p") -> DataFrame:
-        scored = self.raw(df)
+        """Calibrated probability of every row (the raw one without calibration); only ``out`` is added."""
         if self.calibration is None:
-            return scored.withColumnRenamed("raw", out)
-        p = self.calibration.transform(scored)
-        return p.withColumn(out, F.least(F.greatest(F.col("p"), F.lit(CLIP)), F.lit(1 - CLIP))).drop(
-            "raw", *(["p"] if out != "p" else [])
-        )
+            return self.raw(df, out)
+        curve = self.calibration.copy({self.calibration.featuresCol: "_raw", self.calibration.predictionCol: "_calibrated"})
+        p = curve.transform(self.raw(df, "_raw"))
+        return p.withColumn(out, F.least(F.greatest(F.col("_calibrated"), F.lit(CLIP)), F.lit(1 - CLIP))).drop("_raw", "_calibrated")
 
 
 def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], kind: str = "boosting", seed: int = 0,
@@ -189,7 +189,41 @@ def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], ki
     return ChurnModel(encoder, model, list(numeric), list(categorical))
 
 
-def checked_score(model: ChurnModel, df: DataFrame, train: DataFrame, out: str = "p") -> DataFrame:
+@dataclass
+class TrainingProfile:
+    """What scoring checks new rows against: numeric ranges and the categories seen in training."""
+
+    ranges: dict[str, tuple]
+    categories: DataFrame  # column, canonical, key1, key2
+
+    @classmethod
+    def of(cls, train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> TrainingProfile:
+        """One pass: the ranges are observed while the distinct categories are written."""
+        seen = Observation()
+        ends = [f(F.col(c).cast("double")).alias(f"{c}_{k}") for c in numeric for k, f in (("lo", F.min), ("hi", F.max))]
+        watched = train.observe(seen, F.count(F.lit(1)).alias("_n"), *ends)
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("canonical")) for c in categorical])
+        if not categorical:
+            pairs = F.array(F.struct(F.lit("").alias("column"), F.lit(None).cast("string").alias("canonical")))
+        kinds = watched.select(F.explode(pairs).alias("p")).where("p.canonical IS NOT NULL").select("p.*").distinct()
+        kinds = materialise(kinds.withColumn("key1", match_key("canonical")).withColumn("key2", match_key_no_zeros("canonical")), "profile")
+        found = seen.get
+        return cls({c: (found.get(f"{c}_lo"), found.get(f"{c}_hi")) for c in numeric}, kinds)
+
+    def prepare(self, df: DataFrame) -> DataFrame:
+        """Categories in their training form (``<c>_unmatched`` marks unknown ones), numbers clipped, ``warnings`` as an array.
+
+        Joins with the static table of categories and constants only, so ``df`` may be a stream.
+        """
+        columns = [r["column"] for r in self.categories.select("column").distinct().collect()]
+        for c in columns:
+            if c in df.columns:
+                df = remap_categories(df, self.categories.where(F.col("column") == c).drop("column"), c)
+        df = df.withColumns({c: F.col(c).cast("double") for c in self.ranges})
+        return clip_to_ranges(df, self.ranges, list(self.ranges))
+
+
+def checked_score(model: ChurnModel, df: DataFrame, train: DataFrame | TrainingProfile, out: str = "p") -> DataFrame:
     """Batch scoring with its checks: columns, category forms, unmatched shares, training ranges.
 
     Categories are rewritten in their training form; too many without one stop
@@ -197,14 +231,26 @@ def checked_score(model: ChurnModel, df: DataFrame, train: DataFrame, out: str =
     clipped ones, separated by commas.
     """
     require_columns(df.columns, [*model.categorical, *model.numeric])
-    names = df.columns
-    for c in model.categorical:
-        df = remap_categories(df, canonical_values(train, c), c)
-    df = materialise(df, "remapped")  # checked, then scored
-    check_unmatched(df, model.categorical)
-    df = df.select(*names).withColumns({c: F.col(c).cast("double") for c in model.numeric})
-    df = clip_to_ranges(df, training_ranges(train, model.numeric), model.numeric)
-    return model.score(df.withColumn("warnings", F.array_join("warnings", ",")), out)
+    profile = train if isinstance(train, TrainingProfile) else TrainingProfile.of(train, model.numeric, model.categorical)
+    ready = materialise(profile.prepare(df), "remapped")  # checked, then scored
+    check_unmatched(ready, [c for c in model.categorical if f"{c}_unmatched" in ready.columns])
+    ready = ready.select(*df.columns, F.array_join("warnings", ",").alias("warnings"))
+    return model.score(ready, out)
+
+
+def score_requests(model: ChurnModel, requests: DataFrame, profile: TrainingProfile, out: str = "p") -> DataFrame:
+    """Requests one by one, with the checks of ``checked_score``: an unknown category rejects its own request.
+
+    ``requests`` may be a stream.  ``errors`` (an array, kept if it is there)
+    gains one entry per unknown category; rejected requests have no score.
+    """
+    require_columns(requests.columns, [*model.categorical, *model.numeric])
+    before = F.col("errors") if "errors" in requests.columns else F.array().cast("array<string>")
+    ready = profile.prepare(requests)
+    unknown = [F.when(F.col(f"{c}_unmatched"), F.lit(f"unknown {c}")) for c in model.categorical if f"{c}_unmatched" in ready.columns]
+    errors = F.array_distinct(F.concat(before, F.array_compact(F.array(*unknown)))) if unknown else before
+    ready = ready.withColumn("errors", errors).select(*[c for c in requests.columns if c != "errors"], "errors", "warnings")
+    return model.score(ready, out).withColumn(out, F.when(F.size("errors") == 0, F.col(out)))
 
 
 def evaluate_candidates(train: DataFrame, validation: DataFrame, test: DataFrame,
@@ -279,23 +325,25 @@ def permutation_importance(model: ChurnModel, df: DataFrame, key: str = "row_id"
     )
 
 
-def shapley_attribution(model: ChurnModel, rows: DataFrame, background: DataFrame, key: str, permutations: int = 20, seed: int = 0) -> DataFrame:
-    """Monte-Carlo Shapley values of the (calibrated) score of a sample of rows, as one scoring job.
+def shapley_attribution(model: ChurnModel, rows: DataFrame, background: DataFrame, key: str, permutations: int = 20, seed: int = 0,
+                        sample: int = 100) -> DataFrame:
+    """Monte-Carlo Shapley values of the calibrated score of a sample of rows, as one scoring job.
 
-    Every (row, permutation) is paired with one background row; the row's
-    values enter in permutation order and each prefix is scored once.  Per
-    row and permutation the contributions add up to p(row) - p(background).
+    Every (row, permutation) is paired with one of ``sample`` background rows, in
+    turn from a place that depends on the row; the row's values enter in permutation order and each prefix is scored once.  Per row
+    and permutation the contributions add up to p(row) - p(background).  Raw
+    scores of trees have exact values in ``plans.attribution``.
     """
     variables = [*model.categorical, *model.numeric]
     m = len(variables)
     rng = random.Random(seed)
     orders = [rng.sample(range(m), m) for _ in range(permutations)]
-    sample = background.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(permutations)  # one per permutation
-    numbered = sample.select(F.collect_list(F.struct(*[F.col(v) for v in variables]))).scalar()
+    few = background.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(sample)
+    numbered = few.select(F.collect_list(F.struct(*[F.col(v) for v in variables]))).scalar()
     draws = F.array(*[F.struct(F.lit(i).alias("perm"), F.array(*[F.lit(o) for o in order]).alias("order")) for i, order in enumerate(orders)])
     x = rows.select(key, *variables).withColumn("_bg", numbered).withColumn("_d", F.explode(draws))
+    x = x.withColumn("_b", F.element_at("_bg", F.pmod(F.xxhash64(key) + F.col("_d.perm"), F.size("_bg")).cast("int") + 1))
     x = x.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(m))))
-    x = x.withColumn("_b", F.element_at("_bg", F.pmod(F.col("_d.perm"), F.size("_bg")) + 1))
     first = F.slice("_d.order", 1, F.col("step"))
     cols = [
         F.when(F.array_contains(F.when(F.col("step") > 0, first).otherwise(F.array().cast("array<int>")), i), F.col(v))
@@ -304,12 +352,13 @@ def shapley_attribution(model: ChurnModel, rows: DataFrame, background: DataFram
     ]
     added = F.when(F.col("step") > 0, F.element_at("_d.order", F.greatest(F.col("step"), F.lit(1))))
     coalitions = x.select(key, F.col("_d.perm").alias("perm"), "step", added.alias("added"), *cols)
-    scored = model.score(coalitions, "raw") if model.calibration is not None else model.raw(coalitions)
-    scored = scored.select(key, "perm", "step", "added", "raw")
-    before = scored.select(key, "perm", (F.col("step") + 1).alias("step"), F.col("raw").alias("_before"))
-    gains = scored.join(before, [key, "perm", "step"]).withColumn("gain", F.col("raw") - F.col("_before"))
+    scored = model.score(coalitions, "_p").select(key, "perm", F.struct("step", "added", "_p").alias("s"))
+    # the prefixes of one (row, permutation) in order: each step's gain is the difference to the one before
+    chains = scored.groupBy(key, "perm").agg(F.array_sort(F.collect_list("s")).alias("c"))
+    gains = chains.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.lit(m)), lambda i: F.struct(
+        F.get("c", i)["added"].alias("added"), (F.get("c", i)["_p"] - F.get("c", i - 1)["_p"]).alias("gain")))).alias("g"))
     names = F.array(*[F.lit(v) for v in variables])
-    return gains.groupBy(key, F.element_at(names, F.col("added") + 1).alias("variable")).agg(F.avg("gain").alias("contribution"))
+    return gains.groupBy(key, F.get(names, F.col("g.added")).alias("variable")).agg(F.avg("g.gain").alias("contribution"))
 
 
 def coefficients(model: ChurnModel, top: int = 8) -> DataFrame:

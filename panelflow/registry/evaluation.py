@@ -107,16 +107,6 @@ def calibration_left_closed(spark, d):
     return r9(out, "predicted", "observed")
 
 
-@query("bootstrap_interval")
-def bootstrap_interval(spark, d):
-    return resample.bootstrap(scores(spark, d), replicates=500)
-
-
-@query("paired_bootstrap")
-def paired_bootstrap(spark, d):
-    return resample.paired_differences(scores(spark, d), "p", ["p2"], replicates=500)
-
-
 @query("spearman_by_area", S + """,
 a AS (SELECT h, avg(y) AS observed, avg(p) AS predicted FROM scores GROUP BY 1),
 r AS (SELECT rank() OVER (ORDER BY observed) + (count(*) OVER (PARTITION BY observed) - 1) / 2 AS ro,
@@ -128,14 +118,6 @@ def spearman_by_area(spark, d):
     return evaluate.spearman_of_areas(a).select("n_areas", F.round("rho", 9).alias("rho"), F.round("t", 6).alias("t"))
 
 
-@query("spearman_interval")
-def spearman_interval(spark, d):
-    s = scores(spark, d)
-    iv = resample.spearman_interval(s, "h", replicates=2000)
-    rho = evaluate.spearman_of_areas(evaluate.area_means(s, "h")).select("rho")
-    return resample.district_reading(with_row(iv, rho))
-
-
 @query("regression_metrics", S + """
 SELECT g, count(*) AS n, round(avg(abs(y - p)), 9) AS mae, round(1 - sum((y - p) ** 2) / sum((y - m) ** 2), 9) AS r2
 FROM (SELECT *, avg(y) OVER (PARTITION BY g) AS m FROM scores) GROUP BY 1""")
@@ -143,11 +125,6 @@ def regression_metrics(spark, d):
     return r9(evaluate.regression_metrics(scores(spark, d), "y", "p", ["g"]), "mae", "r2")
 
 
-@query("regression_interval")
-def regression_interval(spark, d):
-    return resample.regression_interval(scores(spark, d), "y", "p", replicates=500)
-
-
 @query("baseline_verdicts", S + """,
 m AS (SELECT g AS model, avg(abs(y - p)) AS mae, 1 - sum((y - p) ** 2) / sum((y - m) ** 2) AS r2
   FROM (SELECT *, avg(y) OVER (PARTITION BY g) AS m FROM scores) GROUP BY 1)
@@ -216,14 +193,6 @@ def district_order_reading(spark, d):
     return resample.district_reading(c).select("h", "reading")
 
 
-@query("two_cohort_comparison")
-def two_cohort_comparison(spark, d):
-    s = scores(spark, d)
-    a = resample.bootstrap(s, replicates=500).withColumn("cohort", F.lit("test"))
-    b = resample.bootstrap(s, y="y2", replicates=500).withColumn("cohort", F.lit("later"))
-    return resample.keeps_ordering(a.unionByName(b))
-
-
 @query("quintiles_of_value", S + """,
 e AS (SELECT quantile_cont(p2, [0.2, 0.4, 0.6, 0.8]) AS q FROM scores)
 SELECT quintile, count(*) AS n, CAST(sum(y) AS BIGINT) AS hits, round(avg(y), 9) AS rate FROM (

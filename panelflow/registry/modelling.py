@@ -1,12 +1,13 @@
 """Dataset build, models, scoring and area panel."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from panelflow.operators import evaluate, resample
-from panelflow.operators.catalogue import scenario_grid, varies_by_district
+from panelflow.operators.catalogue import modal_parent, scenario_grid, varies_by_district, with_parent
 from panelflow.operators.income import attach_income
 from panelflow.operators.ordered import rank_buckets, with_row
-from panelflow.plans import dataset, models
+from panelflow.plans import attribution, dataset, models
 from panelflow.plans.inputs import HISTORY_SQL, PAIRS_SQL, panel, stored, table, vocabulary
 from panelflow.registry.core import query
 from panelflow.registry.evaluation import r9
@@ -44,6 +45,14 @@ def model_of(spark, d, kind="boosting", **params):
     return _MODELS[key]
 
 
+def profile_of(spark, d):
+    num, cat = features()
+    key = (spark.sparkContext.applicationId, d, "profile")
+    if key not in _MODELS:
+        _MODELS[key] = models.TrainingProfile.of(part(spark, d, "train"), num, cat)
+    return _MODELS[key]
+
+
 def metrics(scored, name):
     return evaluate.ranking_metrics(scored, "target", "p").withColumn("model", F.lit(name))
 
@@ -192,6 +201,17 @@ def candidate_comparison(spark, d):
     return with_row(table_.join(iv, "model", "left"), champion.select("leader", "n_tied", "champion"))
 
 
+@query("two_cohort_comparison")
+def two_cohort_comparison(spark, d):
+    """Does the model of the first cohorts still order the premises of a later one?"""
+    out = None
+    for use, name in (("test", "test"), ("covid", "later")):
+        scored = materialise(model_of(spark, d).score(part(spark, d, use)).select("target", "p"), "cohort")
+        iv = resample.bootstrap(scored, "target", "p", replicates=500).withColumn("cohort", F.lit(name))
+        out = iv if out is None else out.unionByName(iv)
+    return resample.keeps_ordering(out)
+
+
 @query("ensemble_of_two")
 def ensemble_of_two(spark, d):
     s = model_of(spark, d).score(part(spark, d, "test"), "pa")
@@ -219,6 +239,27 @@ def shapley_attribution(spark, d):
     return models.shapley_attribution(model_of(spark, d), sample, test, "row_id", permutations=14)
 
 
+@query("tree_attribution")
+def tree_attribution(spark, d):
+    return attribution.tree_attribution(model_of(spark, d), part(spark, d, "test"), "row_id")
+
+
+@query("tree_attribution_background")
+def tree_attribution_background(spark, d):
+    test = part(spark, d, "test")
+    return attribution.tree_attribution(model_of(spark, d), test, "row_id", background=test)
+
+
+@query("attribution_of_typical_cases")
+def attribution_of_typical_cases(spark, d):
+    """The row nearest to the median score of the first and the last decile, with its contributions by size."""
+    scored = rank_buckets(model_of(spark, d).score(part(spark, d, "test")), "p", "row_id").where(F.col("decile").isin(1, 10))
+    cases = evaluate.typical_rows(scored, "decile", "p", "row_id")
+    told = attribution.tree_attribution(model_of(spark, d), part(spark, d, "test").join(F.broadcast(cases.select("row_id")), "row_id", "left_semi"), "row_id")
+    place = W.partitionBy("row_id").orderBy(F.desc(F.abs("contribution")), "variable")  # one row per variable
+    return told.join(F.broadcast(cases.select("row_id", "decile", "p")), "row_id").withColumn("place", F.row_number().over(place))
+
+
 @query("parameter_search")
 def parameter_search(spark, d):
     num, cat = features()
@@ -235,7 +276,7 @@ def technique_timing(spark, d):
 @query("scored_universe")
 def scored_universe(spark, d):
     u = dataset.scoring_universe(panel(spark, d), 2001, 3, vocabulary(spark, d), fuzzy=True)
-    scored = models.checked_score(model_of(spark, d), u, part(spark, d, "train"))
+    scored = models.checked_score(model_of(spark, d), u, profile_of(spark, d))
     return rank_buckets(scored.select("id", "label", "activity", "district", "barrio", "x", "y", "p", "warnings"), "p", "id")
 
 
@@ -246,7 +287,7 @@ def requests_scored(spark, d):
         "id", "activity", "division", "district", "access", F.col("age").alias("business_age"), F.col("age").alias("premises_age"),
         F.col("previous_turnovers").cast("double").alias("previous_turnovers"), "turnover_rate", F.lit(0.0).alias("age_censored"),
     )
-    scored = models.checked_score(model_of(spark, d), x, part(spark, d, "train"))
+    scored = models.checked_score(model_of(spark, d), x, profile_of(spark, d))
     ref = scored_universe(spark, d).select("p")
     base = part(spark, d, "test").agg(F.avg("target")).scalar()
     out = evaluate.reference_decile(scored, ref, "p")
@@ -255,30 +296,63 @@ def requests_scored(spark, d):
 
 @query("scenario_scores")
 def scenario_scores(spark, d):
-    codes = data(spark, d).select("activity").distinct()
+    seen = part(spark, d, "train")
+    codes = with_parent(seen.select("activity").distinct(), modal_parent(seen.where("division IS NOT NULL"), "activity", "division"), "activity", "division")
     grid = scenario_grid(codes, NATIONS, PROFILES)
     x = grid.withColumns({
-        "division": F.lit("BUILDING"), "access": F.lit("Puerta Calle"), "business_age": F.col("age"), "premises_age": F.col("age"),
+        "access": F.lit("Puerta Calle"), "business_age": F.col("age"), "premises_age": F.col("age"),
         "previous_turnovers": F.col("turnovers").cast("double"), "turnover_rate": F.least(F.col("turnovers") / F.greatest("age", F.lit(1.0)), F.lit(1.0)),
         "age_censored": F.lit(0.0),
     })
-    s = model_of(spark, d).score(x).select("activity", "district", "profile", F.round("p", 5).alias("p"))
+    scored = models.checked_score(model_of(spark, d), x, profile_of(spark, d))
+    s = scored.select("activity", "division", "district", "profile", F.round("p", 5).alias("p"), "warnings")
     return s.join(varies_by_district(s, ["activity", "profile"], "p"), ["activity", "profile"])
 
 
-@query("requests_scored_stream")
-def requests_scored_stream(spark, d):
+def _stream_requests(spark, d):
+    """Requests as they arrive: activities looked up in the (static) nomenclature, districts as typed."""
     from panelflow.streaming import monitor
 
-    events = table(spark, d, "events")
-    s = monitor.read_log_stream(spark, d, events.schema, "events.parquet").select(
-        F.col("event_id").alias("id"), F.upper("event_type").alias("activity"), F.lit("BUILDING").alias("division"),
-        F.concat(F.lit("NATION_"), (F.col("user_id") % 25).cast("string")).alias("district"), F.lit("Puerta Calle").alias("access"),
+    events, nomenclature = table(spark, d, "events"), table(spark, d, "part")
+    log = monitor.read_log_stream(spark, d, events.schema, "events.parquet")
+    n = nomenclature.count()
+    named = nomenclature.select(F.col("p_partkey").alias("_k"), F.upper(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("_activity"))
+    log = log.withColumn("_k", F.col("user_id") % n).join(named, "_k")
+    return log.select(
+        F.col("event_id").alias("id"), F.when(F.col("event_id") % 31 == 0, "NOPE").otherwise(F.col("_activity")).alias("activity"),
+        F.get(F.array(*[F.lit(x) for x in SEGMENTS]), (F.col("event_id") % 5).cast("int")).alias("division"),
+        F.concat(F.lit(" nation_"), (F.col("user_id") % 25).cast("string")).alias("district"), F.lit("puerta calle").alias("access"),
         (F.col("value") / 100).alias("business_age"), (F.col("value") / 100).alias("premises_age"),
         (F.col("user_id") % 3).cast("double").alias("previous_turnovers"), F.lit(0.0).alias("turnover_rate"), F.lit(0.0).alias("age_censored"),
         F.array_compact(F.array(F.when(F.col("value") > 300, "age out of range"))).alias("errors"),
     )
-    scored = model_of(spark, d).score(s).select("id", "activity", "district", "p", "errors")
-    table_ = monitor.run_to_table(scored, "scored-requests")
-    ok, bad = monitor.valid_and_side_output(table_)
+
+
+def _served(spark, d):
+    from panelflow.streaming import monitor
+
+    def build():
+        scored = models.score_requests(model_of(spark, d), _stream_requests(spark, d), profile_of(spark, d))
+        return monitor.run_to_table(scored.select("id", "activity", "district", "p", "errors", "warnings"), "scored-requests")
+
+    return stored(spark, d, "served", build)
+
+
+@query("requests_scored_stream")
+def requests_scored_stream(spark, d):
+    from panelflow.streaming import monitor
+
+    ok, bad = monitor.valid_and_side_output(_served(spark, d))
     return ok.select("id", "p", F.lit("served").alias("kind")).unionByName(bad.select("id", "p", F.lit("rejected").alias("kind")))
+
+
+@query("requests_admitted_stream", "WITH " + PAIRS_SQL + """,
+seen AS (SELECT activity, district FROM labelled WHERE cohort <= 1997),
+r AS (SELECT event_id AS id, value, CASE WHEN event_id % 31 = 0 THEN 'NOPE' ELSE upper(split_part(p_name, ' ', 2)) END AS activity,
+  'NATION_' || CAST(user_id % 25 AS VARCHAR) AS district FROM events JOIN part ON p_partkey = user_id % (SELECT count(*) FROM part))
+SELECT id, CASE WHEN district IN (SELECT district FROM seen) THEN district ELSE ' ' || lower(district) END AS district,
+  array_to_string(list_filter([CASE WHEN value > 300 THEN 'age out of range' END,
+    CASE WHEN activity NOT IN (SELECT activity FROM seen) THEN 'unknown activity' END,
+    CASE WHEN district NOT IN (SELECT district FROM seen) THEN 'unknown district' END], lambda e: e IS NOT NULL), ',') AS errors FROM r""")
+def requests_admitted_stream(spark, d):
+    return _served(spark, d).select("id", "district", F.array_join("errors", ",").alias("errors"))

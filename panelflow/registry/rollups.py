@@ -769,7 +769,7 @@ def scenario_point(spark, d):
     return ranking.point_filter(grid, activity="PROMO", district="NATION_4", profile="settled").select("activity", "district", "profile")
 
 
-REQ_SQL = """WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 31 = 0 THEN 'NOPE' ELSE p_type END AS activity, o_orderpriority AS division,
+REQ_SQL = """WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 31 = 0 THEN 'NOPE' ELSE upper(split_part(p_name, ' ', 2)) END AS activity, c_mktsegment AS division,
   CASE WHEN o_orderkey % 29 = 0 THEN 'Atlantis' ELSE ' ' || lower(n_name) END AS district, 'puerta calle' AS access,
   CAST(o_orderkey % 150 AS DOUBLE) AS age, CAST(o_orderkey % 60 AS INT) AS t
   FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part))
@@ -790,6 +790,7 @@ def request_validation(spark, d):
 
 def _requests(spark, d):
     part, nation = table(spark, d, "part"), table(spark, d, "nation")
+    activity = F.upper(F.split_part("p_name", F.lit(" "), F.lit(2)))
     o = table(spark, d, "orders").withColumn("pk", F.col("o_orderkey") % part.agg(F.count("*")).scalar())
     j = (
         o.join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
@@ -797,8 +798,8 @@ def _requests(spark, d):
     )
     r = j.select(
         F.col("o_orderkey").alias("id"),
-        F.when(F.col("o_orderkey") % 31 == 0, "NOPE").otherwise(F.col("p_type")).alias("activity"),
-        F.col("o_orderpriority").alias("division"),
+        F.when(F.col("o_orderkey") % 31 == 0, "NOPE").otherwise(activity).alias("activity"),
+        F.col("c_mktsegment").alias("division"),
         F.when(F.col("o_orderkey") % 29 == 0, "Atlantis").otherwise(F.concat(F.lit(" "), F.lower("n_name"))).alias("district"),
         F.lit("puerta calle").alias("access"),
         (F.col("o_orderkey") % 150).cast("double").alias("age"),
@@ -806,6 +807,6 @@ def _requests(spark, d):
     )
     access = snapshots(spark, d).select("access").distinct()
     return catalogue.validate_requests(
-        r, part.select("p_type").distinct(), table(spark, d, "orders").select("o_orderpriority").distinct(),
+        r, part.select(activity.alias("activity")).distinct(), table(spark, d, "customer").select("c_mktsegment").distinct(),
         nation.select("n_name"), access,
     )

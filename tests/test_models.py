@@ -1,12 +1,15 @@
 """Pipelines on a planted signal: metric bands and invariants."""
 
+import itertools
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from panelflow.operators import evaluate
-from panelflow.plans import models
+from panelflow.plans import attribution, models
 
 
 @pytest.fixture(scope="module")
@@ -50,13 +53,83 @@ def test_attributions_add_up(frames):
     train, val, test = frames
     m = models.fit(train, ["age"], ["sector"], "boosting", **SMALL)
     rows = test.limit(5)
-    got = models.shapley_attribution(m, rows, train, "row_id", permutations=6).groupBy("row_id").agg(F.sum("contribution").alias("s")).toPandas()
+    got = models.shapley_attribution(m, rows, train, "row_id", permutations=6, sample=6).groupBy("row_id").agg(F.sum("contribution").alias("s")).toPandas()
     bg = train.orderBy(F.xxhash64("row_id", F.lit(0)), "row_id").limit(6)
     base = m.raw(bg).agg(F.avg("raw")).first()[0]
     p = m.raw(rows).select("row_id", "raw").toPandas().merge(got, on="row_id")
     assert np.allclose(p["raw"] - base, p["s"], atol=1e-9)
 
 
+def test_score_under_any_name_with_calibration(frames):
+    train, val, test = frames
+    m = models.fit(train, ["age"], ["sector"], "boosting", **SMALL).calibrate(val)
+    plain = {r.row_id: r.p for r in m.score(test).collect()}
+    for name in ("raw", "p0", "_p", "prediction_"):
+        scored = m.score(test, name)
+        assert scored.columns == [*test.columns, name]
+        assert {r.row_id: r[name] for r in scored.collect()} == plain
+    again = m.score(m.score(test, "raw"), "p")
+    assert [(r.raw, r.p) for r in again.limit(50).collect()] == [(r.p, r.p) for r in again.limit(50).collect()]
+    got = models.shapley_attribution(m, test.limit(4), train, "row_id", permutations=5, sample=5).groupBy("row_id").agg(F.sum("contribution").alias("s")).collect()
+    base = m.score(train.orderBy(F.xxhash64("row_id", F.lit(0)), "row_id").limit(5)).agg(F.avg("p")).first()[0]
+    assert all(abs(r.s - (plain[r.row_id] - base)) < 1e-9 for r in got) and len(got) == 4
+
+
+def _by_coalitions(leaves, x, background=None):
+    """Shapley values of one row by adding up all coalitions."""
+    n = len(x)
+
+    def worth(inside):
+        total = 0.0
+        for leaf in leaves:
+            rows = [x] if background is None else [np.where(np.isin(np.arange(n), list(inside)), x, b) for b in background]
+            for row in rows:
+                share = leaf.value / len(rows)
+                for j, f in enumerate(leaf.features):
+                    passes = row[f] in leaf.categories[j] if leaf.categories[j] is not None else leaf.low[j] < row[f] <= leaf.high[j]
+                    share *= leaf.share[j] if background is None and f not in inside else float(passes)
+                total += share
+        return total
+
+    out = []
+    for i in range(n):
+        others, value = [f for f in range(n) if f != i], 0.0
+        for size in range(n):
+            weight = math.factorial(size) * math.factorial(n - size - 1) / math.factorial(n)
+            for s in itertools.combinations(others, size):
+                value += weight * (worth({*s, i}) - worth({*s}))
+        out.append(value)
+    return worth(set()), out
+
+
+@pytest.mark.parametrize("kind,params", [("boosting", SMALL), ("tree", {"minInstancesPerNode": 20}), ("forest", {"numTrees": 5, "maxDepth": 4, "minInstancesPerNode": 20})])
+def test_tree_attributions_are_shapley_values(frames, kind, params):
+    train, val, test = (d.withColumn("size", F.col("id") % 7).withColumn("old", (F.col("age") > 4).cast("int")) for d in frames)
+    m = models.fit(train, ["age", "size", "old"], ["sector"], kind, **params).calibrate(val)
+    leaves = attribution.leaves_of(m)
+    few = test.orderBy("row_id").limit(5)
+    x = {r.row_id: np.array(r.x) for r in attribution.encoded(m, few, "row_id").collect()}
+    p = {r.row_id: r.raw for r in m.raw(test).collect()}
+    order = test.orderBy(F.xxhash64("row_id", F.lit(0)), "row_id").limit(6)
+    stand = np.array([r.x for r in attribution.encoded(m, order, "row_id").collect()])
+    for background in (None, test):
+        got = attribution.tree_attribution(m, test, "row_id", background, sample=6).toPandas()
+        assert got.groupby("row_id").size().eq(4).all() and got["row_id"].nunique() == test.count()
+        margin = got.groupby("row_id")["contribution"].sum() + got.groupby("row_id")["base"].first()
+        raw = 1 / (1 + np.exp(-2 * margin)) if kind == "boosting" else margin
+        assert np.allclose(raw, [p[i] for i in raw.index], atol=1e-9)
+        for row_id, row in x.items():
+            base, values = _by_coalitions(leaves, row, None if background is None else stand)
+            mine = got[got["row_id"] == row_id].set_index("variable")
+            assert np.allclose(mine["contribution"][[*m.categorical, *m.numeric]], values, atol=1e-9) and np.allclose(mine["base"], base, atol=1e-9)
+
+
+def test_tree_attribution_of_linear_models_is_refused(frames):
+    train, *_ = frames
+    with pytest.raises(ValueError, match="trees"):
+        attribution.leaves_of(models.fit(train, ["age"], ["sector"], "logistic"))
+
+
 def test_permutation_importance_finds_the_sector(frames):
     train, _, test = frames
     t = train.withColumn("noise", F.rand(1))

@@ -108,6 +108,73 @@ def test_paired_difference_of_a_score_with_itself(scored):
     assert r.loc["p2", "d_auc_hi"] < 0
 
 
+def _weighted(p, y, w, q=0.1):
+    """AUC, lift and Brier of weighted rows, by comparing all pairs."""
+    pos, neg = w * y, w * (1 - y)
+    auc = (pos[:, None] * neg[None, :] * ((p[:, None] > p[None, :]) + 0.5 * (p[:, None] == p[None, :]))).sum() / (pos.sum() * neg.sum())
+    left, hits = max(1, math.floor(w.sum() * q)), 0.0
+    cut = left
+    for v in sorted(set(p), reverse=True):
+        n, k = w[p == v].sum(), pos[p == v].sum()
+        if n:
+            hits += k * min(left, n) / n
+            left -= min(left, n)
+    return auc, hits / cut / (pos.sum() / w.sum()), (w * (p - y) ** 2).sum() / w.sum()
+
+
+@pytest.mark.parametrize("digits,block,partitions", [(1, 1 << 20, 3), (2, 300, 5), (6, 300, 7), (6, 1 << 20, 1)])
+def test_replicates_by_slices_equal_all_pairs(spark, monkeypatch, digits, block, partitions):
+    monkeypatch.setattr(resample, "CELLS", block)
+    rng = np.random.default_rng(digits)
+    n, replicates = 230, 12
+    p = np.round(rng.random(n), digits)
+    pdf = pd.DataFrame({"k": [f"r{i}" for i in range(n)], "y": (rng.random(n) < 0.15 + 0.5 * p).astype(int), "p": p, "p2": np.round(1 - p, 1)})
+    df = spark.createDataFrame(pdf).repartition(partitions)
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        cells = resample._cells(df.select("y", "p", "p2", "k"), ["y", "p", "p2"], "k")
+        got = resample._replicate_metrics(cells, ["p", "p2"], replicates, 3).toPandas().set_index(["model", "rep"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    w = resample.draw(np.ones(n), pdf["k"].to_numpy(object), replicates, 3)
+    assert len(got) == 2 * replicates and abs(w.mean() - 1) < 0.1
+    for (model, rep), r in got.iterrows():
+        want = _weighted(pdf[model].to_numpy(), pdf["y"].to_numpy(), w[:, rep])
+        assert np.allclose([r.auc, r.lift, r.brier], want, atol=1e-12), (model, rep)
+        assert (r.n, r.positives) == (w[:, rep].sum(), (w[:, rep] * pdf["y"]).sum())
+
+
+def test_replicates_of_cells_with_heavy_ties(spark):
+    df = spark.createDataFrame([(0, 0.5)] * 900 + [(1, 0.5)] * 300 + [(1, 0.9)] * 50 + [(0, 0.1)] * 200, "y int, p double").repartition(4)
+    cells = resample._cells(df, ["y", "p"], None)
+    assert cells.count() == 4
+    t = cells.toPandas()
+    w = resample.draw(t["_n"].to_numpy(), t["_key"].to_numpy(), 20, 0)
+    got = resample._replicate_metrics(cells, ["p"], 20, 0).toPandas().set_index("rep")
+    for rep, r in got.iterrows():
+        assert np.allclose([r.auc, r.lift, r.brier], _weighted(t["p"].to_numpy(), t["y"].to_numpy(), w[:, rep]), atol=1e-12)
+    plan = resample._replicate_metrics(cells, ["p"], 20, 0)._jdf.queryExecution().toString()
+    assert "posexplode" not in plan.lower()
+
+
+def test_poisson_draws_from_digests():
+    w = resample.draw(np.ones(4000), np.array([f"k{i}" for i in range(4000)], object), 9, 5)
+    assert w.shape == (4000, 9) and abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05
+    assert np.array_equal(w[:7], resample.draw(np.ones(7), np.array([f"k{i}" for i in range(7)], object), 12, 5)[:, :9])
+
+
+def test_group_sums_of_replicates(spark, monkeypatch):
+    monkeypatch.setattr(resample, "GROUPS", 3)
+    pdf = pd.DataFrame({"k": [f"r{i}" for i in range(90)], "a": [f"g{i % 8}" for i in range(90)], "v": np.arange(90.0)})
+    df = spark.createDataFrame(pdf).repartition(3)
+    got = resample.replicate_sums(df, {"s": "v", "t": "v * v"}, "a", 6, 1, "k").toPandas().set_index(["a", "rep"])
+    w = resample.draw(np.ones(90), pdf["k"].to_numpy(object), 6, 1)
+    for (a, rep), r in got.iterrows():
+        m = pdf["a"] == a
+        assert np.allclose([r.w, r.s, r.t], [w[m, rep].sum(), (w[m, rep] * pdf["v"][m]).sum(), (w[m, rep] * pdf["v"][m] ** 2).sum()])
+    assert len(got) == 48
+
+
 def test_wilson_contains_rate(spark):
     r = spark.createDataFrame([(1, 40), (0, 5), (8, 25)], "k int, n int").select(wilson("k", "n").alias("w")).select("w.*").collect()
     assert all(x.low <= x.rate <= x.high for x in r)
