@@ -330,15 +330,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                & _possible(percent, F.least("sx", "sy")))
         .select("x", "y", "na", "nb").distinct()
     )
-    met = store.keep(met, "met")
-    # all buckets of such a pair are open, so the count of shared tokens is exact
-    own = open_.select("token", F.col("cid").alias("x"), "weight")
-    other = open_.select("token", F.col("cid").alias("y"))
-    rest = (
-        met.join(own, "x").join(other, ["token", "y"]).groupBy("x", "y", "na", "nb").agg(F.sum("weight").alias("shared"))
-        .where(_possible(percent)).select(*_pair("x", "y")).join(judged, ["a", "b"], "left_anti")
-    )
-    third = _judged(store.keep(rest, "pairs"), docs, classes, percent, store)
+    # verified as they are: counting their shared tokens would take a row for each token of each pair
+    rest = store.keep(met.select(*_pair("x", "y")).join(judged.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    third = _judged(rest, docs, classes, percent, store)
     links = links.union(third.where("linked").select("a", "b"))
 
     comps = components(links, store)
