@@ -8,14 +8,21 @@ a DataFrame expression.
 Base rules reject a text of fewer than ``MIN_WORDS`` words, or with more than
 half of its words in repeated three-word windows.
 
-The estimate: the half with the smallest distances from coordinate-wise
-medians starts; ``STEPS`` concentration steps follow.  Each takes the distances
-under the last estimate, the ``SUPPORT`` quantile of each group, and the mean
-and covariance of the rows within it, as sums that combine before their
-shuffle.  ``FLOOR`` is added to the variances, so a statistic that is constant
-in a group (no symbols at all, say) gives finite distances.  Groups with fewer
-than ``LEAST`` rows in the estimate take that of their language; without one,
-the base rules alone decide.
+The estimate.  Three starts (medians with their absolute deviations, with the
+correlations of squashed deviations, and with those of deviations of unit
+length) go through concentration steps side by side: distances under the last
+estimate, then mean and covariance of the ``SUPPORT`` share of the group's rows
+with the smallest ones, with the consistency factor of that share.  A step is
+one aggregate: rows are summed by group and bin of their distance, and the bins
+are taken up to the share, the last one in part.  Steps go on until no group's
+determinant falls any more; each group takes its start with the smallest one.
+``NOISE`` is added to the variances (a share of counted characters or words has
+about that variance by counting alone), so a statistic that is constant in a
+group gives finite distances, and so does a ``PRIOR`` that weighs as much as
+``LEAST`` rows.
+
+Groups with fewer than ``LEAST`` rows take the estimate of their language, and
+languages with fewer that of all rows, whatever their number.
 
 Defined results: null and empty texts have all statistics zero and fail the
 base rules.  Null language or source is a group of its own.  Repeated rows are
@@ -25,7 +32,10 @@ empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.llm.store import Store
@@ -33,12 +43,18 @@ from panelflow.llm.store import Store
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 SUPPORT = 0.75
-STEPS = 3
+#: Steps at most, and the fall of a log determinant that counts.
+STEPS, SETTLED = 30, 0.01
 LEAST = 60
-#: Squared distances above this are outliers.
-CUT = 36.0
-#: Added to the variances, in the units of ``vector`` below.
-FLOOR = [0.25, 0.01, 0.0025, 0.01, 0.04, 0.0025, 0.0025]
+#: Share of rows of a normal group that the cut lets through.
+LEVEL = 1 - 1e-6
+#: Variances of counting, and of a group without rows, in the units of ``vector`` below.
+NOISE = [1e-3, 1e-4, 2e-4, 1e-3, 1e-3, 2e-4, 2e-4]
+PRIOR = [0.25, 0.01, 0.0025, 0.01, 0.04, 0.0025, 0.0025]
+#: Bins of distances for each doubling.
+BINS = 4
+#: Tables of one row per group are broadcast up to this number of rows (some 500 bytes each).
+SMALL_GROUPS = 50_000
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -109,24 +125,53 @@ def vector(s: str) -> list[Column]:
     ]
 
 
-D = len(FLOOR)
-PARTS = [f"m{i}" for i in range(D)] + [f"l{i}_{j}" for i in range(D) for j in range(i + 1)]
+D = len(NOISE)
+PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
+PARTS = [f"m{i}" for i in range(D)] + [f"l{i}_{j}" for i, j in PAIRS]
+KEY = ["k_lang", "k_source"]
+ANY = "\x01"
 
 
-def _estimate(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Mean, and lower Cholesky factor of the covariance, of x0.. per group."""
-    sums = [F.count("*").alias("n")]
-    sums += [F.avg(f"x{i}").alias(f"m{i}") for i in range(D)]
-    sums += [F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i in range(D) for j in range(i + 1)]
-    out = rows.groupBy(*by).agg(*sums).withColumns({f"c{i}_{i}": F.col(f"c{i}_{i}") + FLOOR[i] for i in range(D)})
-    for i in range(D):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}_{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            root = F.sqrt(F.greatest(rest, F.lit(FLOOR[i] / 4)))
-            out = out.withColumn(f"l{i}_{j}", root if i == j else rest / F.col(f"l{j}_{j}"))
-    return out.select(*by, "n", *PARTS)
+def chi_square(x: float, k: int) -> float:
+    """Distribution function of the sum of ``k`` squared normal variables."""
+    term = total = 1.0 / math.gamma(k / 2 + 1)
+    n = 0
+    while term > total * 1e-17:
+        n += 1
+        term *= (x / 2) / (k / 2 + n)
+        total += term
+    return total * (x / 2) ** (k / 2) * math.exp(-x / 2)
+
+
+def chi_square_quantile(p: float, k: int) -> float:
+    low, high = 0.0, 400.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, k) < p else (low, middle)
+    return low
+
+
+#: Covariance of a normal group over that of its most central ``SUPPORT`` share.
+CONSISTENCY = SUPPORT / chi_square(chi_square_quantile(SUPPORT, D), D + 2)
+#: Squared distances above this are outliers.
+CUT = chi_square_quantile(LEVEL, D)
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows``, marked for broadcasting if their number is within the bound."""
+    return F.broadcast(rows) if rows.count() <= SMALL_GROUPS else rows
+
+
+def _factor(df: DataFrame, rows: str) -> DataFrame:
+    """Lower Cholesky factor ``l*`` and ``logdet`` of the covariances ``c*`` of ``rows`` rows, made regular."""
+    share = F.lit(LEAST) / (LEAST + F.col(rows))
+    df = df.withColumns({f"c{i}_{i}": F.greatest(F.col(f"c{i}_{i}"), F.lit(0.0)) + NOISE[i] + share * PRIOR[i] for i in range(D)})
+    for i, j in PAIRS:
+        rest = F.col(f"c{i}_{j}")
+        for k in range(j):
+            rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
+        df = df.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(NOISE[i] / 4))) if i == j else rest / F.col(f"l{j}_{j}"))
+    return df.withColumn("logdet", 2 * sum((F.log(f"l{i}_{i}") for i in range(1, D)), F.log("l0_0")))
 
 
 def _distance(df: DataFrame) -> DataFrame:
@@ -139,20 +184,86 @@ def _distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, D)), F.col("z0") * F.col("z0")))
 
 
-def _mcd(points: DataFrame, by: list[str], store: Store) -> DataFrame:
-    start = points.groupBy(*by).agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(D)])
-    spread = (
-        points.join(start, by)
-        .groupBy(*by).agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i in range(D)])
-    )
-    first = start.join(spread, by)
-    lower = {f"l{i}_{j}": F.sqrt((1.4826 * F.col(f"s{i}")) ** 2 + FLOOR[i]) if i == j else F.lit(0.0) for i in range(D) for j in range(i + 1)}
-    model = store.keep(first.withColumns(lower).drop(*[f"s{i}" for i in range(D)]), "start")
+def _starts(points: DataFrame, store: Store) -> DataFrame:
+    """Three starts per group: center ``m*`` (also kept as ``o*``) and factor ``l*``."""
+    middle = store.keep(points.groupBy(*KEY).agg(F.count("*").alias("rows"), *[F.percentile_approx(f"x{i}", 0.5, 500).alias(f"o{i}") for i in range(D)]), "middle")
+    off = points.join(_small(middle), KEY).select(*KEY, "rows", *[(F.col(f"x{i}") - F.col(f"o{i}")).alias(f"x{i}") for i in range(D)])
+    wide = store.keep(off.groupBy(*KEY).agg(*[F.percentile_approx(F.abs(f"x{i}"), 0.5, 500).alias(f"s{i}") for i in range(D)]), "wide")
+    wide = wide.select(*KEY, *[F.sqrt((1.4826 * F.col(f"s{i}")) ** 2 + NOISE[i]).alias(f"s{i}") for i in range(D)])
+    unit = off.join(_small(wide), KEY).select(*KEY, *[(F.col(f"x{i}") / F.col(f"s{i}")).alias(f"x{i}") for i in range(D)])
+    length = F.sqrt(sum((F.col(f"x{i}") * F.col(f"x{i}") for i in range(1, D)), F.col("x0") * F.col("x0")))
+    unit = unit.select(*KEY, *[F.tanh(f"x{i}").alias(f"a{i}") for i in range(D)], *[(F.col(f"x{i}") / F.greatest(length, F.lit(1e-9))).alias(f"b{i}") for i in range(D)])
+    sums = unit.groupBy(*KEY).agg(*[F.avg(F.col(f"{v}{i}") * F.col(f"{v}{j}")).alias(f"{v}{i}_{j}") for v in "ab" for i, j in PAIRS])
+    told = middle.join(sums, KEY).join(wide, KEY)
+
+    def start(k: int, v: str | None) -> Column:
+        def covariance(i: int, j: int) -> Column:
+            scale = F.col(f"s{i}") * F.col(f"s{j}")
+            if v is None or i == j:
+                return scale if i == j else F.lit(0.0)
+            # correlations are drawn in a little, so that they are those of some distribution
+            return 0.95 * scale * F.col(f"{v}{i}_{j}") / F.sqrt(F.greatest(F.col(f"{v}{i}_{i}") * F.col(f"{v}{j}_{j}"), F.lit(1e-12)))
+
+        return F.struct(F.lit(k).alias("start"), *[covariance(i, j).alias(f"c{i}_{j}") for i, j in PAIRS])
+
+    out = told.select(*KEY, "rows", *[f"o{i}" for i in range(D)], F.explode(F.array(start(0, None), start(1, "a"), start(2, "b"))).alias("t"))
+    out = out.select(*KEY, "rows", "t.*", *[f"o{i}" for i in range(D)], *[F.col(f"o{i}").alias(f"m{i}") for i in range(D)])
+    return _factor(out, "rows").select(*KEY, "start", "rows", "logdet", *[f"o{i}" for i in range(D)], *PARTS)
+
+
+def _concentrate(points: DataFrame, model: DataFrame) -> DataFrame:
+    """One concentration step of all groups and starts; ``before`` is the last log determinant."""
+    kept = [*KEY, "start", "rows", "logdet", *[f"o{i}" for i in range(D)]]
+    far = _distance(points.join(_small(model), KEY))
+    place = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-6))) * BINS).cast("int")
+    off = [F.col(f"x{i}") - F.col(f"o{i}") for i in range(D)]
+    bins = far.groupBy(*kept, place.alias("bin")).agg(
+        F.count("*").alias("n"), *[F.sum(off[i]).alias(f"s{i}") for i in range(D)], *[F.sum(off[i] * off[j]).alias(f"p{i}_{j}") for i, j in PAIRS])
+    earlier = Window.partitionBy(*KEY, "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # some hundred bins
+    left = SUPPORT * F.col("rows") - F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    bins = bins.withColumn("w", F.greatest(F.lit(0.0), F.least(F.lit(1.0), left / F.col("n"))))
+    sums = bins.groupBy(*kept).agg(
+        F.sum(F.col("w") * F.col("n")).alias("n"), *[F.sum(F.col("w") * F.col(f"s{i}")).alias(f"s{i}") for i in range(D)],
+        *[F.sum(F.col("w") * F.col(f"p{i}_{j}")).alias(f"p{i}_{j}") for i, j in PAIRS])
+    mean = [F.col(f"s{i}") / F.col("n") for i in range(D)]
+    out = sums.select(
+        *KEY, "start", "rows", F.col("logdet").alias("before"), *[f"o{i}" for i in range(D)], *[(F.col(f"o{i}") + mean[i]).alias(f"m{i}") for i in range(D)],
+        *[(CONSISTENCY * (F.col(f"p{i}_{j}") / F.col("n") - mean[i] * mean[j])).alias(f"c{i}_{j}") for i, j in PAIRS])
+    return _factor(out, "rows").select(*KEY, "start", "rows", "logdet", "before", *[f"o{i}" for i in range(D)], *PARTS)
+
+
+def estimates(points: DataFrame, store: Store) -> DataFrame:
+    """Minimum covariance determinant (m*, l*) of every group ``KEY`` of ``points``."""
+    model = store.keep(_starts(points, store), "start")
     for step in range(STEPS):
-        far = _distance(points.join(model, by)).select(*by, "d2", *[f"x{i}" for i in range(D)])
-        cut = far.groupBy(*by).agg(F.percentile_approx("d2", 0.5 if step == 0 else SUPPORT, 1000).alias("h"))
-        model = store.keep(_estimate(far.join(store.keep(cut, "cut"), by).where("d2 <= h"), by), "model")
-    return model
+        after = store.keep(_concentrate(points, model.drop("before")), "model")
+        store.drop(model)
+        model = after
+        # starts have no support of their own, so their determinants are not compared
+        fall = model.agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        if fall is None or (step and fall < SETTLED):
+            break
+    best = model.groupBy(*KEY).agg(F.min_by(F.struct("rows", *PARTS), F.struct("logdet", "start")).alias("b"))
+    return best.select(*KEY, "b.*")
+
+
+def _keyed(points: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
+    """(rows under the group they estimate, the group that each language and source is judged by)."""
+    sizes = points.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    sizes = store.keep(sizes.withColumn("n_lang", F.sum("n").over(Window.partitionBy("lang"))), "sizes")
+    k_lang = F.when((F.col("n") >= LEAST) | (F.col("n_lang") >= LEAST), F.col("lang")).otherwise(ANY)
+    k_source = F.when(F.col("n") >= LEAST, F.col("source")).otherwise(ANY)
+    used = store.keep(sizes.select("lang", "source", k_lang.alias("k_lang"), k_source.alias("k_source")), "groups")
+    x = [f"x{i}" for i in range(D)]
+    own = points.join(_small(used.where(F.col("k_source") != ANY).select("lang", "source")), ["lang", "source"], "left_semi")
+    parts = [own.select(F.col("lang").alias("k_lang"), F.col("source").alias("k_source"), *x)]
+    langs = used.where((F.col("k_source") == ANY) & (F.col("k_lang") != ANY)).select("lang").distinct()
+    if not langs.isEmpty():
+        some = points.join(_small(langs), "lang", "left_semi")
+        parts.append(some.select(F.col("lang").alias("k_lang"), F.lit(ANY).alias("k_source"), *x))
+    if not used.where(F.col("k_lang") == ANY).isEmpty():
+        parts.append(points.select(F.lit(ANY).alias("k_lang"), F.lit(ANY).alias("k_source"), *x))
+    return store.keep(reduce(DataFrame.unionByName, parts), "keyed"), used
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
@@ -160,7 +271,8 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     """(row, s, base_failed, distance, kept) per document.
 
     ``row`` is a struct of the columns ``carry`` (all by default), ``s`` the
-    statistics; ``distance`` is null where no estimate covers the group.
+    statistics; ``distance`` is null in groups of which no row passes the base
+    rules.
     """
     store = Store(docs.sparkSession, "quality")
     carried = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
@@ -171,15 +283,11 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
         statistics(F.col(text_col).cast("string")).alias("s"),
     ), "statistics")
     located = judged.withColumns({f"x{i}": x.cast("double") for i, x in enumerate(vector("s"))})
-    points = located.where(~base_failed("s")).select("lang", "source", *[f"x{i}" for i in range(D)])
-    fine = _mcd(points, ["lang", "source"], store).where(f"n >= {LEAST}").select("lang", "source", F.struct(*PARTS).alias("fine"))
-    wide = _mcd(points, ["lang"], store).where(f"n >= {LEAST}").select("lang", F.struct(*PARTS).alias("wide"))
-    models = (
-        points.select("lang", "source").distinct().join(fine, ["lang", "source"], "left").join(wide, "lang", "left")
-        .select("lang", "source", F.coalesce("fine", "wide").alias("model"))
-    )
-    models = store.keep(models, "models")
-    far = _distance(located.join(models, ["lang", "source"], "left").select("row", "s", *[f"x{i}" for i in range(D)], "model.*"))
+    points, used = _keyed(located.where(~base_failed("s")).select("lang", "source", *[f"x{i}" for i in range(D)]), store)
+    models = estimates(points, store)
+    models = store.keep(used.join(models, KEY).select("lang", "source", *PARTS), "models")
+    store.drop(points)
+    far = _distance(located.join(_small(models), ["lang", "source"], "left"))
     return far.select(
         "row", "s", base_failed("s").alias("base_failed"), F.col("d2").alias("distance"),
         (~base_failed("s") & ~F.coalesce(F.col("d2") > CUT, F.lit(False))).alias("kept"))

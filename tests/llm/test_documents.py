@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+
 from panelflow.llm import decontamination, jaccard_join, language_id, license_scan, packing, quality_rules, token_counts, units
+from panelflow.llm.store import Store
 
 
 def rows(df, *columns):
@@ -94,36 +96,101 @@ def test_quality_statistics_and_base_rules(docs, spark):
         assert not (r["base_failed"] and r["kept"])
 
 
-def test_quality_distance_is_a_minimum_covariance_determinant(spark):
+def regular(cov, rows):
+    return cov + np.diag(np.array(quality_rules.NOISE) + np.array(quality_rules.PRIOR) * quality_rules.LEAST / (quality_rules.LEAST + rows))
+
+
+def least_determinant(x, starts, rng):
+    """(log determinant, mean, covariance) by concentration steps from many random starts, over whole rows."""
+    n = len(x)
+    h, best = int(np.ceil(quality_rules.SUPPORT * n)), (np.inf, None, None)
+    for _ in range(starts):
+        some = x[rng.choice(n, quality_rules.D + 1, replace=False)]
+        mean, cov = some.mean(axis=0), regular(np.cov(some.T, bias=True), n)
+        for _ in range(60):
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            near = x[np.argsort(d, kind="stable")[:h]]
+            after = near.mean(axis=0), regular(quality_rules.CONSISTENCY * np.cov(near.T, bias=True), n)
+            if np.allclose(after[0], mean) and np.allclose(after[1], cov):
+                break
+            mean, cov = after
+        logdet = np.linalg.slogdet(cov)[1]
+        if logdet < best[0]:
+            best = logdet, mean, cov
+    return best
+
+
+def test_quality_estimate_has_the_least_determinant(spark):
     rng = np.random.default_rng(1)
+    mix = rng.normal(size=(7, 7)) * 0.1
+    clean = rng.normal(size=(400, 7)) @ mix
+    off = rng.normal(size=(90, 7)) * 0.05 + 1.5  # one cluster of outliers, below the share that is left out
+    x = np.vstack((clean, off))
+    points = spark.createDataFrame([("a", "b", *map(float, r)) for r in x], "k_lang string, k_source string, " + ", ".join(f"x{i} double" for i in range(7)))
+    r = quality_rules.estimates(points.repartition(5), Store(spark, "test")).collect()
+    assert len(r) == 1 and r[0].rows == 490
+    lower = np.zeros((7, 7))
+    for i in range(7):
+        for j in range(i + 1):
+            lower[i, j] = r[0][f"l{i}_{j}"]
+    mean = np.array([r[0][f"m{i}"] for i in range(7)])
+    want, m, cov = least_determinant(x, 60, rng)
+    assert np.linalg.slogdet(lower @ lower.T)[1] <= want + 0.1
+    mine, theirs = (np.einsum("ij,jk,ik->i", x - a, np.linalg.inv(c), x - a) for a, c in ((mean, lower @ lower.T), (m, cov)))
+    assert np.allclose(mine, theirs, rtol=0.25, atol=1.0)
+    assert (mine[400:] > quality_rules.CUT).all() and (mine[:400] > quality_rules.CUT).mean() < 0.01
+
+
+def test_consistency_factor_and_cut():
+    z = np.sort((np.random.default_rng(0).normal(size=(200_000, 7)) ** 2).sum(axis=1))
+    assert quality_rules.chi_square_quantile(0.99, 7) == pytest.approx(18.475, abs=1e-3)
+    assert quality_rules.chi_square_quantile(0.75, 7) == pytest.approx(z[150_000], rel=0.01)
+    central = z[:150_000].mean() / 7  # a central share has this share of the variance
+    assert quality_rules.CONSISTENCY == pytest.approx(1 / central, rel=0.01)
+
+
+def outlying(rng, kind, n=200):
+    """Texts of one statistic that the group does not have."""
+    words = [w.lower() for w in edge.prose(rng, n).split()]
+    if kind == "symbols":
+        words[5:35] = [w + "#" for w in words[5:35]]
+    elif kind == "capitals":
+        words[5:65] = [w.upper() for w in words[5:65]]
+    elif kind == "marks":
+        words[5:65] = [w + "..;" for w in words[5:65]]
+    elif kind == "repeats":
+        words[100:140] = words[:40]
+    elif kind == "long":
+        words = [w * 6 for w in words]
+    text = " ".join(words)
+    return text + "\n" + "\n".join(["so it goes"] * 16) if kind == "lines" else text
+
+
+def test_quality_outliers_of_every_statistic_where_it_is_constant(spark):
     import random
 
-    r = random.Random(2)
-    clean = [(i, edge.prose(r, int(rng.integers(60, 200))), "en", "s") for i in range(300)]
-    junk = [(1000 + i, " ".join(w + "***" for w in edge.prose(r, 100).split()), "en", "s") for i in range(30)]
-    out = quality_rules.judge(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")).select("row.doc_id", "s", "distance", "kept").collect()
-    assert all(x["kept"] == (x["doc_id"] < 1000) for x in out)
-    # brute force with the same start and steps
-    x = np.array([vector(o["s"]) for o in out])
-    lower = np.diag(np.sqrt((1.4826 * median(np.abs(x - median(x)))) ** 2 + quality_rules.FLOOR))
-    mean = median(x)
-    for step in range(quality_rules.STEPS):
-        d = ((np.linalg.solve(lower, (x - mean).T)) ** 2).sum(axis=0)
-        near = x[d <= np.sort(d)[int(np.ceil(len(d) * (0.5 if step == 0 else quality_rules.SUPPORT))) - 1]]
-        mean, lower = near.mean(axis=0), np.linalg.cholesky(np.cov(near.T, bias=True) + np.diag(quality_rules.FLOOR))
-    d = ((np.linalg.solve(lower, (x - mean).T)) ** 2).sum(axis=0)
-    assert np.allclose(d, [o["distance"] for o in out], rtol=1e-6)
-
-
-def median(x):
-    return np.sort(x, axis=0)[int(np.ceil(len(x) / 2)) - 1]
-
-
-def vector(s):
-    words, chars = max(s.n_words, 1), max(s.word_chars, 1)
-    marks = max(s.word_chars - s.n_letters - s.n_symbols, 0)
-    return [np.log1p(s.n_words), np.log(chars / words), (s.n_symbols / chars) ** 0.5, (s.n_dup_lines / words) ** 0.5, (s.n_repeat_words / words) ** 0.5,
-            ((s.n_letters - s.n_small) / chars) ** 0.5, (marks / chars) ** 0.5]
+    rng, rows = random.Random(7), []
+    for kind in ("symbols", "capitals", "marks", "repeats", "lines", "long"):  # a language each
+        rows += [(i, outlying(rng, None, rng.randint(120, 260)), kind, "s") for i in range(150)] + [(1000 + i, outlying(rng, kind), kind, "s") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = quality_rules.judge(df).select("row.doc_id", "row.lang", "base_failed", "kept").collect()
+    assert not any(r.base_failed for r in out)
+    assert [r.lang for r in out if r.doc_id >= 1000 and r.kept] == []
+    assert sum(r.kept for r in out if r.doc_id < 1000) >= 6 * 150 - 3
+
+
+def test_quality_of_small_groups_rests_on_wider_ones(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, outlying(rng, None, rng.randint(120, 260)), "en", f"s{i % 40}") for i in range(160)]  # sources of 4 rows
+    rows += [(500 + i, outlying(rng, None, rng.randint(120, 260)), f"l{i}", "s") for i in range(20)]  # languages of one row
+    rows += [(1000, outlying(rng, "symbols"), "en", "s1"), (1001, outlying(rng, "symbols"), "l3", "s"), (1002, outlying(rng, "symbols"), None, None)]
+    out = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).select("row.doc_id", "distance", "kept").collect()
+    assert all(r.distance is not None for r in out)
+    assert sorted(r.doc_id for r in out if not r.kept) == [1000, 1001, 1002]
+    alone = quality_rules.judge(spark.createDataFrame(rows[:1], "doc_id long, text string, lang string, source string")).collect()
+    assert alone[0].kept and alone[0].distance == pytest.approx(0)
 
 
 def test_quality_filter_keeps_columns(docs):
