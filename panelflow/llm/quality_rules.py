@@ -50,7 +50,7 @@ LEAST = 60
 LEVEL = 1 - 1e-6
 #: Variances of counting, and of a group without rows, in the units of ``vector`` below.
 NOISE = [1e-3, 1e-4, 2e-4, 1e-3, 1e-3, 2e-4, 2e-4]
-PRIOR = [0.25, 0.01, 0.0025, 0.01, 0.04, 0.0025, 0.0025]
+PRIOR = [0.25, 0.01, 0.001, 0.0025, 0.01, 0.001, 0.001]
 #: Bins of distances for each doubling.
 BINS = 4
 #: Tables of one row per group are broadcast up to this number of rows (some 500 bytes each).
