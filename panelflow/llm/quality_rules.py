@@ -46,8 +46,8 @@ SUPPORT = 0.75
 #: Steps at most, and the fall of a log determinant that counts.
 STEPS, SETTLED = 30, 0.01
 LEAST = 60
-#: Share of rows of a normal group that the cut lets through.
-LEVEL = 1 - 1e-6
+#: Share of rows of a normal group that the cut lets through; texts have heavier tails.
+LEVEL = 1 - 1e-8
 #: Variances of counting, and of a group without rows, in the units of ``vector`` below.
 NOISE = [1e-3, 1e-4, 2e-4, 1e-3, 1e-3, 2e-4, 2e-4]
 PRIOR = [0.25, 0.01, 0.001, 0.0025, 0.01, 0.001, 0.001]
