@@ -56,13 +56,21 @@ def income_by_district_year(districts: DataFrame, mapping: DataFrame, last_year:
 
 
 def attach_income(data: DataFrame, by_area: DataFrame, by_district: DataFrame, area: str, district: str, year: str) -> DataFrame:
-    """Fallback chain area-year -> district-year -> overall median."""
-    d = data.withColumn("_area", match_key(area)).withColumn("_district", match_key(district))
+    """Fallback chain area-year -> district-year -> overall median.
+
+    The median needs the rows per (area, district, year) only, so ``data`` is
+    read once for those counts and once for the result.
+    """
     a = by_area.select(F.col("area").alias("_area"), F.col("year").alias(year), F.col("income").alias("_ia"))
     b = by_district.select(F.col("district").alias("_district"), F.col("year").alias(year), F.col("income").alias("_ib"))
-    d = d.join(a, ["_area", year], "left").join(b, ["_district", year], "left")
-    d = d.withColumn("_known", F.coalesce("_ia", "_ib"))
-    median = F.lit(cut_points(d, "_known", [0.5])[0]).cast("double")
+
+    def known(df: DataFrame) -> DataFrame:
+        df = df.withColumn("_area", match_key(area)).withColumn("_district", match_key(district))
+        return df.join(a, ["_area", year], "left").join(b, ["_district", year], "left").withColumn("_known", F.coalesce("_ia", "_ib"))
+
+    counts = known(data.groupBy(area, district, year).agg(F.count("*").alias("_rows")))
+    median = F.lit(cut_points(counts, "_known", [0.5], "_rows")[0]).cast("double")
+    d = known(data)
     source = F.when(F.col("_ia").isNotNull(), "area").when(F.col("_ib").isNotNull(), "district").otherwise("median")
     return d.withColumn("income", F.coalesce(F.col("_known"), median)).withColumn("income_source", source).drop(
         "_area", "_district", "_ia", "_ib", "_known"

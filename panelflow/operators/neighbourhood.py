@@ -1,24 +1,28 @@
 """Radius neighbourhood of every point without enumerating all pairs.
 
 Points are first collapsed to sites: (snapshot, x, y, category) with
-multiplicities.  The plane is cut into small squares, ``split`` along the radius.
-Two squares are then in one of three relations:
+multiplicities.  The plane is cut into squares, ``split`` along the smallest
+radius, and a pair of squares is in one of three relations for each radius:
 
 * every point of one is within the radius of every point of the other: the
   squares' *totals* are added, no points meet.  This includes a square with
   itself, so a hot square never goes quadratic;
 * no point can be within the radius: skipped;
-* on the rim: their sites are compared one by one (squared distance).
-
-Rim comparisons of squares with many sites are salted on both sides in
-proportion to the number of sites, so one hot square is spread over many
-tasks.  The result is exact for any ``split``.
+* on the rim.  If the two hold few places, these are compared one by one
+  (squared distance).  If not, both are quartered and their quarters are related
+  again: a quadtree that goes down only along the rim and only where it is
+  dense, level by level until nothing is open.
+
+So for density d the comparisons grow as d ** 1.5, not d ** 2, no square pair
+compares more than ``PLACES`` pairs of places, and nothing depends on a depth
+chosen beforehand.  The result is exact for any ``split``.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,52 +30,41 @@ from pyspark.sql.window import Window as W
 
 from panelflow.session import materialise
 
-SITES_PER_SALT = 2_000
-BASE_SPLIT, MAX_SPLIT = 4, 32
-SITES_PER_SQUARE = 64
-
+SPLIT = 2
+#: Pairs of places that two squares on the rim compare; beyond it both are quartered.
+PLACES = 1024
+#: Halvings after which two places that still share a square are compared whatever their number.
+DEEPEST = 60
 
-INSIDE, RIM, AWAY = "inside", "rim", "away"
 
-
-def _relation(dx: int, dy: int, radius_in_squares: float) -> str:
-    """Relation of two squares (dx, dy) apart for a radius in square sides."""
-    far = (abs(dx) + 1) ** 2 + (abs(dy) + 1) ** 2
-    near = max(abs(dx) - 1, 0) ** 2 + max(abs(dy) - 1, 0) ** 2
+def _relation(dx: Column, dy: Column, radius_in_squares: float) -> tuple[Column, Column]:
+    """(wholly inside, on the rim) for two squares (dx, dy) apart and a radius in square sides."""
+    far = (F.abs(dx) + 1) * (F.abs(dx) + 1) + (F.abs(dy) + 1) * (F.abs(dy) + 1)
+    gap_x, gap_y = F.greatest(F.abs(dx) - 1, F.lit(0)), F.greatest(F.abs(dy) - 1, F.lit(0))
+    near = gap_x * gap_x + gap_y * gap_y
     limit = radius_in_squares**2
     # a margin for rounding: doubtful squares are compared point by point
-    if far < limit * (1 - 1e-9):
-        return INSIDE
-    return RIM if near <= limit * (1 + 1e-9) else AWAY
+    inside = far < limit * (1 - 1e-9)
+    return inside, ~inside & (near <= limit * (1 + 1e-9))
 
 
-def _offsets(radii: Sequence[float], side: float, wanted: str) -> Column:
-    """Offsets with that relation for at least one radius: dx, dy and one 0/1
-    mark per radius."""
-    reach = math.ceil(max(radii) / side) + 1
-    rows = []
-    for dx in range(-reach, reach + 1):
-        for dy in range(-reach, reach + 1):
-            marks = [int(_relation(dx, dy, r / side) == wanted) for r in radii]
-            if any(marks):
-                fields = [f"{dx} as dx", f"{dy} as dy", *[f"{m} as m{i}" for i, m in enumerate(marks)]]
-                rows.append(f"struct({', '.join(fields)})")
-    return F.expr(f"array({', '.join(rows)})")
+def _related(pairs: DataFrame, radii: Sequence[float], side: float) -> DataFrame:
+    """Pairs of squares with marks per radius: ``i`` newly inside, ``o`` open; ``o`` on the way in says where to look."""
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    marks = {}
+    for k, r in enumerate(radii):
+        inside, rim = _relation(dx, dy, r / side)
+        marks[f"i{k}"] = (F.col(f"o{k}") & inside).alias(f"i{k}")
+        marks[f"o{k}"] = (F.col(f"o{k}") & rim).alias(f"o{k}")
+    return pairs.select(*[c for c in pairs.columns if c not in marks], *marks.values())
 
 
-def choose_split(points: DataFrame, radius: float) -> int:
-    """Squares along the radius, finer where points are dense.
+def _any(letter: str, n: int) -> Column:
+    return reduce(Column.__or__, [F.col(f"{letter}{k}") for k in range(n)])
 
-    The measure is how many sites a site shares its square with, on average;
-    halving the side divides it by four.  One aggregate over the points.
-    """
-    side = radius / BASE_SPLIT
-    sizes = points.select(
-        "snap", F.floor(F.col("x") / side).alias("sx"), F.floor(F.col("y") / side).alias("sy"), "x", "y"
-    ).distinct().groupBy("snap", "sx", "sy").agg(F.count("*").cast("double").alias("k"))
-    shared = sizes.agg(F.sum(F.col("k") * F.col("k")) / F.sum("k")).first()[0] or 0.0
-    finer = math.ceil(math.sqrt(shared / SITES_PER_SQUARE))
-    return min(MAX_SPLIT, BASE_SPLIT * max(1, finer))
+
+def _in_square(df: DataFrame, side: float, x: str, y: str) -> DataFrame:
+    return df.withColumn(x, F.floor(F.col("x") / side)).withColumn(y, F.floor(F.col("y") / side))
 
 
 def _site_neighbours(sites: DataFrame, radii: Sequence[float], side: float, sums: list[str]) -> DataFrame:
@@ -80,59 +73,55 @@ def _site_neighbours(sites: DataFrame, radii: Sequence[float], side: float, sums
     ``sites``: snap, x, y, cat + measures, unique on the first four.  Output
     measures are named ``<measure><radius number>``.
     """
-    square = ["snap", "sx", "sy"]
-    marks = [f"m{i}" for i in range(len(radii))]
-    outs = [f"{c}{i}" for i in range(len(radii)) for c in sums]
-
-    # sites with their square and a salt that takes as many values as the
-    # square's size asks for; stored, because every branch below reads them
-    s = sites.withColumn("sx", F.floor(F.col("x") / side)).withColumn("sy", F.floor(F.col("y") / side))
-    sizes = s.groupBy(*square).agg(F.ceil(F.count("*") / SITES_PER_SALT).cast("int").alias("salts"))
-    s = s.join(sizes, square).withColumn("salt", F.pmod(F.xxhash64("x", "y"), F.col("salts")).cast("int"))
-    s = materialise(s, "sites")
-    squares = materialise(s.select(*square, "salts").distinct(), "squares")
-    places = s.select(*square, "salt", "x", "y").distinct()
-    other = squares.select("snap", F.col("sx").alias("ox"), F.col("sy").alias("oy"), F.col("salts").alias("osalts"))
-
-    def meeting(wanted):
-        reach = squares.select(*square, "salts", F.explode(_offsets(radii, side, wanted)).alias("o")).select(
-            *square, "salts", (F.col("sx") + F.col("o.dx")).alias("ox"), (F.col("sy") + F.col("o.dy")).alias("oy"),
-            *[F.col(f"o.{m}").alias(m) for m in marks],
-        )
-        return reach.join(other, ["snap", "ox", "oy"])
-
-    # whole squares: totals per (square, category) flow to the neighbouring squares
-    totals = s.groupBy("snap", F.col("sx").alias("ox"), F.col("sy").alias("oy"), "cat").agg(
-        *[F.sum(c).alias(c) for c in sums]
-    )
-    square_sums = meeting(INSIDE).join(totals, ["snap", "ox", "oy"]).groupBy(*square, "cat").agg(
-        *[F.sum(F.col(c) * F.col(m)).alias(f"{c}{i}") for i, m in enumerate(marks) for c in sums]
-    )
-    whole = places.join(square_sums, square).select("snap", "x", "y", "cat", *outs)
-
-    # rim squares: site against site, both sides salted by square size
-    pairs = (
-        meeting(RIM)
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        .withColumn("osalt", F.explode(F.sequence(F.lit(0), F.col("osalts") - 1)))
-        .select(*square, "ox", "oy", "salt", "osalt", *marks)
-    )
+    n = len(radii)
+    outs = [f"{c}{k}" for k in range(n) for c in sums]
+    sites = materialise(sites, "sites")
+    places = materialise(sites.select("snap", "x", "y").distinct(), "places")
 
-    right = s.select(
-        "snap", F.col("sx").alias("ox"), F.col("sy").alias("oy"), F.col("salt").alias("osalt"),
-        F.col("x").alias("xb"), F.col("y").alias("yb"), "cat", *sums,
-    )
-    dx, dy = F.col("x") - F.col("xb"), F.col("y") - F.col("yb")
-    d2 = dx * dx + dy * dy
-    counted = [F.when((F.col(m) == 1) & (d2 <= r * r), 1).otherwise(0) for m, r in zip(marks, radii)]
-    near = (
-        places.join(pairs, [*square, "salt"])
-        .join(right, ["snap", "ox", "oy", "osalt"])
-        .where(d2 <= max(radii) ** 2)
-        .groupBy("snap", "x", "y", "cat")
-        .agg(*[F.sum(F.col(c) * k).alias(f"{c}{i}") for i, k in enumerate(counted) for c in sums])
-    )
-    return whole.unionByName(near).groupBy("snap", "x", "y", "cat").agg(*[F.sum(c).alias(c) for c in outs])
+    def squares(level: int) -> DataFrame:
+        return _in_square(places, side / 2**level, "sx", "sy").groupBy("snap", "sx", "sy").agg(F.count("*").alias("k"))
+
+    # pairs of the first level: the squares around each one
+    first = materialise(squares(0), "squares")
+    reach = math.ceil(max(radii) / side) + 1
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    around = first.select("snap", F.col("sx").alias("ax"), F.col("sy").alias("ay"), F.col("k").alias("na"), F.explode(steps).alias("dx"))
+    around = around.select("*", F.explode(steps).alias("dy"), *[F.lit(True).alias(f"o{k}") for k in range(n)])
+    around = around.select("snap", "ax", "ay", "na", (F.col("ax") + F.col("dx")).alias("bx"), (F.col("ay") + F.col("dy")).alias("by"), *[f"o{k}" for k in range(n)])
+    around = _related(around, radii, side).where(_any("i", n) | _any("o", n))
+    pairs = around.join(first.select("snap", F.col("sx").alias("bx"), F.col("sy").alias("by"), F.col("k").alias("nb")), ["snap", "bx", "by"])
+
+    found: list[DataFrame] = []
+    for level in range(DEEPEST + 1):
+        pairs = materialise(pairs, "pairs")
+        size = side / 2**level
+        # whole squares: totals per (square, category) flow to the squares, and from these to their places
+        totals = _in_square(sites, size, "bx", "by").groupBy("snap", "bx", "by", "cat").agg(*[F.sum(c).alias(c) for c in sums])
+        flows = pairs.where(_any("i", n)).join(totals, ["snap", "bx", "by"]).groupBy("snap", "ax", "ay", "cat").agg(
+            *[F.sum(F.when(F.col(f"i{k}"), F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in range(n) for c in sums])
+        here = _in_square(places, size, "ax", "ay")
+        found.append(here.join(flows, ["snap", "ax", "ay"]).select("snap", "x", "y", "cat", *outs))
+        # rim squares with few places: site against site
+        few = (F.col("na") * F.col("nb") <= PLACES) | F.lit(level == DEEPEST)
+        there = _in_square(sites, size, "bx", "by").select("snap", "bx", "by", F.col("x").alias("xb"), F.col("y").alias("yb"), "cat", *sums)
+        dx, dy = F.col("x") - F.col("xb"), F.col("y") - F.col("yb")
+        d2 = dx * dx + dy * dy
+        near = here.join(pairs.where(_any("o", n) & few), ["snap", "ax", "ay"]).join(there, ["snap", "bx", "by"]).where(d2 <= max(radii) ** 2)
+        found.append(near.groupBy("snap", "x", "y", "cat").agg(
+            *[F.sum(F.when(F.col(f"o{k}") & (d2 <= r * r), F.col(c)).otherwise(0)).alias(f"{c}{k}") for k, r in enumerate(radii) for c in sums]))
+        # the others are quartered
+        many = pairs.where(_any("o", n) & ~few)
+        if many.isEmpty():
+            break
+        parts = squares(level + 1)
+        half = lambda c: F.floor(F.col(c) / 2)
+        left = parts.select("snap", half("sx").alias("ax"), half("sy").alias("ay"), F.col("sx").alias("cx"), F.col("sy").alias("cy"), F.col("k").alias("na"))
+        right = parts.select("snap", half("sx").alias("bx"), half("sy").alias("by"), F.col("sx").alias("ex"), F.col("sy").alias("ey"), F.col("k").alias("nb"))
+        open_ = [f"o{k}" for k in range(n)]
+        quarters = many.drop("na", "nb").join(left, ["snap", "ax", "ay"]).join(right, ["snap", "bx", "by"]).select(
+            "snap", F.col("cx").alias("ax"), F.col("cy").alias("ay"), "na", F.col("ex").alias("bx"), F.col("ey").alias("by"), "nb", *open_)
+        pairs = _related(quarters, radii, size / 2).where(_any("i", n) | _any("o", n))
+    return reduce(DataFrame.unionByName, found).groupBy("snap", "x", "y", "cat").agg(*[F.sum(c).alias(c) for c in outs])
 
 
 def neighbourhoods(
@@ -147,10 +136,10 @@ def neighbourhoods(
     category), ``competitors`` (same category; null never matches),
     ``competition`` (competitors / n) and ``turnover`` (mean of ``weight``,
     missing counted as zero).  Ratios are null without neighbours.  ``split``
-    squares go along the smallest radius; by default their number follows the
-    density of the points.
+    squares go along the smallest radius to begin with.
     """
-    if split is not None and split < 2:
+    split = SPLIT if split is None else split
+    if split < 2:
         raise ValueError("split must be at least 2")
     w = F.coalesce(F.col(weight), F.lit(0)).cast("double") if weight else F.lit(0.0)
     p = points.select(
@@ -161,8 +150,6 @@ def neighbourhoods(
     )
     # read by several branches below: store the narrow points once
     p = materialise(p, "points")
-    if split is None:
-        split = choose_split(p, min(radii.values()))
     sums = ["n", "f", "w"]
     sites = p.groupBy("snap", "x", "y", "cat").agg(
         F.count("*").alias("n"), F.sum("f").alias("f"), F.sum("w").alias("w")

@@ -74,15 +74,16 @@ def row_numbers(df: DataFrame, order: Sequence[str | Column], out: str = "rn") -
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = ()
+    df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, nulls ignored.
 
     Works on distinct values, in two aggregations after one range sort; no
-    group is ever held by one task.
+    group is ever held by one task.  ``weight`` is a column of row counts.
     """
-    base = df.where(F.col(value).isNotNull()).select(*by, F.col(value).try_cast("double").alias("_v")).where("_v IS NOT NULL")
-    t = base.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    count = F.col(weight) if weight else F.lit(1).cast("long")
+    base = df.where(F.col(value).isNotNull()).select(*by, F.col(value).try_cast("double").alias("_v"), count.alias("_c")).where("_v IS NOT NULL")
+    t = base.groupBy(*by, "_v").agg(F.sum("_c").alias("_n"))
     r = running(sliced(t, ["_v"]), ["_v"], {"_before": "_n"}, by)
     if by:
         r = r.join(r.groupBy(*by).agg(F.sum("_n").alias("_total")), list(by))
@@ -109,10 +110,10 @@ def exact_quantiles(
     )
 
 
-def cut_points(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
+def cut_points(df: DataFrame, value: str, probs: Sequence[float], weight: str | None = None) -> list[float | None]:
     """Global quantiles as numbers: a handful of cut points, fetched once so
     that later plans carry constants instead of nested subqueries."""
-    row = exact_quantiles(df, value, {f"q{i}": p for i, p in enumerate(probs)}).first()
+    row = exact_quantiles(df, value, {f"q{i}": p for i, p in enumerate(probs)}, weight=weight).first()
     return [row[f"q{i}"] for i in range(len(probs))]
 
 

@@ -21,7 +21,7 @@ _MODELS: dict = {}
 
 def data(spark, d):
     def build():
-        out = dataset.modelling_dataset(panel(spark, d), USES, 1995, vocabulary(spark, d), fuzzy=True)
+        out = materialise(dataset.modelling_dataset(panel(spark, d), USES, 1995, vocabulary(spark, d), fuzzy=True), "features")  # read twice below
         by_area, by_district = incomes(spark, d)
         out = attach_income(out, by_area, by_district, "barrio", "district", "cohort")
         return out.withColumn("row_id", F.concat_ws("-", "id", "cohort"))

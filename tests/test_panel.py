@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -134,8 +135,8 @@ def brute(points, radius):
 def test_neighbourhood_equals_brute_force(spark, split, hot, monkeypatch):
     """Random points, points exactly on the radius, and a square (and a single
     place) holding a third of all points."""
-    monkeypatch.setattr(neighbourhood, "SITES_PER_SALT", 7)
-    monkeypatch.setattr(neighbourhood, "SITES_PER_SQUARE", 4)
+    if hot:
+        monkeypatch.setattr(neighbourhood, "PLACES", 6)  # many levels
     rng = random.Random(11)
     pts = []
     for i in range(240):
@@ -160,17 +161,38 @@ def test_neighbourhood_equals_brute_force(spark, split, hot, monkeypatch):
 
 
 def test_hot_square_is_not_paired_with_itself(spark):
-    """One square with many places: no site pair inside it reaches the join."""
+    """One square with many places: no pair of its places is compared."""
     df = spark.range(3000).select(
         "id", (F.lit(2000.0) + F.col("id") % 60 * 0.1).alias("x"), (F.lit(2000.0) + F.floor(F.col("id") / 60) * 0.1).alias("y"),
         F.lit("p").alias("division"), F.lit(True).alias("open"), F.lit(1).alias("anio"),
     )
-    points = df.select(F.col("anio").alias("snap"), "x", "y")
-    assert neighbourhood.choose_split(points, 150.0) == 28
     out = neighbourhood.neighbourhood(df, 150.0)
     assert out.where("n <> 2999").count() == 0
 
 
+def test_dense_rim_is_quartered_until_few_places_meet(spark, monkeypatch):
+    """Two dense patches whose distances straddle the radius: far fewer comparisons than pairs."""
+    rng = np.random.default_rng(5)
+    a, b = rng.random((900, 2)) * 20 + 1000, rng.random((900, 2)) * 20 + [1145, 1000]
+    xy = np.vstack((a, b))
+    pdf = pd.DataFrame({"id": range(1800), "anio": 1, "x": xy[:, 0], "y": xy[:, 1], "division": "p", "open": True})
+    compared = []
+    real = neighbourhood.materialise
+
+    def watched(df, label="cut"):
+        out = real(df, label)
+        if label == "pairs":
+            rim = out.where("o0 AND na * nb <= 1024").agg(F.sum(F.col("na") * F.col("nb"))).first()[0]
+            compared.append(rim or 0)
+        return out
+
+    monkeypatch.setattr(neighbourhood, "materialise", watched)
+    got = neighbourhood.neighbourhood(spark.createDataFrame(pdf), 150.0).select("id", "n").toPandas().set_index("id")["n"].sort_index()
+    want = (((xy[:, None] - xy[None]) ** 2).sum(-1) <= 150.0**2).sum(1) - 1
+    assert (got.to_numpy() == want).all()
+    assert len(compared) > 2 and sum(compared) < 0.35 * 2 * 900 * 900
+
+
 def test_space_features_need_enough_points(spark):
     df = spark.createDataFrame([(i, 2020, 5000.0 + i, 5000.0, "p", True) for i in range(20)],
                                "id long, anio int, x double, y double, division string, open boolean")
