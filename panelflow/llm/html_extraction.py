@@ -5,20 +5,24 @@ is its hashed tag-path names, hashed words and four figures; every block is
 classified with the whole page as context, and the texts of article blocks are
 joined.
 
-The labeller learns from up to ``TRAIN_PAGES`` pages of at most ``TRAIN_BYTES``
-bytes, chosen by a hash.  Their blocks are labelled by the names on their path:
-article containers without any of ``OTHERS`` on the path are main text.  Each
-page is also seen in other dress, with the containers' names exchanged, inserted
-notices and comments, so that names which are rare in the sample are learned.
-Training runs in one task and returns the weights.
+The labeller learns from up to ``TRAIN_PAGES`` different pages of any size,
+chosen by a hash; of a page with many blocks, ``WINDOWS`` stretches of
+``STRETCH`` blocks: both ends, where most of the rest stands, and places between.  Blocks are labelled by the names
+on their path: article containers without any of ``OTHERS`` on the path are main
+text; where no page of the sample has such containers, all blocks without
+``OTHERS``.  Each stretch is also seen in other dress, with the containers'
+names exchanged, inserted notices and comments, so that names which are rare in
+the sample are learned.  Pages are read where they are; training runs in one
+task and returns the weights.
 
 Defined results: null or empty html, and a page without main blocks, give an
 empty text.  Repeated rows are extracted each; further columns are ignored; an
-empty table stays empty, and without training pages every text is empty.
+empty table stays empty.
 """
 
 from __future__ import annotations
 
+import json
 import random
 import zlib
 from collections.abc import Iterator
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from panelflow.llm.html_blocks import blocks
 
 TRAIN_PAGES = 240
-TRAIN_BYTES = 40_000
+WINDOWS, STRETCH = 3, 180
 PATH, WORDS, FIGURES, HIDDEN = 256, 32, 4, 16
 STEPS = 260
 MAIN = ("article", "main", "content", "post", "entry", "story")
@@ -201,15 +205,26 @@ def _dressed(page: list, labels: list[bool], rng: random.Random) -> tuple[list,
     return out, y
 
 
-def fit(pages: list[str], steps: int = STEPS, seed: int = 11) -> Labeller:
-    """A labeller trained on weakly labelled pages by Adam."""
+def stretches(html: str) -> list[list]:
+    """The blocks of a page; of a long one its two ends and stretches between, from places that its text decides."""
+    page = blocks(html)
+    if len(page) <= WINDOWS * STRETCH:
+        return [page] if page else []
+    rng, last = random.Random(zlib.crc32(html.encode("utf-8", "replace"))), len(page) - STRETCH
+    starts = [0, last, *(rng.randrange(last + 1) for _ in range(WINDOWS - 2))]
+    return [page[a : a + STRETCH] for a in starts]
+
+
+def fit(read: list[list], steps: int = STEPS, seed: int = 11) -> Labeller:
+    """A labeller trained on weakly labelled stretches of blocks by Adam."""
     rng = random.Random(seed)
-    read = [b for b in map(blocks, pages) if b and len(b) <= 400]
     model = Labeller.fresh()
-    if not read:
+    if not read:  # no page has any block
         model.weights[5][:] = -20.0
         return model
     labels = [[weak_label(path) for path, _, _ in b] for b in read]
+    if not any(map(any, labels)):
+        labels = [[not set(path) & set(OTHERS) for path, _, _ in b] for b in read]
     mean, square = [np.zeros_like(w) for w in model.weights], [np.zeros_like(w) for w in model.weights]
     for k in range(1, steps + 1):
         xs, ys = [], []
@@ -235,13 +250,21 @@ def fit(pages: list[str], steps: int = STEPS, seed: int = 11) -> Labeller:
 def train(pages: DataFrame, html_col: str = "html") -> Labeller:
     """Fits in one task on the bounded sample."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        html = [h for batch in batches for h in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_pydict({"weights": pa.array([fit(html).to_bytes()], pa.binary())})
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [json.dumps(s) for h in batch.column(0).to_pylist() for s in stretches(h)]
+            yield pa.RecordBatch.from_pydict({"stretch": pa.array(told, pa.string())})
 
-    usable = pages.select(F.col(html_col).cast("string").alias("html")).where(F.col("html").isNotNull() & (F.octet_length("html") <= TRAIN_BYTES))
-    sample = usable.orderBy(F.xxhash64("html"), "html").limit(TRAIN_PAGES).coalesce(1)
-    rows = sample.mapInArrow(run, "weights binary").collect()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = sorted(s for batch in batches for s in batch.column(0).to_pylist())
+        read = [[(tuple(path), text, linked) for path, text, linked in json.loads(s)] for s in told]
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([fit(read).to_bytes()], pa.binary())})
+
+    usable = pages.select(F.col(html_col).cast("string").alias("html")).where("length(html) > 0").withColumn("h", F.xxhash64("html"))
+    # different pages first: a page that holds a third of the rows is one of the sample
+    chosen = usable.select("h").distinct().orderBy(F.xxhash64("h"), "h").limit(TRAIN_PAGES)
+    sample = usable.join(F.broadcast(chosen), "h", "left_semi").groupBy("h").agg(F.min("html").alias("html")).select("html")
+    rows = sample.mapInArrow(cut, "stretch string").coalesce(1).mapInArrow(run, "weights binary").collect()
     return Labeller.from_bytes(bytes(rows[0]["weights"])) if rows else fit([])
 
 

@@ -183,6 +183,43 @@ def test_extraction(spark):
     assert html_extraction.extract(none, html_extraction.train(none), ["page_id"]).count() == 0
 
 
+def test_extraction_of_long_pages_only(spark):
+    """Pages of more than 80 kB, one of them most of the table: whole articles come out."""
+    rng = random.Random(5)
+
+    def page(i):
+        body = "".join(f"<p>{edge.prose(rng, rng.randint(8, 14))}.</p>" for _ in range(1500))
+        return f"<body><nav><li>home</li><li>news</li></nav><article><h1>{i} {edge.prose(rng, 4)}</h1>{body}</article><footer><p>{edge.prose(rng, 5)}</p></footer></body>"
+
+    htmls = [page(i) for i in range(6)]
+    rows = [(i, h) for i, h in enumerate(htmls)] + [(100 + i, htmls[0]) for i in range(30)]
+    assert all(len(h) > 80_000 for h in htmls)
+    df = spark.createDataFrame(rows, "page_id long, html string").repartition(3)
+    model = html_extraction.train(df)
+    want = {h: "\n\n".join(t for p, t, _ in html_blocks.blocks(h) if "article" in p) for h in htmls}
+    lost = 0
+    for r in html_extraction.extract(df, model, ["page_id", "html"]).where("page_id < 6").collect():
+        kept, whole = set(r.text.split("\n\n")), want[r.html].split("\n\n")
+        lost += sum(t not in kept for t in whole)
+        assert kept <= set(whole)
+    assert lost <= 6 * 2
+
+
+def test_stretches_cover_long_pages():
+    html = "<body><article>" + "".join(f"<p>t{i}</p>" for i in range(5000)) + "</article></body>"
+    some = html_extraction.stretches(html)
+    assert [len(s) for s in some] == [html_extraction.STRETCH] * html_extraction.WINDOWS and html_extraction.stretches(html) == some
+    assert [int(s[0][1][1:]) for s in some[:2]] == [0, 4820] and html_extraction.stretches(None or "") == []
+
+
+def test_pages_without_known_containers(spark):
+    rng = random.Random(6)
+    html = [f"<body><nav><li>home</li></nav><p>{edge.prose(rng, 30)}.</p><p>{edge.prose(rng, 30)}.</p></body>" for _ in range(30)]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(html)], "page_id long, html string")
+    out = html_extraction.extract(df, html_extraction.train(df), ["page_id"]).collect()
+    assert sum(len(r.text) > 100 and "home" not in r.text for r in out) >= 28
+
+
 def test_gradients():
     import numpy as np
 
