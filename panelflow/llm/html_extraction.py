@@ -230,7 +230,8 @@ def fit(read: list[list], steps: int = STEPS, seed: int = 11) -> Labeller:
         xs, ys = [], []
         for i in rng.choices(range(len(read)), k=24):
             page, y = (read[i], labels[i]) if rng.random() < 0.4 else _dressed(read[i], labels[i], rng)
-            a = rng.randrange(max(1, len(page) - 60))
+            last = max(0, len(page) - 60)
+            a = rng.choice((0, last, rng.randint(0, last)))  # the ends, where kinds change, as often as the rest
             xs.append(features(page[a : a + 60]))
             ys.append(np.array(y[a : a + 60], np.float32))
         x, mask = _padded(xs)
