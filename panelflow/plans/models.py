@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import random
 import time
 from collections.abc import Mapping, Sequence
@@ -382,22 +381,6 @@ def coefficients(model: ChurnModel, top: int = 8) -> DataFrame:
     return spark.createDataFrame(sorted(set(rows)), "variable string, coefficient double")
 
 
-def search(train: DataFrame, validation: DataFrame, numeric, categorical, space: Mapping[str, Sequence], trials: int = 30,
-           seed: int = 42, kind: str = "boosting", **fixed) -> DataFrame:
-    """Seeded random search on a fixed validation split; one row per trial."""
-    grid = list(itertools.product(*space.values()))
-    chosen = random.Random(seed).sample(grid, min(trials, len(grid)))
-    out = None
-    for i, values in enumerate(chosen):
-        params = dict(zip(space, values))
-        scored = fit(train, numeric, categorical, kind, **{**fixed, **params}).raw(validation)
-        row = ranking_metrics(scored, "target", "raw").select(
-            F.lit(i).alias("trial"), *[F.lit(v).alias(k) for k, v in params.items()], "auc"
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 def time_techniques(train: DataFrame, test: DataFrame, numeric, categorical, kinds: Mapping[str, dict]) -> DataFrame:
     """Fit seconds and scoring milliseconds per 1,000 rows."""
     rows = []
