@@ -374,6 +374,13 @@ def _sorted(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[order], n[order]
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``ROWS`` rows, so that few texts are held as Python strings."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            yield batch.slice(a, ROWS)
+
+
 def identify(docs: DataFrame, model: Identifier | Tables, carry: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``carry`` of ``docs`` with lang_pred, score and rejected."""
     if isinstance(model, Tables):
@@ -382,7 +389,7 @@ def identify(docs: DataFrame, model: Identifier | Tables, carry: list[str], text
     docs = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).cast("string").alias("text__"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             last = batch.num_columns - 1
             lang, score, reject = shared.value.judge(batch.column(last).to_pylist())
             yield pa.RecordBatch.from_arrays(
@@ -403,7 +410,7 @@ def filter_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             _, _, reject = shared.value.judge(batch.column(at).to_pylist())
             yield batch.filter(pa.array(~reject))
 

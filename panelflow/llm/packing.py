@@ -33,6 +33,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 from panelflow.llm.units import encoder
 
 CAPACITY = 2048
+#: Rows whose token ids a task holds at once.
+ROWS = 256
 BLOCK = 64
 PIECE = 512
 SLACK = 20
@@ -70,6 +72,13 @@ def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         k += 1
 
 
+def _encoded(batch: pa.RecordBatch, library) -> Iterator[tuple[object, np.ndarray]]:
+    """(id, token ids) of every row; the ids of ``ROWS`` rows are held at once."""
+    for a in range(0, batch.num_rows, ROWS):
+        part = batch.slice(a, ROWS)
+        yield from zip(part.column(0).to_pylist(), library.ids(part.column(1).to_pylist()))
+
+
 def pack(docs: DataFrame, tokenizer_file: str = "word_bpe_49k.json", capacity: int = CAPACITY, with_ids: bool = False,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence; ``with_ids`` adds the ids."""
@@ -116,7 +125,7 @@ def pack(docs: DataFrame, tokenizer_file: str = "word_bpe_49k.json", capacity: i
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for doc, ids in zip(batch.column(0).to_pylist(), library.ids(batch.column(1).to_pylist())):
+            for doc, ids in _encoded(batch, library):
                 ids = np.append(ids, np.uint32(END))
                 whole = len(ids) - len(ids) % capacity
                 for a in range(0, whole, capacity):
