@@ -11,6 +11,7 @@ sort on (value, id), which range partitioning can split inside a tie.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from pyspark.sql.window import Window as W
 from panelflow.session import materialise
 
 SLICE = "_slice"
+ACCURACY, FEW = 10_000, 1_000
 
 
 def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
@@ -73,31 +75,63 @@ def row_numbers(df: DataFrame, order: Sequence[str | Column], out: str = "rn") -
     return r.withColumn(out, F.col(out) + 1).drop("_one", SLICE)
 
 
+def _bracketed(base: DataFrame, probs: Mapping[str, float], by: Sequence[str]) -> DataFrame:
+    """(by, _v, _n, _kept): value counts in which only values near the wanted quantiles are apart.
+
+    A sketch gives two values around each quantile, twice its rank error and two
+    rows of ``FEW`` away; groups with no more rows than that are kept whole.
+    All rows outside of these brackets are counted with the end of the bracket
+    below them; ``_kept`` counts the rows that really have the value.
+    """
+    slack = 2.0 / ACCURACY + 2.0 / FEW
+    ends = [min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-slack, slack)]
+    sketch = base.groupBy(*by).agg(F.percentile_approx("_v", ends, ACCURACY).alias("_q"), F.count("*").alias("_rows"))
+    both = base.join(sketch, list(by)) if by else with_row(base, sketch)
+    low = [F.get("_q", F.lit(2 * i)) for i in range(len(probs))]
+    high = [F.get("_q", F.lit(2 * i + 1)) for i in range(len(probs))]
+    inside = (F.col("_rows") <= FEW) | reduce(Column.__or__, [F.col("_v").between(a, b) for a, b in zip(low, high)])
+    below = [F.when(b < F.col("_v"), b) for b in high]
+    end = F.coalesce(F.greatest(*below) if len(below) > 1 else below[0], F.lit(float("-inf")))
+    placed = both.select(*by, F.when(inside, F.col("_v")).otherwise(end).alias("_v"), inside.alias("_in"))
+    return placed.groupBy(*by, "_v").agg(F.count("*").alias("_n"), F.count_if("_in").alias("_kept"))
+
+
 def exact_quantiles(
     df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, nulls ignored.
 
-    Works on distinct values, in two aggregations after one range sort; no
-    group is ever held by one task.  ``weight`` is a column of row counts.
+    Reads ``df`` twice: a sketch brackets every quantile, then the values inside
+    the brackets are counted one by one and all others in between them; only
+    these few values are sorted.  Exact: a row that the sketch put on the wrong
+    side stops the run.  ``weight`` is a column of row counts, for tables of
+    values that are counted already and read once.
     """
     count = F.col(weight) if weight else F.lit(1).cast("long")
     base = df.where(F.col(value).isNotNull()).select(*by, F.col(value).try_cast("double").alias("_v"), count.alias("_c")).where("_v IS NOT NULL")
-    t = base.groupBy(*by, "_v").agg(F.sum("_c").alias("_n"))
+    if weight:
+        t = base.groupBy(*by, "_v").agg(F.sum("_c").alias("_n")).withColumn("_kept", F.col("_n"))
+    else:
+        t = _bracketed(base.drop("_c"), probs, by)
     r = running(sliced(t, ["_v"]), ["_v"], {"_before": "_n"}, by)
     if by:
         r = r.join(r.groupBy(*by).agg(F.sum("_n").alias("_total")), list(by))
     else:
         r = r.withColumn("_total", r.agg(F.sum("_n")).scalar())
+    known = F.col("_before") + F.col("_kept")
     first = F.col("_before")
     last = F.col("_before") + F.col("_n")
+
+    def sure(place: Column) -> Column:
+        return F.when(place < known, F.col("_v")).otherwise(F.raise_error(F.lit("a quantile lies outside of its bracket")).cast("double"))
+
     aggs = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_total") - 1)
         lo, hi = F.floor(pos), F.ceil(pos)
         aggs += [
-            F.max(F.when((first <= lo) & (lo < last), F.col("_v"))).alias(f"_lo_{name}"),
-            F.max(F.when((first <= hi) & (hi < last), F.col("_v"))).alias(f"_hi_{name}"),
+            F.max(F.when((first <= lo) & (lo < last), sure(lo))).alias(f"_lo_{name}"),
+            F.max(F.when((first <= hi) & (hi < last), sure(hi))).alias(f"_hi_{name}"),
             F.first(pos - lo).alias(f"_fr_{name}"),
         ]
     g = r.groupBy(*by).agg(*aggs)

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 
 from panelflow.functions.numbers import right_closed_bin, round_half_even
 from panelflow.functions.text import normalise
-from panelflow.operators.ordered import exact_quantiles, with_row
+from panelflow.operators.ordered import exact_quantiles, row_numbers, running, sliced, with_row
 
 
 def official_vocabulary(df: DataFrame, columns: Sequence[str], min_length: int = 4) -> DataFrame:
@@ -150,15 +150,21 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def concentration(df: DataFrame, category: str) -> DataFrame:
-    """Categories by size with their cumulative share.
+def concentration(df: DataFrame, category: str, by: Sequence[str] = ()) -> DataFrame:
+    """Categories by size with their cumulative share, overall or within groups.
 
-    The running sum is over one row per category (a nomenclature).
+    Running sums in two levels, inside the slices of one sort and over the
+    slices' totals, so any number of categories will do.
     """
-    g = df.where(F.col(category).isNotNull()).groupBy(category).agg(F.count("*").alias("n"))
-    w = W.partitionBy(F.lit(1)).orderBy(F.desc("n"), category).rowsBetween(W.unboundedPreceding, 0)
-    total = g.agg(F.sum("n")).scalar()
-    return g.select(category, "n", F.row_number().over(w).alias("rank"), (F.sum("n").over(w) / total).alias("cum_share"))
+    g = df.where(F.col(category).isNotNull()).groupBy(*by, category).agg(F.count("*").alias("n"))
+    order = [F.desc("n"), F.col(category)]
+    placed = sliced(g.withColumn("_one", F.lit(1).cast("long")), order)
+    r = running(placed, order, {"_before": "n", "_rank": "_one"}, by)
+    if by:
+        r = r.join(placed.groupBy(*by).agg(F.sum("n").alias("_total")), list(by))
+    else:
+        r = r.withColumn("_total", placed.agg(F.sum("n")).scalar())
+    return r.select(*by, category, "n", (F.col("_rank") + 1).cast("int").alias("rank"), ((F.col("_before") + F.col("n")) / F.col("_total")).alias("cum_share"))
 
 
 def top_share(df: DataFrame, category: str, k: int) -> DataFrame:
@@ -221,9 +227,8 @@ def pooled_observed_predicted(df: DataFrame, by: str, artefact: str, y: str = "y
 def rare_drawer(train: DataFrame, scored: DataFrame, category: str, max_categories: int, min_frequency: int) -> DataFrame:
     """Categories the encoder folds into the rare drawer and rows affected."""
     freq = train.where(F.col(category).isNotNull()).groupBy(category).agg(F.count("*").alias("n"))
-    # one row per category of the nomenclature
-    w = W.partitionBy(F.lit(1)).orderBy(F.desc("n"), category)
-    ranked = freq.withColumn("rank", F.row_number().over(w)).withColumn("total", F.count("*").over(W.partitionBy(F.lit(1))))
+    ranked = row_numbers(freq, [F.desc("n"), F.col(category)], "rank")
+    ranked = ranked.withColumn("total", ranked.agg(F.count("*")).scalar())
     slots = F.when(F.col("total") > max_categories, max_categories - 1).otherwise(F.col("total"))
     rare = ranked.where((F.col("rank") > slots) | (F.col("n") < min_frequency)).select(category, "n")
     hits = scored.join(rare.select(category, F.lit(1).alias("_rare")), category, "left")

@@ -55,7 +55,7 @@ def test_trials_are_repeatable_and_run_together():
 def test_search_of_a_model(spark):
     df = spark.range(2400).select(
         "id", F.lit(1).alias("cohort"), (F.xxhash64("id") % 10).cast("double").alias("x"), F.element_at(F.array(*map(F.lit, "abc")), (F.col("id") % 3 + 1).cast("int")).alias("g"))
-    df = df.withColumn("target", ((F.col("x") > 3) ^ (F.col("g") == "a")).cast("int"))
+    df = df.withColumn("target", ((F.col("x") > 3) != (F.col("g") == "a")).cast("int"))
     space = {"stepSize": Range(0.01, 0.3, log=True), "maxDepth": Range(2, 4, step=1)}
     got = search.adaptive_search(df.where("id < 1600"), df.where("id >= 1600"), ["x"], ["g"], space, trials=4, start=2, together=2, maxIter=3, minInstancesPerNode=5)
     rows = got.collect()

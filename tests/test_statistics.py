@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelflow.functions.numbers import wilson
 from panelflow.operators import areas, drift, evaluate, ordered, reconcile, resample, rollup
+from panelflow.operators.ordered import exact_quantiles
 
 
 @pytest.fixture(scope="module")
@@ -236,6 +237,48 @@ def test_value_quintiles_keep_ties_together(scored):
     assert got.groupBy("p").agg(F.count_distinct("quintile").alias("k")).where("k > 1").count() == 0
 
 
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_quantiles_by_brackets_equal_numpy(spark, monkeypatch, accuracy):
+    monkeypatch.setattr("panelflow.operators.ordered.ACCURACY", accuracy)
+    rng = np.random.default_rng(8)
+    n = 6000
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", "c"], n, p=[0.9, 0.0995, 0.0005]), "v": np.where(rng.random(n) < 0.3, 7.0, np.round(rng.normal(0, 50, n), 1))})
+    pdf.loc[pdf.index % 41 == 0, "v"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v"))).repartition(5)
+    probs = {"lo": 0.0, "q1": 0.25, "m": 0.5, "p": 0.9, "hi": 1.0}
+    v = pdf["v"].dropna()
+    assert list(exact_quantiles(df, "v", probs).first()) == pytest.approx(list(np.quantile(v, list(probs.values()))))
+    for r in exact_quantiles(df, "v", probs, ["g"]).collect():
+        assert list(r)[1:] == pytest.approx(list(np.quantile(v[pdf["g"] == r.g], list(probs.values()))))
+    counted = df.groupBy("v").count()
+    assert exact_quantiles(counted, "v", {"m": 0.5}, weight="count").first().m == pytest.approx(np.quantile(v, 0.5))
+    assert exact_quantiles(df.limit(0), "v", {"m": 0.5}).collect() in ([], [(None,)])
+
+
+def test_few_values_are_sorted_for_quantiles(spark):
+    df = spark.range(200_000).select((F.xxhash64("id") % 10_000_000 / 7).alias("v"))
+    assert ordered._bracketed(df.select(F.col("v").alias("_v")), {"a": 0.25, "b": 0.75}, []).count() < 4000
+
+
+def test_concentration_over_slices_and_in_groups(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"g": rng.choice(list("ab"), 5000), "c": [f"c{int(x):04d}" for x in rng.zipf(1.5, 5000) % 900]})
+    pdf.loc[::50, "c"] = None
+    df = spark.createDataFrame(pdf).repartition(6)
+    for by in ([], ["g"]):
+        keys = by or [pd.Series(0, pdf.index, name="z")]
+        want = {}
+        for k, part in pdf.groupby(keys):
+            sizes = part["c"].dropna().value_counts().rename_axis("c").reset_index(name="n").sort_values(["n", "c"], ascending=[False, True])
+            sizes["share"] = sizes["n"].cumsum() / sizes["n"].sum()
+            want |= {(k[0] if by else None, c): (n, r, s) for r, (c, n, s) in enumerate(sizes.itertuples(index=False), 1)}
+        out = rollup.concentration(df, "c", by)
+        assert "SinglePartition" not in out._jdf.queryExecution().toString().split("== Physical Plan ==")[-1] or not by
+        got = {(r["g"] if by else None, r.c): (r.n, r["rank"], r.cum_share) for r in out.collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k][:2] == want[k][:2] and math.isclose(got[k][2], want[k][2]) for k in want)
+
+
 def test_mode_ties_take_the_smallest(spark):
     df = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c")], "k int, v string")
     assert {r.k: r.v for r in rollup.mode_per_group(df, ["k"], "v").collect()} == {1: "a", 2: "c"}
