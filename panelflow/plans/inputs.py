@@ -269,6 +269,48 @@ hist AS (
 )
 
 
+def ratio_sql(pairs: str) -> str:
+    """CTEs ``rp`` (a, b: the distinct ``pairs``) and ``ratios`` (a, b, ratio): the Ratcliff-Obershelp ratio by recursion.
+
+    A step takes the longest common block of two strings (the first of equals
+    in ``a``, then in ``b``) and goes on left and right of it.
+    """
+
+    def best(x: str, y: str) -> str:
+        part = f"substr({x}, i, k)"
+        return (
+            f"list_reverse_sort(flatten([[{{'k': k, 'i': -i, 'j': -strpos({y}, {part})}} for k in range(1, length({x}) - i + 2) if contains({y}, {part})]"
+            f" for i in range(1, length({x}) + 1)]))[1]"
+        )
+
+    return f""",
+rp AS (SELECT DISTINCT a, b FROM ({pairs}) WHERE a <> '' AND b <> ''),
+seg AS (
+  SELECT a, b, a AS x, b AS y, {best("a", "b")} AS m FROM rp
+  UNION ALL
+  SELECT a, b, s.x, s.y, {best("s.x", "s.y")} FROM (
+    SELECT a, b, unnest([{{'x': substr(x, 1, -m.i - 1), 'y': substr(y, 1, -m.j - 1)}}, {{'x': substr(x, m.k - m.i), 'y': substr(y, m.k - m.j)}}]) AS s
+    FROM seg WHERE m IS NOT NULL) WHERE s.x <> '' AND s.y <> ''),
+ratios AS (SELECT a, b, 2.0::DOUBLE * coalesce(sum(m.k), 0) / (length(a) + length(b)) AS ratio FROM seg GROUP BY 1, 2)"""
+
+
+def likely_sql(undecided: str) -> str:
+    """CTEs up to ``likely`` (a, b): label pairs of ``undecided`` (a, b) that the fuzzy part of the identity rule takes for one business."""
+    flat = "regexp_replace({0}, '[^A-Z0-9]', '', 'g')"
+    return f""",
+cores AS (SELECT DISTINCT norm, core FROM panel),
+und AS (SELECT DISTINCT u.a, u.b, x.core AS ca, y.core AS cb, array_to_string(x.core, '') AS ja, array_to_string(y.core, '') AS jb,
+    {flat.format("u.a")} AS fa, {flat.format("u.b")} AS fb
+  FROM ({undecided}) u JOIN cores x ON x.norm = u.a JOIN cores y ON y.norm = u.b),
+tok AS (SELECT a, b, t, unnest(cb) AS u FROM (SELECT a, b, cb, unnest(ca) AS t FROM und))""" + ratio_sql(
+        "SELECT ja AS a, jb AS b FROM und UNION ALL SELECT fa, fb FROM und UNION ALL SELECT t, u FROM tok") + """,
+near AS (SELECT a, b, count(*) AS n FROM (
+    SELECT DISTINCT tok.a, tok.b, t FROM tok JOIN ratios r ON r.a = t AND r.b = u WHERE ratio >= 0.82) GROUP BY 1, 2),
+likely AS (SELECT DISTINCT und.a, und.b FROM und LEFT JOIN ratios r ON r.a = ja AND r.b = jb LEFT JOIN ratios f ON f.a = fa AND f.b = fb
+    LEFT JOIN near n ON n.a = und.a AND n.b = und.b
+  WHERE coalesce(r.ratio >= 0.9, false) OR coalesce(f.ratio >= 0.9, false) OR coalesce(n.n, 0) / least(len(ca), len(cb)) >= 0.6)"""
+
+
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 

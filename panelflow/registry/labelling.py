@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from panelflow.functions.text import normalise
 from panelflow.operators import brand, history, pairs, rollup
 from panelflow.plans.inputs import (
-    HISTORY_SQL, PAIRS_SQL, PANEL_SQL, RAW_SQL, panel, raw_rows, vocabulary,
+    HISTORY_SQL, PAIRS_SQL, PANEL_SQL, RAW_SQL, likely_sql, panel, ratio_sql, raw_rows, same_sql, vocabulary,
 )
 from panelflow.registry.core import query
 
@@ -52,7 +52,13 @@ def labelled_pairs(spark, d):
     )
 
 
-@query("labelled_pairs_fuzzy")
+FUZZY = "WITH RECURSIVE " + PAIRS_SQL + likely_sql("SELECT norm AS a, norm1 AS b FROM labelled WHERE differs AND NOT same") + """,
+fuzzy AS (SELECT l.*, differs AND NOT same AND k.a IS NULL AS rot FROM labelled l LEFT JOIN likely k ON k.a = norm AND k.b = norm1)"""
+
+
+@query("labelled_pairs_fuzzy", FUZZY + """
+SELECT id, cohort, norm, norm1, CAST(gone AS INT) AS gone, CAST(closed AS INT) AS closed, CAST(rot AS INT) AS rotated,
+  CAST(gone OR closed OR rot AS INT) AS target FROM fuzzy""")
 def labelled_pairs_fuzzy(spark, d):
     return labelled(spark, d, fuzzy=True).select(
         "id", "cohort", "norm", "norm1", *[F.col(c).cast("int").alias(c) for c in ("gone", "closed", "rotated", "target")]
@@ -106,9 +112,18 @@ def decomposition_counts(spark, d):
     return pairs.decomposition_report(p, lab, v).withColumn("imbalance", F.round("imbalance", 6))
 
 
-@query("first_version_churn")
+@query("first_version_churn", "WITH RECURSIVE " + PANEL_SQL + """,
+u AS (SELECT a.anio AS cohort, a.norm AS a, b.id IS NULL AS gone, b.id IS NOT NULL AND NOT coalesce(b.open, false) AS closed,
+    b.id IS NOT NULL AND coalesce(b.norm, '') <> '' AND a.norm <> coalesce(b.norm, '') AS changed, coalesce(b.norm, '') AS b
+  FROM panel a LEFT JOIN panel b ON b.id = a.id AND b.anio = a.anio + 1
+  WHERE a.anio + 1 IN (SELECT anio FROM panel) AND a.open AND trim(a.label) <> '')""" + ratio_sql("SELECT a, b FROM u WHERE changed") + """
+SELECT cohort, count(*) AS universe, CAST(count_if(gone) AS BIGINT) AS n_gone, CAST(count_if(closed) AS BIGINT) AS n_closed,
+  CAST(count_if(changed) AS BIGINT) AS n_changed, CAST(count_if(gone OR closed OR changed) AS BIGINT) AS n_churn,
+  CAST(count_if(changed AND coalesce(ratio >= 0.85, false)) AS BIGINT) AS n_similar,
+  round((count_if(gone OR closed OR changed) - count_if(changed AND coalesce(ratio >= 0.85, false))) / count(*), 9) AS corrected_churn
+FROM u LEFT JOIN ratios r ON r.a = u.a AND r.b = u.b GROUP BY 1""")
 def first_version_churn(spark, d):
-    return pairs.first_version_report(panel(spark, d))
+    return pairs.first_version_report(panel(spark, d)).withColumn("corrected_churn", F.round("corrected_churn", 9))
 
 
 @query("differ_same_rotated", "WITH " + PAIRS_SQL + """
@@ -251,7 +266,16 @@ def history_per_year(spark, d):
     return history.history_as_of(panel(spark, d), vocabulary(spark, d), fuzzy=False)
 
 
-@query("history_fuzzy")
+@query("history_fuzzy", "WITH RECURSIVE " + PANEL_SQL + f""",
+steps AS (SELECT b.id, b.anio, a.norm AS a, b.norm AS b, coalesce(NOT a.ph AND len(a.core) > 0 AND NOT b.ph AND len(b.core) > 0 AND a.norm <> b.norm
+    AND NOT {same_sql("a", "b")}, false) AS open_
+  FROM (SELECT id, anio, lag(anio) OVER (PARTITION BY id ORDER BY anio) AS prev FROM panel) l
+  JOIN panel b ON b.id = l.id AND b.anio = l.anio LEFT JOIN panel a ON a.id = l.id AND a.anio = l.prev)""" + likely_sql(
+    "SELECT a, b FROM steps WHERE open_") + """,
+moved AS (SELECT s.id, s.anio, open_ AND k.a IS NULL AS changed FROM steps s LEFT JOIN likely k ON k.a = s.a AND k.b = s.b)
+SELECT id, anio, min(anio) OVER w AS first_year, coalesce(max(CASE WHEN changed THEN anio END) OVER w, min(anio) OVER w) AS business_year,
+  CAST(sum(CAST(changed AS INT)) OVER w AS BIGINT) AS turnovers
+FROM moved WINDOW w AS (PARTITION BY id ORDER BY anio ROWS UNBOUNDED PRECEDING)""")
 def history_fuzzy(spark, d):
     return history.history_as_of(panel(spark, d), vocabulary(spark, d), fuzzy=True)
 

@@ -17,7 +17,7 @@ from panelflow.plans.inputs import (
     INCOME_SQL, PAIRS_SQL, RAW_SQL, SCORES_SQL, SNAPSHOTS_SQL, income_rows, raw_rows, scores, snapshots, table,
 )
 from panelflow.registry.core import query
-from panelflow.registry.labelling import labelled
+from panelflow.registry.labelling import FUZZY, labelled
 from panelflow.sources import files
 
 SN, RW, SC, PR = "WITH " + SNAPSHOTS_SQL, "WITH " + RAW_SQL, "WITH " + SCORES_SQL, "WITH " + PAIRS_SQL
@@ -516,7 +516,11 @@ def _review(spark, d, fuzzy):
     return pos.unionByName(neg)
 
 
-@query("review_samples")
+@query("review_samples", FUZZY + """,
+keyed AS (SELECT CAST(id AS VARCHAR) || '-' || CAST(cohort AS VARCHAR) AS k, norm, norm1, rot, differs FROM fuzzy),
+p AS (SELECT k, norm, norm1, 'positive' AS kind FROM keyed WHERE rot ORDER BY md5(k || '-2024'), k LIMIT 40),
+n AS (SELECT k, norm, norm1, 'discarded' AS kind FROM keyed WHERE differs AND NOT rot ORDER BY md5(k || '-2024'), k LIMIT 25)
+SELECT * FROM p UNION ALL SELECT * FROM n""")
 def review_samples(spark, d):
     return _review(spark, d, True)
 

@@ -6,7 +6,7 @@ from panelflow.functions.numbers import decimal_comma
 from panelflow.functions.similarity import ratcliff_ratio
 from panelflow.operators import income
 from panelflow.plans.inputs import (
-    RAW_SQL, REQUESTS_SQL, SCORES_SQL, SNAPSHOTS_SQL, income_rows, panel, raw_rows, requests, scores, snapshots,
+    PAIRS_SQL, RAW_SQL, REQUESTS_SQL, SCORES_SQL, SNAPSHOTS_SQL, income_rows, panel, ratio_sql, raw_rows, requests, scores, snapshots,
 )
 from panelflow.registry.core import query
 from panelflow.registry.labelling import labelled
@@ -152,7 +152,8 @@ def catalogue_xml(spark, d):
     return files.read_catalogue_xml(spark, path).select("kind", "anio", "mes", "mb")
 
 
-@query("label_similarity")
+@query("label_similarity", "WITH RECURSIVE " + PAIRS_SQL + ratio_sql("SELECT norm AS a, norm1 AS b FROM labelled WHERE differs") + """
+SELECT a AS norm, b AS norm1, round(ratio, 6) AS ratio FROM ratios""")
 def label_similarity(spark, d):
     pairs = labelled(spark, d).where("differs").select("norm", "norm1").distinct()
     return pairs.select("norm", "norm1", F.round(ratcliff_ratio("norm", "norm1"), 6).alias("ratio"))
