@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -134,3 +135,63 @@ def year_on_year(df: DataFrame, year: str, value: str, out: str) -> DataFrame:
     """Relative change against the previous row of a one-row-per-year table."""
     w = W.partitionBy(F.lit(1)).orderBy(year)
     return df.withColumn(out, F.try_divide(F.col(value) - F.lag(value).over(w), F.lag(value).over(w)))
+
+
+@dataclass(frozen=True)
+class HistoryTable:
+    """State of every id, kept up to date snapshot by snapshot.
+
+    A snapshot adds one part (``part=<year>``) below ``path`` with the rows that
+    it changes: new ids and ids with another label.  The state after a year is
+    the last row of each id up to it.  A part that is written again replaces
+    itself, so a failed step is simply repeated; ``compact`` folds old parts
+    into one.  Snapshots come in order of their years.
+    """
+
+    spark: SparkSession
+    path: str
+    vocabulary: Sequence[str] | None = None
+    fuzzy: bool = True
+    SCHEMA = "id long, norm string, first_year int, business_year int, turnovers long, part int"
+
+    def rows(self, until: int | None = None) -> DataFrame:
+        """(id, norm, first_year, business_year, turnovers) after ``until`` (by default: the last snapshot)."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
+            return self.spark.createDataFrame([], self.SCHEMA).drop("part")
+        parts = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        if until is not None:
+            parts = parts.where(F.col("part") <= until)
+        last = F.max_by(F.struct("norm", "first_year", "business_year", "turnovers"), "part")
+        return parts.groupBy("id").agg(last.alias("s")).select("id", "s.*")
+
+    def advance(self, snapshot: DataFrame, year: int) -> None:
+        """Meet the snapshot (id, norm; unique ids) of ``year`` with the state before it and write what changes."""
+        state = self.rows(year - 1).select(
+            "id", F.col("norm").alias("prev"), "first_year", "business_year", "turnovers", F.lit(True).alias("_known"))
+        j = snapshot.select("id", "norm").join(state, "id", "left")
+        j = j.where(F.col("_known").isNull() | ~F.col("norm").eqNullSafe(F.col("prev")))
+        moved = F.col("prev").isNotNull() & F.col("norm").isNotNull()
+        needed = moved & informative("norm", self.vocabulary) & informative("prev", self.vocabulary)
+        j = with_same_business(j.withColumn("_needed", needed), "prev", "norm", "same", self.vocabulary, needed=F.col("_needed"), fuzzy=self.fuzzy)
+        new = F.col("_known").isNull()
+        changed = F.coalesce(F.col("_needed") & ~F.col("same"), F.lit(False))
+        out = j.select(
+            F.col("id").cast("long").alias("id"), "norm", F.coalesce("first_year", F.lit(year)).alias("first_year"),
+            F.when(new | changed, F.lit(year)).otherwise(F.col("business_year")).alias("business_year"),
+            (F.coalesce("turnovers", F.lit(0)) + changed.cast("int")).cast("long").alias("turnovers"),
+        )
+        out.write.mode("overwrite").parquet(f"{self.path}/part={year}")
+
+    def after(self, snapshot: DataFrame, year: int) -> DataFrame:
+        """The state of the ids that the snapshot of ``year`` holds, as ``history_as_of`` gives it."""
+        return snapshot.select("id").join(self.rows(year), "id").select("id", F.lit(year).alias("anio"), "first_year", "business_year", "turnovers")
+
+    def compact(self, until: int, path: str) -> HistoryTable:
+        """A table at ``path`` with one part for everything up to ``until`` and the later parts as they are."""
+        self.rows(until).write.mode("overwrite").parquet(f"{path}/part={until}")
+        parts = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        later = parts.where(F.col("part") > until)
+        if not later.isEmpty():
+            later.write.mode("append").partitionBy("part").parquet(path)
+        return HistoryTable(self.spark, path, self.vocabulary, self.fuzzy)

@@ -8,6 +8,7 @@ from panelflow.plans.inputs import (
     HISTORY_SQL, PAIRS_SQL, PANEL_SQL, RAW_SQL, likely_sql, panel, ratio_sql, raw_rows, same_sql, vocabulary,
 )
 from panelflow.registry.core import query
+from panelflow.session import scratch_path
 
 
 def labelled(spark, d, fuzzy=False, **kw):
@@ -266,6 +267,19 @@ def history_per_year(spark, d):
     return history.history_as_of(panel(spark, d), vocabulary(spark, d), fuzzy=False)
 
 
+@query("history_by_increments", "WITH " + HISTORY_SQL + " SELECT * FROM hist")
+def history_by_increments(spark, d):
+    """Every snapshot meets the stored state once; the state after it, for the ids it holds."""
+    p, table_ = panel(spark, d), history.HistoryTable(spark, scratch_path(spark, "history"), vocabulary(spark, d), fuzzy=False)
+    out = None
+    for year in sorted(r["anio"] for r in p.select("anio").distinct().collect()):  # one row per snapshot
+        snapshot = p.where(F.col("anio") == year)
+        table_.advance(snapshot, year)
+        state = table_.after(snapshot, year)
+        out = state if out is None else out.unionByName(state)
+    return out
+
+
 @query("history_fuzzy", "WITH RECURSIVE " + PANEL_SQL + f""",
 steps AS (SELECT b.id, b.anio, a.norm AS a, b.norm AS b, coalesce(NOT a.ph AND len(a.core) > 0 AND NOT b.ph AND len(b.core) > 0 AND a.norm <> b.norm
     AND NOT {same_sql("a", "b")}, false) AS open_

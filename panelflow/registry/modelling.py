@@ -1,5 +1,7 @@
 """Dataset build, models, scoring and area panel."""
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -20,6 +22,11 @@ USES = {1995: "train", 1996: "train", 1997: "train", 1998: "val", 1999: "test",
 _MODELS: dict = {}
 
 
+def once(sql: str) -> str:
+    """The same SQL with every CTE evaluated once."""
+    return re.sub(r"\b(\w+) AS \((?=\s*SELECT)", r"\1 AS MATERIALIZED (", sql)
+
+
 def data(spark, d):
     def build():
         out = materialise(dataset.modelling_dataset(panel(spark, d), USES, 1995, vocabulary(spark, d), fuzzy=True), "features")  # read twice below
@@ -58,10 +65,13 @@ def metrics(scored, name):
     return evaluate.ranking_metrics(scored, "target", "p").withColumn("model", F.lit(name))
 
 
-@query("modelling_dataset_exact", "WITH " + HISTORY_SQL + """,
-pt AS (SELECT p.id, p.anio, x, y, division, open, coalesce(turnovers, 0) AS t FROM panel p LEFT JOIN hist h ON h.id = p.id AND h.anio = p.anio),
-nb AS (SELECT a.id, a.anio, count(b.id) AS n_150m, avg(b.t) AS turnover_150m FROM pt a LEFT JOIN pt b
-  ON a.anio = b.anio AND a.id <> b.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 150 * 150 GROUP BY 1, 2)
+@query("modelling_dataset_exact", once("WITH " + HISTORY_SQL) + """,
+pt AS MATERIALIZED (SELECT p.id, p.anio, x, y, CAST(floor(x / 150) AS BIGINT) AS cx, CAST(floor(y / 150) AS BIGINT) AS cy, coalesce(turnovers, 0) AS t
+  FROM panel p LEFT JOIN hist h ON h.id = p.id AND h.anio = p.anio),
+around AS MATERIALIZED (SELECT id, anio, x, y, cx + dx AS ox, cy + dy AS oy FROM pt, (VALUES (-1), (0), (1)) v(dx), (VALUES (-1), (0), (1)) w(dy)),
+met AS MATERIALIZED (SELECT a.id, a.anio, count(*) AS n, avg(b.t) AS t FROM around a JOIN pt b ON b.anio = a.anio AND b.cx = a.ox AND b.cy = a.oy
+  WHERE a.id <> b.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 150 * 150 GROUP BY 1, 2),
+nb AS MATERIALIZED (SELECT pt.id, pt.anio, coalesce(n, 0) AS n_150m, met.t AS turnover_150m FROM pt LEFT JOIN met ON met.id = pt.id AND met.anio = pt.anio)
 SELECT l.id, l.cohort, CASE WHEN l.cohort <= 1997 THEN 'train' WHEN l.cohort = 1998 THEN 'val' WHEN l.cohort = 1999 THEN 'test' ELSE 'covid' END AS use,
   target, CAST(l.cohort - business_year AS INT) AS business_age, turnovers AS previous_turnovers, n_150m, round(turnover_150m, 9) AS turnover_150m
 FROM labelled l LEFT JOIN hist h ON h.id = l.id AND h.anio = l.cohort LEFT JOIN nb ON nb.id = l.id AND nb.anio = l.cohort""")
@@ -88,9 +98,9 @@ def area_churn(spark, d):
     return r9(dataset.area_churn(labelled(spark, d)), "churn")
 
 
-AREA = "WITH " + PAIRS_SQL + """,
-ch AS (SELECT barrio, cohort, avg(target) AS churn FROM labelled GROUP BY 1, 2),
-ft AS (SELECT barrio, anio AS cohort, count(*) AS n_listed, count(*) FILTER (WHERE open) AS n_open FROM panel GROUP BY 1, 2)
+AREA = once("WITH " + PAIRS_SQL) + """,
+ch AS MATERIALIZED (SELECT barrio, cohort, avg(target) AS churn FROM labelled GROUP BY 1, 2),
+ft AS MATERIALIZED (SELECT barrio, anio AS cohort, count(*) AS n_listed, count(*) FILTER (WHERE open) AS n_open FROM panel GROUP BY 1, 2)
 SELECT f.barrio, f.cohort, n_listed, n_open, round(1 - n_open / n_listed, 9) AS share_closed, round(c.churn, 9) AS objective,
   round(p.churn, 9) AS churn_previous,
   round(avg(c.churn) OVER (PARTITION BY f.barrio ORDER BY f.cohort ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 9) AS churn_mean
@@ -112,7 +122,7 @@ def area_panel_with_density(spark, d):
     return stored(spark, d, "areas", lambda: _area(spark, d, True))
 
 
-@query("area_baselines", AREA.replace("SELECT f.barrio, f.cohort", ", t AS (SELECT f.barrio, f.cohort", 1).replace("\n, t AS", ",\nt AS") + """)
+@query("area_baselines", AREA.replace("SELECT f.barrio, f.cohort", ", t AS MATERIALIZED (SELECT f.barrio, f.cohort", 1).replace("\n, t AS", ",\nt AS") + """)
 SELECT barrio, cohort, round(coalesce(churn_mean, m), 6) AS p_mean, round(coalesce(churn_previous, m), 6) AS p_persist
 FROM t, (SELECT avg(objective) AS m FROM t WHERE cohort <= 1997)""")
 def area_baselines(spark, d):

@@ -200,6 +200,31 @@ def test_space_features_need_enough_points(spark):
     assert dataset.space_features(df, minimum=10).count() == 20
 
 
+@pytest.mark.parametrize("fuzzy", [False, True])
+def test_history_by_increments_equals_history_of_all_years(spark, tmp_path, fuzzy):
+    rng = random.Random(9)
+    names = ["BAR LOLA", "BAR LOLAS", "CASA PEPE", "PANADERIA SOL", "PANADERIA SOLE", "SIN ROTULO", "", None]
+    rows = [(i, 2015 + y, rng.choice(names[: 2 + i % 7])) for i in range(120) for y in range(6) if rng.random() < 0.8]
+    panel = spark.createDataFrame(rows, "id long, anio int, norm string").repartition(3)
+    want = {(r.id, r.anio): (r.first_year, r.business_year, r.turnovers) for r in history.history_as_of(panel, fuzzy=fuzzy).collect()}
+    t, got = history.HistoryTable(spark, str(tmp_path / "h"), fuzzy=fuzzy), {}
+    for year in range(2015, 2021):
+        snapshot = panel.where(F.col("anio") == year)
+        t.advance(snapshot, year)
+        if year == 2017:
+            t.advance(snapshot, year)  # a repeated step
+        got |= {(r.id, r.anio): (r.first_year, r.business_year, r.turnovers) for r in t.after(snapshot, year).collect()}
+    assert got == want
+    stored = spark.read.parquet(str(tmp_path / "h"))
+    assert stored.count() < len(rows)  # unchanged ids are not written again
+    assert stored.where("part > 2015").count() == sum(
+        1 for y in range(2016, 2021) for i, n in {(i, n) for i, a, n in rows if a == y}
+        if not (before := [(a, m) for j, a, m in rows if j == i and a < y]) or max(before, key=lambda x: x[0])[1] != n)
+    small = t.compact(2018, str(tmp_path / "c"))
+    assert sorted(map(str, small.rows().collect())) == sorted(map(str, t.rows().collect()))
+    assert [r["part"] for r in spark.read.parquet(str(tmp_path / "c")).select("part").distinct().orderBy("part").collect()] == [2018, 2019, 2020]
+
+
 def test_expanding_and_previous(spark):
     df = spark.createDataFrame(pd.DataFrame({"b": ["a"] * 4, "y": [1, 2, 4, 5], "v": [1.0, 3.0, 5.0, 7.0]})).withColumn("y", F.col("y").cast("int"))
     out = history.expanding_mean(history.previous_year(df, "b", "y", "v", "prev"), "b", "y", "v", "mean").orderBy("y").collect()
