@@ -4,15 +4,16 @@ A turn becomes ``<|role|>`` + text + ``<|end|>`` + newline.  Inside roles and
 texts ``\\\\`` is written ``\\\\\\\\`` and ``<`` is written ``\\\\l``, so no control
 string can occur there and reading back is exact.
 
-The size of a turn is an estimate in tokens (a quarter of its bytes, and
-``TURN_TOKENS``).  Prefix sums of the sizes choose the windows: with a share of
-``budget`` left for the system turn and ``history``, the axis of tokens is cut
-every ``stride`` tokens; turns wholly inside one stretch are a window, a turn
-across a cut is a window of its own.  A window repeats the system turn (the
-first turn, if that is its role) and the turns that end at most ``history``
-tokens before it and lie wholly in there; both are masked, so each assistant
-text is a target once.  A turn larger than the stride is kept whole.  Windows
-are made by window functions and one explode: work per turn is constant.
+The size of a turn is an estimate in tokens (a quarter of its bytes, or the
+column ``tokens_col``, and ``TURN_TOKENS``).  Prefix sums of the sizes choose
+the windows: of ``budget``, a share is left for the system turn and for
+``history``; a window takes turns as long as their sum stays within the rest,
+and the next one begins at the first turn that does not.  The prefix sums of a
+conversation, without its texts, are folded once for the places where windows
+begin.  A window repeats the system turn (the first turn, if that is its role)
+and the turns that lie wholly within the ``history`` tokens before it; both are
+masked, so each assistant text is a target once.  A turn larger than the rest of
+the budget is a window of its own and kept whole.
 
 Defined results: null texts and roles count as empty.  Rows of one conversation
 are ordered by turn, then role and text (nulls first); repeated rows are turns
@@ -53,43 +54,45 @@ def head(role: Column) -> Column:
 
 
 def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, system: int = SYSTEM,
-                 conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+                 conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
+                 tokens_col: str | None = None) -> DataFrame:
     """(conv_id, window, text, n_turns, n_repeated, targets) per window.
 
     ``n_repeated`` turns at the front are repeats; ``targets`` are the spans
     (start from 0, length, in code points) under the loss mask.
     """
-    stride = budget - history - system
-    if stride <= 0:
+    room = budget - history - system
+    if room <= 0:
         raise ValueError("budget leaves no room beside history and system")
+    tokens = F.col(tokens_col).cast("long") if tokens_col else F.ceil(F.octet_length("text") / 4)
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *([F.col(tokens_col)] if tokens_col else []))
     every = Window.partitionBy("conv_id")
     upto = every.orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("tokens", F.coalesce(tokens, F.lit(0)))
     rows = rows.withColumns({"pos": F.row_number().over(every.orderBy("turn", "role", "text")), "count": F.count("*").over(every)})
     is_system = (F.col("pos") == 1) & (F.col("role") == "system") & (F.col("count") > 1)
-    rows = rows.withColumn("is_system", is_system).withColumn(
-        "size", F.when(is_system, F.lit(0)).otherwise(F.ceil(F.octet_length("text") / 4) + TURN_TOKENS))
-    rows = rows.withColumn("to", F.sum("size").over(upto)).withColumns({
-        "from": F.col("to") - F.col("size"), "total": F.sum("size").over(every)})
-
-    def stretch(x: Column) -> Column:
-        return F.floor(x / stride)
-
-    first, last = stretch(F.col("from")), stretch(F.col("to") - 1)
-    own = 2 * first + F.when(first == last, 0).otherwise(1)
-    near, far = stretch(F.col("to")), stretch(F.col("from") + history)
-    later = F.when(F.col("to") <= F.col("from") + history, F.sequence(2 * near, 2 * far + 1)).otherwise(F.array().cast("array<bigint>"))
-    places = F.when(F.col("is_system"), F.transform(F.sequence(F.lit(0).cast("long"), 2 * stretch(F.col("total")) + 1), lambda w: F.struct(F.lit(0).alias("kind"), w.alias("window"))))
-    places = places.otherwise(F.concat(
-        F.array(F.struct(F.lit(2).alias("kind"), own.alias("window"))),
-        F.transform(F.filter(later, lambda w: w > own), lambda w: F.struct(F.lit(1).alias("kind"), w.alias("window")))))
-    placed = rows.select("conv_id", "pos", "role", "text", "from", "to", F.explode(places).alias("p")).select("*", "p.*")
-    start = F.min(F.when(F.col("kind") == 2, F.col("from"))).over(Window.partitionBy("conv_id", "window"))
-    placed = placed.withColumn("start", start).where(
-        "start IS NOT NULL AND (kind <> 1 OR (`to` <= start AND `from` >= start - %d))" % history)
+    rows = rows.withColumn("is_system", is_system).withColumn("size", F.when(is_system, F.lit(0)).otherwise(F.col("tokens") + TURN_TOKENS))
+    rows = rows.withColumn("to", F.sum("size").over(upto)).withColumn("from", F.col("to") - F.col("size"))
+
+    # where windows begin, from the prefix sums alone
+    begins = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("from", "to"))), F.array(F.lit(0).cast("long")),
+        lambda acc, t: F.when((t["to"] - F.element_at(acc, -1) > room) & (t["from"] > F.element_at(acc, -1)), F.concat(acc, F.array(t["from"]))).otherwise(acc))
+    starts = rows.groupBy(F.col("conv_id").alias("c")).agg(begins.alias("starts"))
+    placed = rows.join(starts, rows["conv_id"].eqNullSafe(starts["c"]))
+    begun = F.filter("starts", lambda s: s <= F.col("from"))
+    later = F.filter("starts", lambda s: (s >= F.col("to")) & (s <= F.col("from") + history) & (s > F.element_at(begun, -1)))
+
+    def windows_of(found: Column, kind: int) -> Column:
+        return F.transform(found, lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("start")))
+
+    places = F.when(F.col("is_system"), windows_of(F.col("starts"), 0)).otherwise(
+        F.concat(windows_of(F.slice(begun, -1, 1), 2), windows_of(later, 1)))
+    placed = placed.select("conv_id", "pos", "role", "text", "starts", F.explode(places).alias("p")).select(
+        "conv_id", "pos", "role", "text", "p.*", (F.array_position("starts", F.col("p.start")) - 1).alias("window"))
     body = escape(F.col("text"))
     piece = F.concat(head(F.col("role")), body, F.lit(END))
     placed = placed.select(

@@ -101,7 +101,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHAT_SQL = r"""
-WITH t AS (
+WITH RECURSIVE t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, k, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)
 ), p AS (
@@ -110,15 +110,18 @@ WITH t AS (
   SELECT *, pos = 1 AND role = 'system' AND c > 1 AS sys,
     12 + length(replace(replace(replace(role, '\', '\\'), '<', '\l'), '|', '\p')) + length(replace(replace(text, '\', '\\'), '<', '\l')) AS chars FROM p
 ), z AS (SELECT *, CASE WHEN sys THEN 0 ELSE CAST(ceil(strlen(text) / 4.0) AS BIGINT) + 6 END AS size FROM s),
-a AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY pos) AS e FROM z),
-b AS (SELECT conv_id, pos, chars, e - size AS f, e, 2 * ((e - size) // 1280) + CAST((e - size) // 1280 <> (e - 1) // 1280 AS INT) AS win FROM a WHERE NOT sys),
-w AS (SELECT conv_id, win, min(f) AS f, sum(chars) AS chars FROM b GROUP BY 1, 2),
-h AS (SELECT w.conv_id, sum(b.chars) AS chars FROM w JOIN b ON b.conv_id = w.conv_id AND b.win < w.win AND b.e <= w.f AND b.f >= w.f - 512 GROUP BY 1),
-y AS (SELECT conv_id, count(*) AS n, sum(chars) AS chars FROM w GROUP BY 1)
+a AS MATERIALIZED (SELECT *, e - size AS f FROM (SELECT *, CAST(sum(size) OVER (PARTITION BY conv_id ORDER BY pos) AS BIGINT) AS e FROM z)),
+w AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS f FROM a
+  UNION ALL SELECT conv_id, f FROM (SELECT w.conv_id, w.f AS before, min(a.f) AS f FROM w JOIN a ON a.conv_id = w.conv_id AND a.e - w.f > 1280 AND a.f > w.f GROUP BY 1, 2)
+),
+h AS (SELECT w.conv_id, sum(a.chars) AS chars FROM w JOIN a ON a.conv_id = w.conv_id AND NOT sys AND a.e <= w.f AND a.f >= w.f - 512 GROUP BY 1),
+y AS (SELECT conv_id, count(*) AS n FROM w GROUP BY 1)
 SELECT a.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(any_value(y.chars) + coalesce(any_value(h.chars), 0) + any_value(y.n) * coalesce(max(a.chars) FILTER (WHERE sys), 0) AS BIGINT) AS formatted_chars
+  CAST(coalesce(sum(a.chars) FILTER (WHERE NOT sys), 0) + coalesce(any_value(h.chars), 0) + any_value(y.n) * coalesce(max(a.chars) FILTER (WHERE sys), 0) AS BIGINT)
+    AS formatted_chars
 FROM a JOIN y ON y.conv_id = a.conv_id LEFT JOIN h ON h.conv_id = a.conv_id GROUP BY a.conv_id
 """
 

@@ -47,6 +47,30 @@ def test_chat_round_trip_and_budget(spark):
     assert max(sizes[2]) <= stride + chat_format.HISTORY + system and len(sizes[2]) > 3
 
 
+def test_chat_windows_are_filled(spark):
+    rng = random.Random(12)
+    data = [(c, t, "user" if t % 2 == 0 else "assistant", edge.prose(rng, rng.randint(1, 120))) for c in range(30) for t in range(rng.randint(1, 90))]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    room = chat_format.BUDGET - chat_format.HISTORY - chat_format.SYSTEM
+    new: dict = {}
+    for w in chat_format.chat_windows(df).collect():
+        sizes = [-(-len(t.split("|>", 1)[1].encode()) // 4) + chat_format.TURN_TOKENS for t in w.text.split("<|end|>\n")[:-1]]
+        new.setdefault(w.conv_id, {})[w.window] = sizes[w.n_repeated :]
+        assert sum(sizes[: w.n_repeated]) <= chat_format.HISTORY
+    for windows in new.values():
+        some = [windows[i] for i in range(len(windows))]
+        assert all(sum(s) <= room for s in some)
+        assert all(sum(s) + after[0] > room for s, after in zip(some, some[1:]))  # the next turn would not have fitted
+    inner = [sum(s) for windows in new.values() for i, s in windows.items() if i < len(windows) - 1]
+    assert len(inner) > 30 and sum(inner) / len(inner) >= 0.8 * room
+
+
+def test_chat_sizes_from_a_column(spark):
+    df = spark.createDataFrame([(1, t, "user", "x", n) for t, n in enumerate([700, 500, 100, 2000, 10, None])], "conv_id long, turn long, role string, text string, n long")
+    got = sorted((w.window, w.n_turns - w.n_repeated) for w in chat_format.chat_windows(df, tokens_col="n").collect())
+    assert got == [(0, 2), (1, 1), (2, 1), (3, 2)]
+
+
 def test_chat_empty(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.read_back(chat_format.chat_windows(none)).count() == 0
