@@ -157,9 +157,12 @@ def fill_defaults(df: DataFrame, counts: Sequence[str]) -> DataFrame:
     return df.fillna(dict.fromkeys(counts, 0))
 
 
+def missing_columns(columns: Sequence[str], needed: Sequence[str]) -> list[str]:
+    return [c for c in needed if c not in columns]
+
+
 def require_columns(columns: Sequence[str], needed: Sequence[str]) -> None:
-    missing = [c for c in needed if c not in columns]
-    if missing:
+    if missing := missing_columns(columns, needed):
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 

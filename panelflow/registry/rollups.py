@@ -773,6 +773,33 @@ def scenario_point(spark, d):
     return ranking.point_filter(grid, activity="PROMO", district="NATION_4", profile="settled").select("activity", "district", "profile")
 
 
+@query("resolved_columns", "WITH " + RAW_SQL + """
+SELECT 'x_text' AS name, count(*) AS n, CAST(count_if(trim(x_text) <> '') AS BIGINT) AS n_filled FROM raw
+UNION ALL SELECT 'situation', count(*), CAST(count_if(trim(situation) <> '') AS BIGINT) FROM raw
+UNION ALL SELECT 'group_x_text', count(*), CAST(count_if(trim(group_x_text) <> '') AS BIGINT) FROM raw""")
+def resolved_columns(spark, d):
+    """Columns under any of their known names, by name or by part of it, and how often they are filled."""
+    rows = raw_rows(spark, d)
+    names = [
+        clean.resolve_column(rows.columns, ["coordenada_x_local", "X_TEXT", "x"]), clean.resolve_column(rows.columns, ["desc_situacion", "situa"], substring=True),
+        clean.resolve_column(rows.columns, ["coordenada_x_agrup", "group_x"], substring=True)]
+    told = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("v")) for n in names])).alias("c")
+    return rows.select(told).select("c.*").groupBy("name").agg(F.count("*").alias("n"), F.count_if(F.trim("v") != "").alias("n_filled"))
+
+
+@query("required_columns", "WITH " + RAW_SQL + """
+SELECT name, name NOT IN ('income', 'barrio') AS present, CASE WHEN name NOT IN ('income', 'barrio') THEN (SELECT count(*) FROM raw) ELSE 0 END AS n
+FROM (SELECT unnest(['id', 'anio', 'label', 'income', 'barrio']) AS name)""")
+def required_columns(spark, d):
+    """Which of the columns that a later step needs are there."""
+    rows = raw_rows(spark, d)
+    needed = ["id", "anio", "label", "income", "barrio"]
+    missing = clean.missing_columns(rows.columns, needed)
+    total = rows.agg(F.count("*").alias("n"))
+    listed = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.lit(c not in missing).alias("present")) for c in needed])).alias("c")
+    return total.select(listed, "n").select("c.name", "c.present", F.when(F.col("c.present"), F.col("n")).otherwise(0).alias("n"))
+
+
 REQ_SQL = """WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 31 = 0 THEN 'NOPE' ELSE upper(split_part(p_name, ' ', 2)) END AS activity, c_mktsegment AS division,
   CASE WHEN o_orderkey % 29 = 0 THEN 'Atlantis' ELSE ' ' || lower(n_name) END AS district, 'puerta calle' AS access,
   CAST(o_orderkey % 150 AS DOUBLE) AS age, CAST(o_orderkey % 60 AS INT) AS t

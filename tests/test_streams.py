@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from panelflow.plans import models
 from panelflow.streaming import monitor
 
 T0 = datetime(2024, 1, 1)
@@ -99,3 +100,35 @@ def test_windowed_drift_as_stream_equals_batch(spark, tmp_path):
     want = sorted(monitor.window_drift(log(spark, [x for b in BATCHES for x in b]), reference, "activity", "1 hour").collect(), key=key)
     assert [(r.window_start, r.n, round(r.psi, 9), r.verdict) for r in got] == [(r.window_start, r.n, round(r.psi, 9), r.verdict) for r in want]
     assert {r.verdict for r in got} == {"no conclusion"}  # fewer than 30 requests an hour
+
+
+def test_streamed_requests_are_checked_like_batches(spark, tmp_path):
+    """Unknown categories reject their request, forms and ranges are those of training, a restart scores new files only."""
+    train = spark.range(600).select(
+        "id", F.lit(1).alias("cohort"), F.element_at(F.array(*map(F.lit, ("Centro", "Norte", "Sur"))), (F.col("id") % 3 + 1).cast("int")).alias("district"),
+        (F.col("id") % 9).cast("double").alias("age"), ((F.col("id") % 3 == 0) & (F.col("id") % 9 < 5)).cast("int").alias("target"))
+    model = models.fit(train, ["age"], ["district"], "boosting", maxIter=3, maxDepth=2, minInstancesPerNode=10).calibrate(train)
+    profile = models.TrainingProfile.of(train, ["age"], ["district"])
+    assert profile.ranges == {"age": (0.0, 8.0)} and profile.categories.count() == 3
+    folder, path, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+    schema = "id long, district string, age double, errors array<string>"
+
+    def run():
+        stream = monitor.read_log_stream(spark, str(folder), spark.createDataFrame([], schema).schema)
+        return {r.id: r for r in monitor.run_to_table(models.score_requests(model, stream, profile), "x", path, state).collect()}
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+
+    arrive([(1, " centro ", 3.0, []), (2, "Atlantis", 3.0, []), (3, "SUR", 99.0, []), (4, None, None, []), (5, "Norte", 1.0, ["late"])])
+    first = run()
+    assert {i: r.errors for i, r in first.items()} == {1: [], 2: ["unknown district"], 3: [], 4: [], 5: ["late"]}
+    assert {i for i, r in first.items() if r.p is None} == {2, 5}
+    assert (first[1].district, first[3].district, first[3].age, first[3].warnings) == ("Centro", "Sur", 8.0, ["age"])
+    arrive([(6, "Norte", -1.0, [])])
+    again = run()
+    assert {i: r for i, r in again.items() if i < 6} == first and again[6].warnings == ["age"]
+    batch = spark.createDataFrame([(1, " centro ", 3.0), (3, "SUR", 99.0), (4, None, None), (6, "Norte", -1.0)], "id long, district string, age double")
+    scored = {r.id: r.p for r in models.checked_score(model, batch, profile).collect()}
+    assert all(abs(again[i].p - p) < 1e-12 for i, p in scored.items()) and len(scored) == 4
