@@ -6,6 +6,7 @@ import random
 import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -30,6 +31,8 @@ from panelflow.session import materialise
 REST, MISSING, UNKNOWN = "(rest)", "(missing)", "(unknown)"
 CLIP = 1e-6  # fixed value: calibrated probabilities stay inside (0, 1)
 SCORE_DIGITS = 6
+#: Models fitted at the same time.
+TOGETHER = 4
 
 
 @dataclass
@@ -259,8 +262,9 @@ def evaluate_candidates(train: DataFrame, validation: DataFrame, test: DataFrame
     ``scored`` has one probability column per candidate (``p0``, ``p1``, ...).
     """
     scored, names, table = test, [], None
-    for i, (name, (num, cat)) in enumerate(candidates.items()):
-        m = fit(train, num, cat, kind, **params).calibrate(validation)
+    with ThreadPool(TOGETHER) as pool:
+        fitted = pool.map(lambda c: fit(train, *c, kind, **params).calibrate(validation), candidates.values())
+    for i, (m, (name, (num, cat))) in enumerate(zip(fitted, candidates.items())):
         scored = m.score(scored, f"p{i}")
         names.append((f"p{i}", name, len(num) + len(cat)))
     scored = materialise(scored, "candidates")  # every metric reads these probabilities
@@ -273,11 +277,12 @@ def evaluate_candidates(train: DataFrame, validation: DataFrame, test: DataFrame
 def ablation(train: DataFrame, validation: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
              blocks: Mapping[str, Sequence[str]], kind: str = "boosting", **params) -> DataFrame:
     """AUC with each block of variables removed, against the full model."""
-    out = None
-    for name, removed in {"(complete)": [], **blocks}.items():
-        num = [c for c in numeric if c not in removed]
-        cat = [c for c in categorical if c not in removed]
-        scored = fit(train, num, cat, kind, **params).raw(validation)
+    out, variants = None, {"(complete)": [], **blocks}
+    sets = [([c for c in numeric if c not in r], [c for c in categorical if c not in r]) for r in variants.values()]
+    with ThreadPool(TOGETHER) as pool:
+        fitted = pool.map(lambda c: fit(train, *c, kind, **params), sets)
+    for name, m in zip(variants, fitted):
+        scored = m.raw(validation)
         row = ranking_metrics(scored, "target", "raw").select(F.lit(name).alias("removed"), "auc", "lift", "brier")
         out = row if out is None else out.unionByName(row)
     full = out.where("removed = '(complete)'").select("auc").scalar()
