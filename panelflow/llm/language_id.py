@@ -1,7 +1,9 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Texts are lower-cased, runs of other characters than letters become one space,
-and every character is scored in the context of the three before it.  Spark
+and every character is scored in the context of the three before it.  A gram is
+four 16-bit codes; letters beyond U+FFFF take one of the 2,048 codes that no
+character has, so they share grams only among themselves.  Spark
 counts the four-character grams of all training rows per language (partly
 summed in each task, then added up), and all of them make the models.  The
 language with the lowest cross-entropy per character wins.
@@ -76,7 +78,9 @@ def grams(text: str | None) -> np.ndarray:
         return np.zeros(0, np.uint64)
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first other character after a letter stands for its run
-    c = np.concatenate((_PAD, np.where(letter, codes & 0xFFFF, 32)[keep].astype(np.uint64)))
+    if high.any():
+        codes = np.where(high, 0xD800 + codes * np.uint32(40503) % 2048, codes)
+    c = np.concatenate((_PAD, np.where(letter, codes, 32)[keep].astype(np.uint64)))
     g = c[: len(c) - ORDER + 1]
     for i in range(1, ORDER):
         g = (g << np.uint64(16)) | c[i : len(c) - ORDER + 1 + i]

@@ -34,7 +34,7 @@ from panelflow.llm.units import encoder
 
 CAPACITY = 2048
 #: Rows whose token ids a task holds at once.
-ROWS = 256
+ROWS = 1000
 BLOCK = 64
 PIECE = 512
 SLACK = 20

@@ -26,7 +26,7 @@ BATCH_BYTES = 4 << 20
 LINE = 400
 _SPACE = re.compile(r"(?= \S)")
 _CUT = re.compile(r"(?= \S)|(?<=[A-Za-z])(?=[\x00-\x40\x5b-\x60\x7b-\x7f])|(?<=\S\n)(?=\S)")
-_INNER = re.compile(r"(?<=[A-Za-z])(?=[\x00-\x40\x5b-\x60\x7b-\x7f])")
+_INNER = re.compile(r"(?<=[A-Za-z])(?=[\x00-\x1f\x21-\x40\x5b-\x60\x7b-\x7f])")
 _WIDE = re.compile(r" (?=\s|$)")
 
 
@@ -64,13 +64,9 @@ def cut(text: str, folds: bool = False) -> list[str]:
     if "<|" in text:
         return _SPACE.split(text)
     out: list[str] = []
-    if folds:
-        for word in text.encode().lower().decode().replace("\n", " ").split(" "):  # A-Z only
-            if word.isalpha():
-                out.append(word)
-            elif word:
-                out += _INNER.split(word)
-        return out
+    if folds:  # cuts become spaces, which fall away
+        text = text.encode().lower().decode().replace("\n", " ")  # A-Z only
+        return list(filter(None, _INNER.sub(" ", text).split(" ")))
     if _WIDE.search(text):
         return _CUT.split(text)
     words = text.split(" ")
@@ -102,6 +98,15 @@ def parts(text: str, limit: int = BATCH_BYTES) -> Iterator[str]:
     yield text[start:]
 
 
+def _room(values: np.ndarray, size: int) -> np.ndarray:
+    """``values``, moved to twice the room if they hold fewer than ``size``."""
+    if size <= len(values):
+        return values
+    out = np.zeros(max(size, 2 * len(values)), values.dtype)
+    out[: len(values)] = values
+    return out
+
+
 class _Slots(dict):
     """Numbers units in the order in which they are first met."""
 
@@ -128,24 +133,25 @@ class Encoder:
 
     def _forget(self) -> None:
         self.slots = _Slots()
-        self.sizes = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.known, self.used = 0, 0
+        # arrays with room to grow: per slot its number of ids and their place, and the ids of all
+        self.sizes = np.zeros(1 << 12, np.int64)
+        self.starts = np.zeros(1 << 12, np.int64)
+        self.flat = np.zeros(1 << 14, np.uint32)
 
     def _learn(self) -> None:
         """Encodes the units that have a slot but no ids yet."""
-        known = len(self.sizes)
-        if known == len(self.slots):
+        if self.known == len(self.slots):
             return
-        new = list(islice(self.slots, known, None))
-        sizes, ids = [], [self.flat]
+        new = list(islice(self.slots, self.known, None))
         for a, b in by_bytes(new, 1 << 18):
-            own, flat = self._encode(new[a:b])
-            sizes.append(own)
-            ids.append(flat)
-        self.sizes = np.concatenate((self.sizes, *sizes))
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.concatenate(ids)
+            sizes, ids = self._encode(new[a:b])
+            end, last = self.known + len(sizes), self.used + len(ids)
+            self.sizes, self.starts, self.flat = _room(self.sizes, end), _room(self.starts, end), _room(self.flat, last)
+            self.sizes[self.known : end] = sizes
+            self.starts[self.known : end] = self.used + np.cumsum(sizes) - sizes
+            self.flat[self.used : last] = ids
+            self.known, self.used = end, last
 
     def _encode(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids per unit, and all ids.  Plain words are encoded in lines: the library then tells the word of each id."""

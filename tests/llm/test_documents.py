@@ -396,3 +396,65 @@ def test_patience_is_increasing_and_exact():
     assert license_scan.patience(list("aab"), list("aab")) == [(0, 0), (1, 1), (2, 2)]
     assert license_scan.patience([], ["a"]) == [] and license_scan.patience(["a"], []) == []
     assert license_scan.increasing([3, 1, 2, 5, 4]) in ([1, 2, 3], [1, 2, 4])
+
+
+def plain_kneser_ney(texts):
+    """A function (context and character, as a string) -> probability, from dictionaries."""
+    counts = {4: Counter()}
+    for t in texts:
+        counts[4].update(t[i : i + 4] for i in range(len(t) - 3))
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+
+    def p(gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / (len(counts[1]) + 1)
+        own = {g: n for g, n in counts[k].items() if g[:-1] == gram[:-1]}
+        total = sum(own.values())
+        lower = p(gram[1:])
+        if not total:
+            return lower
+        return max(own.get(gram, 0) - 0.75, 0) / total + sum(min(n, 0.75) for n in own.values()) / total * lower
+
+    return p
+
+
+def plain_letters(text):
+    out = "   "
+    for c in text.lower():
+        if c.isalpha():
+            out += c
+        elif out[-1] != " ":
+            out += " "
+    return out
+
+
+def test_language_models_equal_dictionaries():
+    import random
+
+    rng = random.Random(17)
+    texts = ["".join(rng.choice("abcé ,ß\U00010400\u65e5") for _ in range(rng.randint(5, 120))) + "a" for _ in range(12)]
+    told = [plain_letters(t.lstrip(" ,")) for t in texts]
+    g, n = np.unique(np.concatenate([language_id.grams(t.lstrip(" ,")) for t in texts]), return_counts=True)
+    model, p = language_id.kneser_ney(g, n), plain_kneser_ney(told)
+    for t in [*texts[:4], "zzz abc a", "x", "\U00010400\U00010401 b"]:
+        t = t.lstrip(" ,")
+        line = plain_letters(t)
+        want = [p(line[i : i + 4]) for i in range(len(line) - 3)]
+        assert np.allclose(model.probability(language_id.grams(t)), want, rtol=1e-12), t
+    # probabilities of all characters after a context sum to one less the unseen share
+    assert len({tuple(language_id.grams(c)) for c in "\U00010400\uF400\u0400"}) == 3
+
+
+def test_packing_pads_little(spark):
+    import random
+
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, edge.prose(rng, rng.choice([3, 40, 150, 400]))) for i in range(500)], "doc_id long, text string").coalesce(1)
+    pieces = packing.pack(df).collect()
+    filled: dict = {}
+    for r in pieces:
+        filled[r.sequence_id] = filled.get(r.sequence_id, 0) + r.length
+    assert max(filled.values()) <= packing.CAPACITY
+    assert sum(filled.values()) >= 0.97 * packing.CAPACITY * (len(filled) - 1)
