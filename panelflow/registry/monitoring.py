@@ -113,3 +113,11 @@ def drift_stream(spark, d):
     shares = monitor.reference_shares(requests(spark, d).where("k < 50"), "activity")
     counts = monitor.run_complete(monitor.window_bins(stream(spark, d).where("k >= 50"), shares, "activity", "1 day"), "drift")
     return r9(monitor.drift_of_windows(counts, shares), "psi")
+
+
+@query("drift_on_closing_stream", PSI_W.replace("FROM j GROUP BY s", "FROM j WHERE s + INTERVAL '1 day' <= (SELECT max(ts) - INTERVAL '1 hour' FROM requests WHERE k >= 50) GROUP BY s"))
+def drift_on_closing_stream(spark, d):
+    """A verdict per day, given when the day is over."""
+    shares = monitor.reference_shares(requests(spark, d).where("k < 50"), "activity")
+    closed = monitor.closing_drift(stream(spark, d).where("k >= 50"), shares, "activity", "1 day", "1 hour")
+    return r9(monitor.run_to_table(closed, "closing"), "psi")

@@ -195,6 +195,27 @@ def window_drift(log: DataFrame, reference: DataFrame, column: str, width: str,
     return drift_of_windows(window_bins(log, shares, column, width, ts), shares)
 
 
+def closing_drift(log: DataFrame, shares: DataFrame, column: str, width: str, delay: str, ts: str = "ts") -> DataFrame:
+    """PSI and verdict of every window, once it is closed (a stream, append mode).
+
+    The watermark keeps one row of counts per open window as state, one count
+    per bin of ``shares`` (at most top + 1); a window emits its verdict when no
+    more rows can come, and later ones are dropped.
+    """
+    known = [(r["bin"], r["expected"] or 0.0) for r in shares.collect()]  # top + 1 rows
+    names = [b for b, _ in known if b != drift.OTHER]
+    value = F.coalesce(F.trim(F.col(column).cast("string")), F.lit("nan"))
+    rows = log.select(F.col(ts), F.when(value.isin(names), value).otherwise(drift.OTHER).alias("_bin")).withWatermark(ts, delay)
+    counts = [F.count_if(F.col("_bin") == b).alias(f"_o{i}") for i, (b, _) in enumerate(known)]
+    g = rows.groupBy(F.window(ts, width).alias("_w")).agg(F.count("*").alias("n"), *counts)
+    psi = F.lit(0.0)
+    for i, (_, share) in enumerate(known):
+        e, o = F.lit(max(share, drift.FLOOR)), F.greatest(F.col(f"_o{i}") / F.col("n"), F.lit(drift.FLOOR))
+        psi = psi + (o - e) * F.ln(o / e)
+    out = g.select(F.date_format("_w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n", psi.alias("psi"))
+    return out.withColumn("verdict", F.when(F.col("n") < drift.MIN_REQUESTS, "no conclusion").otherwise(drift.verdict(F.col("psi"))))
+
+
 def valid_and_side_output(scored: DataFrame, errors: str = "errors") -> tuple[DataFrame, DataFrame]:
     """Rows to serve and rows to report, from one scored stream or table."""
     bad: Column = F.size(errors) > 0

@@ -102,6 +102,31 @@ def test_windowed_drift_as_stream_equals_batch(spark, tmp_path):
     assert {r.verdict for r in got} == {"no conclusion"}  # fewer than 30 requests an hour
 
 
+def test_verdict_when_a_window_closes_late_rows_and_a_restart(spark, tmp_path):
+    reference = log(spark, [(i, 0, "a" if i % 3 else "b", 0.1) for i in range(60)])
+    shares = monitor.reference_shares(reference, "activity")
+    folder, path, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+
+    def arrive(rows):
+        log(spark, rows).coalesce(1).write.mode("append").parquet(str(folder))
+
+    def run():
+        stream = monitor.read_log_stream(spark, str(folder), reference.schema, files_per_trigger=1)
+        out = monitor.run_to_table(monitor.closing_drift(stream, shares, "activity", "1 hour", "10 minutes"), "x", path, state)
+        return {r.window_start: (r.n, r.verdict) for r in out.collect()}
+
+    hour = [(i, i % 60, "a" if i % 3 else "b", 0.1) for i in range(90)]  # the shares of the reference
+    other = [(200 + i, 60 + i % 60, "c", 0.1) for i in range(40)]
+    arrive(hour)
+    assert run() == {}  # the hour may still get rows
+    arrive([*other, (300, 131, "a", 0.1)])
+    first = run()
+    assert first == {"2024-01-01 00:00:00": (90, "stable"), "2024-01-01 01:00:00": (40, "high drift")}
+    arrive([(400, 5, "c", 0.1), (401, 200, "a", 0.1)])  # too late for its hour; closes the next one
+    assert run() == first | {"2024-01-01 02:00:00": (1, "no conclusion")}
+
+
 def test_streamed_requests_are_checked_like_batches(spark, tmp_path):
     """Unknown categories reject their request, forms and ranges are those of training, a restart scores new files only."""
     train = spark.range(600).select(
