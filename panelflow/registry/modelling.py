@@ -223,11 +223,23 @@ def two_cohort_comparison(spark, d):
     return resample.keeps_ordering(out)
 
 
+TECHNIQUES = ("logistic", "tree", "forest", "boosting", "stochastic boosting")
+
+
 @query("ensemble_of_two")
 def ensemble_of_two(spark, d):
-    s = model_of(spark, d).score(part(spark, d, "test"), "pa")
-    s = model_of(spark, d, "logistic").score(s, "pb")
-    return metrics(evaluate.ensemble(s, ["pa", "pb"], "p"), "vote")
+    """Soft vote of the two techniques with the best AUC on the validation cohort."""
+    seen = part(spark, d, "val")
+    for i, kind in enumerate(TECHNIQUES):
+        seen = model_of(spark, d, kind).raw(seen, f"v{i}")
+    seen = materialise(seen.select("target", *[f"v{i}" for i in range(len(TECHNIQUES))]), "votes")
+    columns = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"v{i}").alias("p")) for i, k in enumerate(TECHNIQUES)])).alias("m")
+    ranked = evaluate.ranking_metrics(seen.select("target", columns).select("target", "m.*"), "target", "p", ["kind"])
+    best = [r["kind"] for r in ranked.orderBy(F.desc("auc"), "kind").limit(2).collect()]
+    s = part(spark, d, "test")
+    for i, kind in enumerate(best):
+        s = model_of(spark, d, kind).score(s, f"p{i}")
+    return metrics(evaluate.ensemble(s, ["p0", "p1"], "p"), "vote").withColumn("voters", F.lit(" + ".join(best)))
 
 
 @query("block_ablation")
