@@ -62,9 +62,11 @@ def metrics_from_values(values: DataFrame, by: Sequence[str] = (), q: float = 0.
     )
 
 
-def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (), q: float = 0.10) -> DataFrame:
-    src = df.select(*by, F.col(p).alias("p"), F.col(y).cast("long").alias("_y"))
-    values = value_table(src, "p", {"n": F.lit(1).cast("long"), "pos": F.col("_y")}, by)
+def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (), q: float = 0.10, weight: str | None = None) -> DataFrame:
+    """``weight``: rows that a row stands for."""
+    n = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    src = df.select(*by, F.col(p).alias("p"), n.alias("_n"), (F.col(y).cast("long") * n if weight else F.col(y).cast("long")).alias("_y"))
+    values = value_table(src, "p", {"n": F.col("_n"), "pos": F.col("_y")}, by)
     return metrics_from_values(values, by, q)
 
 

@@ -47,21 +47,28 @@ def space_features(panel: DataFrame, hist: DataFrame | None = None, near: float
 
 
 def modelling_dataset(panel: DataFrame, uses: Mapping[int, str], start: int, vocabulary: Sequence[str] | None = None,
-                      fuzzy: bool = True, blocks: Sequence[str] = ("history", "space", "brand")) -> DataFrame:
+                      fuzzy: bool = True, blocks: Sequence[str] = ("history", "space", "brand"), hist: DataFrame | None = None) -> DataFrame:
     """One row per (id, cohort): label, split and the requested feature blocks.
 
-    No feature reads a year after the cohort's own.
+    No feature reads a year after the cohort's own.  ``hist`` is ``history_as_of`` of the panel, where it is stored already.
     """
     use = F.lit(None).cast("string")
     for cohort, name in uses.items():
         use = F.when(F.col("cohort") == cohort, name).otherwise(use)
     u = pairs.label_pairs(panel, vocabulary, fuzzy=fuzzy).withColumn("use", use).where(F.col("use").isNotNull())
-    hist = history.history_as_of(panel, vocabulary, fuzzy=fuzzy, start=start)
-    if "space" in blocks:
-        hist = materialise(hist, "history")  # joined twice
+    if hist is None:
+        hist = history.history_as_of(panel, vocabulary, fuzzy=fuzzy, start=start)
+        if "space" in blocks:
+            hist = materialise(hist, "history")  # joined twice
     if "history" in blocks:
         u = u.join(hist.withColumnRenamed("anio", "cohort"), ["id", "cohort"], "left")
         u = history.derived_ages(u, F.col("cohort"), F.lit(start))
+    return with_surroundings(u, panel, hist, vocabulary, blocks)
+
+
+def with_surroundings(u: DataFrame, panel: DataFrame, hist: DataFrame, vocabulary: Sequence[str] | None = None,
+                      blocks: Sequence[str] = ("space", "brand")) -> DataFrame:
+    """The dataset's rows with the blocks that other premises of the snapshot decide."""
     if "space" in blocks:
         u = u.join(space_features(panel, hist).withColumnRenamed("anio", "cohort"), ["id", "cohort"], "left")
     if "brand" in blocks:

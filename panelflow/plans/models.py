@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import math
 import random
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier,
+    DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.feature import (
     Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelflow.functions.text import match_key, match_key_no_zeros
 from panelflow.operators.clean import (
@@ -33,6 +38,8 @@ CLIP = 1e-6  # fixed value: calibrated probabilities stay inside (0, 1)
 SCORE_DIGITS = 6
 #: Models fitted at the same time.
 TOGETHER = 4
+#: Cells that one task of a fit holds at least; fewer make one task.
+CELLS = 25_000
 
 
 @dataclass
@@ -138,6 +145,110 @@ def prepare(df: DataFrame, numeric: Sequence[str], balanced: bool = False, seed:
     return out.withColumn("weight", weight)
 
 
+def merged(df: DataFrame, columns: Sequence[str], **sums) -> DataFrame:
+    """One row per distinct combination of ``columns`` (a cell), with ``n``, its rows, and further ``sums``."""
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
+
+
+def training_cells(x: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """Encoded rows as cells of equal features, target and early-stop mark, stored: a fit weighs a cell by its rows.
+
+    The same fit as on the rows, at the cost of the combinations that occur.
+    """
+    columns = [*[f"{c}_cat" for c in categorical], *numeric]
+    cells = merged(x, [*columns, "target", "held_out"], weight=F.col("weight"))
+    return few_tasks(materialise(cells.withColumn("cell", F.xxhash64(*columns, "target", "held_out")), "cells"))
+
+
+def few_tasks(stored: DataFrame) -> DataFrame:
+    """A stored table in tasks of no less than ``CELLS`` rows, for fits that read it hundreds of times."""
+    return stored.coalesce(max(1, math.ceil(stored.count() / CELLS)))
+
+
+def smallest_nodes(params: Mapping, total: float) -> dict:
+    """``params`` with the least number of rows of a node as a least share of ``total``, which counts rows and not cells."""
+    least = params["minInstancesPerNode"]
+    out = {**params, "minInstancesPerNode": 1}
+    if least > 1:  # half a row of room for rounding: weights of nodes are whole numbers
+        out.update({"maxDepth": 0} if 2 * least > total else {"minWeightFractionPerNode": (least - 0.5) / total})
+    return out
+
+
+def by_rows(kind: str, params: Mapping) -> bool:
+    """Boosting that leaves rows out at random needs the rows one by one."""
+    given = classifier(kind, **params)
+    return isinstance(given, GBTClassifier) and given.getSubsamplingRate() < 1
+
+
+def encoded_cells(stages: PipelineModel, cells: DataFrame) -> DataFrame:
+    return stages.transform(cells).select("target", "held_out", "weight", "n", "cell", "features")
+
+
+def fit_cells(cells: DataFrame, kind: str, seed: int = 0, **params):
+    """Fit an estimator on (target, held_out, weight, n, cell, features)."""
+    if kind == "logistic":
+        return classifier(kind, seed, **params).fit(cells)
+    if kind == "forest":
+        return fit_forest(cells, seed, **params)
+    given = classifier(kind, seed, **params)
+    mark = given.getOrDefault("validationIndicatorCol") if kind != "tree" and given.isDefined("validationIndicatorCol") else None
+    total = (cells if mark is None else cells.where(~F.col(mark))).agg(F.sum("n")).first()[0] or 0.0
+    least = smallest_nodes({**params, "minInstancesPerNode": given.getMinInstancesPerNode()}, total)
+    return classifier(kind, seed, **least, weightCol="n").fit(cells)
+
+
+def fit_forest(cells: DataFrame, seed: int = 0, **params) -> RandomForestClassificationModel:
+    """Random forest: every tree grows on its own bootstrap sample of the rows.
+
+    A cell of n rows counts Poisson(n) times in a tree, the sum of n draws of
+    the Poisson(1) that a row gets; the draws come from a generator keyed by the
+    cell.  Trees grow side by side, each from its own column of draws.
+    """
+    given = classifier("forest", seed, **params)
+    trees, rate = given.getNumTrees(), given.getSubsamplingRate()
+    drawn = with_draws(cells.select("target", "cell", "n", vector_to_array("features").alias("x")), "cell", "n", trees, rate, seed)
+    drawn = few_tasks(materialise(drawn.drop("cell", "n"), "draws"))
+    drawn = drawn.withColumns({"target": F.col("target"), "features": array_to_vector("x")}).withMetadata(
+        "target", {"ml_attr": {"type": "nominal", "num_vals": 2}}).withMetadata("features", cells.schema["features"].metadata)
+    totals = drawn.agg(*[F.sum(f"_w{i}").cast("double") for i in range(trees)]).first()
+    rng = random.Random(seed)
+    seeds = [rng.randrange(1 << 31) for _ in range(trees)]
+
+    def grow(i: int):
+        sample = drawn.where(F.col(f"_w{i}") > 0).select("target", "features", F.col(f"_w{i}").cast("double").alias("_n"))
+        least = smallest_nodes({**params, "minInstancesPerNode": given.getMinInstancesPerNode()}, totals[i] or 0.0)
+        one = {**least, "numTrees": 1, "bootstrap": False, "subsamplingRate": 1.0, "weightCol": "_n"}
+        return classifier("forest", seeds[i], **one).fit(sample)._java_obj.trees()[0]
+
+    spark = cells.sparkSession
+    with ThreadPool(max(TOGETHER, min(16, spark.sparkContext.defaultParallelism))) as pool:
+        grown = pool.map(grow, range(trees), chunksize=1)
+    gateway, ml = spark.sparkContext._gateway, spark._jvm.org.apache.spark.ml.classification
+    array = gateway.new_array(ml.DecisionTreeClassificationModel, trees)
+    for i, tree in enumerate(grown):
+        array[i] = tree
+    model = RandomForestClassificationModel(ml.RandomForestClassificationModel(given.uid, array, grown[0].numFeatures(), 2))
+    given._copyValues(model._resetUid(given.uid))
+    model._transfer_params_to_java()
+    return model
+
+
+def with_draws(df: DataFrame, key: str, count: str, replicates: int, rate: float, seed: int) -> DataFrame:
+    """``df`` with columns ``_w0``, ``_w1``, ...: Poisson(rate * count) draws of a row, keyed by ``key``."""
+    names = [*df.columns, *[f"_w{i}" for i in range(replicates)]]
+    kinds = T.StructType([*df.schema.fields, *[T.StructField(f"_w{i}", T.IntegerType()) for i in range(replicates)]])
+    k, c, mask = df.columns.index(key), df.columns.index(count), (1 << 64) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column(k).to_pylist(), batch.column(c).to_pylist())
+            drawn = [np.random.Generator(np.random.Philox(key=[a & mask, seed & mask])).poisson(rate * n, replicates) for a, n in rows]
+            table = np.array(drawn, np.int32).reshape(batch.num_rows, replicates)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(table[:, i]) for i in range(replicates)]], names=names)
+
+    return df.mapInArrow(run, kinds)
+
+
 @dataclass
 class ChurnModel:
     """Fitted encoder, pipeline and optional calibration."""
@@ -162,12 +273,27 @@ class ChurnModel:
         Scores are first merged to their distinct rounded values with weights,
         so the pooled sequence is bounded by the rounding, not by the rows.
         """
-        v = self.raw(validation).select(F.round("raw", SCORE_DIGITS).alias("raw"), F.col("target").cast("double").alias("target"))
-        cells = v.groupBy("raw").agg(F.avg("target").alias("target"), F.count("*").cast("double").alias("weight"))
+        v = self.raw(self.cells(validation)).select(F.round("raw", SCORE_DIGITS).alias("raw"), "target", "n")
+        cells = v.groupBy("raw").agg((F.sum(F.col("target") * F.col("n")) / F.sum("n")).alias("target"), F.sum("n").alias("weight"))
         iso = IsotonicRegression(featuresCol="raw", labelCol="target", weightCol="weight", predictionCol="p")
         self.calibration = iso.fit(cells)
         return self
 
+    def score_once(self, df: DataFrame, out: str = "p") -> DataFrame:
+        """``score`` for tables with many equal rows: each combination of features is scored once and meets its rows in a join."""
+        names = [*self.categorical, *self.numeric]
+        kinds = materialise(self.score(df.select(*names).distinct(), out), "kinds").withColumnsRenamed({c: f"_k_{c}" for c in names})
+        same = [df[c].eqNullSafe(kinds[f"_k_{c}"]) for c in names]
+        return df.join(kinds, reduce(Column.__and__, same), "left").select(*df.columns, out)
+
+    def cells(self, df: DataFrame) -> DataFrame:
+        """Rows of equal features and target as one, with their number ``n``: what measures of the scores need to score."""
+        return merged(df.withColumn("target", F.col("target").cast("double")), [*self.categorical, *self.numeric, "target"])
+
+    def metrics(self, df: DataFrame) -> DataFrame:
+        """Ranking metrics of the scores of ``df``."""
+        return ranking_metrics(self.score(self.cells(df)), "target", "p", weight="n")
+
     def score(self, df: DataFrame, out: str = "p") -> DataFrame:
         """Calibrated probability of every row (the raw one without calibration); only ``out`` is added."""
         if self.calibration is None:
@@ -186,9 +312,12 @@ def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], ki
     x = encoder.transform(prepare(train, numeric, balanced, seed))
     if linear and "regParam" not in params:
         params = {**params, "regParam": 1.0 / max(1, x.count())}  # the inverse penalty 1 of a sum of losses
-    stages = feature_stages(numeric, categorical, linear=linear)
-    model = Pipeline(stages=[*stages, classifier(kind, seed, **params)]).fit(x)
-    return ChurnModel(encoder, model, list(numeric), list(categorical))
+    stages = Pipeline(stages=feature_stages(numeric, categorical, linear=linear)).fit(x)  # medians, orders and scales are those of the rows
+    if by_rows(kind, params):
+        fitted = classifier(kind, seed, **params).fit(stages.transform(x))
+    else:
+        fitted = fit_cells(encoded_cells(stages, training_cells(x, numeric, categorical)), kind, seed, **params)
+    return ChurnModel(encoder, PipelineModel(stages=[*stages.stages, fitted]), list(numeric), list(categorical))
 
 
 @dataclass
@@ -237,7 +366,7 @@ def checked_score(model: ChurnModel, df: DataFrame, train: DataFrame | TrainingP
     ready = materialise(profile.prepare(df), "remapped")  # checked, then scored
     check_unmatched(ready, [c for c in model.categorical if f"{c}_unmatched" in ready.columns])
     ready = ready.select(*df.columns, F.array_join("warnings", ",").alias("warnings"))
-    return model.score(ready, out)
+    return model.score_once(ready, out)
 
 
 def score_requests(model: ChurnModel, requests: DataFrame, profile: TrainingProfile, out: str = "p") -> DataFrame:
@@ -282,8 +411,7 @@ def ablation(train: DataFrame, validation: DataFrame, numeric: Sequence[str], ca
     with ThreadPool(TOGETHER) as pool:
         fitted = pool.map(lambda c: fit(train, *c, kind, **params), sets)
     for name, m in zip(variants, fitted):
-        scored = m.raw(validation)
-        row = ranking_metrics(scored, "target", "raw").select(F.lit(name).alias("removed"), "auc", "lift", "brier")
+        row = ranking_metrics(m.raw(m.cells(validation)), "target", "raw", weight="n").select(F.lit(name).alias("removed"), "auc", "lift", "brier")
         out = row if out is None else out.unionByName(row)
     full = out.where("removed = '(complete)'").select("auc").scalar()
     return out.withColumn("auc_change", F.col("auc") - full)
@@ -303,7 +431,7 @@ def permutation_importance(model: ChurnModel, df: DataFrame, key: str = "row_id"
     total = placed.agg(F.count("*")).scalar()
     placed = placed.withColumn("_n", total)
     rng = random.Random(seed)
-    variants = model.raw(base).select(F.lit("(none)").alias("variable"), F.lit(0).alias("repeat"), "target", "raw")
+    variants = model.raw(model.cells(base)).select(F.lit("(none)").alias("variable"), F.lit(0).alias("repeat"), "target", "n", "raw")
     for k in range(repeats):
         step = rng.uniform(0.1, 0.9)
         away = placed.select(
@@ -316,10 +444,11 @@ def permutation_importance(model: ChurnModel, df: DataFrame, key: str = "row_id"
         shuffled = each.select(
             key, "target", "variable",
             *[F.when(F.col("variable") == c, F.col(f"_s_{c}")).otherwise(F.col(c)).alias(c) for c in variables])
-        variants = variants.unionByName(model.raw(shuffled).select("variable", F.lit(k).alias("repeat"), "target", "raw"))
+        cells = merged(shuffled, ["variable", *variables, "target"])  # equal rows are scored once
+        variants = variants.unionByName(model.raw(cells).select("variable", F.lit(k).alias("repeat"), "target", "n", "raw"))
     values = value_table(
         variants.withColumn("p", F.round("raw", SCORE_DIGITS)), "p",
-        {"n": F.lit(1).cast("long"), "pos": F.col("target").cast("long")}, ["variable", "repeat"],
+        {"n": F.col("n").cast("long"), "pos": (F.col("target") * F.col("n")).cast("long")}, ["variable", "repeat"],
     )
     m = metrics_from_values(values, ["variable", "repeat"]).select("variable", "repeat", "auc", "lift")
     none = m.where("variable = '(none)'")

@@ -14,7 +14,7 @@ from panelflow.functions.text import (
 from panelflow.operators import areas, catalogue, clean, evaluate, history, income, ranking, rollup
 from panelflow.operators.ordered import rank_buckets
 from panelflow.plans.inputs import (
-    INCOME_SQL, PAIRS_SQL, RAW_SQL, SCORES_SQL, SNAPSHOTS_SQL, income_rows, raw_rows, scores, snapshots, table,
+    INCOME_SQL, PAIRS_SQL, RAW_SQL, SCORES_SQL, SNAPSHOTS_SQL, income_rows, panel, raw_rows, scores, snapshots, table,
 )
 from panelflow.registry.core import query
 from panelflow.registry.labelling import FUZZY, labelled
@@ -836,7 +836,7 @@ def _requests(spark, d):
         (F.col("o_orderkey") % 150).cast("double").alias("age"),
         (F.col("o_orderkey") % 60).cast("int").alias("previous_turnovers"),
     )
-    access = snapshots(spark, d).select("access").distinct()
+    access = panel(spark, d).select("access").distinct()
     return catalogue.validate_requests(
         r, part.select(activity.alias("activity")).distinct(), table(spark, d, "customer").select("c_mktsegment").distinct(),
         nation.select("n_name"), access,

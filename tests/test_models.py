@@ -142,3 +142,45 @@ def test_regression_baselines(spark):
     df = spark.createDataFrame([("a", 1, 0.1, None, 0.2), ("b", 1, 0.3, 0.4, None)], "b string, cohort int, objective double, churn_previous double, churn_mean double")
     got = models.area_baselines(df, df).orderBy("b").collect()
     assert [(round(r.p_mean, 9), round(r.p_persist, 9)) for r in got] == [(0.2, 0.2), (0.2, 0.4)]
+
+
+def test_fits_weigh_cells_of_equal_rows(frames, monkeypatch):
+    """A tree and a forest grow on far fewer rows than the table has, and the tree is the one of the rows."""
+    train, _, test = frames
+    seen = []
+    grown = models.classifier
+
+    def watched(kind, seed=0, **params):
+        out = grown(kind, seed, **params)
+        fit = out.fit
+        out.fit = lambda d: seen.append(d.count()) or fit(d)
+        return out
+
+    by_rows = grown("tree", minInstancesPerNode=20)
+    monkeypatch.setattr(models, "classifier", watched)
+    m = models.fit(train, ["age"], ["sector"], "tree", minInstancesPerNode=20)
+    x = m.encoder.transform(models.prepare(train, ["age"]))
+    for stage in m.model.stages[:-1]:
+        x = stage.transform(x)
+    assert m.model.stages[-1].toDebugString.split("\n")[1:] == by_rows.fit(x).toDebugString.split("\n")[1:]
+    forest = models.fit(train, ["age"], ["sector"], "forest", numTrees=6, maxDepth=4, minInstancesPerNode=20)
+    assert forest.model.stages[-1].getNumTrees == 6 and len(seen) == 7 and max(seen) <= 8 * 11 * 2 * 2
+    assert forest.metrics(test).first() == forest.metrics(test).first()
+    assert abs(forest.metrics(test).first().auc - evaluate.ranking_metrics(forest.raw(test, "p"), "target", "p").first().auc) < 1e-12
+    assert forest.metrics(test).first().auc > 0.6
+
+
+def test_draws_of_a_cell_are_those_of_its_rows(spark):
+    df = spark.range(400).select("id", F.lit(9.0).alias("n"))
+    got = np.array([list(r)[2:] for r in models.with_draws(df, "id", "n", 20, 1.0, 3).collect()])
+    assert abs(got.mean() - 9) < 0.2 and abs(got.var() - 9) < 0.6
+
+
+def test_equal_rows_are_scored_once(frames, monkeypatch):
+    train, val, test = frames
+    m = models.fit(train, ["age"], ["sector"], "boosting", **SMALL).calibrate(val)
+    seen, score = [], m.score
+    monkeypatch.setattr(m, "score", lambda d, out="p": seen.append(d.count()) or score(d, out))
+    once = {r.row_id: r.p for r in m.score_once(test).collect()}
+    assert seen == [test.select("sector", "age").distinct().count()] and seen[0] < test.count() / 4
+    assert once == {r.row_id: r.p for r in score(test).collect()}
