@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.operators.evaluate import ranking_metrics
-from panelflow.plans.models import RareCategories, classifier, feature_stages, prepare
+from panelflow.plans.models import (
+    RareCategories, by_rows, encoded_cells, feature_stages, few_tasks, fit_cells, prepare, training_cells,
+)
 from panelflow.session import materialise
 
 GOOD = 0.25
@@ -107,23 +109,25 @@ def optimise(objective: Callable[[dict], float], space: Mapping[str, Range], tri
 
 
 def encoded_once(train: DataFrame, validation: DataFrame, numeric: Sequence[str], categorical: Sequence[str], seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(target, held_out, weight, features) of both tables, stored, for tree estimators."""
+    """(target, held_out, weight, n, cell, features) of both tables as cells, stored, for tree estimators."""
     encoder = RareCategories(categorical).fit(train)
     ready = [encoder.transform(prepare(d, numeric, seed=seed)) for d in (train, validation)]
     stages = Pipeline(stages=feature_stages(numeric, categorical, linear=False)).fit(ready[0])
-    a, b = (materialise(stages.transform(d).select("target", "held_out", "weight", "features"), "encoded") for d in ready)
+    a, b = (few_tasks(materialise(encoded_cells(stages, training_cells(d, numeric, categorical)), "encoded")) for d in ready)
     return a, b
 
 
 def adaptive_search(train: DataFrame, validation: DataFrame, numeric: Sequence[str], categorical: Sequence[str], space: Mapping[str, Range],
                     trials: int = 30, start: int = 8, together: int = 4, seed: int = 42, kind: str = "boosting", **fixed) -> DataFrame:
     """One row per trial: its number, its parameters and the AUC on ``validation``."""
+    if by_rows(kind, fixed) or "subsamplingRate" in space:
+        raise ValueError("the search fits cells of equal rows, which boosting on a sample of rows cannot use")
     a, b = encoded_once(train, validation, numeric, categorical)
     a = a.persist()  # read by every iteration of every trial
 
     def auc(params: dict) -> float:
-        scored = classifier(kind, **{**fixed, **params}).fit(a).transform(b)
-        row = ranking_metrics(scored.select("target", F.round(vector_to_array("probability")[1], 6).alias("p")), "target", "p").first()
+        scored = fit_cells(a, kind, **{**fixed, **params}).transform(b)
+        row = ranking_metrics(scored.select("target", "n", F.round(vector_to_array("probability")[1], 6).alias("p")), "target", "p", weight="n").first()
         return row["auc"] if row["auc"] is not None else 0.5
 
     try:
