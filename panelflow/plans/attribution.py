@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from panelflow.plans.models import ChurnModel
-from panelflow.session import scratch_path
+from panelflow.session import materialise, scratch_path
 
 #: Rows that share the work arrays of one leaf.
 BLOCK = 4096
@@ -162,20 +162,20 @@ def tree_attribution(model: ChurnModel, rows: DataFrame, key: str, background: D
         if not len(held):
             raise ValueError("the background has no rows")
     shared = spark.sparkContext.broadcast((leaves_of(model), held))
-    told = encoded(model, rows, key)
+    told = materialise(encoded(model, rows, key), "told")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaves, stand = shared.value
         for batch in batches:
-            column = batch.column(1)
+            column = batch.column(0)
             x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(names))
             base, out = explain(leaves, x, stand)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([base] * len(x)), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), len(names)).cast(pa.list_(pa.float64()))],
-                names=[key, "base", "contributions"])
+                [column, pa.array([base] * len(x)), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), len(names)).cast(pa.list_(pa.float64()))],
+                names=["x", "base", "contributions"])
 
-    kind = told.schema[key].dataType.simpleString()
-    out = told.mapInArrow(run, f"{key} {kind}, base double, contributions array<double>")
+    # rows that the trees see as equal are explained once
+    out = told.join(told.select("x").distinct().mapInArrow(run, "x array<double>, base double, contributions array<double>"), "x")
     label = F.array(*[F.lit(n) for n in names])
     return out.select(key, "base", F.posexplode("contributions").alias("_i", "contribution")).select(
         key, "base", F.get(label, F.col("_i")).alias("variable"), "contribution")
