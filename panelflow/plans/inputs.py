@@ -48,9 +48,9 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
     return (
-        keyed.join(customer, keyed.id == customer.c_custkey)
+        keyed.join(customer.hint("merge"), keyed.id == customer.c_custkey)  # customers and parts grow: small files do not make small hash tables
         .join(nation, F.col("c_nationkey") == nation.n_nationkey)
-        .join(part, keyed.partkey == part.p_partkey)
+        .join(part.hint("merge"), keyed.partkey == part.p_partkey)
         .select(
             "id",
             "anio",

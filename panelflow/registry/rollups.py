@@ -824,8 +824,8 @@ def _requests(spark, d):
     activity = F.upper(F.split_part("p_name", F.lit(" "), F.lit(2)))
     o = table(spark, d, "orders").withColumn("pk", F.col("o_orderkey") % part.agg(F.count("*")).scalar())
     j = (
-        o.join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-        .join(nation, F.col("n_nationkey") == F.col("c_nationkey")).join(part, F.col("p_partkey") == F.col("pk"))
+        o.join(table(spark, d, "customer").hint("merge"), F.col("c_custkey") == F.col("o_custkey"))
+        .join(nation, F.col("n_nationkey") == F.col("c_nationkey")).join(part.hint("merge"), F.col("p_partkey") == F.col("pk"))
     )
     r = j.select(
         F.col("o_orderkey").alias("id"),

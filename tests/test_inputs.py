@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from panelflow.plans import inputs
-from panelflow.registry import modelling
+from panelflow.registry import modelling, rollups
 
 
 def test_orders_are_spread_before_they_are_sorted(spark, monkeypatch):
@@ -24,3 +24,9 @@ def test_models_read_the_dataset_without_surroundings(spark):
     columns = [c for c in core.columns]
     assert core.orderBy("row_id").collect() == whole.select(columns).orderBy("row_id").collect()
     assert modelling.part(spark, d, "train").count() == whole.where(F.col("use") == "train").count()
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    for df in (inputs.snapshots(spark, "/root/testdata/sf0.001"), rollups._requests(spark, "/root/testdata/sf0.001")):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("SortMergeJoin") >= 2 and "SortMergeJoin [pk" in plan.replace("partkey", "pk")
