@@ -3,10 +3,15 @@
 A seed is a fixed mask over consecutive words: ones are hashed, zeros ignored,
 so a substituted word at a zero leaves the hash as it was.  Windows of the
 documents, without their texts, meet the seeds of the benchmark items by hash;
-only for documents with a hit the words are fetched, and around each hit the
-words of document and item are compared on their diagonal.  The pair is a leak
-if at least ``PERCENT`` of the compared words are equal.  All steps are
-DataFrame expressions.
+only for documents with a hit the words are fetched, in blocks that hold what
+is compared around any hit that begins in them, and around each hit the words
+of document and item are compared on their diagonal.  The pair is a leak if at
+least ``PERCENT`` of the compared words are equal.  All steps are DataFrame
+expressions.
+
+A join of generated code holds all rows that one row of its streamed side makes.
+So hits are streamed and meet one block each; a row has the size of a block,
+whatever the length of its document and the number of its hits.
 
 Words are lower-cased runs of letters and digits.  An item shorter than a mask
 but of ``LEAST_WORDS`` words or more must occur whole; a shorter item matches
@@ -32,6 +37,10 @@ LEAST_WORDS = 5
 #: Words compared on either side of a hit.
 AROUND = 4
 PERCENT = 75
+#: Words of a document in a block, besides those around its ends.
+BLOCK = 128
+#: More than the words compared at one place.
+WIDE = 64
 #: Tables of fixed-width rows are broadcast up to this number of rows (some 60 bytes each), joined by a shuffle beyond it.
 SMALL_ROWS = 500_000
 #: Words of items are broadcast up to this number of bytes.
@@ -58,8 +67,21 @@ def seeds(rows: DataFrame, words_col: str, masks: list[str]) -> DataFrame:
 
 
 def _small(rows: DataFrame) -> DataFrame:
-    """``rows``, marked for broadcasting if their number is within the bound."""
-    return F.broadcast(rows) if rows.count() <= SMALL_ROWS else rows
+    """``rows``, marked for broadcasting if their number is within the bound, for a join by sort beyond it.
+
+    Without the latter mark Spark goes by the size of files, which is 50 times smaller than the rows where columns repeat.
+    """
+    return F.broadcast(rows) if rows.count() <= SMALL_ROWS else rows.hint("merge")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` with words ``dw``: one row per block, with its number ``block``, its words ``bw``, the place ``low`` of the first and the document's ``dn``."""
+    rows = rows.withColumn("dn", F.size("dw"))
+    low = lambda b: F.greatest(F.lit(1), b * BLOCK + 1 - AROUND)
+    high = lambda b: F.least(F.col("dn"), (b + 1) * BLOCK + SPAN - 1 + AROUND)
+    cut = lambda b: F.struct(b.alias("block"), low(b).alias("low"), F.slice("dw", low(b), high(b) - low(b) + 1).alias("bw"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.col("dn") - 1) / BLOCK).cast("int")), cut)
+    return rows.where("dn > 0").select(*[c for c in rows.columns if c != "dw"], F.explode(parts).alias("part")).select("*", "part.*").drop("part")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -82,23 +104,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["text_key"] == y["text_key"])
     wanted = _small(hits.select("doc_id", "text_key").distinct())
-    fetched = texts.join(wanted, same(texts, wanted), "left_semi").select("doc_id", "text_key", words(F.col("text")).alias("dw"))
-    fetched = store.keep(fetched.withColumn("dn", F.size("dw")), "words")
+    fetched = texts.join(wanted, same(texts, wanted), "left_semi").dropDuplicates(["doc_id", "text_key"])
+    blocks = store.keep(_blocks(fetched.select("doc_id", "text_key", words(F.col("text")).alias("dw"))), "blocks").hint("merge")
     shape = items.select("item_key", "item_id", "iw", "n")
     held = items.agg(F.sum(F.octet_length(F.array_join("iw", " ")))).first()[0] or 0
-    found = _small(hits)
-    met = fetched.join(found, same(fetched, found)).drop(found["doc_id"]).drop(found["text_key"])
-    met = met.join(F.broadcast(shape) if held <= SMALL_BYTES else shape, "item_key")
+    at = hits.withColumn("block", F.floor((F.col("dp") - 1) / BLOCK).cast("int"))
+    met = at.join(blocks, same(at, blocks) & (at["block"] == blocks["block"])).drop(blocks["doc_id"]).drop(blocks["text_key"]).drop("block")
+    met = met.join(F.broadcast(shape) if held <= SMALL_BYTES else shape.hint("merge"), "item_key")
     first = F.greatest(F.lit(1), F.col("ip") - AROUND, F.col("ip") - F.col("dp") + 1)
     last = F.least(F.col("n"), F.col("ip") + F.col("len") - 1 + AROUND, F.col("dn") + F.col("ip") - F.col("dp"))
     size = last - first + 1
-    equal = F.size(F.filter(F.zip_with(F.slice("iw", first, size), F.slice("dw", first + F.col("dp") - F.col("ip"), size), lambda a, b: a == b), lambda e: e))
+    own = first + F.col("dp") - F.col("ip") - F.col("low") + 1
+    equal = F.size(F.filter(F.zip_with(F.slice("iw", first, size), F.slice("bw", own, size), lambda a, b: a == b), lambda e: e))
     verified = met.select("doc_id", "text_key", "item_id", (F.col("dp") - F.col("ip")).alias("shift"), equal.alias("matched"), size.alias("compared"))
+    # both counts in one number: its greatest is that of matched, then compared, and needs no sort
+    score = F.when(100 * F.col("matched") >= PERCENT * F.col("compared"), F.col("matched") * WIDE + F.col("compared"))
     return (
-        verified.where(100 * F.col("matched") >= PERCENT * F.col("compared"))
-        .groupBy("doc_id", "text_key", "item_id", "shift").agg(F.max(F.struct("matched", "compared")).alias("m"))
+        verified.groupBy("doc_id", "text_key", "item_id", "shift").agg(F.max(score).alias("m")).where("m IS NOT NULL")
         .groupBy("doc_id", "text_key", "item_id").agg(F.count("*").alias("n_places"), F.max("m").alias("m"))
-        .select("doc_id", "text_key", "item_id", "n_places", F.col("m.matched").alias("matched"), F.col("m.compared").alias("compared"))
+        .select("doc_id", "text_key", "item_id", "n_places", F.floor(F.col("m") / WIDE).cast("int").alias("matched"), (F.col("m") % WIDE).alias("compared"))
     )
 
 

@@ -109,3 +109,51 @@ def test_decontamination_with_shuffled_seeds(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "SMALL_BYTES", 0)
     assert sorted(map(tuple, decontamination.leaks(docs, bench).collect())) == small and len(small) == 10
     assert decontamination.filter_leaks(docs, bench).where(F.col("doc_id") % 4 == 0).count() == 0
+
+
+def plan_of(df):
+    text = df._jdf.queryExecution().toString()
+    return text[text.index("== Physical Plan =="):]
+
+
+def test_decontamination_joins_large_tables_by_sort(spark, monkeypatch):
+    """Rows beyond the bound are not broadcast, however small Spark holds their files to be."""
+    rng = random.Random(5)
+    passage = edge.prose(rng, 25)
+    docs = spark.createDataFrame([(i, edge.prose(rng, 40) + " " + passage) for i in range(20)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    monkeypatch.setattr(decontamination, "SMALL_ROWS", 0)
+    monkeypatch.setattr(decontamination, "SMALL_BYTES", 0)
+    found = decontamination.leaks(docs, bench)
+    assert found.count() == 20 and "Broadcast" not in plan_of(found)
+    assert "Broadcast" not in plan_of(decontamination.filter_leaks(docs, bench))
+
+
+def test_decontamination_of_a_long_document_full_of_passages(spark):
+    """Some 24,000 hits in one document of 20,000 words: with the whole document at each, they do not fit."""
+    words = [f"w{i}x" for i in range(25)]
+    docs = spark.createDataFrame([(1, " ".join(words * 800)), (2, " ".join(words))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = sorted((r.doc_id, r.n_places, r.matched, r.compared) for r in decontamination.leaks(docs, bench).collect())
+    assert got == [(1, 800, 19, 19), (2, 1, 19, 19)]
+
+
+def test_decontamination_across_blocks(spark, monkeypatch):
+    """Passages around the ends of blocks, on documents of any length; repeated rows and null ids are one document."""
+    monkeypatch.setattr(decontamination, "BLOCK", 7)
+    rng = random.Random(21)
+    items = [(i, [rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(n)]) for i, n in enumerate([5, 8, 11, 14, 30])]
+    docs = []
+    for k in range(400):
+        words = [rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.randint(0, 30))]
+        item = rng.choice(items)[1]
+        a = rng.randrange(len(item))
+        part = list(item[a : a + rng.randint(8, 30)])
+        part[rng.randrange(len(part))] = "other"
+        docs.append((k if k else None, words + part + words[: rng.randint(0, 20)]))
+    rows = [(i, " ".join(w)) for i, w in docs]
+    df = spark.createDataFrame(rows + rows[:30], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = [((r.doc_id, r.item_id), (r.matched, r.compared)) for r in decontamination.leaks(df, bench).collect()]
+    want = {(d, i): best for d, w in docs for i, item in items if (best := diagonals(w, item))}
+    assert len(want) > 25 and len(got) == len(want) and dict(got) == want
